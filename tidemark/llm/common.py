@@ -158,9 +158,9 @@ class Union:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (x, y), both bigint and not null.
 
-    Contraction: each node hooks to the smallest of itself and its neighbours, the
-    edges are renamed, and loops and repeats go; with hashed ids a constant share of the
-    nodes goes each round.  The maps are then composed from the last to the first.
+    Contraction: each node hooks to the first of itself and its neighbours in the order
+    of a hash, the edges are renamed, and loops and repeats go; in that random order a
+    constant share of the nodes goes each round, on paths as on stars.  The maps are then composed from the last to the first.
     Every round is a partial aggregation and equi-joins, cut by a checkpoint; nothing
     but an emptiness flag reaches the driver.  Root is one node of the component, not
     necessarily its smallest.
@@ -169,7 +169,9 @@ def components(edges: DataFrame) -> DataFrame:
     maps: list[DataFrame] = []
     while not e.isEmpty():
         both = e.select("x", "y").unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        hook = checkpointed(both.groupBy(F.col("x").alias("node")).agg(F.least("node", F.min("y")).alias("root")))
+        first = F.min(F.struct(F.xxhash64("y").alias("h"), F.col("y").alias("id")))
+        hook = both.groupBy(F.col("x").alias("node")).agg(first.alias("to"))
+        hook = checkpointed(hook.select("node", F.least("to", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id")))["id"].alias("root")))
         maps.append(hook)
         hx, hy = hook.toDF("x", "rx"), hook.toDF("y", "ry")
         e = e.join(hx, "x").join(hy, "y").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).where("x <> y").distinct()

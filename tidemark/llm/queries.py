@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_join import similarity_components
 from .substring_dedup import remove_repeats
 
 
@@ -12,10 +13,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = similarity_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), window=35, keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_substring_dedup)}
 ORACLES: dict[str, str] = {}
