@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import near_vectors
 from .ngram_join import similarity_components
 from .substring_dedup import remove_repeats
 
@@ -23,5 +24,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_substring_dedup)}
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_substring_dedup, op7_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
