@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from .embedding_dedup import near_vectors
 from .ngram_join import similarity_components
 from .substring_dedup import remove_repeats
+from .warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_pages(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = similarity_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
@@ -28,5 +34,5 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_substring_dedup, op7_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_ngram_jaccard_join, op5_substring_dedup, op7_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
