@@ -19,6 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 #: Text bytes in a row batch, on average.
 BATCH_BYTES = 6 << 20
@@ -155,6 +156,23 @@ class Union:
         return True
 
 
+def positioned(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """df with, for each name in sums, the running total of that column in the given total order.
+
+    Range partitions are sorted and summed on their own and get the totals of those
+    before them; the totals, one row a partition, are what is broadcast.  The result is
+    checkpointed, as the bounds of range partitions may differ from run to run.
+    """
+    spark = df.sparkSession
+    d = checkpointed(df.repartitionByRange(shuffle_partitions(spark), *order).withColumn("pid_", F.spark_partition_id()))
+    totals = d.groupBy("pid_").agg(*[F.sum(c).alias(f"{k}_0") for k, c in sums.items()])
+    before = W.orderBy("pid_").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("pid_", *[F.coalesce(F.sum(f"{k}_0").over(before), F.lit(0)).alias(f"{k}_0") for k in sums])
+    w = W.partitionBy("pid_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    own = d.select("*", *[F.sum(c).over(w).alias(k) for k, c in sums.items()])
+    return checkpointed(own.join(F.broadcast(totals), "pid_").withColumns({k: F.col(k) + F.col(f"{k}_0") for k in sums}).drop("pid_", *[f"{k}_0" for k in sums]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (x, y), both bigint and not null.
 
