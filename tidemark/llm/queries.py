@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
+from .mixing import mix_sources
 from .ngram_join import similarity_components
+from .sharding import shard_rows
 from .substring_dedup import remove_repeats
 from .warc import archive_pages
 
@@ -25,6 +27,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, max_epochs=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), window=35, keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,5 +41,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_ngram_jaccard_join, op5_substring_dedup, op7_embedding_near_dedup)}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_rows(_table(spark, sf_dir, "documents"), shards=40, overhead=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op7_embedding_near_dedup, op8_sharding)}
 ORACLES: dict[str, str] = {}
