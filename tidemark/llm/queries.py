@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .mixing import mix_sources
 from .ngram_join import similarity_components
@@ -46,5 +47,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op7_embedding_near_dedup, op8_sharding)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, part=20)
+    its = F.col("items")
+    return out.select("doc_id", "n_words", "n_hit", F.size(its).cast("bigint").alias("n_items"), F.sha2(F.array_join(its, ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination)}
 ORACLES: dict[str, str] = {}
