@@ -9,8 +9,10 @@ from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .mixing import mix_sources
 from .ngram_join import similarity_components
+from .quality import quality_scores
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
+from .toxicity import toxicity_scores
 from .warc import archive_pages
 
 
@@ -18,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_pages(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,5 +60,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size(its).cast("bigint").alias("n_items"), F.sha2(F.array_join(its, ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, op10_toxicity)}
 ORACLES: dict[str, str] = {}
