@@ -58,6 +58,23 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == sorted(brute(ids, texts, n, num, 100))
 
 
+def test_linked_sets_share_a_signature():
+    rng = random.Random(12)
+    for num in (80, 90):
+        starts, differ = ngram_join.size_classes(700, num, 100)
+        for _ in range(1500):
+            n = rng.choice([2, 5, 9, 10, 11, 15, 30, 120, 600])
+            a = {rng.getrandbits(64) for _ in range(n)}
+            most = int((100 - num) * 2 * n / (num + 100)) + 2
+            b = set(a)
+            for x in rng.sample(sorted(a), min(n - 1, rng.randint(0, most))):
+                b.discard(x)
+            b |= {rng.getrandbits(64) for _ in range(rng.randint(0, most))}
+            if a != b and 100 * len(a & b) >= num * len(a | b):
+                x, y = (np.concatenate(ngram_join.signatures(np.array(sorted(s), np.uint64), starts, differ) or [np.zeros(0)]) for s in (a, b))
+                assert len(np.intersect1d(x, y))
+
+
 def test_tree_prunes_no_link():
     rng = random.Random(4)
     for trial in range(20):

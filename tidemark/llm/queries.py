@@ -9,6 +9,7 @@ from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .mixing import mix_sources
 from .ngram_join import similarity_components
+from .oracles import ORACLES  # noqa: F401
 from .quality import quality_scores
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
@@ -66,4 +67,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+
