@@ -2,10 +2,12 @@
 
 1. Rows with equal shingle sets become classes; one row stands for each.
 2. Routing: sets whose Jaccard similarity reaches the threshold differ in at most d
-   shingles, d being bounded by their size range; of d + 1 hash ranges one at least
-   holds the same shingles in both.  The content of each range is a signature; classes
-   that share one are candidates, and components of candidates are blocks.  No link
-   crosses two blocks.
+   shingles, d being bounded by their size range; of d + m hash ranges m at least
+   hold the same shingles in both.  So each set may leave out its ranges that hold fewer
+   shingles than its m-th smallest: of m equal ranges one holds as many as either's bound
+   asks for.  The content of each range that stays is a signature, never of the near-empty
+   ranges that unrelated sets share; classes that share one are candidates, and components of
+   candidates are blocks.  No link crosses two blocks.
 3. Within a block, signature trees: leaves are sets, inner nodes hold the OR of the
    bitmaps below and the range of sizes.  Two trees (or one with itself) are walked
    together; a pair of nodes goes on only if sizes and the largest possible overlap
@@ -30,20 +32,18 @@ from .common import Union, by_bucket, checkpointed, components, pack, row_batche
 from .tokens import grams, mix, words
 
 #: Sets in a tile of a large block, and in a bin of small blocks.
-TILE, FANOUT = 512, 8
+TILE, FANOUT = 256, 8
 
 
 def size_classes(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first size of each class, how many ranges sets of a class are cut into for it)."""
-    starts, ranges, lo = [], [], 1
-    while not starts or starts[-1] <= largest or len(starts) < 2:
+    """(first size of each class, in how many shingles linked sets of it and the class below can differ)."""
+    starts, differ, lo = [], [], 1
+    while len(starts) < 3 or starts[-2] <= largest:
         hi = max(lo, den * lo // num)
         starts.append(lo)
-        ranges.append((den - num) * 2 * hi // (num + den) + 1)
+        differ.append((den - num) * 2 * hi // (num + den))
         lo = hi + 1
-    starts.append(lo)
-    ranges.append((den - num) * 2 * max(lo, den * lo // num) // (num + den) + 1)
-    return np.array(starts), np.array(ranges)
+    return np.array(starts), np.array(differ)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -65,7 +65,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(s: np.ndarray, starts: np.ndarray, ranges: np.ndarray) -> list[np.ndarray]:
+def signatures(s: np.ndarray, starts: np.ndarray, differ: np.ndarray) -> list[np.ndarray]:
     """Signatures of a set for its own size class and the next."""
     c = int(np.searchsorted(starts, len(s), side="right")) - 1
     sums = np.zeros(len(s) + 1, np.uint64)
@@ -73,12 +73,15 @@ def signatures(s: np.ndarray, starts: np.ndarray, ranges: np.ndarray) -> list[np
     high = s >> np.uint64(32)
     out = []
     for k in (c, c + 1):
-        if ranges[k] > 1:
-            m = int(ranges[k])
-            part = (high * np.uint64(m)) >> np.uint64(32)
-            cut = np.searchsorted(part, np.arange(m + 1).astype(np.uint64))
-            salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((k + 1) << 32))
-            out.append(mix((sums[cut[1:]] - sums[cut[:-1]]) ^ salt))
+        if d := int(differ[k]):
+            m = 1 + -(-(d + 1) // 4)
+            n = d + m
+            part = (high * np.uint64(n)) >> np.uint64(32)
+            cut = np.searchsorted(part, np.arange(n + 1).astype(np.uint64))
+            held = np.diff(cut)
+            some = np.flatnonzero(held >= np.partition(held, m - 1)[m - 1])
+            salt = mix(some.astype(np.uint64) + np.uint64((k + 1) << 32))
+            out.append(mix((sums[cut[some + 1]] - sums[cut[some]]) ^ salt))
     return out
 
 
@@ -225,7 +228,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid", "b"))
     classes = checkpointed(all_sizes.where("n > 0").groupBy("fp", "n").agg(first.alias("r")).select("fp", "n", F.col("r.id").alias("id"), F.col("r.rid").alias("rid"), F.col("r.b").alias("b")))
     largest = classes.agg(F.max("n")).first()[0] or 0
-    starts, ranges = size_classes(largest, num, den)
+    starts, differ = size_classes(largest, num, den)
 
     def signed(t: pa.Table, reps: pa.Table) -> pa.Table:
         out = {k: [] for k in ("g", "n", "h", "ids")}
@@ -234,7 +237,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
             t = sorted_batch(t)
             hs, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for rid, s in zip(t.column("rid").to_pylist(), shingle_sets(texts_of(t), n), strict=True):
-                for x in signatures(s, starts, ranges):
+                for x in signatures(s, starts, differ):
                     hs.append(x)
                     ids.append(np.full(len(x), rid, np.int64))
             h, who = np.concatenate(hs), np.concatenate(ids)
