@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: A-Z belong to words, as they count as a-z; letters are folded where words meet.
-WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A-Z belong to words, as they count as a-z; letters are folded where words meet.  Written
+#: out one by one, letters and digits become one bit table, which is some thirty times as fast as ranges.
+WORD = "[0123456789" + _UPPER + _LOWER + r"\x80-\x{10FFFF}]+"
 #: Benchmark words up to which the benchmark's side is broadcast; beyond, it is shuffled.
 BROADCAST_WORDS = 200_000
 
 
 def words_of(text) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def folded(word: Column) -> Column:
@@ -57,7 +58,7 @@ def anchors(docs: DataFrame, benchmark: DataFrame, window: int, item: str, item_
     keys = checkpointed(places.select("key").distinct())
     small = keys.count() <= BROADCAST_WORDS and places.count() <= 20 * BROADCAST_WORDS
     side = F.broadcast(keys) if small else keys
-    terms = docs.select(F.explode(words_of(F.col(text))).alias("w")).select(F.lower("w").alias("key")).join(side, "key")
+    terms = docs.select(F.explode_outer(words_of(F.col(text))).alias("w")).select(F.lower("w").alias("key")).join(side, "key")
     counts = checkpointed(terms.groupBy("key").agg(F.count("*").alias("n")))
     places = places.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     width = F.least("length", F.lit(window))
@@ -82,7 +83,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, near: float
     around, small = anchors(docs, benchmark, window, item, item_text, id, text)
     side = F.broadcast(around) if small else around
     w = F.col("words")
-    posted = _rows(docs, id, text).select("id", "mark", "words", F.posexplode("words").alias("pos", "word"))
+    posted = _rows(docs, id, text).select("id", "mark", "words", F.posexplode_outer("words").alias("pos", "word"))  # outer: no filter is inferred that would make the words twice
     posted = posted.withColumn("key", F.lower("word")).join(side, "key")
     pos = F.col("pos")
     before = F.reverse(F.slice(w, F.greatest(pos - window + 2, F.lit(1)), F.least(pos, F.lit(window - 1))))
