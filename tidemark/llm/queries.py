@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
+from .line_dedup import remove_common_lines
 from .mixing import mix_sources
 from .ngram_join import similarity_components
 from .oracles import ORACLES  # noqa: F401
@@ -46,6 +47,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_common_lines(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -66,5 +72,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op6_line_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, op10_toxicity)}
 
