@@ -12,12 +12,14 @@ from .features import feature_frame
 from .statistics import breakeven_win_rate, kelly, position_size
 from .trades import adv, impact_bps, round_trip_cost, spreads
 
-BACK = W.partitionBy("symbol").orderBy(F.desc("timestamp"))
+
+def latest_first():
+    return W.partitionBy("symbol").orderBy(F.desc("timestamp"))
 
 
 def recent(df: DataFrame, n: int) -> DataFrame:
     """The last n rows of each symbol, with back, the place from the end (1 is the last)."""
-    return df.withColumn("back", F.row_number().over(BACK)).where(F.col("back") <= n)
+    return df.withColumn("back", F.row_number().over(latest_first())).where(F.col("back") <= n)
 
 
 def _at(k: int, c: str = "close"):
@@ -37,7 +39,7 @@ def price_stats(bars: DataFrame, lookback: int = 720) -> DataFrame:
 
 def funding_profile(funding: DataFrame, recent_rows: int = 21) -> DataFrame:
     """The last rate, its percentile and z, and what it costs a year at three payments a day."""
-    f = funding.withColumn("back", F.row_number().over(BACK))
+    f = funding.withColumn("back", F.row_number().over(latest_first()))
     last = f.where("back = 1").select("symbol", F.col("funding_rate").alias("current"))
     r, new = F.col("funding_rate"), F.when(F.col("back") <= recent_rows, F.col("funding_rate"))
     g = f.join(last, "symbol").groupBy("symbol", "current").agg(F.count("*").alias("n"), (F.avg(F.when(r < F.col("current"), 1.0).otherwise(0.0)) * 100).alias("percentile"), F.avg(new).alias("mean_recent"), F.sum(new).alias("sum_recent"), F.stddev_samp(new).alias("sd_recent"), F.avg(r).alias("mean_all"), F.stddev_samp(r).alias("sd_all"))

@@ -43,12 +43,12 @@ class Ledger:
                 raise
             return self.spark.createDataFrame([], SCHEMAS[name])
 
-    def append(self, name: str, **row) -> int:
-        new = (self.log(name).agg(F.max("id")).first()[0] or 0) + 1
-        names = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
+    def append(self, table: str, /, **row) -> int:
+        new = (self.log(table).agg(F.max("id")).first()[0] or 0) + 1
+        names = self.spark.createDataFrame([], SCHEMAS[table]).columns
         if unknown := set(row) - set(names):
-            raise ValueError(f"{name} has no {sorted(unknown)}")
-        self.spark.createDataFrame([tuple(new if c == "id" else row.get(c) for c in names)], SCHEMAS[name]).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+            raise ValueError(f"{table} has no {sorted(unknown)}")
+        self.spark.createDataFrame([tuple(new if c == "id" else row.get(c) for c in names)], SCHEMAS[table]).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
         return new
 
     def register(self, **row) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def streamed_bars(ticks: DataFrame, every: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     """ticks (symbol, ts, price, volume) to bars, each final once the watermark has passed it."""
-    t = ticks.withWatermark("ts", late)
+    t = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     o = F.col("ts")
     g = t.groupBy("symbol", F.window("ts", every).alias("w")).agg(F.min_by("price", o).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", o).alias("close"), F.sum("volume").alias("volume"), F.sum(F.col("price") * F.col("volume")).alias("quote_volume"), F.count("*").alias("trades"))
     return g.select("symbol", F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume", "quote_volume", "trades")
