@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, frugal
+
 
 def fold(id: str) -> Column:
     """crc32 of the id as text, modulo 5; 0 is held out.  A null id counts as the empty text."""
@@ -32,9 +34,11 @@ def training_labels(labels: DataFrame, id: str, label: str, value: int | None =
 
 def feature_rows(rows: DataFrame, text: str, features: Callable[[str], list[float]], carry: list[str]) -> DataFrame:
     """carry and x, the features of each text."""
+    bounded_batches(rows.sparkSession)
 
     @F.pandas_udf("array<double>")
     def x(t: pd.Series) -> pd.Series:
+        frugal()
         return pd.Series([features(s or "") for s in t])
 
     return rows.select(*carry, x(text).alias("x"))
@@ -42,9 +46,11 @@ def feature_rows(rows: DataFrame, text: str, features: Callable[[str], list[floa
 
 def scored(docs: DataFrame, text: str, score: Callable[[list], np.ndarray]) -> Column:
     """score: texts to numbers from 0 to 1."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def f(t: pd.Series) -> pd.Series:
+        frugal()
         out = np.zeros(len(t))
         texts = t.tolist()
         for k in range(0, len(texts), 256):

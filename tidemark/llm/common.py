@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Text bytes in a row batch, on average.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
+#: Rows in one Arrow batch between the JVM and a Python worker, at most.
+ARROW_ROWS = 1000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -55,6 +57,23 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small: with long texts, the default of 10,000 rows fills a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def frugal() -> None:
+    """In a worker: have freed arrays go back to the system, as idle workers stay alive beside the JVM."""
+    import ctypes
+    import contextlib
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.default_memory_pool().release_unused()
+
+
 def row_batches(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
     """(b, rid, c0, c1, ..., z) for every row of docs, dealt evenly into nb batches, and nb.
 
@@ -65,6 +84,7 @@ def row_batches(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[D
     computed again from the same file splits, hence with the same rid and batch.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     nb = max(shuffle_partitions(spark), math.ceil(total / BATCH_BYTES))
     kept = docs.select(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)], F.col(f"`{text}`").alias("z"))
@@ -72,6 +92,7 @@ def row_batches(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[D
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("z", T.BinaryType())])
 
     def squeeze(batches):
+        frugal()
         c = zstandard.ZstdCompressor(level=1)
         for x in batches:
             z = pa.array([None if t is None else c.compress(t.encode("utf-8", "replace")) for t in x.column(x.num_columns - 1).to_pylist()], pa.binary())
@@ -84,6 +105,7 @@ def row_batches(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[D
 
 def texts_of(table: pa.Table, column: str = "z") -> list[bytes]:
     """The texts of row_batches() as UTF-8; null as no bytes."""
+    frugal()
     d = zstandard.ZstdDecompressor()
     return [b"" if z is None else d.decompress(z) for z in table.column(column).to_pylist()]
 

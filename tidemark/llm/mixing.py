@@ -21,6 +21,8 @@ from .common import checkpointed, positioned
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BITS, _DIGIT = 48, 12
+#: Sources up to which their targets are broadcast.
+BROADCAST_SOURCES = 50_000
 
 
 def words_in(text) -> Column:
@@ -76,6 +78,8 @@ def plan(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: i
 
 def _taken(sized: DataFrame, planned: DataFrame) -> DataFrame:
     p = planned.withColumnRenamed("source", "of")
+    if p.count() <= BROADCAST_SOURCES:  # a row each; otherwise Spark shuffles and splits hot sources
+        p = F.broadcast(p)
     some = F.when(F.col("place") < F.col("cut"), F.col("size")).when(F.col("place") == F.col("cut"), F.floor(F.col("size") * F.col("rest") / F.col("tied"))).otherwise(0)
     taken = F.col("whole") * F.col("size") + F.when(F.col("rest") > 0, some).otherwise(0)
     return sized.join(p, F.col("source").eqNullSafe(F.col("of"))).withColumn("taken", taken.cast("bigint"))

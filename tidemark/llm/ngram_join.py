@@ -2,18 +2,19 @@
 
 1. Rows with equal shingle sets become classes; one row stands for each.
 2. Routing: sets whose Jaccard similarity reaches the threshold differ in at most d
-   shingles, d being bounded by their size range; of d + m hash ranges m at least
-   hold the same shingles in both.  So each set may leave out its ranges that hold fewer
-   shingles than its m-th smallest: of m equal ranges one holds as many as either's bound
-   asks for.  The content of each range that stays is a signature, never of the near-empty
-   ranges that unrelated sets share; classes that share one are candidates, and components of
-   candidates are blocks.  No link crosses two blocks.
+   shingles, d being bounded by their size class; of d + m hash ranges m at least hold
+   the same shingles in both.  The content of a range is a signature.  Each set leaves out
+   its ranges that hold fewer shingles than its smallest but m - s: of m equal ranges s
+   have as many as either's bound asks for.  So linked sets share s signatures or more,
+   and never by near-empty ranges alone.  Signatures of few sets give pairs, which stay
+   if they share s; one of many sets leads from each to its first.  Components of these
+   links within a size class are blocks; no link of that class crosses two.
 3. Within a block, signature trees: leaves are sets, inner nodes hold the OR of the
    bitmaps below and the range of sizes.  Two trees (or one with itself) are walked
    together; a pair of nodes goes on only if sizes and the largest possible overlap
    allow the threshold.  Pairs of leaves that stay are compared exactly, unless they
-   are connected already.  A large block is dealt into tiles; each pair of tiles is a
-   task of its own, so no task holds more than two tiles.
+   are connected already.  A large block is dealt into tiles, which move as one row each;
+   each pair of tiles is a task of its own, so no task holds more than two tiles.
 4. The links found span each component; components() joins them.
 
 A class, not a row, takes part from 2 on, and links are never listed as all pairs of a
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Union, by_bucket, checkpointed, components, pack, row_batches, sorted_batch, texts_of, unpack
+from .common import Union, by_bucket, checkpointed, components, frugal, pack, row_batches, sorted_batch, texts_of, unpack
 from .tokens import grams, mix, words
 
 #: Sets in a tile of a large block, and in a bin of small blocks.
-TILE, FANOUT = 256, 8
+TILE, FANOUT = 512, 8
+#: Sets with one signature up to which all their pairs are counted; MANY is above any count asked for.
+FEW, MANY = 32, 1 << 20
 
 
 def size_classes(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +68,14 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(s: np.ndarray, starts: np.ndarray, differ: np.ndarray) -> list[np.ndarray]:
-    """Signatures of a set for its own size class and the next."""
+def ranges_of(d: int) -> tuple[int, int]:
+    """(m, s) for sets that differ in at most d shingles."""
+    m = 1 + -(-(d + 1) // 4)
+    return m, max(1, min(3, m // 3))
+
+
+def signatures(s: np.ndarray, starts: np.ndarray, differ: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(size class, signatures) of a set for its own size class and the next."""
     c = int(np.searchsorted(starts, len(s), side="right")) - 1
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s), out=sums[1:])
@@ -74,14 +83,14 @@ def signatures(s: np.ndarray, starts: np.ndarray, differ: np.ndarray) -> list[np
     out = []
     for k in (c, c + 1):
         if d := int(differ[k]):
-            m = 1 + -(-(d + 1) // 4)
+            m, shared = ranges_of(d)
             n = d + m
             part = (high * np.uint64(n)) >> np.uint64(32)
             cut = np.searchsorted(part, np.arange(n + 1).astype(np.uint64))
             held = np.diff(cut)
-            some = np.flatnonzero(held >= np.partition(held, m - 1)[m - 1])
+            some = np.flatnonzero(held >= np.partition(held, m - shared)[m - shared])
             salt = mix(some.astype(np.uint64) + np.uint64((k + 1) << 32))
-            out.append(mix((sums[cut[some + 1]] - sums[cut[some]]) ^ salt))
+            out.append((k, mix((sums[cut[some + 1]] - sums[cut[some]]) ^ salt)))
     return out
 
 
@@ -175,41 +184,83 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
     return found
 
 
-def _block_links(num: int, den: int):
+def _packed(node: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    return np.concatenate([[len(node)], node, [len(x) for x in sets]]).astype(np.int64).tobytes() + np.concatenate(sets).tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    node, size = np.frombuffer(data, np.int64, 2 * n, 8).reshape(2, n)
+    return node, np.split(np.frombuffer(data, np.uint64, offset=8 + 16 * n), np.cumsum(size)[:-1])
+
+
+_LINKS = "x bigint, y bigint, root bigint, tile int, tiles int, data binary"
+
+
+def _within(num: int, den: int):
+    """Of a bin of small blocks or a tile of a large one: links, and for a tile one row that holds it whole."""
+
     def run(table: pa.Table) -> pa.Table:
+        frugal()
         table = table.sort_by([("root", "ascending"), ("node", "ascending")])
-        root, node, tile = (table.column(c).to_numpy() for c in ("root", "node", "tile"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
-        xs, ys = [], []
+        rows = []
         cut = np.concatenate([[0], np.flatnonzero(np.diff(root)) + 1, [len(root)]])
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            own = np.arange(lo, hi)
-            if i == j:
-                at, links = own, tree_links([sets[k] for k in own], None, num, den) if hi - lo > 1 else []
-            else:
-                a, b = own[tile[own] == i], own[tile[own] == j]
-                at = np.concatenate([a, b])
-                links = tree_links([sets[k] for k in a], [sets[k] for k in b], num, den) if len(a) and len(b) else []
-            xs += [node[at[p]] for p, _ in links]
-            ys += [node[at[q]] for _, q in links]
-        return pa.table([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
+            if hi - lo > 1:
+                rows += [(int(node[lo + p]) >> 8, int(node[lo + q]) >> 8, None, None, None, None) for p, q in tree_links(sets[lo:hi], None, num, den)]
+        tiles = table.column("tiles")[0].as_py()
+        if tiles > 1:
+            rows.append((None, None, int(root[0]), table.column("tile")[0].as_py(), tiles, _packed(node, sets)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["x", "y", "root", "tile", "tiles", "data"])
+
+    return run
+
+
+def _between(num: int, den: int):
+    """Links between two tiles of a block; a tile that the hash left empty has no row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        frugal()
+        if table.num_rows < 2:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("x", "y")})
+        (a, left), (b, right) = (_unpacked(x) for x in table.sort_by("tile").column("data").to_pylist())
+        ids = np.concatenate([a, b]) >> 8
+        links = np.array(tree_links(left, right, num, den), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=["x", "y"])
 
     return run
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """For a bucket of signatures: a link from each set to the first that shares one with it."""
+    """For a bucket of signatures: how many each pair of sets shares, of those that few have; links to the first for others."""
+    frugal()
     ns = table.column("n").to_pylist()
     h = np.concatenate([unpack(x) for x in table.column("h").to_pylist()])
     ids = np.concatenate([np.frombuffer(x, np.uint8).reshape(8, n).T.copy().view(np.int64).reshape(-1) for x, n in zip(table.column("ids").to_pylist(), ns, strict=True)])
     order = np.lexsort((ids, h))
     h, ids = h[order], ids[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    lead = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-    some = lead != ids
-    edges = np.unique(np.stack([lead[some], ids[some]], axis=1), axis=0)
-    return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["x", "y"])
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    held = np.diff(np.append(new, len(h)))
+    xs, ys, n = [], [], []
+    for size in np.unique(held[held > 1]).tolist():
+        first = new[held == size]
+        if size <= FEW:
+            i, j = np.triu_indices(size, 1)
+            x, y = ids[first[:, None] + i].reshape(-1), ids[first[:, None] + j].reshape(-1)
+        else:
+            x = np.repeat(ids[first], size - 1)
+            y = ids[first[:, None] + np.arange(1, size)].reshape(-1)
+        some = x != y
+        xs.append(x[some]), ys.append(y[some]), n.append(np.full(int(some.sum()), 1 if size <= FEW else MANY, np.int64))
+    if not xs:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("x", "y", "n")})
+    pairs, k = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_inverse=True)
+    n = np.bincount(k.reshape(-1), np.concatenate(n), len(pairs)).astype(np.int64)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], names=["x", "y", "n"])
 
 
 def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: str, text: str):
@@ -237,32 +288,38 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
             t = sorted_batch(t)
             hs, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for rid, s in zip(t.column("rid").to_pylist(), shingle_sets(texts_of(t), n), strict=True):
-                for x in signatures(s, starts, differ):
+                for k, x in signatures(s, starts, differ):
                     hs.append(x)
-                    ids.append(np.full(len(x), rid, np.int64))
+                    ids.append(np.full(len(x), (rid << 8) + k, np.int64))  # a node: the row in a size class
             h, who = np.concatenate(hs), np.concatenate(ids)
             for g, part in by_bucket(h, nb):
                 for k, v in (("g", g), ("n", len(part)), ("h", pack(h[part])), ("ids", who[part].view(np.uint8).reshape(-1, 8).T.tobytes())):
                     out[k].append(v)
         return pa.table([pa.array(out["g"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["h"], pa.binary()), pa.array(out["ids"], pa.binary())], names=["g", "n", "h", "ids"])
 
-    near = rows.groupBy("b").cogroup(classes.select("b", "rid").groupBy("b")).applyInArrow(signed, "g int, n int, h binary, ids binary").groupBy("g").applyInArrow(_candidates, "x bigint, y bigint")
+    near = rows.groupBy("b").cogroup(classes.select("b", "rid").groupBy("b")).applyInArrow(signed, "g int, n int, h binary, ids binary").groupBy("g").applyInArrow(_candidates, "x bigint, y bigint, n bigint")
+    asked = F.element_at(F.array(*[F.lit(ranges_of(int(d))[1]) for d in differ]), (F.col("x") % 256 + 1).cast("int"))
+    near = near.groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= asked).select("x", "y")
     blocks = checkpointed(components(near))
     tiles = blocks.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    nodes = blocks.join(tiles, "root").join(classes.select(F.col("rid").alias("node"), "b"), "node")
+    nodes = blocks.join(tiles, "root").withColumn("rid", F.shiftright("node", 8)).join(classes.select("rid", "b"), "rid")
 
     def sent(t: pa.Table, own: pa.Table) -> pa.Table:
-        own = own.sort_by("node")
-        t = sorted_batch(t.filter(pa.array(np.isin(t.column("rid").to_numpy(), own.column("node").to_numpy()))))
-        s = pa.array([x.tobytes() for x in shingle_sets(texts_of(t), n)], pa.binary())
+        t = sorted_batch(t.filter(pa.array(np.isin(t.column("rid").to_numpy(), own.column("rid").to_numpy()))))
+        have = dict(zip(t.column("rid").to_pylist(), (x.tobytes() for x in shingle_sets(texts_of(t), n)), strict=True))
+        s = pa.array([have[r] for r in own.column("rid").to_pylist()], pa.binary())
         return pa.table([own.column("root"), own.column("node"), own.column("tiles"), s], names=["root", "node", "tiles", "s"])
 
     sets = rows.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(sent, "root bigint, node bigint, tiles int, s binary")
-    tile, other = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.col("other")
-    bins = F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * nb)))
-    sets = sets.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sets = sets.select("root", "node", "tile", "s", F.when(F.col("tiles") == 1, bins).otherwise(F.col("root")).alias("k"), F.least("tile", other).alias("i"), F.greatest("tile", other).alias("j"), (F.col("tiles") > 1).alias("large"))
-    links = sets.groupBy("large", "k", "i", "j").applyInArrow(_block_links(num, den), "x bigint, y bigint")
+    large = F.col("tiles") > 1
+    k = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * nb))))
+    sets = sets.select("root", "node", "tiles", "s", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), k.alias("k"), large.alias("large"))
+    found = sets.groupBy("large", "k", "tile").applyInArrow(_within(num, den), _LINKS).persist()
+    other = F.col("other")
+    pairs = found.where("data is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
+    pairs = pairs.select("root", F.least("tile", other).alias("i"), F.greatest("tile", other).alias("j"), "tile", "data")
+    far = pairs.groupBy("root", "i", "j").applyInArrow(_between(num, den), "x bigint, y bigint")
+    links = found.where("data is null").select("x", "y").unionByName(far)
     joined = components(links).toDF("rid", "root")
     member = classes.join(joined, "rid", "left").select("fp", "n", "id", "rid", F.coalesce("root", "rid").alias("root"))
     tops = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("r"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, shared_folder
+from .common import bounded_batches, checkpointed, shared_folder
 
 #: Payload bytes after which a task begins its next archive.
 ARCHIVE_BYTES = 24 << 20
@@ -183,6 +183,7 @@ def write_pages(pages: DataFrame, folder: str, id: str = "page_id", url: str = "
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     shape = T.StructType([T.StructField("archive", T.StringType()), T.StructField("record", T.StringType()), rows.schema["id"], *T._parse_datatype_string("row bigint, bytes bigint, digest string").fields])
     most = ARCHIVE_BYTES
+    bounded_batches(pages.sparkSession)
 
     def write(batches):
         out, packer, held = None, None, 0
