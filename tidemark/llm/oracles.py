@@ -87,4 +87,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 """
 
-ORACLES = {"op3_ngram_jaccard_join": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_embedding_near_dedup": OP7, "op9_decontamination": OP9}
+OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) || '00' AS h FROM p
+), d AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, CAST(i * 5 // 4 + 1 AS INT), 3) AS INT) >> CAST(7 - (i * 5) % 4 AS INT)) & 31 AS INT), 1)), '') AS payload_digest FROM h
+), m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_ngram_jaccard_join": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_embedding_near_dedup": OP7, "op9_decontamination": OP9}
