@@ -104,6 +104,8 @@ def regime(w) -> Column:
     """volatile or calm, up or down; what is unknown counts as calm and down."""
     vol = F.col("volatility_168")
     frame = w.rowsBetween(-719, 0)
-    middle = F.when(F.count(vol).over(frame) >= 100, F.percentile(vol, F.lit(0.5)).over(frame))
+    held = F.sort_array(F.collect_list(vol).over(frame))  # a sorted array is some ten times as fast as percentile() here
+    n = F.size(held)
+    middle = F.when(n >= 100, (F.try_element_at(held, ((n + 1) / 2).cast("int")) + F.try_element_at(held, (n / 2 + 1).cast("int"))) / 2)
     high, up = F.coalesce(vol > middle, F.lit(False)), F.coalesce(F.col("momentum_168") > 0, F.lit(False))
     return F.when(high & up, "volatile_up").when(high, "volatile_down").when(up, "calm_up").otherwise("calm_down")

@@ -32,6 +32,7 @@ def overfitting(returns: DataFrame, splits: int = 8) -> DataFrame:
 
     Among strategies that tie in sample the first by name wins; out-of-sample ties share their mean rank.
     """
+    returns = returns.persist()  # read several times below
     d = complete_days(returns.where("r is not null")).withColumn("t", F.dense_rank().over(W.orderBy("day")))
     size = d.agg(F.count_distinct("strategy").alias("n_strategies"), F.count_distinct("day").alias("n_periods"))
     even = splits - splits % 2
