@@ -301,7 +301,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
     asked = F.element_at(F.array(*[F.lit(ranges_of(int(d))[1]) for d in differ]), (F.col("x") % 256 + 1).cast("int"))
     near = near.groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= asked).select("x", "y")
     blocks = checkpointed(components(near))
-    tiles = blocks.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = checkpointed(blocks.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))  # cut here, a hot root's side of the join can be split
     nodes = blocks.join(tiles, "root").withColumn("rid", F.shiftright("node", 8)).join(classes.select("rid", "b"), "rid")
 
     def sent(t: pa.Table, own: pa.Table) -> pa.Table:
@@ -321,8 +321,8 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
     far = pairs.groupBy("root", "i", "j").applyInArrow(_between(num, den), "x bigint, y bigint")
     links = found.where("data is null").select("x", "y").unionByName(far)
     joined = components(links).toDF("rid", "root")
-    member = classes.join(joined, "rid", "left").select("fp", "n", "id", "rid", F.coalesce("root", "rid").alias("root"))
-    tops = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("r"))
+    member = checkpointed(classes.join(joined, "rid", "left").select("fp", "n", "id", "rid", F.coalesce("root", "rid").alias("root")))
+    tops = checkpointed(member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("r")))
     member = member.join(tops, "root").select("fp", "n", F.col("r.id").alias("component_id"), F.col("r.rid").alias("first"))
     out = all_sizes.join(member, ["fp", "n"], "left")
     return rows, out.select("rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), ((F.col("n") == 0) | (F.col("rid") == F.col("first"))).alias("stands"))

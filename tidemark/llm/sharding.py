@@ -133,7 +133,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, overhead: int = 16, id: str =
     """
     rows = docs.select(F.col(id).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("bigint").alias("size"), F.crc32(F.col(text).cast("binary")).alias("crc"), F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")).alias("key"))
     rows = checkpointed(rows)
-    groups = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("first"))
+    groups = checkpointed(rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("first")))  # cut here, a hot key's side of the join can be split
     laid = rows.join(groups, "key").select("id", "size", "crc", "key", "first", F.col("id").isNull().alias("no"), F.monotonically_increasing_id().alias("tie"), F.lit(1).alias("one"))
     laid = positioned(laid, ["first", "key", "no", "id", "tie"], {"P": "size", "R": "one"})
     ends = checkpointed(laid.groupBy("key").agg(F.max("P").alias("P")).select("P"))
