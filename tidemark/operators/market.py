@@ -126,6 +126,7 @@ def trade_ev(ideas: DataFrame, costs: DataFrame, s: Settings = DEFAULT) -> DataF
     sign = F.when(c("direction") == "long", 1.0).otherwise(-1.0)
     t = ideas.join(costs.select("symbol", "round_trip_bps"), "symbol", "left").withColumns({"risk": sign * (c("entry") - c("stop")), "reward": sign * (c("target") - c("entry"))})
     p = c("win_probability")
+    # The wording of the errors.
     error = F.when(~c("direction").isin("long", "short"), "direction must be 'long' or 'short'").when(~((p > 0) & (p < 1)), "win_probability must be strictly between 0 and 1")
     error = error.when(c("risk") <= 0, F.concat(F.lit("stop is on the wrong side of entry for a "), c("direction"))).when(c("reward") <= 0, F.concat(F.lit("target is on the wrong side of entry for a "), c("direction")))
     t = t.withColumn("error", error).withColumns({k: F.when(c("error").isNull(), c(k)) for k in ("risk", "reward")})

@@ -68,6 +68,7 @@ def gates(s: Settings = DEFAULT) -> Column:
     """The reasons to reject, in order; an unknown probability is a reason too."""
     c = F.col
     dsr = F.coalesce(c("dsr"), F.lit(0.0))
+    # The limits and the wording of the reasons.
     return F.array_compact(F.array(
         F.when(c("n_trades") < s.min_trades, F.concat(F.lit("only "), c("n_trades").cast("string"), F.lit(f" trades, need {s.min_trades}"))),
         F.when(c("mean_return") <= 0, F.lit("net mean return is not positive after costs")),
