@@ -74,3 +74,12 @@ def test_isotonic_and_trees():
     xs, ys = toxicity.isotonic(z, y, np.ones(800))
     assert (np.diff(xs) > 0).all() and (np.diff(ys) >= 0).all()
     assert toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))[1].tolist() == [0, 0.5, 0.5, 1]
+
+
+def test_capitals_of_the_whole_text():
+    f = toxicity.Features({})
+    calm = "word " * 2000
+    late = calm[:5000] + calm[5000:].title()
+    assert f(calm) != f(late)
+    assert f(late)[11] == 1000 / len(late)
+    assert f(late.swapcase()) == f(late.swapcase()[5000:] + late.swapcase()[:5000])

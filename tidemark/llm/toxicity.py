@@ -103,7 +103,7 @@ class Features:
             near / n,
             np.log1p(near),
             upper / len(raw),
-            sum(map(str.isupper, t[:4096])) / min(chars, 4096),
+            sum(map(str.isupper, t)) / chars,
             bangs / n,
             asks / n,
             (t.count("*") + t.count("#") + t.count("@")) / n,
