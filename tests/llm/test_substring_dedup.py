@@ -39,3 +39,11 @@ def test_spans_and_empty(spark):
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in remove_repeats(df, 3).collect()}
     assert got == {1: [(1, 4)], 2: [(1, 4)], 3: []}
     assert remove_repeats(df.limit(0), 3).count() == 0
+
+
+def test_windows_that_differ_above_40_bits_only(spark):
+    # of each two, the hashes of both words agree in the low 40 bits and in the first 3: the bucket of 8
+    texts = [f"w{i} q" for i in (6445792, 7958567, 3892991, 7186519, 4007989, 8492694)] + ["r w5 q", "w5 q"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(df, 2).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 2)

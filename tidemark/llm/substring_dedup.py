@@ -8,10 +8,11 @@ whose word sequence starts at two places or more are repeats, and runs of such
 windows are the maximal exact repeats.
 
 Exchange: a batch of documents sends each bucket of the hash space the hashes of its
-distinct probes, 5 bytes each, with a bit that says whether it is a block here and one
+distinct probes, 5 bytes each (of windows, 8), with a bit that says whether it is a block here and one
 whether it occurs here again; it gets a bit for each back.  Neither a hot passage nor a
-group of copies makes pairs: a passage costs one entry a batch.  Words are compared by
-64-bit hashes of whole windows.
+group of copies makes pairs: a passage costs one entry a batch.  The 40 bits of a probe
+and its bucket only choose the windows that are sent; whether a window is a repeat is
+then told by its whole 64-bit hash.
 """
 
 from __future__ import annotations
@@ -34,18 +35,27 @@ def _distinct(h: np.ndarray):
     return np.unique(h, return_inverse=True, return_counts=True)
 
 
-def _sent(b: int, nb: int, u: np.ndarray, again: np.ndarray, block: np.ndarray) -> pa.Table:
+def _whole(h: np.ndarray) -> bytes:
+    """All 64 bits of each hash."""
+    return h.astype("<u8").tobytes()
+
+
+def _of_whole(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8")
+
+
+def _sent(b: int, nb: int, u: np.ndarray, again: np.ndarray, block: np.ndarray, packed=pack) -> pa.Table:
     rows = {k: [] for k in ("g", "n", "h", "again", "block")}
     for g, part in by_bucket(u, nb):
-        for k, v in (("g", g), ("n", len(part)), ("h", pack(u[part])), ("again", bits(again[part])), ("block", bits(block[part]))):
+        for k, v in (("g", g), ("n", len(part)), ("h", packed(u[part])), ("again", bits(again[part])), ("block", bits(block[part]))):
             rows[k].append(v)
     return pa.table([pa.array(rows["g"], pa.int32()), pa.array([b] * len(rows["g"]), pa.int32()), pa.array(rows["n"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in ("h", "again", "block")]], names=["g", "b", "n", "h", "again", "block"])
 
 
-def _matched(table: pa.Table) -> pa.Table:
+def _matched(table: pa.Table, unpacked=unpack) -> pa.Table:
     """For a bucket: which of each batch's hashes are blocks somewhere and start at two places or more."""
     ns = table.column("n").to_pylist()
-    h = np.concatenate([unpack(x) for x in table.column("h").to_pylist()])
+    h = np.concatenate([unpacked(x) for x in table.column("h").to_pylist()])
     again = np.concatenate([unbits(x, n) for x, n in zip(table.column("again").to_pylist(), ns, strict=True)])
     block = np.concatenate([unbits(x, n) for x, n in zip(table.column("block").to_pylist(), ns, strict=True)])
     u, k, count = np.unique(h, return_inverse=True, return_counts=True)
@@ -114,11 +124,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: list[str] | None = N
     def extend(t: pa.Table, hits: pa.Table) -> pa.Table:
         x = _Batch(t, window)
         u, count, *_ = x.windows(_answers(x.u, nb, hits))
-        return _sent(t.column("b")[0].as_py(), nb, u, count > 1, np.ones(len(u), bool))
+        return _sent(t.column("b")[0].as_py(), nb, u, count > 1, np.ones(len(u), bool), _whole)
 
-    hits = rows.groupBy("b").applyInArrow(probe, _SENT).groupBy("g").applyInArrow(_matched, _BACK)
+    hits = rows.groupBy("b").applyInArrow(probe, _SENT).groupBy("g").applyInArrow(lambda t: _matched(t), _BACK)
     hits = hits.persist()
-    repeats = rows.groupBy("b").cogroup(hits.groupBy("b")).applyInArrow(extend, _SENT).groupBy("g").applyInArrow(_matched, _BACK)
+    repeats = rows.groupBy("b").cogroup(hits.groupBy("b")).applyInArrow(extend, _SENT).groupBy("g").applyInArrow(lambda t: _matched(t, _of_whole), _BACK)
     both = hits.select("b", "g", "bits", F.lit(False).alias("last")).unionByName(repeats.select("b", "g", "bits", F.lit(True).alias("last")))
     out = T.StructType([*rows.select(*[f"c{i}" for i in range(len(keep))]).schema.fields, *T._parse_datatype_string("n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string").fields])
 
