@@ -83,3 +83,8 @@ def test_capitals_of_the_whole_text():
     assert f(calm) != f(late)
     assert f(late)[11] == 1000 / len(late)
     assert f(late.swapcase()) == f(late.swapcase()[5000:] + late.swapcase()[:5000])
+
+
+def test_letters_of_the_whole_text():
+    for t in ("a------" * 1000, "-aaaaaa" * 1000, "ab é1 |" * 571 + "x", "word " * 799, "word " * 801):
+        assert quality.features(t)[15] == sum(x.isalpha() for x in t) / len(t)
