@@ -1,4 +1,4 @@
-"""Benchmark decontamination by a positional inverted index, in DataFrame operations only.
+"""Benchmark decontamination by anchors on rare words, in DataFrame operations only.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z as a-z.  A window is `window`
 consecutive words of an item; an item of fewer, but not none, is one window.
@@ -6,11 +6,12 @@ consecutive words of an item; an item of fewer, but not none, is one window.
 1. The corpus frequency of every word of the benchmark is counted.
 2. Each window is probed by its rarest word: neighbouring windows mostly share it, so an
    item has a few anchors.  A window with a word that the corpus lacks occurs nowhere.
-3. Postings of the anchors' words are stored: row, position, and the words around.
-4. Postings meet anchors on the word, positions adjusted to each other, and the words on
-   both sides are intersected in order: the run of equal words that holds the anchor is
-   an exact phrase if it is as long as a window.  Matches in any order are proximity
-   matches.
+3. Postings of the anchors' words are made in the same plan: row, position, and the words
+   around.  They are not stored, and no posting lists of several words are intersected.
+4. Postings meet anchors on the word, and the context that both carry (window - 1 words on
+   either side) is compared from the anchor outwards: the run of equal words that holds the
+   anchor is an exact phrase if it is as long as a window.  Matches in any order are
+   proximity matches.
 
 Every window holds its anchor, so no occurrence is lost; a row's hit words are the
 union of its phrases.  The text itself is never shuffled.
