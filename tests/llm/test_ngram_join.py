@@ -59,6 +59,21 @@ def test_against_brute_force(spark, monkeypatch):
         assert got == sorted(brute(ids, texts, n, num, 100))
 
 
+def test_many_size_classes(spark):
+    """Close to 1 there are hundreds of size classes; none may run into another."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    rows += [(100 + i, " ".join(f"v{k}" for k in range(i * 7 + 1))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for num in (95, 98, 99):
+        assert len(ngram_join.size_classes(20000, num, 100)[0]) > (256 if num > 97 else 100)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similarity_components(df, 3, num, 100).collect())
+        assert got == sorted(brute(*zip(*rows), 3, num, 100))
+
+
 def test_linked_sets_share_a_signature():
     rng = random.Random(12)
     for num in (80, 90):

@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: checkpoints, row batches, components.
 
 Row batches.  Text operators that exchange hashes between documents deal the rows
-once into `nb` batches of about `BATCH_BYTES` of text (`row_batches`), keep that
+once into `nb` batches of about `BATCH_BYTES` of text (`Batches`), keep that
 frame for reuse (texts zstd-compressed), and then talk to each other in packed
 binary rows: (bucket, batch, bytes).  A batch or a bucket is what one task holds in
 memory, so memory is bounded by the batch size and not by any key, source or group.
@@ -10,7 +10,6 @@ memory, so memory is bounded by the batch size and not by any key, source or gro
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -21,31 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.kept import Scratch, shared_folder
+from ..functions.kept import written as checkpointed
+
 #: Text bytes in a row batch, on average.
 BATCH_BYTES = 4 << 20
 #: Rows in one Arrow batch between the JVM and a Python worker, at most.
 ARROW_ROWS = 1000
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; one beside the warehouse if none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return jsc.getCheckpointDir().get()
-
-
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder (as a URI) below the checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,33 +57,47 @@ def frugal() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def row_batches(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
-    """(b, rid, c0, c1, ..., z) for every row of docs, dealt evenly into nb batches, and nb.
-
-    c0, c1, ... are the columns named in keep, under names that clash with none.
+class Batches:
+    """Rows as (b, rid, c0, c1, ..., z), dealt evenly into nb batches.
 
-    rid tells rows apart even if all their values are equal; z is the text as
-    zstd-compressed UTF-8 (null stays null).  The frame is persisted: lost parts are
-    computed again from the same file splits, hence with the same rid and batch.
+    c0, c1, ... are the columns asked for, under names that clash with none; rid tells rows
+    apart even if all their values are equal; z is the text as zstd-compressed UTF-8 (null
+    stays null).  The numbered rows are a written table, so that a lost task finds the same
+    rid again whatever docs came from; `rows` is that table dealt out by b and persisted
+    until release(); `again` deals it out anew, for results that are computed later.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    nb = max(shuffle_partitions(spark), math.ceil(total / BATCH_BYTES))
-    kept = docs.select(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)], F.col(f"`{text}`").alias("z"))
-    rows = kept.select(F.monotonically_increasing_id().alias("rid"), "*")
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("z", T.BinaryType())])
-
-    def squeeze(batches):
-        frugal()
-        c = zstandard.ZstdCompressor(level=1)
-        for x in batches:
-            z = pa.array([None if t is None else c.compress(t.encode("utf-8", "replace")) for t in x.column(x.num_columns - 1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*x.columns[:-1], z], names=x.schema.names)
-
-    out = rows.mapInArrow(squeeze, schema)
-    out = out.select(F.pmod(F.xxhash64("rid"), F.lit(nb)).cast("int").alias("b"), "*").repartition(nb, "b")
-    return out.persist(StorageLevel.MEMORY_AND_DISK), nb
+
+    def __init__(self, docs: DataFrame, keep: list[str], text: str = "text"):
+        spark = docs.sparkSession
+        bounded_batches(spark)
+        self.scratch = Scratch(spark, "rows")
+        kept = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)], F.col(f"`{text}`").alias("z"))
+        schema = T.StructType([*kept.schema.fields[:-1], T.StructField("size", T.LongType()), T.StructField("z", T.BinaryType())])
+
+        def squeeze(batches):
+            frugal()
+            c = zstandard.ZstdCompressor(level=1)
+            for x in batches:
+                raw = [None if t is None else t.encode("utf-8", "replace") for t in x.column(x.num_columns - 1).to_pylist()]
+                size = pa.array([0 if t is None else len(t) for t in raw], pa.int64())
+                z = pa.array([None if t is None else c.compress(t) for t in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([*x.columns[:-1], size, z], names=schema.names)
+
+        numbered = self.scratch.keep(kept.mapInArrow(squeeze, schema))
+        total = numbered.agg(F.sum("size")).first()[0] or 0
+        self.nb = max(shuffle_partitions(spark), math.ceil(total / BATCH_BYTES))
+        self.table = numbered.select(self.batch_of("rid"), *[c for c in schema.names if c != "size"])
+        self.rows = self.again().persist(StorageLevel.MEMORY_AND_DISK)
+
+    def batch_of(self, rid: str):
+        """The batch of a row, wherever its rid is at hand."""
+        return F.pmod(F.xxhash64(rid), F.lit(self.nb)).cast("int").alias("b")
+
+    def again(self) -> DataFrame:
+        return self.table.repartition(self.nb, "b")
+
+    def release(self) -> None:
+        self.rows.unpersist()
 
 
 def texts_of(table: pa.Table, column: str = "z") -> list[bytes]:
@@ -195,31 +192,48 @@ def positioned(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
     return checkpointed(own.join(F.broadcast(totals), "pid_").withColumns({k: F.col(k) + F.col(f"{k}_0") for k in sums}).drop("pid_", *[f"{k}_0" for k in sums]))
 
 
+#: Edges that one task joins at last.
+LAST_EDGES = 1 << 14
+
+
+def _joined_edges(batches):
+    """(node, root) of edges that fit into one task."""
+    frugal()
+    parts = [np.stack([x.column(0).to_numpy(), x.column(1).to_numpy()]) for x in batches if x.num_rows]
+    if parts:
+        ids, k = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        seen = Union(len(ids))
+        for a, b in k.reshape(2, -1).T.tolist():
+            seen.join(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[[seen.root(i) for i in range(len(ids))]])], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (x, y), both bigint and not null.
 
     Contraction: each node hooks to the first of itself and its neighbours in the order
     of a hash, the edges are renamed, and loops and repeats go; in that random order a
-    constant share of the nodes goes each round, on paths as on stars.  The maps are then composed from the last to the first.
-    Every round is a partial aggregation and equi-joins, cut by a checkpoint; nothing
-    but an emptiness flag reaches the driver.  Root is one node of the component, not
-    necessarily its smallest.
+    constant share of the nodes goes each round, on paths as on stars.  Rounds end when
+    LAST_EDGES or fewer are left, a bounded number that one task joins.  The maps are then
+    composed from the last to the first.  Every round is a partial aggregation and
+    equi-joins between written tables; nothing but a count reaches the driver.  Root is one
+    node of the component, not necessarily its smallest.
     """
-    e = checkpointed(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    spark = edges.sparkSession
+    scratch = Scratch(spark, "edges")
+    e = scratch.keep(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     maps: list[DataFrame] = []
-    while not e.isEmpty():
+    while e.count() > LAST_EDGES:
         both = e.select("x", "y").unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         first = F.min(F.struct(F.xxhash64("y").alias("h"), F.col("y").alias("id")))
         hook = both.groupBy(F.col("x").alias("node")).agg(first.alias("to"))
-        hook = checkpointed(hook.select("node", F.least("to", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id")))["id"].alias("root")))
+        hook = scratch.keep(hook.select("node", F.least("to", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id")))["id"].alias("root")))
         maps.append(hook)
         hx, hy = hook.toDF("x", "rx"), hook.toDF("y", "ry")
-        e = e.join(hx, "x").join(hy, "y").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).where("x <> y").distinct()
-        e = checkpointed(e)
-    if not maps:
-        return e.select(F.col("x").alias("node"), F.col("y").alias("root"))
-    out = maps[-1]
-    for m in reversed(maps[:-1]):
-        later = out.toDF("root", "last")
-        out = m.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        e = scratch.keep(e.join(hx, "x").join(hy, "y").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).where("x <> y").distinct())
+    out = e.coalesce(1).mapInArrow(_joined_edges, "node bigint, root bigint")
+    for m in reversed(maps):
+        out = m.join(out.toDF("root", "last"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    out = checkpointed(out)
+    scratch.drop()
     return out

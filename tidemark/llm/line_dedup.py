@@ -1,16 +1,24 @@
 """Removal of repeated lines by pairwise alignment.
 
-Overlapping documents are found through shared lines: each line that stands in two
-documents or more leads from every later one to its first holder, so a line of n
-documents makes n - 1 links and not n * n.  A document takes its shared lines from the
-rarest on; unless a line is gone already, it is aligned with that line's first holder by
-patience diff (lines that are unique in both, their longest increasing sequence, and again
-between them).  Common blocks of enough bytes are deleted from the later document.
+Overlapping documents are found through shared runs of lines: the shortest runs that start
+or end at a line and have block_bytes bytes; a line of that length is a run of its own.
+Every common block of enough bytes is covered by such runs, whatever stands around it, so
+two documents that share a block share a run.  A run that stands in two documents or more
+leads from every later one to its first holder: a run of n documents makes n - 1 links and
+not n * n, and no frequency is cut off.
+
+A document takes its shared runs from the rarest on; unless a run is gone already, the
+document is aligned with the run's first holder by patience diff (lines that are unique in
+both, their longest increasing sequence, and again between them), and common blocks of
+enough bytes are deleted from it, as the later one.  A run that the alignment leaves out,
+because it stands in another order or its lines repeat, is a block that is aligned alone.
+So what goes is what stands in any earlier document, as if all pairs had been aligned.
+
+Blank lines (no bytes but white space) take no part; one goes if its neighbours do.
 
 Lines travel as 64-bit hashes.  A batch sends each bucket of the hash space its distinct
-lines with a count and the first document here; it gets the first holder and the count of
-documents in all; then it asks the holders' batches for their lines.  The texts are dealt
-out once and never move again.
+runs with a count and the first document here; it gets the first holder and the count of
+documents in all; then it asks the holders' batches for their lines.
 """
 
 from __future__ import annotations
@@ -23,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bits, by_bucket, row_batches, sorted_batch, texts_of, unbits
-from .tokens import lines
+from .common import Batches, Scratch, bits, by_bucket, positioned, sorted_batch, texts_of, unbits
+from .tokens import SPACES, lines, run_hashes
 
 #: Least bytes of a common block that is deleted.
 BLOCK_BYTES = 40
@@ -101,22 +109,26 @@ def _of(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
-class _Lines:
-    """The lines of a batch, flattened; blank ones (no bytes but spaces) lead nowhere."""
+class _Runs:
+    """The lines of a batch that are not blank, flattened, and their runs."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, least: int):
         self.table = sorted_batch(table)
-        self.rid = self.table.column("rid").to_numpy()
-        self.place = self.table.column("place").to_numpy()
-        hs = [np.frombuffer(x, np.uint64) for x in self.table.column("h").to_pylist()]
-        self.size = [np.frombuffer(x, np.int32) for x in self.table.column("size").to_pylist()]
-        self.hs, n = hs, [len(x) for x in hs]
-        self.doc = np.repeat(np.arange(len(hs)), n)
-        self.h = np.concatenate([np.zeros(0, np.uint64), *hs])
-        text = np.concatenate([np.zeros(0, np.int32), *self.size]) > 0
-        self.line = np.concatenate([np.zeros(0, np.int64), *[np.arange(k) for k in n]])[text]
-        self.doc, flat = self.doc[text], self.h[text]
-        self.u, self.k = (x.reshape(-1) for x in np.unique(flat, return_inverse=True))
+        self.rid, self.place = self.table.column("rid").to_numpy(), self.table.column("place").to_numpy()
+        self.hs, self.size, self.at = ([np.frombuffer(x, t) for x in self.table.column(c).to_pylist()] for c, t in (("h", np.uint64), ("size", np.int32), ("at", np.int32)))
+        n = [len(x) for x in self.hs]
+        self.begin = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        doc = np.repeat(np.arange(len(n)), n)
+        h, size = np.concatenate([np.zeros(0, np.uint64), *self.hs]), np.concatenate([np.zeros(0, np.int64), *self.size])
+        upto, k = np.concatenate([[0], np.cumsum(size)]), np.arange(len(h))
+        to, since = np.searchsorted(upto, upto[:-1] + least), np.searchsorted(upto, upto[1:] - least, side="right") - 1
+        ahead, back = to <= len(h), since >= 0
+        ahead[ahead] = doc[to[ahead] - 1] == doc[ahead]
+        back[back] = doc[since[back]] == doc[back]
+        span = np.unique(np.concatenate([k[ahead] * (len(h) + 1) + to[ahead], since[back] * (len(h) + 1) + k[back] + 1]))
+        self.lo, self.hi = span // (len(h) + 1), span % (len(h) + 1)
+        self.doc = doc[self.lo]
+        self.u, self.k = (x.reshape(-1) for x in np.unique(run_hashes(h, self.lo, self.hi), return_inverse=True))
 
     def send(self, b: int, nb: int) -> pa.Table:
         pair = np.unique(np.stack([self.k, self.doc], axis=1), axis=0) if len(self.k) else np.zeros((0, 2), np.int64)
@@ -127,7 +139,7 @@ class _Lines:
         return _rows(rows, _SENT)
 
     def links(self, nb: int, back: dict):
-        """Per document its (df, line, holder's batch, holder) in that order, holders other than itself only."""
+        """Per document its (run, holder's batch, holder), the rarest first, for holders other than itself."""
         df, hb, hrid = (np.zeros(len(self.u), np.int64) for _ in range(3))
         for g, p in by_bucket(self.u, nb):
             if g in back:
@@ -135,8 +147,17 @@ class _Lines:
                 df[shared], hb[shared], hrid[shared] = (_of(x) for x in back[g][1:])
         d, at, r = df[self.k], hb[self.k], hrid[self.k]
         some = np.flatnonzero((d > 1) & (r != self.rid[self.doc]))
-        some = some[np.lexsort((self.line[some], d[some], self.doc[some]))]
-        return self.doc[some], self.line[some], at[some], r[some]
+        some = some[np.lexsort((self.lo[some], d[some], self.doc[some]))]
+        return some, at[some], r[some]
+
+
+def with_blanks(gone: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Flags of all n lines from those of the lines at `at`: a blank line goes if those before and behind it do."""
+    padded = np.concatenate([[True], gone, [True]])
+    next = np.searchsorted(at, np.arange(n))
+    out = padded[next] & padded[next + 1]
+    out[at] = gone
+    return out
 
 
 def _rows(rows: list, schema: str) -> pa.Table:
@@ -170,44 +191,55 @@ def _back(t: pa.Table) -> dict:
     return {g: x for g, *x in zip(*(t.column(c).to_pylist() for c in ("g", "shared", "df", "hb", "hrid")), strict=True)}
 
 
+def _places(batches: Batches, own: str) -> DataFrame:
+    """batches' rows with place, the order of their ids: whole numbers as they are, other kinds by rank."""
+    if batches.rows.schema[own].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return batches.rows.withColumn("place", F.col(own).cast("bigint"))
+    ranked = positioned(batches.table.where(F.col(own).isNotNull()).select("rid", F.col(own).alias("id"), F.lit(1).alias("one")), ["id", "rid"], {"place": "one"})
+    return batches.table.join(ranked.select("rid", "place"), "rid", "left")
+
+
 def remove_common_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs' columns named in keep (all but the text, if None), with, for every row:
 
     n_lines, n_removed: lines (what stands between newlines), and those deleted;
     n_partners: the earlier rows that it was aligned with; kept_text: the lines that stay.
 
-    Earlier rows are those with smaller ids (whole numbers; null last), of equal ids one of them.
-    Lines of spaces only link nothing, but blocks may hold them.  A null text has no lines
-    and stays null; an empty one has one empty line.  Copies lose all their lines to the
-    first if these have block_bytes bytes or more.  An empty table gives an empty result.
+    A line that is not blank goes if it lies in a run of such lines of block_bytes bytes or
+    more in all that stands in an earlier row too; a blank line goes if the nearest lines
+    around it that are not blank do.  Earlier rows are those with smaller ids (null last), of
+    equal ids one of them.  A null text has no lines and stays null; an empty one has one
+    empty line.  Copies lose all their lines to the first if these have block_bytes bytes or
+    more; within one row nothing is compared.  An empty table gives an empty result.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    rows, nb = row_batches(docs, [*keep, id], text)
+    batches, scratch = Batches(docs, [*keep, id], text), Scratch(docs.sparkSession, "lines")
+    nb = batches.nb
     own, cols = f"c{len(keep)}", [f"c{i}" for i in range(len(keep))]
 
-    def hashed(batches):
-        for x in batches:
+    def hashed(batch):
+        for x in batch:
             t = pa.Table.from_batches([x])
-            have = t.column("z").is_valid().to_pylist()
             texts = texts_of(t)
             h, doc, s, e, joined, _ = lines(texts)
-            size = (e - s).astype(np.int32)
-            for k in np.flatnonzero((size > 0) & (size < 9)):  # short lines may be blank
-                if not joined[s[k] : e[k]].strip():
-                    size[k] = 0
-            cut = np.searchsorted(doc, np.arange(1, len(texts)))
-            hs = [p.tobytes() if ok else b"" for p, ok in zip(np.split(h, cut), have, strict=True)]
-            ss = [p.tobytes() if ok else b"" for p, ok in zip(np.split(size, cut), have, strict=True)]
+            solid = np.concatenate([[0], np.cumsum(~SPACES[np.frombuffer(joined, np.uint8)])])
+            full = (solid[e] > solid[s]) & t.column("z").is_valid().to_numpy(zero_copy_only=False)[doc]
+            line = np.arange(len(h)) - np.searchsorted(doc, doc)
+            cut = np.searchsorted(doc[full], np.arange(1, len(texts)))
+            parts = [pa.array([p.tobytes() for p in np.split(v[full], cut)], pa.binary()) for v in (h, (e - s).astype(np.int32), line.astype(np.int32))]
+            n = pa.array(np.bincount(doc, minlength=len(texts)), pa.int32())
             place = pa.array([_LAST if v is None else v for v in t.column("place").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([x.column("b"), x.column("rid"), place, pa.array(hs, pa.binary()), pa.array(ss, pa.binary())], names=["b", "rid", "place", "h", "size"])
+            yield pa.RecordBatch.from_arrays([x.column("b"), x.column("rid"), place, n, *parts], names=["b", "rid", "place", "n", "h", "size", "at"])
 
-    flat = rows.select("b", "rid", F.col(own).cast("bigint").alias("place"), "z").mapInArrow(hashed, "b int, rid bigint, place bigint, h binary, size binary").repartition(nb, "b").persist()
-    back = flat.groupBy("b").applyInArrow(lambda t: _Lines(t).send(t.column("b")[0].as_py(), nb), _SENT).groupBy("g").applyInArrow(_first_holders, _BACK).persist()
+    flat = _places(batches, own).select("b", "rid", "place", "z").mapInArrow(hashed, "b int, rid bigint, place bigint, n int, h binary, size binary, at binary").repartition(nb, "b").persist()
+    sent = flat.groupBy("b").applyInArrow(lambda t: _Runs(t, block_bytes).send(t.column("b")[0].as_py(), nb), _SENT)
+    back = scratch.keep(sent.groupBy("g").applyInArrow(_first_holders, _BACK))
+    batches.release()
 
     def ask(t: pa.Table, x: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _rows([], "b int, rid bigint, asks int")
-        _, _, hb, hrid = _Lines(t).links(nb, _back(x))
+        _, hb, hrid = _Runs(t, block_bytes).links(nb, _back(x))
         want = np.unique(np.stack([hb, hrid], axis=1), axis=0)
         return _rows([(int(b), int(r), t.column("b")[0].as_py()) for b, r in want], "b int, rid bigint, asks int")
 
@@ -226,25 +258,31 @@ def remove_common_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep: l
         schema = "b int, rid bigint, partners int, gone binary"
         if not t.num_rows:
             return _rows([], schema)
-        own, other = _Lines(t), x.filter(x.column("hold").is_valid())
+        own, other = _Runs(t, block_bytes), x.filter(x.column("hold").is_valid())
         have = {r: np.frombuffer(h, np.uint64).tolist() for r, h in zip(other.column("hold").to_pylist(), other.column("h").to_pylist(), strict=True)}
-        doc, line, _, hrid = own.links(nb, _back(x.filter(x.column("hold").is_null())))
+        run, _, hrid = own.links(nb, _back(x.filter(x.column("hold").is_null())))
+        doc, lo, hi, total = own.doc[run], own.lo[run], own.hi[run], own.table.column("n").to_pylist()
         out, b = [], t.column("b")[0].as_py()
         cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]) if len(doc) else [0]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            d = int(doc[lo])
+        for first, behind in zip(cut[:-1], cut[1:], strict=True):
+            d = int(doc[first])
             h, size = own.hs[d].tolist(), own.size[d].tolist()
             gone, met = np.zeros(len(h), bool), set()
-            for k, r in zip(line[lo:hi].tolist(), hrid[lo:hi].tolist(), strict=True):
-                if not gone[k] and r not in met:
-                    met.add(r)
-                    for p, q in common_blocks(have[r], h, size, block_bytes):
-                        gone[p:q] = True
-            out.append((b, int(own.rid[d]), len(met), bits(gone)))
+            start = int(own.begin[d])
+            for p, q, r in zip((lo[first:behind] - start).tolist(), (hi[first:behind] - start).tolist(), hrid[first:behind].tolist(), strict=True):
+                if not gone[p:q].all():
+                    if r not in met:
+                        met.add(r)
+                        for i, j in common_blocks(have[r], h, size, block_bytes):
+                            gone[i:j] = True
+                    gone[p:q] = True
+            out.append((b, int(own.rid[d]), len(met), bits(with_blanks(gone, own.at[d], total[d]))))
         return _rows(out, schema)
 
-    found = flat.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(align, "b int, rid bigint, partners int, gone binary")
-    shape = T.StructType([*rows.select(*cols).schema.fields, *T._parse_datatype_string("n_lines bigint, n_removed bigint, n_partners int, kept_text string").fields])
+    found = scratch.keep(flat.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(align, "b int, rid bigint, partners int, gone binary"))
+    flat.unpersist()
+    table = batches.again()
+    shape = T.StructType([*table.select(*cols).schema.fields, *T._parse_datatype_string("n_lines bigint, n_removed bigint, n_partners int, kept_text string").fields])
 
     def cut(t: pa.Table, x: pa.Table) -> pa.Table:
         t = sorted_batch(t)
@@ -254,12 +292,12 @@ def remove_common_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep: l
             p, g = gone.get(r, (0, None))
             lost = 0
             n.append(text.count(b"\n") + 1 if ok else 0)
-            if g is not None and any(g):
+            if g is not None:
                 flags = unbits(g, n[-1])
                 lost = int(flags.sum())
                 text = b"\n".join(x for x, f in zip(text.split(b"\n"), flags.tolist(), strict=True) if not f)
             removed.append(lost), partners.append(p), kept.append(text.decode() if ok else None)
         return pa.table([*[t.column(c) for c in cols], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(partners, pa.int32()), pa.array(kept, pa.string())], names=[f.name for f in shape.fields])
 
-    out = rows.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(cut, shape)
+    out = table.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(cut, shape)
     return out.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keep)], "n_lines", "n_removed", "n_partners", "kept_text")

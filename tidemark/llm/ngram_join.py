@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Union, by_bucket, checkpointed, components, frugal, pack, row_batches, sorted_batch, texts_of, unpack
+from .common import Batches, Scratch, Union, by_bucket, checkpointed, components, frugal, pack, sorted_batch, texts_of, unpack
 from .tokens import grams, mix, words
 
 #: Sets in a tile of a large block, and in a bin of small blocks.
@@ -197,7 +197,7 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
 _LINKS = "x bigint, y bigint, root bigint, tile int, tiles int, data binary"
 
 
-def _within(num: int, den: int):
+def _within(num: int, den: int, classes: int):
     """Of a bin of small blocks or a tile of a large one: links, and for a tile one row that holds it whole."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -209,7 +209,7 @@ def _within(num: int, den: int):
         cut = np.concatenate([[0], np.flatnonzero(np.diff(root)) + 1, [len(root)]])
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             if hi - lo > 1:
-                rows += [(int(node[lo + p]) >> 8, int(node[lo + q]) >> 8, None, None, None, None) for p, q in tree_links(sets[lo:hi], None, num, den)]
+                rows += [(int(node[lo + p]) // classes, int(node[lo + q]) // classes, None, None, None, None) for p, q in tree_links(sets[lo:hi], None, num, den)]
         tiles = table.column("tiles")[0].as_py()
         if tiles > 1:
             rows.append((None, None, int(root[0]), table.column("tile")[0].as_py(), tiles, _packed(node, sets)))
@@ -220,7 +220,7 @@ def _within(num: int, den: int):
     return run
 
 
-def _between(num: int, den: int):
+def _between(num: int, den: int, classes: int):
     """Links between two tiles of a block; a tile that the hash left empty has no row."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -228,7 +228,7 @@ def _between(num: int, den: int):
         if table.num_rows < 2:
             return pa.table({c: pa.array([], pa.int64()) for c in ("x", "y")})
         (a, left), (b, right) = (_unpacked(x) for x in table.sort_by("tile").column("data").to_pylist())
-        ids = np.concatenate([a, b]) >> 8
+        ids = np.concatenate([a, b]) // classes
         links = np.array(tree_links(left, right, num, den), np.int64).reshape(-1, 2)
         return pa.table([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=["x", "y"])
 
@@ -263,46 +263,52 @@ def _candidates(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], names=["x", "y", "n"])
 
 
-def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: str, text: str):
-    """(row_batches, rid with n, component_id and whether the row stands for its component)."""
-    rows, nb = row_batches(docs, [*keep, id], text)
-    own = f"c{len(keep)}"
+def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: str, text: str) -> tuple[Batches, DataFrame]:
+    """The row batches, and of each row: rid, id, n (shingles), component_id and whether it stands for its component."""
+    spark = docs.sparkSession
+    batches, scratch = Batches(docs, [*keep, id], text), Scratch(spark, "sets")
+    rows, nb, own = batches.rows, batches.nb, f"c{len(keep)}"
 
     def sizes(t: pa.Table) -> pa.Table:
         t = sorted_batch(t)
         sets = shingle_sets(texts_of(t), n)
         fp = np.array([mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0] if len(s) else 0 for s in sets], np.uint64)
-        return pa.table([t.column("b"), t.column("rid"), t.column(own), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp.view(np.int64))], names=["b", "rid", "id", "n", "fp"])
+        return pa.table([t.column("rid"), t.column(own), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp.view(np.int64))], names=["rid", "id", "n", "fp"])
 
     kind = rows.schema[own].dataType
-    all_sizes = checkpointed(rows.groupBy("b").applyInArrow(sizes, T.StructType([*T._parse_datatype_string("b int, rid bigint").fields, T.StructField("id", kind), *T._parse_datatype_string("n bigint, fp bigint").fields])))
-    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid", "b"))
-    classes = checkpointed(all_sizes.where("n > 0").groupBy("fp", "n").agg(first.alias("r")).select("fp", "n", F.col("r.id").alias("id"), F.col("r.rid").alias("rid"), F.col("r.b").alias("b")))
-    largest = classes.agg(F.max("n")).first()[0] or 0
-    starts, differ = size_classes(largest, num, den)
+    all_sizes = scratch.keep(rows.groupBy("b").applyInArrow(sizes, T.StructType([T.StructField("rid", T.LongType()), T.StructField("id", kind), *T._parse_datatype_string("n bigint, fp bigint").fields])))
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid"))
+    classes = scratch.keep(all_sizes.where("n > 0").groupBy("fp", "n").agg(first.alias("r")).select("fp", "n", F.col("r.id").alias("id"), F.col("r.rid").alias("rid")))
+    largest, last = classes.agg(F.max("n"), F.max("rid")).first()
+    starts, differ = size_classes(largest or 0, num, den)
+    k = len(starts)  # a node is a row in a size class: rid * k + class
+    if ((last or 0) + 1) * k >= 1 << 63:
+        raise ValueError(f"{k} size classes leave too few bits for the rows' numbers")
 
     def signed(t: pa.Table, reps: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("g", "n", "h", "ids")}
+        out = {c: [] for c in ("g", "n", "h", "ids")}
         if reps.num_rows:
             t = t.filter(pa.array(np.isin(t.column("rid").to_numpy(), reps.column("rid").to_numpy())))
             t = sorted_batch(t)
             hs, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for rid, s in zip(t.column("rid").to_pylist(), shingle_sets(texts_of(t), n), strict=True):
-                for k, x in signatures(s, starts, differ):
+                for c, x in signatures(s, starts, differ):
                     hs.append(x)
-                    ids.append(np.full(len(x), (rid << 8) + k, np.int64))  # a node: the row in a size class
+                    ids.append(np.full(len(x), rid * k + c, np.int64))
             h, who = np.concatenate(hs), np.concatenate(ids)
             for g, part in by_bucket(h, nb):
-                for k, v in (("g", g), ("n", len(part)), ("h", pack(h[part])), ("ids", who[part].view(np.uint8).reshape(-1, 8).T.tobytes())):
-                    out[k].append(v)
+                for c, v in (("g", g), ("n", len(part)), ("h", pack(h[part])), ("ids", who[part].view(np.uint8).reshape(-1, 8).T.tobytes())):
+                    out[c].append(v)
         return pa.table([pa.array(out["g"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["h"], pa.binary()), pa.array(out["ids"], pa.binary())], names=["g", "n", "h", "ids"])
 
-    near = rows.groupBy("b").cogroup(classes.select("b", "rid").groupBy("b")).applyInArrow(signed, "g int, n int, h binary, ids binary").groupBy("g").applyInArrow(_candidates, "x bigint, y bigint, n bigint")
-    asked = F.element_at(F.array(*[F.lit(ranges_of(int(d))[1]) for d in differ]), (F.col("x") % 256 + 1).cast("int"))
+    reps = classes.select(batches.batch_of("rid"), "rid")
+    near = rows.groupBy("b").cogroup(reps.groupBy("b")).applyInArrow(signed, "g int, n int, h binary, ids binary").groupBy("g").applyInArrow(_candidates, "x bigint, y bigint, n bigint")
+    asked = F.element_at(F.array(*[F.lit(ranges_of(int(d))[1]) for d in differ]), (F.col("x") % k + 1).cast("int"))
     near = near.groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= asked).select("x", "y")
-    blocks = checkpointed(components(near))
-    tiles = checkpointed(blocks.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))  # cut here, a hot root's side of the join can be split
-    nodes = blocks.join(tiles, "root").withColumn("rid", F.shiftright("node", 8)).join(classes.select("rid", "b"), "rid")
+    blocks = components(near)
+    large = scratch.keep(blocks.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > TILE).select("root", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+    nodes = blocks.join(large, "root", "left").select("root", "node", F.coalesce("tiles", F.lit(1)).alias("tiles"), F.expr(f"node div {k}L").alias("rid"))
+    nodes = nodes.select("root", "node", "tiles", "rid", batches.batch_of("rid"))
 
     def sent(t: pa.Table, own: pa.Table) -> pa.Table:
         t = sorted_batch(t.filter(pa.array(np.isin(t.column("rid").to_numpy(), own.column("rid").to_numpy()))))
@@ -311,21 +317,26 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
         return pa.table([own.column("root"), own.column("node"), own.column("tiles"), s], names=["root", "node", "tiles", "s"])
 
     sets = rows.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(sent, "root bigint, node bigint, tiles int, s binary")
-    large = F.col("tiles") > 1
-    k = F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * nb))))
-    sets = sets.select("root", "node", "tiles", "s", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), k.alias("k"), large.alias("large"))
-    found = sets.groupBy("large", "k", "tile").applyInArrow(_within(num, den), _LINKS).persist()
+    tiled = F.col("tiles") > 1
+    bin = F.when(tiled, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * nb))))
+    sets = sets.select("root", "node", "tiles", "s", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), bin.alias("k"), tiled.alias("large"))
+    found = scratch.keep(sets.groupBy("large", "k", "tile").applyInArrow(_within(num, den, k), _LINKS))
     other = F.col("other")
     pairs = found.where("data is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
     pairs = pairs.select("root", F.least("tile", other).alias("i"), F.greatest("tile", other).alias("j"), "tile", "data")
-    far = pairs.groupBy("root", "i", "j").applyInArrow(_between(num, den), "x bigint, y bigint")
-    links = found.where("data is null").select("x", "y").unionByName(far)
-    joined = components(links).toDF("rid", "root")
-    member = checkpointed(classes.join(joined, "rid", "left").select("fp", "n", "id", "rid", F.coalesce("root", "rid").alias("root")))
-    tops = checkpointed(member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("r")))
-    member = member.join(tops, "root").select("fp", "n", F.col("r.id").alias("component_id"), F.col("r.rid").alias("first"))
-    out = all_sizes.join(member, ["fp", "n"], "left")
-    return rows, out.select("rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), ((F.col("n") == 0) | (F.col("rid") == F.col("first"))).alias("stands"))
+    far = pairs.groupBy("root", "i", "j").applyInArrow(_between(num, den, k), "x bigint, y bigint")
+    joined = components(found.where("data is null").select("x", "y").unionByName(far)).toDF("rid", "root")
+    batches.release()
+    linked = scratch.keep(joined.join(classes, "rid"))
+    tops = scratch.keep(linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("r")))  # cut here, a hot root's side of the join can be split
+    linked = linked.join(tops, "root").select("fp", "n", F.col("r.id").alias("top"), F.col("r.rid").alias("stand"))
+    of = classes.select("fp", "n", F.col("id").alias("own"), F.col("rid").alias("one")).join(linked, ["fp", "n"], "left")
+    of = of.select("fp", "n", F.when(F.col("stand").isNull(), F.col("own")).otherwise(F.col("top")).alias("component_id"), F.coalesce("stand", "one").alias("stand"))
+    out = all_sizes.join(of, ["fp", "n"], "left")
+    none = F.col("n") == 0
+    out = checkpointed(out.select("rid", "id", "n", F.when(none, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), (none | (F.col("rid") == F.col("stand"))).alias("stands")))
+    scratch.drop()
+    return batches, out
 
 
 def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,15 +350,16 @@ def similarity_components(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     their component is their own id, and each of them stands.  Rows with equal ids are
     different rows.  An empty table gives an empty result.
     """
-    _, out = _joined(docs.select(id, text), n, num, den, [id], id, text)
-    return _.select("rid", F.col("c0").alias(id)).join(out, "rid").select(id, "n_shingles", "component_id", "stands")
+    batches, out = _joined(docs.select(id, text), n, num, den, [], id, text)
+    batches.scratch.drop()
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", "stands")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stand for their component, with docs' columns as they were."""
     keep = [c for c in docs.columns if c != text]
-    rows, out = _joined(docs, n, num, den, keep, id, text)
-    rest = rows.join(out.where("stands").select("rid"), "rid").select(*[f"c{i}" for i in range(len(keep))], "z")
+    batches, out = _joined(docs, n, num, den, keep, id, text)
+    rest = batches.table.join(out.where("stands").select("rid"), "rid", "left_semi").select(*[f"c{i}" for i in range(len(keep))], "z")
     schema = T.StructType([*rest.schema.fields[:-1], T.StructField("z", T.StringType())])
 
     def read(batches):

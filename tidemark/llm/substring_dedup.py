@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tokens import grams, words
-from .common import bits, by_bucket, pack, row_batches, sorted_batch, texts_of, unbits, unpack
+from .common import Batches, Scratch, bits, by_bucket, pack, sorted_batch, texts_of, unbits, unpack
 
 _SENT = "g int, b int, n int, h binary, again binary, block binary"
 _BACK = "b int, g int, bits binary"
@@ -115,7 +115,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: list[str] | None = N
     table gives an empty result.  Other columns may have any names and nulls.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    rows, nb = row_batches(docs, keep, text)
+    batches, scratch = Batches(docs, keep, text), Scratch(docs.sparkSession, "repeats")
+    rows, nb = batches.rows, batches.nb
 
     def probe(t: pa.Table) -> pa.Table:
         x = _Batch(t, window)
@@ -126,9 +127,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: list[str] | None = N
         u, count, *_ = x.windows(_answers(x.u, nb, hits))
         return _sent(t.column("b")[0].as_py(), nb, u, count > 1, np.ones(len(u), bool), _whole)
 
-    hits = rows.groupBy("b").applyInArrow(probe, _SENT).groupBy("g").applyInArrow(lambda t: _matched(t), _BACK)
-    hits = hits.persist()
-    repeats = rows.groupBy("b").cogroup(hits.groupBy("b")).applyInArrow(extend, _SENT).groupBy("g").applyInArrow(lambda t: _matched(t, _of_whole), _BACK)
+    hits = scratch.keep(rows.groupBy("b").applyInArrow(probe, _SENT).groupBy("g").applyInArrow(lambda t: _matched(t), _BACK))
+    repeats = scratch.keep(rows.groupBy("b").cogroup(hits.groupBy("b")).applyInArrow(extend, _SENT).groupBy("g").applyInArrow(lambda t: _matched(t, _of_whole), _BACK))
+    batches.release()
     both = hits.select("b", "g", "bits", F.lit(False).alias("last")).unionByName(repeats.select("b", "g", "bits", F.lit(True).alias("last")))
     out = T.StructType([*rows.select(*[f"c{i}" for i in range(len(keep))]).schema.fields, *T._parse_datatype_string("n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_text string").fields])
 
@@ -158,5 +159,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, keep: list[str] | None = N
         cols += [pa.array(np.diff(x.first), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())]
         return pa.table(cols, names=[f.name for f in out.fields])
 
-    done = rows.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(cut, out)
+    done = batches.again().groupBy("b").cogroup(both.groupBy("b")).applyInArrow(cut, out)
     return done.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keep)], "n_words", "n_removed", "spans", "kept_text")

@@ -54,6 +54,14 @@ def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.nd
     return mix((acc[ends] - acc[starts]) * down[starts])
 
 
+def run_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of items lo (first) to hi (behind the last), whose own hashes are h."""
+    up, down = _table(len(h) + 1)
+    acc = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h) * up[: len(h)], out=acc[1:])
+    return mix((acc[hi] - acc[lo]) * down[lo])
+
+
 def words(texts: list[bytes], spaces: np.ndarray = SPACES, fold: bool = False):
     """(hashes, doc of each word, starts, ends in the joined buffer, buffer, start of each text in it).
 
