@@ -6,16 +6,20 @@ from tidemark.llm import embedding_dedup
 from tidemark.llm.embedding_dedup import near_vectors, tile_links
 
 
-def test_bounds_lose_no_pair():
+def found(x, y, threshold):
+    return [(a, b) for i, j in tile_links(x, y, threshold) for a, b in zip(i.tolist(), j.tolist())]
+
+
+def test_bounds_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "STEP", 33)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(20, 64))
     x = np.repeat(base, 8, axis=0) + rng.normal(size=(160, 64)) * 0.2
     cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
     for threshold in (0.9, 0.96, 0.98):
-        i, j = tile_links(x, None, threshold)
-        assert set(zip(i, j)) == set(zip(*np.nonzero(np.triu(cos >= threshold, 1))))
-        i, j = tile_links(x[:70], x[70:], threshold)
-        assert set(zip(i, j + 70)) == {(a, b) for a, b in zip(*np.nonzero(cos >= threshold)) if a < 70 <= b}
+        own, far = found(x, None, threshold), found(x[:70], x[70:], threshold)
+        assert len(own) == len(set(own)) and set(own) == set(zip(*np.nonzero(np.triu(cos >= threshold, 1))))
+        assert {(a, b + 70) for a, b in far} == {(a, b) for a, b in zip(*np.nonzero(cos >= threshold)) if a < 70 <= b}
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -54,3 +58,9 @@ def test_against_brute_force(spark, monkeypatch):
     want = sorted((r[0] is None, r[0] or 0, n[i], least.get(root(i)), r[0] is not None and r[0] == least[root(i)]) for i, r in enumerate(rows))
     assert got == want
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_whose_squares_leave_the_range(spark):
+    rows = [(1, [1e200, 0.0], 0), (2, [1e200, 0.0], 0), (3, [1e-200, 1e-204], 0), (4, [5e-324, 0.0], 0), (5, [0.0, 1.7e308], 0), (6, [0.0, 1.0], 0), (7, [1.0, 1e-3], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (1, 5), 6: (1, 5), 7: (4, 1)}
