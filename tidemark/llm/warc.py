@@ -220,6 +220,7 @@ def normalise(manifest: DataFrame, folder: str, min_bytes: int = 0, level: int =
     tops = manifest.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(first, F.count("*").alias("copies")).where("copies > 1")
     tops = tops.select("digest", "bytes", F.col("r.record").alias("of"))
     found = manifest.join(tops, ["digest", "bytes"], "left").select("archive", "record", F.when(F.col("of") != F.col("record"), F.col("of")).alias("of"))
+    found = found.repartition(max(1, manifest.select("archive").distinct().count()), "archive")  # a manifest is small, its archives are not: one task or so for each
 
     def run(key, t):
         t = t.filter(t.column("of").is_valid())
@@ -258,7 +259,7 @@ def read_archives(archives: DataFrame, kind: T.DataType) -> DataFrame:
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
-    out = archives.select("archive").mapInArrow(read, "id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
+    out = archives.select("archive").repartition(max(1, archives.count())).mapInArrow(read, "id string, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
     return out.withColumns({c: F.col(c).cast(kind) for c in ("id", "refers_to")})
 
 
