@@ -50,7 +50,7 @@ def case(rng):
 
 def test_against_brute_force(spark, monkeypatch):
     for seed, broadcast in ((1, 10**6), (2, 0)):
-        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", broadcast)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
         docs, items = case(random.Random(seed))
         d = spark.createDataFrame([(*x, "k") for x in docs], "doc_id long, text string, words string").repartition(3)
         b = spark.createDataFrame(items, "item_id long, text string")

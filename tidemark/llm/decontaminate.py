@@ -14,7 +14,10 @@ consecutive words of an item; an item of fewer, but not none, is one window.
    proximity matches.
 
 Every window holds its anchor, so no occurrence is lost; a row's hit words are the
-union of its phrases.  The text itself is never shuffled.
+union of its phrases.  While the anchors are few bytes, which is counted, they are broadcast
+and no text is shuffled.  Beyond that postings go to the anchors' words as (row, position)
+only; the places found go back to their texts, which are shuffled once, and what meets the
+anchors then is the words around a place.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z belong to words, as they count as a-z; letters are folded where words meet.  Written
 #: out one by one, letters and digits become one bit table, which is some thirty times as fast as ranges.
 WORD = "[0123456789" + _UPPER + _LOWER + r"\x80-\x{10FFFF}]+"
-#: Benchmark words up to which the benchmark's side is broadcast; beyond, it is shuffled.
-BROADCAST_WORDS = 200_000
+#: Bytes of benchmark words, and of anchors with the words around them, up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text) -> Column:
@@ -52,25 +55,55 @@ def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), words_of(F.col(text)).alias("words"))
 
 
-def anchors(docs: DataFrame, benchmark: DataFrame, window: int, item: str, item_text: str, id: str, text: str) -> tuple[DataFrame, bool]:
-    """(key, around: array of item, width, word and the words before (nearest first) and behind), and whether it may be broadcast."""
+def _small(df: DataFrame, text: Column, words: Column) -> bool:
+    """Whether rows that hold so many words, `text` in all, may be broadcast."""
+    return (df.agg(F.sum(F.octet_length(text) + 24 * words + 100)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def anchors(docs: DataFrame, benchmark: DataFrame, window: int, item: str, item_text: str, text: str) -> DataFrame:
+    """(key, a): for each anchor its word in lower case, and item, width, word and the words before (nearest first) and behind."""
     items = benchmark.select(F.col(item).alias("item"), F.monotonically_increasing_id().alias("at"), folded(F.col(item_text)).alias("t")).select("item", "at", words_of(F.col("t")).alias("words"))
-    places = checkpointed(items.select("item", "at", F.size("words").alias("length"), F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word")))
+    items = checkpointed(items)
+    places = items.select("item", "at", F.size("words").alias("length"), F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word"))
     keys = checkpointed(places.select("key").distinct())
-    small = keys.count() <= BROADCAST_WORDS and places.count() <= 20 * BROADCAST_WORDS
-    side = F.broadcast(keys) if small else keys
-    terms = docs.select(F.explode_outer(words_of(F.col(text))).alias("w")).select(F.lower("w").alias("key")).join(side, "key")
-    counts = checkpointed(terms.groupBy("key").agg(F.count("*").alias("n")))
+    terms = docs.select(F.explode_outer(words_of(F.col(text))).alias("w")).select(F.lower("w").alias("key"))
+    if _small(keys, F.col("key"), F.lit(1)):
+        terms = terms.join(F.broadcast(keys), "key")
+    counts = terms.groupBy("key").agg(F.count("*").alias("n"))  # beyond that, words are counted in each partition first
+    counts = checkpointed(counts.join(keys, "key", "left_semi"))
     places = places.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     width = F.least("length", F.lit(window))
     begun = W.partitionBy("at").orderBy("pos").rowsBetween(0, window - 1)
     rare = places.withColumn("best", F.min(F.struct("n", "pos")).over(begun)).where(F.col("pos") + width <= F.col("length"))
     rare = rare.where("best.n > 0").select("at", F.col("best.pos").alias("pos")).distinct()
     words = F.col("words")
-    before = F.reverse(F.slice(words, F.greatest(F.col("pos") - window + 2, F.lit(1)), F.least(F.col("pos"), F.lit(window - 1))))
-    behind = F.slice(words, F.col("pos") + 2, F.lit(window - 1))
+    before, behind = _around(words, F.col("pos"), window)
     found = rare.join(items, "at").select(words[F.col("pos")].alias("word"), F.struct("item", F.least(F.size(words), F.lit(window)).alias("width"), words[F.col("pos")].alias("word"), before.alias("before"), behind.alias("behind")).alias("a"))
-    return checkpointed(found.groupBy(F.lower("word").alias("key")).agg(F.collect_list("a").alias("around"))), small
+    return checkpointed(found.select(F.lower("word").alias("key"), "a"))
+
+
+def _around(words: Column, pos: Column, window: int) -> tuple[Column, Column]:
+    """The words before a place, nearest first, and behind it."""
+    return F.reverse(F.slice(words, F.greatest(pos - window + 2, F.lit(1)), F.least(pos, F.lit(window - 1)))), F.slice(words, pos + 2, F.lit(window - 1))
+
+
+def _met(docs: DataFrame, found: DataFrame, window: int, id: str, text: str) -> DataFrame:
+    """(id, mark, pos, word, before, behind, a) for every place of docs that holds an anchor's word."""
+    w, pos = F.col("words"), F.col("pos")
+    before, behind = (F.transform(c, folded) for c in _around(w, pos, window))
+    own = [F.col("id"), F.col("mark"), pos, folded(F.col("word")).alias("word"), before.alias("before"), behind.alias("behind")]
+    its = F.col("a")
+    if _small(found, F.concat_ws("", its["before"], its["behind"], its["word"]), F.size(its["before"]) + F.size(its["behind"]) + 1):
+        side = F.broadcast(found.groupBy("key").agg(F.collect_list("a").alias("around")))
+        posted = _rows(docs, id, text).select("id", "mark", "words", F.posexplode_outer("words").alias("pos", "word"))  # outer: no filter is inferred that would make the words twice
+        posted = posted.withColumn("key", F.lower("word")).join(side, "key").select(*own, "around")
+        return posted.withColumn("a", F.explode("around")).drop("around")
+    posted = _rows(docs, id, text).select("id", "mark", F.posexplode("words").alias("pos", "word")).select("id", "mark", "pos", F.lower("word").alias("key"))
+    places = posted.join(found.select("key").distinct(), "key", "left_semi").groupBy("id", "mark").agg(F.collect_set("pos").alias("at"))
+    texts = docs.select(F.col(id).alias("i"), F.xxhash64(text).alias("m"), F.col(text).alias("t")).dropDuplicates(["i", "m"])
+    both = places.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("id", "mark", "at", words_of(F.col("t")).alias("words"))
+    both = both.select("id", "mark", "words", F.explode("at").alias("pos")).withColumn("word", w[pos])
+    return both.select(*own, F.lower("word").alias("key")).join(found, "key").drop("key")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, near: float | None = None, item: str = "item_id", item_text: str = "text", id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,17 +114,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, near: float
     share, proximity matches come too (phrase false): the words around a rare word hold
     at least that share of the distinct words of the item's neighbourhood, in any order.
     """
-    around, small = anchors(docs, benchmark, window, item, item_text, id, text)
-    side = F.broadcast(around) if small else around
-    w = F.col("words")
-    posted = _rows(docs, id, text).select("id", "mark", "words", F.posexplode_outer("words").alias("pos", "word"))  # outer: no filter is inferred that would make the words twice
-    posted = posted.withColumn("key", F.lower("word")).join(side, "key")
     pos = F.col("pos")
-    before = F.reverse(F.slice(w, F.greatest(pos - window + 2, F.lit(1)), F.least(pos, F.lit(window - 1))))
-    behind = F.slice(w, pos + 2, F.lit(window - 1))
-    fold = lambda c: F.transform(c, folded)
-    posted = posted.select("id", "mark", "pos", folded(F.col("word")).alias("word"), fold(before).alias("before"), fold(behind).alias("behind"), "around")
-    found = posted.select("id", "mark", "pos", "word", "before", "behind", F.explode("around").alias("a")).where("word = a.word")
+    found = _met(docs, anchors(docs, benchmark, window, item, item_text, text), window, id, text).where("word = a.word")
     left, right = _equal_run(F.col("before"), F.col("a.before")), _equal_run(F.col("behind"), F.col("a.behind"))
     found = found.withColumn("l", left).withColumn("r", right)
     phrase = F.col("l") + 1 + F.col("r") >= F.col("a.width")
