@@ -88,3 +88,24 @@ def test_capitals_of_the_whole_text():
 def test_letters_of_the_whole_text():
     for t in ("a------" * 1000, "-aaaaaa" * 1000, "ab é1 |" * 571 + "x", "word " * 799, "word " * 801):
         assert quality.features(t)[15] == sum(x.isalpha() for x in t) / len(t)
+
+
+def test_samples_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.classify import smallest
+
+    rows = spark.range(50_000).select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert smallest(rows, "id", 3, 100, "text").count() == 100
+    same = rows.withColumn("text", F.lit("one text"))
+    assert smallest(same, "id", 3, 100, "text").count() == 1
+    got = smallest(rows.withColumn("id", F.col("text").substr(6, 9).cast("long")), "id", 3, 100, "text")
+    assert got.count() == 100 and sorted(got.columns) == ["id", "text"]
+
+
+def test_marked_counts_all_characters():
+    from tidemark.llm.classify import marked
+
+    for t in ("", "Ab É 𝐀b 𐐀 \ud800", "ÀÉ" * 999):
+        for test in (str.isupper, str.isalpha):
+            assert marked(test)(t) == sum(map(test, t))

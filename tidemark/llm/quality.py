@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classify import feature_rows, fold, scored, smallest, training_labels
+from .classify import feature_rows, fold, marked, scored, smallest, training_labels
 
 #: Bounds of the fit's samples of labelled positives and of unlabelled rows.
 POSITIVES, UNLABELLED = 8000, 8000
@@ -37,7 +37,7 @@ def features(t: str) -> list[float]:
         return [0.0] * _WIDTH
     counts = Counter(w)
     chars = len(t)
-    letters = sum(map(str.isalpha, t))
+    letters = marked(str.isalpha)(t)
     upper = sum(map(str.isupper, w))
     repeats = sum(a == b for a, b in zip(w, w[1:]))
     thirds = list(zip(w, w[1:], w[2:]))
@@ -137,11 +137,15 @@ def fit(p: np.ndarray, u: np.ndarray, hidden: int = 12, steps: int = 400, rate:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 11) -> QualityModel:
-    """Fit on at most so many labelled positives of the training folds and unlabelled rows (more if ids repeat)."""
+    """Fit on at most so many labelled positives of the training folds and so many unlabelled rows.
+
+    Rows with equal ids and texts count once.
+    """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     trusted = smallest(training_labels(labels, id, label, 1), id, seed, positives).select(F.col(id).alias("id"))
-    p = feature_rows(rows.join(F.broadcast(trusted), "id", "left_semi"), "text", features, []).collect()
-    u = feature_rows(smallest(rows, "id", seed + 1, unlabelled), "text", features, []).collect()
+    trusted = smallest(rows.join(F.broadcast(trusted), "id", "left_semi"), "id", seed, positives, "text")
+    p = feature_rows(trusted, "text", features, []).collect()
+    u = feature_rows(smallest(rows, "id", seed + 1, unlabelled, "text"), "text", features, []).collect()
     return fit(*(np.array([r.x for r in x], float).reshape(len(x), _WIDTH) for x in (p, u)))
 
 

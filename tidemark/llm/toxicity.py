@@ -12,14 +12,14 @@ not seen, by pooling adjacent violators.
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classify import feature_rows, fold, scored, smallest, training_labels
+from .classify import feature_rows, fold, marked, scored, smallest, training_labels
 from .common import checkpointed
 
 #: Bounds of the fit's sample: labelled rows of each class in the training folds.
@@ -33,7 +33,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "_": "", "-": "", "+": "t"})
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"\S*[^\W\d_][@$*!+_.\-0-9]+[^\W\d_]\S*")
+_DISGUISED = re.compile(r"[^\W\d_][@$*!+_.\-0-9]+[^\W\d_]")
 _APART = re.compile(r"\b(?:[^\W\d_][ .\-*_]){3,}[^\W\d_]\b")
 _PREFIXES = (4, 5, 6)
 _WIDTH = 20
@@ -54,28 +54,37 @@ def words_of(t: str) -> list[str]:
     return _WORD.findall(t.lower())
 
 
-@dataclass
+class Strengths(dict):
+    """Words and the largest log-odds of their terms, remembered."""
+
+    def __init__(self, lexicon: dict):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = s = max((self.lexicon.get(x, 0.0) for x in terms(word)), default=0.0)
+        return s
+
+
 class Features:
     """Turns a text into numbers, given the log-odds of lexicon terms."""
 
-    lexicon: dict
-    known: dict = field(default_factory=dict)
-
-    def strength(self, word: str) -> float:
-        s = self.known.get(word)
-        if s is None:
-            s = max((self.lexicon.get(x, 0.0) for x in terms(word)), default=0.0)
-            if len(self.known) > 500_000:
-                self.known.clear()
-            self.known[word] = s
-        return s
+    def __init__(self, lexicon: dict):
+        self.lexicon, self.known = lexicon, Strengths(lexicon)
+
+    def __reduce__(self):
+        return Features, (self.lexicon,)
 
     def __call__(self, t: str) -> list[float]:
-        w = words_of(t)
+        low = t.lower()
+        w = _WORD.findall(low)
         n = len(w)
         if not n:
             return [0.0] * _WIDTH
-        s = [self.strength(x) for x in w]
+        strength = self.known.__getitem__
+        s = list(map(strength, w))
         hits = [i for i, x in enumerate(s) if x > 0]
         strong = sum(x > 3 for x in s)
         second = [i for i, x in enumerate(w) if x in SECOND_PERSON]
@@ -84,10 +93,10 @@ class Features:
             at = np.searchsorted(second, hits)
             gaps = [min([abs(second[k] - h) for k in (a - 1, a) if 0 <= k < len(second)]) for a, h in zip(at, hits)]
             near = sum(g <= 5 for g in gaps)
-        disguised = _DISGUISED.findall(t.lower())
-        apart = _APART.findall(t.lower())
+        disguised = [x for x in low.split() if not x.isalpha() and _DISGUISED.search(x)]
+        apart = _APART.findall(low)
         undone = [_WORD.findall(x.translate(LEET)) for x in disguised] + [["".join(_WORD.findall(x))] for x in apart]
-        veiled = max((self.strength(y) for x in undone for y in x), default=0.0)
+        veiled = max((strength(y) for x in undone for y in x), default=0.0)
         chars, raw = len(t), t.split()
         upper = sum(map(str.isupper, raw))
         bangs, asks = t.count("!"), t.count("?")
@@ -103,7 +112,7 @@ class Features:
             near / n,
             np.log1p(near),
             upper / len(raw),
-            sum(map(str.isupper, t)) / chars,
+            marked(str.isupper)(t) / chars,
             bangs / n,
             asks / n,
             (t.count("*") + t.count("#") + t.count("@")) / n,
@@ -231,7 +240,7 @@ class ToxicityModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows_of_a_class: int = ROWS_OF_A_CLASS, seed: int = 13) -> ToxicityModel:
-    """Fit on at most so many rows of each class of the training folds (more if ids repeat).
+    """Fit on at most so many rows of each class of the training folds; rows with equal ids and texts count once.
 
     Trees are fitted on three of the four folds and calibrated on the other; rows are weighted
     so that both classes count as they do among all labelled rows of the training folds.
@@ -241,6 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     parts = [smallest(marked.where(F.col("y") == y), id, seed, rows_of_a_class) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1]).select(F.col(id).alias("id"), "y", (fold(id) == 1).alias("kept_back"))
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    rows = smallest(rows.where("y = 0"), "id", seed, rows_of_a_class, "text").unionByName(smallest(rows.where("y = 1"), "id", seed, rows_of_a_class, "text"))
     fitted = rows.where(~F.col("kept_back"))
     some = {r.y: r.n for r in fitted.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not some.get(0) or not some.get(1):
