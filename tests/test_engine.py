@@ -221,11 +221,17 @@ def test_rules():
 
         with pytest.raises(ValueError):
             replace(r, **wrong).checked()
+
+
+def test_search_stays_within_valid_rules(bars):
+    scale = signals.feature_scale(features.feature_frame(bars, only={"momentum_24", "return_zscore"}))
+    assert {"momentum_24", "return_zscore"} <= set(scale) <= set(signals.FEATURES) and all(sd > 0 for _, sd in scale.values())
     rng = random.Random(7)
-    pool = list(signals.SEEDS)
-    for _ in range(300):
-        pool.append((signals.mutated(rng.choice(pool), rng) if rng.random() < 0.6 else signals.crossed(rng.choice(pool), rng.choice(pool), rng)).checked())
-    assert signals.random_rule(random.Random(1)) == signals.random_rule(random.Random(1))
+    pool = [*signals.SEEDS, *[signals.fresh_rule(rng, scale).checked() for _ in range(50)]]
+    for k in range(600):
+        pool.append((signals.neighbour(rng.choice(pool), rng, scale) if k % 3 else signals.blend(rng.choice(pool), rng.choice(pool), rng)).checked())
+    assert len({r.name for r in pool}) == len(pool)
+    assert signals.fresh_rule(random.Random(1)) == signals.fresh_rule(random.Random(1))
 
 
 def test_a_rule_without_its_feature_is_flat(bars):

@@ -1,7 +1,9 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evolution, features, forecasts, signals, store
+from tidemark.operators import evolution, features, forecasts, signals, store, trades
 from tidemark.sources import eventlog
 
 
@@ -37,8 +39,98 @@ def test_evolution(spark, tmp_path):
     history = evolution.evolve(frame, led, generations=2, population=3, seeds=[signals.SMOKE, *signals.SEEDS[:2]])
     assert [h["generation"] for h in history] == [0, 1] and led.trial_count() == 6
     assert led.log("tests").count() == 6 and led.log("strategies").where("generation = 1 and parent is not null").count() == 3
-    monitored = evolution.monitored(frame, store.archive_latest(led.log("strategies")).limit(2).withColumn("created_at", F.lit("2024-01-10T00:00:00")))
-    assert monitored.columns[0] == "strategy"
+    assert evolution.archive_latest(led.log("strategies")).where("created_at is null").count() == 0
+
+
+def test_monitoring(spark, tmp_path):
+    """Each strategy is scored on the bars since its own discovery, all in one plan."""
+    from test_engine import BARS, made_bars
+
+    frame = features.feature_frame(spark.createDataFrame(made_bars(1400), BARS))
+    led = store.Ledger(spark, str(tmp_path / "l"))
+    good, bad = '{"overall":{"mean_return":-0.01,"volatility":0.02}}', '{"overall":{"mean_return":0.5,"volatility":0.02}}'
+    found = {"a": ("2024-01-08T00:00:00", good), "b": ("2024-01-15T00:00:00", bad), "c": ("2024-01-15T00:00:00", good)}
+    rules = {n: signals.Rule(n, d, (signals.Condition("range_position", ">", 0.5),), h, 1.0, 1.0, "x") for n, d, h in (("a", "long", 6), ("b", "short", 12), ("c", "long", 24))}
+    led.archive_all([{"name": n, "created_at": at, "genome": rules[n].genome(), "scorecard": card, "niche": "x", "fitness": 1.0, "passed": 1} for n, (at, card) in found.items()])
+    got = {r.strategy: r for r in evolution.monitored(frame, store.archive_latest(led.log("strategies"))).collect()}
+    for n, (at, _) in found.items():
+        own = trades.trades(trades.segment(frame, since=F.lit(at).cast("timestamp_ntz")), [signals.compiled(rules[n])])
+        want = own.agg(F.count("*").alias("n"), F.avg("net_return").alias("m")).first()
+        assert got[n].n_trades == want.n and got[n].mean_return == pytest.approx(want.m, abs=1e-12)
+    assert got["b"].status == "retire"
+    assert "b" in evolution.retire_decayed(led, frame)
+    last = {r.name: r.status for r in store.archive_latest(led.log("strategies")).collect()}
+    assert last["b"] == "retired:sign_flip" and evolution.monitored(frame, store.archive_latest(led.log("strategies")).where("false")).count() == 0
+
+
+def test_hypotheses_from_json(spark, tmp_path):
+    from test_engine import BARS, made_bars
+
+    frame = features.feature_frame(spark.createDataFrame(made_bars(900), BARS))
+    led = store.Ledger(spark, str(tmp_path / "l"))
+    for wrong in ("{", "[]", "{}", '{"name":"x","direction":"up","conditions":[]}', signals.replace(signals.SMOKE, rationale="").genome()):
+        assert "error" in evolution.tested(wrong, frame, led)
+    assert led.trial_count() == 0
+    card = evolution.tested(signals.replace(signals.SMOKE, rationale="").genome(), frame, led, rationale="large moves revert")
+    assert card["strategy"] == "smoke_meanrev" and card["n_trades"] > 0 and card["verdict"] in ("promote", "reject") and card["n_trials"] == 1 == led.trial_count()
+
+
+def test_forecasts_in_the_store(spark, tmp_path):
+    from test_engine import BARS, made_bars
+
+    led = store.Ledger(spark, str(tmp_path / "l"))
+    bars = spark.createDataFrame(made_bars(100, "A"), BARS)
+    made = {"created_at": datetime(2024, 1, 1, 5), "agent_role": "a", "symbol": "A", "direction": "long", "probability": 0.7, "entry_price": 100.0, "target_price": 1e9, "invalidation": 0.0}
+    first, second = led.record_forecast(**made, horizon_hours=24), led.record_forecast(**made, horizon_hours=24 * 30)
+    with pytest.raises(ValueError):
+        led.record_forecast(**{**made, "probability": 1.0}, horizon_hours=1)
+    now = F.lit("2024-01-04").cast("timestamp_ntz")
+    assert led.resolve_forecasts(bars, now, "later") == 1 and led.resolve_forecasts(bars, now) == 0
+    assert [r.id for r in store.open_forecasts(led.log("forecasts"), led.log("resolutions")).collect()] == [second]
+    state = store.forecasts_now(led.log("forecasts"), led.log("resolutions"))
+    assert {r.id: r.outcome is None for r in state.collect()} == {first: False, second: True}
+    assert store.forecast_summary(state).first().asDict() == {"total": 2, "resolved": 1, "open": 1}
+    whole = store.research_state(led.log("hypotheses"), led.log("tests"), led.log("strategies"), state, led.log("holdout_access")).first()
+    assert whole.forecasts.open == 1 and whole.ledger.total_hypotheses == 0 and whole.limits.holdout_budget == 1
+    led.spend_holdout("x", accessed_at="t", passed=1)
+    assert [r.strategy_name for r in store.holdout_history(led.log("holdout_access")).collect()] == ["x"]
+
+
+def test_models(spark, tmp_path):
+    import random
+
+    from tidemark.operators import metalabel
+
+    rng = random.Random(1)
+    rows = [("s", x := rng.gauss(0, 1), None if k % 9 == 0 else rng.gauss(0, 1), int(x > 0)) for k in range(200)]
+    data = spark.createDataFrame(rows, "strategy string, funding_z double, beta_168 double, meta_label int").fillna(0.0)
+    at = str(tmp_path / "model")
+    assert metalabel.loaded(spark, at) is None
+    assert metalabel.success_probability(data, None).where("p_success is not null").count() == 0
+    metalabel.trained(data, at, trees=5)
+    odd = spark.createDataFrame([(1, 2.0, float("nan")), (2, -2.0, None), (3, None, 0.0)], "k int, funding_z double, beta_168 double")
+    got = {r.k: r.p_success for r in metalabel.success_probability(odd, metalabel.loaded(spark, at)).collect()}
+    assert got[1] > 0.8 and got[2] < 0.2 and 0 <= got[3] <= 1
+    folds = spark.createDataFrame([(0, 0.6), (1, 0.54)], "fold int, auc double")
+    assert metalabel.usable(folds).first().usable and not metalabel.usable(folds.limit(0)).first().usable
+
+
+def test_series_in_files(spark, tmp_path):
+    from test_engine import BARS, made_bars
+
+    from tidemark.sources import tables
+
+    root = str(tmp_path)
+    bars = spark.createDataFrame(made_bars(20, "ABC"), BARS)
+    for interval in ("1h", "4h"):
+        tables.save_bars(bars, root, interval)
+    got = tables.load_bars(spark, root, "1h", ["A", "C"])
+    assert got.count() == 40 and got.select("symbol").distinct().count() == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "interval" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "symbol" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    for name, load, row in (("funding", tables.load_funding, "'A' AS symbol, timestamp_ntz'2024-01-01' AS timestamp, 0.1D AS funding_rate"), ("book", tables.load_book, "'A' AS symbol, 3.0D AS spread_bps")):
+        spark.sql(f"SELECT {row} UNION ALL SELECT {row.replace(chr(39) + 'A', chr(39) + 'B')}").write.partitionBy("symbol").parquet(f"{root}/{name}")
+        assert load(spark, root, ["B"]).count() == 1 and load(spark, root).count() == 2
 
 
 def test_isotonic(spark):
@@ -59,6 +151,9 @@ def test_event_log(spark, tmp_path):
     eventlog.append(spark.createDataFrame([("t1", "end", 2)], "ts string, type string, n int").coalesce(1), path)
     lines = eventlog.lines_of(spark, path)
     assert sorted(r.type for r in eventlog.read(lines).collect()) == ["end", "start"]
+    assert eventlog.event_count(lines).first().n == 2 and sorted(r["index"] for r in lines.collect()) == [0, 1]
+    many = eventlog.numbered(spark.range(1000).select(F.col("id").cast("string").alias("value"), "id").repartition(7), ["id"])
+    assert all(r["index"] == r.id for r in many.collect())
     assert spark.range(1).select(eventlog.truncated(F.lit("  abcdef "), 3).alias("t")).first().t == "abc..."
 
 

@@ -3,6 +3,7 @@
 from dataclasses import dataclass
 
 
+# Symbols, fees and limits that results depend on.
 @dataclass(frozen=True)
 class Settings:
     version: str = "1.0.0"

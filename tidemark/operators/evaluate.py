@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.kept import written
 from .folds import consistency, walk_forward
 from .overfitting import daily_returns, overfitting
 from .signals import LOOKAHEAD, nulls
@@ -21,24 +22,27 @@ def cost_drag(t: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return g.select(*keys, "mean_cost_bps", drag.alias("cost_drag_ratio"))
 
 
-def scorecards(t: DataFrame, trials: int = 1, s: Settings = DEFAULT) -> DataFrame:
+def scorecards(t: DataFrame, trials: int | dict[str, int] = 1, s: Settings = DEFAULT) -> DataFrame:
     """One row for each strategy that trades: statistics, deflation, folds, costs, verdict and its reasons.
 
-    The trades are read several times, so they are persisted here.
+    The trades are read several times, so they are written first.  trials: see deflated_sharpe().
     """
-    t = t.persist()
+    return _cards(written(t), trials, s)
+
+
+def _cards(t: DataFrame, trials: int | dict[str, int], s: Settings) -> DataFrame:
     base = trade_statistics(t, KEY)
-    deflated = deflated_sharpe(t, KEY, trials).select("strategy", "sharpe_threshold", "dsr", "skew", "kurtosis", "z")
+    deflated = deflated_sharpe(t, KEY, trials).select("strategy", "sharpe_threshold", "dsr", "skew", "kurtosis", "z", "n_trials")
     out = base.join(deflated, "strategy").join(cost_drag(t), "strategy").join(consistency(walk_forward(t, KEY, s.splits, s.embargo), KEY), "strategy", "left")
     out = out.withColumn("rejection_reasons", gates(s))
     passed = F.size("rejection_reasons") == 0
-    return out.withColumns({"passed": passed, "verdict": F.when(passed, "promote").otherwise("reject"), "harness_version": F.lit(s.version), "n_trials": F.lit(trials)})
+    return out.withColumns({"passed": passed, "verdict": F.when(passed, "promote").otherwise("reject"), "harness_version": F.lit(s.version)})
 
 
 def nested(t: DataFrame, trials: int = 1, s: Settings = DEFAULT) -> DataFrame:
     """(strategy, scorecard): the scorecard as a struct with folds and a map by regime, ready for to_json()."""
-    t = t.persist()
-    flat = scorecards(t, trials, s)
+    t = written(t)
+    flat = _cards(t, trials, s)
     stats = [c for c in trade_statistics(t, KEY).columns if c != "strategy"]
     regimes = trade_statistics(t, ["strategy", "regime"]).groupBy("strategy").agg(F.map_from_entries(F.collect_list(F.struct("regime", F.struct(*stats)))).alias("by_regime"))
     folds = walk_forward(t, KEY, s.splits, s.embargo)
@@ -57,10 +61,13 @@ def fitness(cards: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def null_suite(frame: DataFrame, funding: DataFrame | None = None, book: DataFrame | None = None, n_random: int = 5, s: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(cards of nulls and control, one row with the verdict on the evaluation itself): one plan for all strategies."""
-    t = trades(frame, [*nulls(n_random), LOOKAHEAD], funding, book, s).persist()
+    """(cards of nulls and control, one row with the verdict on the evaluation itself): one plan for all strategies.
+
+    The nulls count as n_random trials, the control as one.
+    """
+    t = written(trades(frame, [*nulls(n_random), LOOKAHEAD], funding, book, s))
     control = F.col("strategy") == LOOKAHEAD.name
-    cards = scorecards(t.where(~control), n_random, s).unionByName(scorecards(t.where(control), 1, s))
+    cards = written(_cards(t, {"": n_random, LOOKAHEAD.name: 1}, s))
     pbo = overfitting(daily_returns(t.where(F.col("strategy").startswith("null_random"))))
     verdict = cards.agg(F.count(F.when(~control, 1)).alias("nulls_evaluated"), F.count(F.when(~control & F.col("passed"), 1)).alias("nulls_passed"), F.coalesce(F.max(F.when(control, F.col("passed"))), F.lit(False)).alias("control_passed"))
     verdict = verdict.withColumn("trustworthy", (F.col("nulls_passed") == 0) & F.col("control_passed"))

@@ -24,19 +24,17 @@ def numbered(trades: DataFrame, keys: list[str], splits: int) -> DataFrame:
 
 def walk_forward(trades: DataFrame, keys: list[str], splits: int = 6, embargo: float = 0.01) -> DataFrame:
     """A row for each fold: fold (from 0), test_start, test_end, n_train, purged, embargoed, and the test trades' statistics."""
-    t = numbered(trades, keys, splits).persist()
-    r = F.col("net_return")
+    t, r = numbered(trades, keys, splits), F.col("net_return")
     test = t.where("fold is not null").groupBy(*keys, "fold").agg(
-        F.min("entry_time").alias("test_start"), F.max("exit_time").alias("test_end"), F.min("pos").alias("from"), F.max("n").alias("n_all"),
+        F.min("entry_time").alias("test_start"), F.max("exit_time").alias("test_end"), F.max("n").alias("n_all"),
         F.count(F.when(finite(r), 1)).alias("n_trades"), F.avg(F.when(finite(r), (r > 0).cast("double"))).alias("win_rate"), F.avg(F.when(finite(r), r)).alias("mean_return"), F.stddev_samp(F.when(finite(r), r)).alias("sd"),
     )
-    own = [F.col(f"k{i}") == F.col(k) for i, k in enumerate(keys)]
-    train = t.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "pos", "exit_time")
-    cond = F.col("pos") < F.col("from")
-    for c in own:
-        cond = cond & c
-    late = F.col("exit_time") >= F.col("test_start")
-    got = test.select(*keys, "fold", "from", "test_start").join(train, cond).groupBy(*keys, "fold").agg(F.count(F.when(late, 1)).alias("purged"), F.count(F.when(~late, 1)).alias("left"))
+    # when each test window begins, beside every trade: all by the partitioning that numbers them, so nothing is shuffled again
+    whole = W.partitionBy(*keys)
+    begun = t.withColumns({f"start_{k}": F.min(F.when(F.col("fold") == k, F.col("entry_time"))).over(whole) for k in range(1, splits + 1)})
+    before = lambda k, late: F.count(F.when((F.col("pos") < k * F.col("block")) & late, 1))
+    counts = [F.struct(F.lit(k).alias("fold"), before(k, F.col("exit_time") >= F.col(f"start_{k}")).alias("purged"), before(k, F.col("exit_time") < F.col(f"start_{k}")).alias("left")) for k in range(1, splits + 1)]
+    got = begun.groupBy(*keys).agg(F.array(*counts).alias("c")).select(*keys, F.inline("c"))
     out = test.join(got, [*keys, "fold"])
     barred = F.floor(F.col("n_all") * embargo)
     out = out.withColumn("embargoed", F.when((barred > 0) & (F.col("left") > barred), barred).otherwise(0)).withColumn("n_train", F.col("left") - F.col("embargoed"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 
-SCHEMA = "id bigint, created_at timestamp_ntz, agent_role string, symbol string, direction string, probability double, horizon_hours int, entry_price double, target_price double, invalidation double, regime string, thesis string"
 #: Edges of the five buckets of the reliability curve.
 EDGES = (0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0)
 
@@ -69,31 +70,45 @@ def shrunk(p: Column) -> Column:
     return 0.5 + (p - 0.5) * 0.5
 
 
-def isotonic_map(resolved: DataFrame, agent: str, s: Settings = DEFAULT):
-    """A column function from stated to realised probability of one agent."""
-    own = resolved.where((F.col("agent_role") == agent) & F.col("outcome").isNotNull())
-    if own.limit(s.min_forecasts).count() < s.min_forecasts:
-        return shrunk
-    from pyspark.ml.regression import IsotonicRegression
+def isotonic_maps(resolved: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(agent_role, xs, ys): the knots of each agent's isotonic map from stated to realised probability.
 
-    model = IsotonicRegression(featuresCol="probability", labelCol="label", isotonic=True).fit(own.select("probability", F.col("outcome").cast("double").alias("label")))
-    xs, ys = list(model.boundaries), list(model.predictions)
-
-    def mapped(p: Column) -> Column:
-        out = F.lit(ys[-1])
-        for k in range(len(xs) - 2, -1, -1):
-            step = F.lit(ys[k]) if xs[k + 1] == xs[k] else ys[k] + (p - xs[k]) * ((ys[k + 1] - ys[k]) / (xs[k + 1] - xs[k]))
-            out = F.when(p < xs[k + 1], step).otherwise(out)
-        out = F.when(p <= xs[0], ys[0]).otherwise(out)
-        return F.greatest(F.lit(0.01), F.least(F.lit(0.99), out))
-
-    return mapped
+    Outcomes meet as counts of each stated probability; adjacent violators are then pooled agent
+    by agent, each a task's group of at most as many rows as the agent has distinct probabilities.
+    Agents with few forecasts have no row.
+    """
+    counts = resolved.where(F.col("outcome").isNotNull()).groupBy("agent_role", F.col("probability").alias("p")).agg(F.avg(F.col("outcome").cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
+    many = F.sum("w").over(W.partitionBy("agent_role")) >= s.min_forecasts
+
+    def pooled(t: pa.Table) -> pa.Table:
+        pools: list[list[float]] = []  # first x, last x, mean, weight
+        t = t.sort_by("p")
+        for p, y, w in zip(*(t.column(c).to_pylist() for c in ("p", "y", "w")), strict=True):
+            pools.append([p, p, y, w])
+            while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
+                _, hi, m, n = pools.pop()
+                a = pools[-1]
+                pools[-1] = [a[0], hi, (a[2] * a[3] + m * n) / (a[3] + n), a[3] + n]
+        xs = [x for a in pools for x in dict.fromkeys(a[:2])]
+        ys = [a[2] for a in pools for _ in dict.fromkeys(a[:2])]
+        return pa.table({"agent_role": t.column("agent_role").slice(0, 1), "xs": pa.array([xs], pa.list_(pa.float64())), "ys": pa.array([ys], pa.list_(pa.float64()))})
+
+    return counts.withColumn("many", many).where("many").drop("many").groupBy("agent_role").applyInArrow(pooled, "agent_role string, xs array<double>, ys array<double>")
+
+
+def interpolated(p: Column, xs: Column, ys: Column) -> Column:
+    """The value at p of the line through (xs, ys), level beyond its ends and within 0.01 to 0.99."""
+    n = F.size(xs)
+    k = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(xs, lambda x: x <= p))))
+    at = lambda c, i: F.try_element_at(c, i.cast("int"))
+    x0, x1, y0, y1 = at(xs, k), at(xs, k + 1), at(ys, k), at(ys, k + 1)
+    inside = y0 + (p - x0) * ((y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)))
+    out = F.when(p <= at(xs, F.lit(1)), at(ys, F.lit(1))).when(p >= at(xs, n), at(ys, n)).otherwise(inside)
+    return F.greatest(F.lit(0.01), F.least(F.lit(0.99), out))
 
 
 def calibrated(forecasts: DataFrame, resolved: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """forecasts with calibrated: mapped by each agent's record (the agents, one row each, are listed on the driver)."""
-    agents = [r.agent_role for r in forecasts.select("agent_role").distinct().collect()]
-    out = F.lit(None).cast("double")
-    for a in agents:
-        out = F.when(F.col("agent_role") == a, isotonic_map(resolved, a, s)(F.col("probability"))).otherwise(out)
-    return forecasts.withColumn("calibrated", out)
+    """forecasts with calibrated: mapped by each agent's record, or shrunk without one."""
+    j = forecasts.join(isotonic_maps(resolved, s), "agent_role", "left")
+    p = F.col("probability")
+    return j.withColumn("calibrated", F.when(F.col("xs").isNull(), shrunk(p)).otherwise(interpolated(p, F.col("xs"), F.col("ys")))).select(*forecasts.columns, "calibrated")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.kept import written
 from .folds import members
 from .statistics import ORDER
 from .trades import with_features
@@ -48,12 +49,12 @@ def cross_validated(data: DataFrame, splits: int = 6, embargo: float = 0.01, min
     from pyspark.ml.functions import vector_to_array
 
     names = [c for c in CONTEXT if c in data.columns]
-    data = data.persist()
+    data = written(data)
     if data.count() < min_samples:
         return data.sparkSession.createDataFrame([], "fold int, auc double, brier double, n_test bigint")
     t = data.withColumn("pos", F.row_number().over(W.partitionBy("strategy").orderBy(*ORDER)) - 1)
     fold = members(data, ["strategy"], splits, embargo)
-    t = t.join(fold, ["strategy", "pos"]).cache()
+    t = written(t.join(fold, ["strategy", "pos"]))
     out = None
     for r in t.groupBy("fold").agg(F.count("*").alias("n"), *[F.count_distinct(F.when(F.col("role") == x, F.col("meta_label"))).alias(x) for x in ("train", "test")]).orderBy("fold").collect():  # a handful of folds
         if r.train < 2 or r.test < 2:
@@ -66,10 +67,39 @@ def cross_validated(data: DataFrame, splits: int = 6, embargo: float = 0.01, min
     return out if out is not None else data.sparkSession.createDataFrame([], "fold int, auc double, brier double, n_test bigint")
 
 
-def trained(data: DataFrame, path: str | None = None):
+def usable(folds: DataFrame, least: float = 0.55) -> DataFrame:
+    """One row: mean_auc over the folds of cross_validated(), how many, and whether the model adds anything."""
+    mean = F.avg("auc")
+    return folds.agg(mean.alias("mean_auc"), F.count("*").alias("folds"), F.coalesce(mean > least, F.lit(False)).alias("usable"))
+
+
+def trained(data: DataFrame, path: str | None = None, trees: int = 80):
     """A model on all rows, saved to path (any file system that Spark knows) if given."""
     names = [c for c in CONTEXT if c in data.columns]
-    model = classifier(names).fit(data)
+    model = classifier(names, trees).fit(data)
     if path is not None:
         model.write().overwrite().save(path)
     return model
+
+
+def loaded(spark: SparkSession, path: str):
+    """The model saved at path, or None if there is none."""
+    from pyspark.ml import PipelineModel
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    return PipelineModel.load(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def success_probability(data: DataFrame, model) -> DataFrame:
+    """data with p_success, the model's probability that a trade in this context pays; null without a model.
+
+    Context that is missing, null or not finite counts as 0.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    if model is None:
+        return data.withColumn("p_success", F.lit(None).cast("double"))
+    names = model.stages[0].getInputCols()
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    held = data.withColumn("row_", F.struct(*data.columns)).select("row_", *[F.when(known(c), F.col(c)).otherwise(0.0).alias(c) if c in data.columns else F.lit(0.0).alias(c) for c in names])
+    return model.transform(held).select("row_.*", vector_to_array("probability")[1].alias("p_success"))

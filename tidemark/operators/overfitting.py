@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.kept import written
+
 
 def daily_returns(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(strategy, day, r): mean net return of the trades entered on a day."""
@@ -32,8 +34,7 @@ def overfitting(returns: DataFrame, splits: int = 8) -> DataFrame:
 
     Among strategies that tie in sample the first by name wins; out-of-sample ties share their mean rank.
     """
-    returns = returns.persist()  # read several times below
-    d = complete_days(returns.where("r is not null")).withColumn("t", F.dense_rank().over(W.orderBy("day")))
+    d = written(complete_days(written(returns.where("r is not null"))))  # both are read several times
     size = d.agg(F.count_distinct("strategy").alias("n_strategies"), F.count_distinct("day").alias("n_periods"))
     even = splits - splits % 2
     days = d.select("day").distinct().withColumn("block", F.ntile(even).over(W.orderBy("day")) - 1)

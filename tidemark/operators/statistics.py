@@ -45,23 +45,36 @@ def trade_statistics(trades: DataFrame, keys: list[str], value: str = "net_retur
     )
 
 
-def deflated_sharpe(trades: DataFrame, keys: list[str], trials: int, value: str = "net_return", trial_sd: float | None = None) -> DataFrame:
+def per_strategy(value) -> Column:
+    """A constant, or the constants of the strategies named and, under "", of all others."""
+    if not isinstance(value, dict):
+        return F.lit(value)
+    out = F.lit(value[""])
+    for name, v in value.items():
+        out = F.when(F.col("strategy") == name, v).otherwise(out) if name else out
+    return out
+
+
+def deflated_sharpe(trades: DataFrame, keys: list[str], trials: int | dict[str, int], value: str = "net_return", trial_sd: float | None = None) -> DataFrame:
     """sharpe, its threshold for the best of so many trials, skew, kurtosis (normal: 3), z and the probability dsr.
 
     With under 3 trades, or where the variance of the Sharpe estimate is not positive, dsr is 0;
-    for constant returns skew, z and dsr are null, which no gate takes for a pass.
+    for constant returns skew, z and dsr are null, which no gate takes for a pass.  trials is
+    one number, or one for each strategy named ("" for all others).
     """
     r = F.col(value)
+    n = per_strategy(trials)
+    best = per_strategy({k: best_of(v) for k, v in trials.items()} if isinstance(trials, dict) else best_of(trials))
     g = trades.where(finite(r)).groupBy(*keys).agg(F.count("*").alias("n_obs"), F.avg(r).alias("m"), F.stddev_samp(r).alias("sd"), F.skewness(r).alias("skew"), (F.kurtosis(r) + 3).alias("kurtosis"))
     few = F.col("n_obs") < 3
     g = g.withColumn("sharpe", F.when(few, 0.0).otherwise(sharpe(F.col("m"), F.col("sd"), F.col("n_obs"))))
     spread = F.lit(trial_sd) if trial_sd is not None else 1 / F.sqrt("n_obs")
-    g = g.withColumn("sharpe_threshold", F.when(few, 0.0).otherwise(spread * best_of(trials)))
+    g = g.withColumn("sharpe_threshold", F.when(few, 0.0).otherwise(spread * best))
     vary = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") - 1) / 4 * F.col("sharpe") * F.col("sharpe")
     z = (F.col("sharpe") - F.col("sharpe_threshold")) * F.sqrt(F.col("n_obs") - 1) / F.sqrt(F.when(vary > 0, vary))
     g = g.withColumn("z", F.when(~few, z))
     dsr = F.when(few | (vary <= 0), 0.0).otherwise(cdf(F.col("z")))
-    return g.select(*keys, "sharpe", "sharpe_threshold", dsr.alias("dsr"), "skew", "kurtosis", "z", "n_obs", F.lit(trials).alias("n_trials"))
+    return g.select(*keys, "sharpe", "sharpe_threshold", dsr.alias("dsr"), "skew", "kurtosis", "z", "n_obs", n.alias("n_trials"))
 
 
 def gates(s: Settings = DEFAULT) -> Column:

@@ -16,7 +16,9 @@ HYPOTHESES = "id bigint, created_at string, author string, title string, stateme
 TESTS = "id bigint, hypothesis_id bigint, created_at string, harness_version string, segment string, n_trials int, passed int, scorecard string"
 HOLDOUT = "id bigint, strategy_name string, accessed_at string, passed int, scorecard string"
 STRATEGIES = "id bigint, created_at string, name string, generation int, parent string, genome string, niche string, fitness double, passed int, status string, scorecard string, hypothesis_id bigint"
-SCHEMAS = {"hypotheses": HYPOTHESES, "tests": TESTS, "holdout_access": HOLDOUT, "strategies": STRATEGIES}
+FORECASTS = "id bigint, created_at timestamp_ntz, agent_role string, symbol string, direction string, probability double, horizon_hours int, entry_price double, target_price double, invalidation double, regime string, thesis string"
+RESOLUTIONS = "id bigint, forecast_id bigint, resolved_at string, outcome int, resolution string"
+SCHEMAS = {"hypotheses": HYPOTHESES, "tests": TESTS, "holdout_access": HOLDOUT, "strategies": STRATEGIES, "forecasts": FORECASTS, "resolutions": RESOLUTIONS}
 
 
 class NotPreRegistered(RuntimeError):
@@ -43,25 +45,41 @@ class Ledger:
                 raise
             return self.spark.createDataFrame([], SCHEMAS[name])
 
-    def append(self, table: str, /, **row) -> int:
-        new = (self.log(table).agg(F.max("id")).first()[0] or 0) + 1
+    def append_all(self, table: str, rows: list[dict]) -> list[int]:
+        """The new ids of rows, all written as one file."""
         names = self.spark.createDataFrame([], SCHEMAS[table]).columns
-        if unknown := set(row) - set(names):
+        if unknown := {k for r in rows for k in r} - set(names):
             raise ValueError(f"{table} has no {sorted(unknown)}")
-        self.spark.createDataFrame([tuple(new if c == "id" else row.get(c) for c in names)], SCHEMAS[table]).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
-        return new
+        last = self.log(table).agg(F.max("id")).first()[0] or 0
+        ids = list(range(last + 1, last + 1 + len(rows)))
+        if rows:
+            new = [tuple({**r, "id": i}.get(c) for c in names) for i, r in zip(ids, rows, strict=True)]
+            self.spark.createDataFrame(new, SCHEMAS[table]).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
+        return ids
+
+    def append(self, table: str, /, **row) -> int:
+        return self.append_all(table, [row])[0]
+
+    def register_all(self, rows: list[dict]) -> list[int]:
+        for row in rows:
+            if row.get("predicted_direction") not in ("long", "short", "both"):
+                raise ValueError("a prediction is long, short or both")
+            if not (row.get("economic_rationale") or "").strip():
+                raise ValueError("a hypothesis without a rationale is not registered")
+        return self.append_all("hypotheses", rows)
 
     def register(self, **row) -> int:
-        if row.get("predicted_direction") not in ("long", "short", "both"):
-            raise ValueError("a prediction is long, short or both")
-        if not (row.get("economic_rationale") or "").strip():
-            raise ValueError("a hypothesis without a rationale is not registered")
-        return self.append("hypotheses", **row)
+        return self.register_all([row])[0]
+
+    def record_tests(self, rows: list[dict]) -> list[int]:
+        want = {r.get("hypothesis_id") for r in rows}
+        known = {r.id for r in self.log("hypotheses").where(F.col("id").isin(list(want))).select("id").collect()}
+        if missing := want - known:
+            raise NotPreRegistered(f"hypotheses {sorted(map(str, missing))} are not registered")
+        return self.append_all("tests", rows)
 
     def record_test(self, hypothesis_id: int, **row) -> int:
-        if self.log("hypotheses").where(F.col("id") == hypothesis_id).isEmpty():
-            raise NotPreRegistered(f"hypothesis {hypothesis_id} is not registered")
-        return self.append("tests", hypothesis_id=hypothesis_id, **row)
+        return self.record_tests([{**row, "hypothesis_id": hypothesis_id}])[0]
 
     def trial_count(self) -> int:
         return self.log("hypotheses").count()
@@ -71,8 +89,24 @@ class Ledger:
             raise HoldoutExhausted(f"{name} has used its holdout budget of {s.holdout_budget}")
         return self.append("holdout_access", strategy_name=name, **row)
 
+    def archive_all(self, rows: list[dict]) -> list[int]:
+        return self.append_all("strategies", [{"status": "active", **r} for r in rows])
+
     def archive(self, **row) -> int:
-        return self.append("strategies", **{"status": "active", **row})
+        return self.archive_all([row])[0]
+
+    def record_forecast(self, **row) -> int:
+        from .forecasts import checked
+
+        checked(row.get("direction"), row.get("probability"))
+        return self.append("forecasts", **row)
+
+    def resolve_forecasts(self, bars: DataFrame, now, resolved_at: str | None = None) -> int:
+        """Resolve the open forecasts that are due and have bars; how many."""
+        from .forecasts import resolve
+
+        got = resolve(open_forecasts(self.log("forecasts"), self.log("resolutions")), bars, now).select("id", "outcome", "resolution").collect()  # a row for each forecast that is due
+        return len(self.append_all("resolutions", [{"forecast_id": r.id, "resolved_at": resolved_at, "outcome": r.outcome, "resolution": r.resolution} for r in got]))
 
     def retire(self, name: str, reason: str) -> None:
         last = archive_latest(self.log("strategies")).where(F.col("name") == name).first()
@@ -80,6 +114,22 @@ class Ledger:
             self.append("strategies", **{**last.asDict(), "status": f"retired:{reason}"} | {"id": None})
 
 
+def forecasts_now(forecasts: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """forecasts with outcome and resolution, null while open."""
+    last = resolutions.groupBy(F.col("forecast_id").alias("id")).agg(F.max_by("outcome", "id").alias("outcome"), F.max_by("resolution", "id").alias("resolution"))
+    return forecasts.join(last, "id", "left")
+
+
+def open_forecasts(forecasts: DataFrame, resolutions: DataFrame) -> DataFrame:
+    return forecasts.join(resolutions.select(F.col("forecast_id").alias("id")), "id", "left_anti")
+
+
+def forecast_summary(now: DataFrame) -> DataFrame:
+    """One row of forecasts with outcomes: total, resolved, open."""
+    out = now.agg(F.count("*").alias("total"), F.count("outcome").alias("resolved"))
+    return out.withColumn("open", F.col("total") - F.col("resolved"))
+
+
 def hypotheses_now(hypotheses: DataFrame, tests: DataFrame) -> DataFrame:
     """hypotheses with status: that of the last test (promoted or rejected), or registered."""
     last = tests.groupBy(F.col("hypothesis_id").alias("id")).agg(F.max_by("passed", "id").alias("last"))
@@ -113,6 +163,23 @@ def holdout_budget(access: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return access.groupBy("strategy_name").agg(F.count("*").alias("uses"), F.max("passed").alias("ever_passed")).withColumn("can_access", F.col("uses") < s.holdout_budget)
 
 
+def holdout_history(access: DataFrame) -> DataFrame:
+    """Every use of the holdout, the latest first."""
+    return access.select("id", "strategy_name", "accessed_at", "passed").orderBy(F.desc("id"))
+
+
+def research_state(hypotheses: DataFrame, tests: DataFrame, strategies: DataFrame, forecasts: DataFrame, access: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """One row: ledger, archive, forecasts, holdout and limits as structs."""
+    a = archive_latest(strategies).agg(F.count("*").alias("total"), F.count(F.when(F.col("status") == "active", 1)).alias("active"), F.count(F.when(F.col("passed") == 1, 1)).alias("promoted"), F.count_distinct("niche").alias("niches_occupied"))
+    spent = access.agg(F.count("*").alias("uses"), F.count_distinct("strategy_name").alias("strategies"))
+    out = None
+    for name, one in (("ledger", ledger_summary(hypotheses, tests)), ("archive", a), ("forecasts", forecast_summary(forecasts)), ("holdout", spent)):
+        one = one.select(F.struct(*one.columns).alias(name))
+        out = one if out is None else out.join(one, how="cross")  # one row each
+    limits = {"max_position_pct": s.max_position_pct, "max_total_pct": s.max_total_pct, "max_cluster_pct": s.max_cluster_pct, "min_r_multiple": s.min_r_multiple, "holdout_days": float(s.holdout_days), "holdout_budget": float(s.holdout_budget)}
+    return out.withColumns({"limits": F.struct(*[F.lit(v).alias(k) for k, v in limits.items()]), "version": F.lit(s.version)})
+
+
 def archive_latest(strategies: DataFrame) -> DataFrame:
     """The latest row of each name."""
     r = F.row_number().over(W.partitionBy("name").orderBy(F.desc("id")))
@@ -133,11 +200,12 @@ def archive_summary(strategies: DataFrame) -> DataFrame:
 
 
 def niche_attribution(strategies: DataFrame) -> DataFrame:
-    """Per niche: how many were explored, promoted and retired, and how good they were."""
+    """Per niche: how many were explored, promoted and retired, and how good they were; and the same of all niches."""
     retired = F.startswith("status", F.lit("retired"))
     mean = F.avg(F.get_json_object("scorecard", "$.overall.sharpe").cast("double"))
     g = archive_latest(strategies).groupBy("niche").agg(F.count("*").alias("explored"), F.sum("passed").alias("promoted"), F.max("fitness").alias("best_fitness"), mean.alias("mean_sharpe"), F.count(F.when(retired, 1)).alias("retired"))
-    return g.withColumn("promotion_rate", F.col("promoted") / F.col("explored"))
+    total = g.agg(F.sum("explored").alias("total_explored"), F.sum("promoted").alias("total_promoted"))
+    return g.withColumn("promotion_rate", F.col("promoted") / F.col("explored")).join(total.withColumn("total_rate", F.col("total_promoted") / F.col("total_explored")), how="cross")
 
 
 def niche(genomes: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Trades of many strategies in one plan: segment, signal, barriers, costs, regime.
 
-The path of bars that follows each bar is gathered once, up to the longest horizon;
-strategies are then a column of structs, exploded where their side is not 0, and each trade
-is settled on its own slice of the path.  One shuffle by symbol serves all strategies.
+Sides come first, as a column of structs.  A series is then cut into blocks of as many bars
+as the longest horizon; each block holds its bars, those of the next one and its entries, so
+that the path of any entry lies within one row, a bar is held twice whatever the horizon,
+and blocks of one symbol are settled side by side.  Only entries become rows again.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ def segment(frame: DataFrame, kind: str = "all", boundary=None, since=None, unti
     return out if until is None else out.where(t < F.lit(until))
 
 
-def adv(frame: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(symbol, adv): mean quote volume of the last adv_bars bars, times the bars of a day."""
-    last = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("timestamp")))
-    return frame.select("symbol", "quote_volume", last.alias("r")).where(F.col("r") <= s.adv_bars).groupBy("symbol").agg((F.avg("quote_volume") * s.bars_per_day).alias("adv"))
+def adv(frame: DataFrame, s: Settings = DEFAULT, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, adv): mean quote volume of the last adv_bars bars, times the bars of a day."""
+    last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("timestamp")))
+    return frame.select(*keys, "quote_volume", last.alias("r")).where(F.col("r") <= s.adv_bars).groupBy(*keys).agg((F.avg("quote_volume") * s.bars_per_day).alias("adv"))
 
 
 def impact_bps(notional: Column, adv_usd: Column, s: Settings = DEFAULT) -> Column:
@@ -70,53 +71,68 @@ def funding_paid(spans: DataFrame, funding: DataFrame, entry: str, exit: str, id
 def signals(frame: DataFrame, strategies: list[Strategy], s: Settings = DEFAULT) -> DataFrame:
     """(strategy, symbol, idx, timestamp, side) where a strategy's side is not 0; sides are clipped to -1..1."""
     f = indexed(frame.drop("idx", "n"), ["symbol"]).where(F.col("n") >= s.min_segment_bars)
-    return _sided(f, strategies).select(F.col("st.name").alias("strategy"), "symbol", "idx", "timestamp", F.col("st.side").alias("side"))
+    f = f.withColumn("st", sides(f, strategies)).select("symbol", "idx", "timestamp", F.explode("st").alias("st"))
+    return f.select(F.col("st.name").alias("strategy"), "symbol", "idx", "timestamp", F.col("st.side").alias("side"))
 
 
-def _sided(f: DataFrame, strategies: list[Strategy]) -> DataFrame:
-    f = f.withColumns({f"side_{i}": F.coalesce(x.side(f).cast("double"), F.lit(0.0)) for i, x in enumerate(strategies)})
+def sides(f: DataFrame, strategies: list[Strategy]) -> Column:
+    """Structs of the strategies that have a side on a bar."""
     clip = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    made = F.array(*[F.struct(F.lit(x.name).alias("name"), clip(F.col(f"side_{i}")).alias("side"), F.lit(x.horizon).alias("horizon"), F.lit(float(x.pt_atr)).alias("pt"), F.lit(float(x.sl_atr)).alias("sl")) for i, x in enumerate(strategies)])
-    return f.withColumn("st", F.explode(F.filter(made, lambda t: t["side"] != 0))).drop(*[f"side_{i}" for i in range(len(strategies))])
+    made = [F.struct(F.lit(x.name).alias("name"), clip(F.coalesce(x.side(f).cast("double"), F.lit(0.0))).alias("side"), F.lit(x.horizon).alias("horizon"), F.lit(float(x.pt_atr)).alias("pt"), F.lit(float(x.sl_atr)).alias("sl")) for x in strategies]
+    return F.filter(F.array(*made), lambda t: t["side"] != 0)
 
 
-def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | None = None, book: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+def _settled(first: Column):
+    """Of an entry and one of its strategies: both, with barriers, the first bar that meets one, and the last within the horizon; first: idx of path's first bar."""
+
+    def of(e: Column, s: Column) -> Column:
+        up, at = F.signum(s["side"]), (e["idx"] - first + 1).cast("int")  # the entry's own place in the path, from 1
+        target, stop = e["close"] + up * s["pt"] * e["atr"], e["close"] - up * s["sl"] * e["atr"]
+        met = lambda x: F.when(up > 0, (x["low"] <= stop) | (x["high"] >= target)).otherwise((x["high"] >= stop) | (x["low"] <= target))
+        hit = F.try_element_at(F.filter(F.slice("path", at + 1, s["horizon"]), met), F.lit(1))
+        return F.struct(e.alias("e"), s.alias("st"), target.alias("target"), stop.alias("stop"), hit.alias("hit"), F.try_element_at("path", F.least(at + s["horizon"], F.size("path"))).alias("last"))
+
+    return of
+
+
+def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | None = None, book: DataFrame | None = None, s: Settings = DEFAULT, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """One row for each bar and strategy with a side: barriers, costs, regime.
 
     frame is a (lagged) feature frame, already cut to its segment; ATR, regime and volume
     are taken within it.  Entry is the close; within a bar the stop is met before the target;
     fills are at the barrier; without either by the horizon, at that bar's close.
+    keys tell series apart, if a symbol has several.
     """
-    w = series(["symbol"])
-    f = indexed(frame.drop("idx", "n"), ["symbol"]).where(F.col("n") >= s.min_segment_bars)
-    f = average_true_range(f.drop("atr"), ["symbol"])
+    keys, w = list(keys), series(list(keys))
+    f = indexed(frame.drop("idx", "n"), keys).where(F.col("n") >= s.min_segment_bars)
+    f = average_true_range(f.drop("atr"), keys)
     f = f.withColumn("regime", regime(w)) if {"volatility_168", "momentum_168"} <= set(f.columns) else f.withColumn("regime", F.lit("unknown"))
+    f = f.withColumn("st", sides(f, strategies))
     f = asof(f, cumulative_funding(funding), ["symbol"], ["funding_sum"]) if funding is not None else f.withColumn("funding_sum", F.lit(0.0))
     longest = max(x.horizon for x in strategies)
-    bar = F.struct("high", "low", "close", "timestamp", F.coalesce("funding_sum", F.lit(0.0)).alias("funding_sum"), "idx")
-    f = f.withColumn("path", F.collect_list(bar).over(w.rowsBetween(1, longest)))
-    t = _sided(f, strategies).where((F.col("atr") > 0) & (F.col("close") > 0))
-    side, close, atr = F.col("st.side"), F.col("close"), F.col("atr")
-    up = F.signum("st.side")
-    t = t.withColumns({"target": close + up * F.col("st.pt") * atr, "stop": close - up * F.col("st.sl") * atr, "path": F.slice("path", F.lit(1), F.col("st.horizon"))})
-    long = side > 0
-    stopped = lambda x: F.when(long, x["low"] <= F.col("stop")).otherwise(x["high"] >= F.col("stop"))
-    reached = lambda x: F.when(long, x["high"] >= F.col("target")).otherwise(x["low"] <= F.col("target"))
-    t = t.withColumn("hit", F.try_element_at(F.filter("path", lambda x: stopped(x) | reached(x)), F.lit(1)))
-    t = t.withColumn("out", F.coalesce("hit", F.try_element_at("path", F.lit(-1)), bar))
-    barrier = F.when(F.col("hit").isNull(), "vertical").when(stopped(F.col("hit")), "stop").otherwise("target")
-    t = t.withColumn("barrier", barrier)
+    bar = F.struct("idx", "high", "low", "close", "timestamp", F.coalesce("funding_sum", F.lit(0.0)).alias("funding_sum"))
+    entry = F.struct("idx", "timestamp", "close", "atr", "regime", F.coalesce("funding_sum", F.lit(0.0)).alias("funding_sum"), "st")
+    f = f.withColumn("block", F.floor(F.col("idx") / longest).cast("int")).repartition(*keys, "block")
+    enters = (F.size("st") > 0) & (F.col("atr") > 0) & (F.col("close") > 0)
+    blocks = f.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(bar)).alias("bars"), F.collect_list(F.when(enters, entry)).alias("entries"))
+    ahead = F.lead("bars").over(W.partitionBy(*keys).orderBy("block"))
+    t = blocks.withColumn("path", F.concat("bars", F.coalesce(ahead, F.slice("bars", 1, 0)))).where(F.size("entries") > 0)
+    settled = _settled(F.col("block") * longest)
+    t = t.select(*keys, F.explode(F.flatten(F.transform("entries", lambda e: F.transform(e["st"], lambda x: settled(e, x))))).alias("x")).select(*keys, "x.*")
+    side, close, held = F.col("st.side"), F.col("e.close"), F.col("out.idx") - F.col("e.idx")
+    stopped = F.when(side > 0, F.col("hit.low") <= F.col("stop")).otherwise(F.col("hit.high") >= F.col("stop"))
+    t = t.withColumn("out", F.coalesce("hit", "last")).withColumn("barrier", F.when(F.col("hit").isNull(), "vertical").when(stopped, "stop").otherwise("target"))
     price = F.when(F.col("barrier") == "stop", F.col("stop")).when(F.col("barrier") == "target", F.col("target")).otherwise(F.col("out.close"))
     t = t.withColumn("exit_price", price).withColumn("gross_return", side * (F.col("exit_price") - close) / close)
-    t = t.withColumn("funding_bps", F.when(F.col("out.idx") > F.col("idx"), (F.col("out.funding_sum") - F.coalesce("funding_sum", F.lit(0.0))) * side.cast("int") * 10_000).otherwise(0.0))
-    t = t.join(adv(frame, s), "symbol", "left")
+    t = t.withColumn("funding_bps", F.when(held > 0, (F.col("out.funding_sum") - F.col("e.funding_sum")) * side.cast("int") * 10_000).otherwise(0.0))
+    t = t.join(adv(frame, s, tuple(keys)), keys, "left")
     t = t.join(spreads(book, s).select("symbol", "spread_bps"), "symbol", "left") if book is not None else t.withColumn("spread_bps", F.lit(s.fallback_spread_bps))
     cost = round_trip_cost(F.coalesce("spread_bps", F.lit(s.fallback_spread_bps)), impact_bps(F.lit(s.notional), F.coalesce("adv", F.lit(0.0)), s), F.col("funding_bps"), s)
     t = t.withColumn("cost_bps", cost)
     return t.select(
-        F.col("st.name").alias("strategy"), "symbol", F.col("idx").alias("entry_idx"), F.col("out.idx").alias("exit_idx"), F.col("timestamp").alias("entry_time"), F.col("out.timestamp").alias("exit_time"),
-        side.cast("int").alias("side"), close.alias("entry_price"), "exit_price", "atr", "barrier", (F.col("out.idx") - F.col("idx")).alias("bars_held"), "gross_return",
-        (F.col("gross_return") > 0).cast("int").alias("label"), "funding_bps", "cost_bps", (F.col("gross_return") - F.col("cost_bps") / 10_000).alias("net_return"), "regime",
+        F.col("st.name").alias("strategy"), *keys, F.col("e.idx").alias("entry_idx"), F.col("out.idx").alias("exit_idx"), F.col("e.timestamp").alias("entry_time"), F.col("out.timestamp").alias("exit_time"),
+        side.cast("int").alias("side"), close.alias("entry_price"), "exit_price", F.col("e.atr").alias("atr"), "barrier", held.alias("bars_held"), "gross_return",
+        (F.col("gross_return") > 0).cast("int").alias("label"), "funding_bps", "cost_bps", (F.col("gross_return") - F.col("cost_bps") / 10_000).alias("net_return"), F.col("e.regime").alias("regime"),
     )
 
 
@@ -125,4 +141,4 @@ def with_features(events: DataFrame, frame: DataFrame, names: list[str]) -> Data
     return events.join(frame.select("symbol", F.col("timestamp").alias("entry_time"), *names), ["symbol", "entry_time"], "left")
 
 
-__all__ = ["BASE", "adv", "cumulative_funding", "funding_paid", "impact_bps", "round_trip_cost", "segment", "signals", "spreads", "trades", "with_features"]
+__all__ = ["BASE", "adv", "cumulative_funding", "funding_paid", "impact_bps", "round_trip_cost", "segment", "sides", "signals", "spreads", "trades", "with_features"]

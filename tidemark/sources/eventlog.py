@@ -6,14 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.kept import written
+
 
 def append(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
 def numbered(lines: DataFrame, order: list[str]) -> DataFrame:
-    """lines (value) with their position from 0 in the given order."""
-    return lines.withColumn("index", F.row_number().over(W.orderBy(*order)) - 1)
+    """lines with their position from 0 in the given total order.
+
+    Range partitions count their own lines and add those of the partitions before; only
+    these counts, one a partition, meet in one place.
+    """
+    ranged = written(lines.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+    counts = ranged.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = ranged.withColumn("own_", F.row_number().over(W.partitionBy("part_").orderBy(*order)) - 1)
+    return own.join(F.broadcast(counts.select("part_", before.alias("before_"))), "part_").withColumn("index", F.col("own_") + F.col("before_")).drop("part_", "own_", "before_")
+
+
+def event_count(lines: DataFrame) -> DataFrame:
+    """One row: n, all lines of the log, malformed ones too."""
+    return lines.agg(F.count("*").alias("n"))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
