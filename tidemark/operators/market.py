@@ -148,3 +148,9 @@ def exposure(ideas: DataFrame, pairs: DataFrame, s: Settings = DEFAULT) -> DataF
     total = ideas.agg(F.sum("position_pct").alias("total_pct"))
     out = ideas.join(near, "symbol", "left").join(total, how="cross")
     return out.withColumns({"within_cluster_cap": F.col("cluster_pct") <= s.max_cluster_pct, "within_total_cap": F.col("total_pct") <= s.max_total_pct})
+
+
+def return_profile(bars: DataFrame) -> DataFrame:
+    """(symbol, mean_return, volatility, n) of each symbol's returns from bar to bar."""
+    r = bars.withColumn("r", change(series(["symbol"]), F.col("close")))
+    return r.groupBy("symbol").agg(F.avg("r").alias("mean_return"), F.stddev_samp("r").alias("volatility"), F.count("r").alias("n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,16 +59,17 @@ def cross_validated(data: DataFrame, splits: int = 6, embargo: float = 0.01, min
     t = data.withColumn("pos", F.row_number().over(W.partitionBy("strategy").orderBy(*ORDER)) - 1)
     fold = members(data, ["strategy"], splits, embargo)
     t = written(t.join(fold, ["strategy", "pos"]))
-    out = None
-    for r in t.groupBy("fold").agg(F.count("*").alias("n"), *[F.count_distinct(F.when(F.col("role") == x, F.col("meta_label"))).alias(x) for x in ("train", "test")]).orderBy("fold").collect():  # a handful of folds
-        if r.train < 2 or r.test < 2:
-            continue
-        own = t.where(F.col("fold") == r.fold)
+    kinds = [F.count_distinct(F.when(F.col("role") == x, F.col("meta_label"))).alias(x) for x in ("train", "test")]
+    ready = [r.fold for r in t.groupBy("fold").agg(*kinds).collect() if r.train == 2 and r.test == 2]  # a handful of folds
+
+    def fitted(fold: int) -> DataFrame:
+        own = t.where(F.col("fold") == fold)
         model = classifier(names, trees).fit(own.where("role = 'train'"))
-        scored = model.transform(own.where("role = 'test'")).select("fold", "meta_label", vector_to_array("probability")[1].alias("p"))
-        got = auc(scored, ["fold"])
-        out = got if out is None else out.unionByName(got)
-    return out if out is not None else data.sparkSession.createDataFrame([], "fold int, auc double, brier double, n_test bigint")
+        return auc(model.transform(own.where("role = 'test'")).select("fold", "meta_label", vector_to_array("probability")[1].alias("p")), ["fold"])
+
+    with ThreadPool(max(1, len(ready))) as pool:  # a fit is many small jobs: folds run side by side
+        out = pool.map(inheritable_thread_target(data.sparkSession)(fitted), ready)
+    return reduce(DataFrame.unionByName, out) if out else data.sparkSession.createDataFrame([], "fold int, auc double, brier double, n_test bigint")
 
 
 def usable(folds: DataFrame, least: float = 0.55) -> DataFrame:

@@ -27,6 +27,12 @@ SIZES = [(0.3, 1.0), (0.4, 2.0), (0.55, 2.5), (0.6, 0.5), (0.5, 1.0), (0.9, 3.0)
 EVENTS = [f'{{"ts":"2024-01-01T00:00:{i:02d}","type":"{t}","n":{i}}}' if t else "not json" for i, t in enumerate(["start", "task", "", "task", "tool", "tool", "", "done", "task", "end"])]
 
 
+#: Thresholds at which rules that this data never meets fire, in the order of their conditions.
+SCALED = {"timeseries_momentum_weekly": (0.05, 0.1), "volume_breakout_confirmed": (0.5, 0.1, 0.5), "exhaustion_after_parabolic": (1.0, 0.5, 0.25), "low_vol_compression_long": (0.08, 0.5), "btc_beta_laggard": (-0.02, 0.0625)}
+#: Strategies to watch: rule, time of discovery, mean return and volatility of the backtest.
+WATCHED = [("smoke_meanrev", "1995-01-01T00:00:00", 0.25, 0.5), ("idiosyncratic_reversal", "1995-01-01T00:00:00", -0.25, 0.5), ("btc_beta_laggard_scaled", "1996-06-01T00:00:00", 0.015625, 0.25), ("funding_carry_crowded_short", "1996-06-01T00:00:00", 0.5, 0.0625)]
+
+
 def values(rows, columns: str) -> str:
     """The rows as an SQL VALUES list with named columns."""
 

@@ -98,7 +98,7 @@ def drawn(seed: int) -> str:
     return f"CASE WHEN {u} < 0.025 THEN 1 WHEN {u} < 0.05 THEN -1 ELSE 0 END"
 
 
-SIDES = {r_.name: (sides(r_), r_.horizon, r_.pt_atr, r_.sl_atr) for r_ in (*signals.SEEDS, signals.SMOKE)} | {
+SIDES = {r_.name: (sides(r_), r_.horizon, r_.pt_atr, r_.sl_atr) for r_ in RULES.values()} | {
     **{f"null_random_{i}": (drawn(1000 + i), 24, 2.0, 1.0) for i in range(5)},
     "null_always_long": ("CASE WHEN idx % 24 = 0 THEN 1 ELSE 0 END", 24, 2.0, 1.0),
     "null_alternating": ("CASE WHEN idx % 12 = 0 THEN 1 WHEN idx % 12 = 6 THEN -1 ELSE 0 END", 24, 2.0, 1.0),
@@ -178,14 +178,21 @@ def phi(v: str) -> str:
     return f"CASE WHEN {v} > 0 THEN 1 - {below} ELSE {below} END"
 
 
-MOMENTS = f"""
+def moments(best: str) -> str:
+    return f"""
 mo AS (SELECT strategy, count(*) AS n_obs, avg(net_return) AS m, stddev_samp(net_return) AS sd, stddev_pop(net_return) AS sp FROM t GROUP BY strategy
 ), sk AS (SELECT strategy, avg(pow((net_return - m) / nullif(sp, 0), 3)) AS skew, avg(pow((net_return - m) / nullif(sp, 0), 4)) AS kurtosis FROM t JOIN mo USING (strategy) GROUP BY strategy
-), d0 AS (SELECT *, CASE WHEN n_obs < 3 THEN 0 ELSE coalesce(m / nullif(sd, 0), 0) END AS sharpe, CASE WHEN n_obs < 3 THEN 0 ELSE {best_of(TRIALS)!r} / sqrt(n_obs) END AS sharpe_threshold FROM mo JOIN sk USING (strategy)
+), d0 AS (SELECT *, CASE WHEN n_obs < 3 THEN 0 ELSE coalesce(m / nullif(sd, 0), 0) END AS sharpe, CASE WHEN n_obs < 3 THEN 0 ELSE {best} / sqrt(n_obs) END AS sharpe_threshold FROM mo JOIN sk USING (strategy)
 ), d1 AS (SELECT *, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe AS v FROM d0
 ), d2 AS (SELECT *, CASE WHEN n_obs >= 3 AND v > 0 THEN (sharpe - sharpe_threshold) * sqrt(n_obs - 1) / sqrt(CASE WHEN v > 0 THEN v END) END AS z FROM d1
 ), ds AS (SELECT *, CASE WHEN n_obs < 3 OR v <= 0 THEN 0 ELSE {phi('z')} END AS dsr FROM d2)"""
-CARDS = f"""{TRADES}, {stats('strategy')}, {FOLDS}, {MOMENTS}, cd AS (SELECT strategy, avg(cost_bps) AS mean_cost_bps, avg(cost_bps) / 10000 / abs(nullif(avg(gross_return), 0)) AS cost_drag_ratio FROM t GROUP BY strategy
+
+
+MOMENTS = moments(repr(best_of(TRIALS)))
+
+
+def cards(trades: str, moments: str) -> str:
+    return f"""{trades}, {stats('strategy')}, {FOLDS}, {moments}, cd AS (SELECT strategy, avg(cost_bps) AS mean_cost_bps, avg(cost_bps) / 10000 / abs(nullif(avg(gross_return), 0)) AS cost_drag_ratio FROM t GROUP BY strategy
 ), c0 AS (SELECT ts.*, ds.dsr, cd.mean_cost_bps, coalesce(cd.cost_drag_ratio, 'inf'::DOUBLE) AS cost_drag_ratio, fc.positive_folds, fc.total_folds FROM ts JOIN ds USING (strategy) JOIN cd USING (strategy) LEFT JOIN fc USING (strategy)
 ), c1 AS (
   SELECT *, list_filter([CASE WHEN n_trades < 30 THEN 'only ' || n_trades || ' trades, need 30' END, CASE WHEN mean_return <= 0 THEN 'net mean return is not positive after costs' END,
@@ -195,6 +202,9 @@ CARDS = f"""{TRADES}, {stats('strategy')}, {FOLDS}, {MOMENTS}, cd AS (SELECT str
 ), cards AS (SELECT *, len(reasons) = 0 AS passed, CASE WHEN len(reasons) = 0 THEN 'promote' ELSE 'reject' END AS verdict FROM c1)"""
 
 
+CARDS = cards(TRADES, MOMENTS)
+
+
 def pbo(inner: str, s: int = 8) -> str:
     combos = ", ".join(f"({i}, {[int(b in c) for b in range(s)]})" for i, c in enumerate(combinations(range(s), s // 2)))
     return f"""{inner}, dr AS (SELECT strategy, CAST(date_trunc('day', entry_time) AS TIMESTAMP) AS day, avg(net_return) AS r FROM t GROUP BY 1, 2
@@ -273,11 +283,12 @@ ORACLES = {
     "flow_coverage": f"SELECT l_returnflag AS symbol, count(*) AS snapshots, {r('epoch(max(l_shipdate) - min(l_shipdate)) / 86400', 'span_days')}, epoch(max(l_shipdate) - min(l_shipdate)) / 86400 >= 90 AS testable FROM lineitem GROUP BY 1",
     "inventory_summary": f"WITH {BARS}, f AS (SELECT l_returnflag, count(*) AS n, epoch(max(l_shipdate) - min(l_shipdate)) / 86400 AS d FROM lineitem GROUP BY 1) SELECT (SELECT count(DISTINCT symbol) FROM bars) AS symbols, (SELECT count(*) FROM bars) AS bars, (SELECT round(max(d), 6) FROM f) AS max_span_days, (SELECT CAST(sum(n) AS BIGINT) FROM f) AS snapshots, (SELECT round(least(100.0::DOUBLE, max(d) / 90 * 100), 6) FROM f) AS progress_pct",
     "universe_screen": f"WITH {BARS}, l AS (SELECT symbol, count(*) AS local_bars, strftime(min(timestamp), '%Y-%m-%d') AS history_since FROM bars GROUP BY 1) SELECT k.symbol, CAST(lastPrice AS DOUBLE) AS last_price, CAST(priceChangePercent AS DOUBLE) AS change_24h_pct, CAST(quoteVolume AS DOUBLE) AS quote_volume_24h, CAST(n AS BIGINT) AS trades_24h, coalesce(local_bars, 0) AS local_bars, history_since, CAST(quoteVolume AS DOUBLE) >= 1000000 AS liquid FROM (SELECT * FROM {VALS(fx.TICKER, 'symbol, lastPrice, priceChangePercent, quoteVolume, n')}) k LEFT JOIN l USING (symbol)",
-    "asof_funding": f"WITH {BARS}, {BARS15} SELECT a.timestamp, {r('a.close', 'close')}, {r('b.close', 'daily_close')} FROM bars15 a ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'R') b ON a.timestamp >= b.timestamp",
+    "asof_funding": f"WITH {BARS}, {BARS15} SELECT a.symbol, a.timestamp, {r('a.close', 'close')}, {r('b.close', 'daily_close')} FROM bars15 a ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = 'R') b ON a.timestamp >= b.timestamp",
     "feature_frame_15m": f"WITH {BARS15}, {frame('bars15', False, False)} SELECT symbol, timestamp, {rs(['momentum_24', 'volatility_24', 'range_position', 'atr_pct'])} FROM feats",
     "regime_label": f"{BASE} SELECT symbol, timestamp, {REGIME} AS regime FROM (SELECT *, {roll('median', 'volatility_168', 720, 100)} AS m FROM feats)",
     **{k: f"{BASE} SELECT symbol, timestamp, {rs(v)} FROM feats" for k, v in {**FEATURE_GROUPS, "feature_frame": FRAME}.items()},
-    **{k: f"{BASE} SELECT * FROM (SELECT '{n}' AS strategy, symbol, idx, timestamp, CAST({SIDES[n][0]} AS DOUBLE) + 0.0 AS side FROM feats) WHERE side <> 0" for k, n in {**{k: r_.name for k, r_ in RULES.items()}, "null_always_long": "null_always_long", "null_alternating": "null_alternating", "null_random_hash": "null_random_0", "lookahead_control": "positive_control_lookahead"}.items()},
+    **{k: f"{BASE} SELECT * FROM (SELECT '{n}' AS strategy, symbol, idx, timestamp, CAST({SIDES[n][0]} AS DOUBLE) + 0.0 AS side FROM feats) WHERE side <> 0" for k, n in {"null_always_long": "null_always_long", "null_alternating": "null_alternating", "null_random_hash": "null_random_0", "lookahead_control": "positive_control_lookahead"}.items()},
+    **{k: f"{BASE} SELECT symbol, timestamp, CAST({SIDES[r_.name][0]} AS INT) AS side FROM feats" for k, r_ in RULES.items()},
     "triple_barrier_long": f"{BASE}, {trades(['every_long'])} SELECT {LABELS} FROM t",
     "triple_barrier_short": f"{BASE}, {trades(['every_short'])} SELECT {LABELS} FROM t",
     "net_events": f"{TRADES} SELECT {LABELS}, {rs(['funding_bps', 'cost_bps', 'net_return'])}, regime FROM t",
@@ -305,7 +316,7 @@ ORACLES = {
     "archive_latest": f"WITH {STRAT} SELECT CAST(id AS BIGINT) AS id, name, CAST(generation AS INT) AS generation, niche, fitness, CAST(passed AS INT) AS passed, status FROM arch",
     "elites_per_niche": f"WITH {STRAT} SELECT niche, name, fitness, rank FROM (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY fitness DESC, id DESC) AS rank FROM arch WHERE status = 'active') WHERE rank <= 2",
     "archive_summary": f"WITH {STRAT} SELECT niche, count(*) AS n, max(fitness) AS best, (SELECT count(*) FROM arch) AS total, (SELECT count(*) FROM arch WHERE status = 'active') AS active, (SELECT count(*) FROM arch WHERE passed = 1) AS promoted, (SELECT count(DISTINCT niche) FROM arch) AS niches_occupied FROM arch GROUP BY niche",
-    "niche_attribution": f"WITH {STRAT} SELECT niche, count(*) AS explored, CAST(sum(passed) AS BIGINT) AS promoted, {r('max(fitness)', 'best_fitness')}, {r('avg(CAST(json_extract_string(scorecard, ' + chr(39) + '$.overall.sharpe' + chr(39) + ') AS DOUBLE))', 'mean_sharpe')}, count(*) FILTER (WHERE status LIKE 'retired%') AS retired, {r('sum(passed) / count(*)', 'promotion_rate')} FROM arch GROUP BY niche",
+    "niche_attribution": f"WITH {STRAT} SELECT niche, count(*) AS explored, CAST(sum(passed) AS BIGINT) AS promoted, {r('max(fitness)', 'best_fitness')}, {r('avg(CAST(json_extract_string(scorecard, ' + chr(39) + '$.overall.sharpe' + chr(39) + ') AS DOUBLE))', 'mean_sharpe')}, count(*) FILTER (WHERE status LIKE 'retired%') AS retired, {r('sum(passed) / count(*)', 'promotion_rate')}, (SELECT count(*) FROM arch) AS total_explored, (SELECT CAST(sum(passed) AS BIGINT) FROM arch) AS total_promoted, {r('(SELECT sum(passed) / count(*) FROM arch)', 'total_rate')} FROM arch GROUP BY niche",
     "niche_of": f"WITH {STRAT} SELECT CAST(id AS BIGINT) AS id, niche FROM strat",
     "forecast_resolution": f"WITH {FC} SELECT id, outcome, resolution, {r('last')}, covered FROM rf",
     "agent_scores": f"WITH {FC}, {scores('agent_role, regime')}",
@@ -330,8 +341,34 @@ ORACLES = {
     "event_log_tail": f"SELECT CAST(i AS BIGINT) AS index, json_extract_string(v, '$.ts') AS ts, json_extract_string(v, '$.type') AS type FROM {VALS(LOG, 'i, v')} WHERE i >= 1 AND json_valid(v) ORDER BY i DESC LIMIT 5",
     "event_log_page": f"SELECT CAST(i AS BIGINT) AS index, json_extract_string(v, '$.ts') AS ts, json_extract_string(v, '$.type') AS type FROM {VALS(LOG, 'i, v')} WHERE i >= 1 AND json_valid(v) ORDER BY i LIMIT 5",
     "feature_catalogue": f"SELECT * FROM {VALS(list(signals.FEATURES.items()), 'feature, meaning')}",
-    "benchmark_gap": f"WITH {BARS} SELECT symbol, {r('avg(ret)', 'mean_return')}, {r('stddev_samp(ret)', 'volatility')}, count(ret) AS n FROM (SELECT *, close / lag(close) {O} - 1 AS ret FROM bars) GROUP BY symbol",
+    "return_profile": f"WITH {BARS} SELECT symbol, {r('avg(ret)', 'mean_return')}, {r('stddev_samp(ret)', 'volatility')}, count(ret) AS n FROM (SELECT *, close / lag(close) {O} - 1 AS ret FROM bars) GROUP BY symbol",
 }
 _nulls = ["null_random_0", "null_random_1", "null_random_2", "null_always_long", "null_alternating"]
 ORACLES["daily_returns_matrix"] = f"{BASE}, {trades(_nulls)} SELECT strategy, CAST(date_trunc('day', entry_time) AS TIMESTAMP) AS day, {r('avg(net_return)', 'r')} FROM t GROUP BY 1, 2"
+_suite = [*[f"null_random_{i}" for i in range(5)], "null_always_long", "null_alternating", "positive_control_lookahead"]
+_best = f"CASE WHEN strategy = 'positive_control_lookahead' THEN 0.0::DOUBLE ELSE {best_of(5)!r} END"
+ORACLES["null_suite"] = f"""SELECT count(*) FILTER (WHERE strategy LIKE 'null%') AS nulls_evaluated, count(*) FILTER (WHERE strategy LIKE 'null%' AND passed) AS nulls_passed,
+  coalesce(bool_or(passed) FILTER (WHERE strategy NOT LIKE 'null%'), false) AS control_passed,
+  count(*) FILTER (WHERE strategy LIKE 'null%' AND passed) = 0 AND coalesce(bool_or(passed) FILTER (WHERE strategy NOT LIKE 'null%'), false) AS trustworthy, {r('any_value(p.pbo)', 'pbo')}
+FROM ({cards(f"{BASE}, {trades(_suite)}", moments(_best))} SELECT strategy, passed FROM cards), ({pbo(f"{BASE}, {trades(_suite[:5])}")} SELECT pbo FROM pb) p"""
+ORACLES["scorecard_nested"] = f"""SELECT c.strategy, c.verdict, c.n_trades, {r('c.sharpe', 'sharpe', 5)}, {r('c.dsr', 'dsr', 5)}, f.n_folds, f.fold_trades, g.regime, g.n_trades AS regime_trades, {r('g.mean_return', 'regime_return', 5)}, {r('g.max_drawdown', 'regime_drawdown', 5)}
+FROM ({CARDS} SELECT * FROM cards) c JOIN ({TRADES}, {stats('strategy, regime')} SELECT * FROM ts) g ON c.strategy = g.strategy
+  LEFT JOIN ({TRADES}, {FOLDS} SELECT strategy, count(*) AS n_folds, CAST(sum(n_trades) AS BIGINT) AS fold_trades FROM fo GROUP BY strategy) f ON f.strategy = c.strategy"""
+_live = " UNION ALL ".join(f"SELECT strategy, net_return FROM ({BASE}, {trades([n], False, cut(f'feats WHERE timestamp >= TIMESTAMP {chr(39)}{at.replace(chr(84), chr(32))}{chr(39)}'))} SELECT * FROM t)" for n, at, _, _ in fx.WATCHED)
+ORACLES["monitor"] = f"""WITH b AS (SELECT strategy, count(*) AS n_trades, avg(net_return) AS mean_return FROM ({_live}) GROUP BY 1
+), a AS (SELECT * FROM {VALS([(n, m, v) for n, _, m, v in fx.WATCHED], 'strategy, m, v')}
+), c AS (SELECT *, (mean_return - m) / nullif(v / sqrt(n_trades), 0) AS z FROM b JOIN a USING (strategy))
+SELECT strategy, n_trades, {r('mean_return', None, 5)}, {r('m', 'expected', 5)}, {r('CASE WHEN n_trades >= 5 THEN z END', 'decay_z', 5)},
+  CASE WHEN n_trades < 5 THEN 'insufficient' WHEN coalesce(z, 0) < -2 OR (mean_return <= 0 AND m > 0) THEN 'retire' ELSE 'healthy' END AS status FROM c"""
+ORACLES["open_forecasts"] = f"WITH {FC} SELECT id, symbol, CAST(horizon_hours AS INT) AS horizon_hours FROM fc WHERE id NOT IN (SELECT id FROM rf)"
+ORACLES["calibration_isotonic"] = f"""WITH {FC}, h AS (SELECT agent_role, probability AS p, avg(outcome) AS y, count(*) AS w FROM fj WHERE outcome IS NOT NULL GROUP BY 1, 2
+), c AS (SELECT *, row_number() OVER o AS k, sum(w) OVER o AS sw, sum(w * y) OVER o AS sy, sum(w) OVER (PARTITION BY agent_role) AS n FROM h WINDOW o AS (PARTITION BY agent_role ORDER BY p)
+), m AS (SELECT a.agent_role, a.k AS a, b.k AS b, (b.sy - a.sy + a.w * a.y) / (b.sw - a.sw + a.w) AS m FROM c a JOIN c b ON a.agent_role = b.agent_role AND a.k <= b.k
+), i AS (SELECT agent_role, p, max(least_) AS v FROM (SELECT c.agent_role, c.p, m.a, min(m.m) AS least_ FROM c JOIN m ON m.agent_role = c.agent_role AND m.a <= c.k AND m.b >= c.k WHERE c.n >= 25 GROUP BY 1, 2, 3) GROUP BY 1, 2
+), e AS (SELECT id, agent_role, probability AS x, max(CASE WHEN p <= probability THEN p END) AS lo, min(CASE WHEN p >= probability THEN p END) AS hi FROM fc LEFT JOIN i USING (agent_role) GROUP BY 1, 2, 3
+), g AS (SELECT e.*, a.v AS y0, b.v AS y1 FROM e LEFT JOIN i a ON a.agent_role = e.agent_role AND a.p = e.lo LEFT JOIN i b ON b.agent_role = e.agent_role AND b.p = e.hi)
+SELECT id, agent_role, {r('x', 'probability')}, {r('CASE WHEN y0 IS NULL AND y1 IS NULL THEN 0.5 + (x - 0.5) * 0.5 ELSE greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR hi = lo THEN y0 ELSE y0 + (x - lo) * (y1 - y0) / (hi - lo) END)) END', 'calibrated')} FROM g"""
+ORACLES["event_count"] = f"SELECT count(*) AS n FROM {VALS(LOG, 'i, v')}"
+ORACLES["holdout_history"] = f"SELECT CAST(id AS BIGINT) AS id, strategy_name, accessed_at, CAST(passed AS INT) AS passed FROM {VALS(fx.HOLDOUT, 'id, strategy_name, accessed_at, passed, scorecard')}"
+ORACLES["research_state"] = f"WITH {HYP}, {TST}, {STS}, {STRAT}, {FC} SELECT (SELECT count(*) FROM now) AS total_hypotheses, (SELECT count(*) FROM now WHERE status = 'promoted') AS promoted, (SELECT count(*) FROM tst) AS total_tests, (SELECT count(*) FROM arch) AS total, (SELECT count(*) FROM arch WHERE status = 'active') AS active, (SELECT count(DISTINCT niche) FROM arch) AS niches_occupied, count(*) AS forecasts, count(*) - count(outcome) AS open, {len(fx.HOLDOUT)}::BIGINT AS holdout_uses FROM fj"
 assert math.isfinite(best_of(TRIALS))

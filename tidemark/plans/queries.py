@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.windows import asof, change, series
-from ..operators import evaluate, features, folds, forecasts, market, metalabel, overfitting, signals, statistics, store, trades
+from ..operators import evaluate, evolution, features, folds, forecasts, market, metalabel, overfitting, signals, statistics, store, trades
 from ..sources import eventlog, tables
 from . import fixtures as fx
 
@@ -92,8 +93,9 @@ def universe_screen(spark, sf):
 
 @query
 def asof_funding(spark, sf):
-    out = asof(tables.bars_15m(spark, sf).withColumn("symbol", F.lit("R")), tables.bars_daily(spark, sf).select("symbol", "timestamp", F.col("close").alias("daily_close")), ["symbol"], ["daily_close"])
-    return rounded(out.select("timestamp", "close", "daily_close"))
+    b, d = tables.bars_15m(spark, sf), tables.bars_daily(spark, sf).where(F.col("symbol") == BENCHMARK)
+    daily = d.select("timestamp", F.col("close").alias("daily_close")).join(b.select("symbol").distinct(), how="cross")  # one series for each symbol
+    return rounded(asof(b, daily, ["symbol"], ["daily_close"]).select("symbol", "timestamp", "close", "daily_close"))
 
 
 @query
@@ -115,13 +117,27 @@ def _signal(strategies: list[signals.Strategy]):
     return run
 
 
-RULES = {f"rule_{r.name}": r for r in (*signals.SEEDS, signals.SMOKE)}
-QUERIES |= {name: _signal([signals.compiled(r)]) for name, r in RULES.items()}
+def _sides(rule: signals.Rule):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        f = frame(spark, sf)
+        return f.select("symbol", "timestamp", signals.compiled(rule).side(f).cast("int").alias("side"))
+
+    return run
+
+
+def _scaled(rule: signals.Rule) -> signals.Rule:
+    """The rule with thresholds that this data reaches."""
+    values = fx.SCALED[rule.name]
+    return replace(rule, name=f"{rule.name}_scaled", conditions=tuple(replace(c, value=v) for c, v in zip(rule.conditions, values, strict=True)))
+
+
+RULES = {f"rule_{r.name}": r for r in (*signals.SEEDS, signals.SMOKE, *[_scaled(r) for r in signals.SEEDS if r.name in fx.SCALED])}
+QUERIES |= {name: _sides(r) for name, r in RULES.items()}
 QUERIES |= {"null_always_long": _signal([signals.ALWAYS_LONG]), "null_alternating": _signal([signals.ALTERNATING]), "null_random_hash": _signal([signals.random_signal(1000)]), "lookahead_control": _signal([signals.LOOKAHEAD])}
 
 LONG = signals.Strategy("every_long", lambda df: F.lit(1), 24, 2.0, 1.0)
 SHORT = signals.Strategy("every_short", lambda df: F.lit(-1), 12, 1.5, 1.0)
-BATCH = [*[signals.compiled(r) for r in (*signals.SEEDS, signals.SMOKE)], *signals.nulls(3), signals.LOOKAHEAD]
+BATCH = [*[signals.compiled(r) for r in RULES.values()], *signals.nulls(3), signals.LOOKAHEAD]
 NEEDS = {"volatility_24", "volatility_168", "momentum_24", "momentum_168", "return_zscore", "quote_volume_z", "range_position", "taker_buy_share_z", "funding_z", "beta_168", "residual_return"}
 
 
@@ -239,7 +255,9 @@ def strategy_fitness(spark, sf):
 
 @query
 def scorecard_nested(spark, sf):
-    return evaluate.nested(events(spark, sf), TRIALS).select("strategy", F.to_json("scorecard").alias("scorecard"))
+    c = evaluate.nested(events(spark, sf), TRIALS).select("strategy", "scorecard.*")
+    c = c.select("strategy", "verdict", "overall.n_trades", "overall.sharpe", "deflated.dsr", F.size("folds").cast("bigint").alias("n_folds"), F.aggregate("folds", F.lit(0).cast("bigint"), lambda a, f: a + f["n_trades"]).alias("fold_trades"), F.explode("by_regime").alias("regime", "r"))
+    return rounded(c.select("strategy", "verdict", "n_trades", "sharpe", "dsr", "n_folds", "fold_trades", "regime", F.col("r.n_trades").alias("regime_trades"), F.col("r.mean_return").alias("regime_return"), F.col("r.max_drawdown").alias("regime_drawdown")), 5)
 
 
 @query
@@ -371,8 +389,32 @@ def reliability_curve(spark, sf):
 
 @query
 def forecast_summary(spark, sf):
-    r = resolved_forecasts(spark, sf).agg(F.count("*").alias("total"), F.count("outcome").alias("resolved"))
-    return r.withColumn("open", F.col("total") - F.col("resolved"))
+    return store.forecast_summary(resolved_forecasts(spark, sf))
+
+
+@query
+def open_forecasts(spark, sf):
+    f = made_forecasts(spark, sf)
+    done = forecasts.resolve(f, tables.bars_daily(spark, sf), F.lit(NOW).cast("timestamp_ntz")).select(F.col("id").alias("forecast_id"))
+    return store.open_forecasts(f, done).select("id", "symbol", "horizon_hours")
+
+
+@query
+def research_state(spark, sf):
+    h, t, a, x = hyp(spark), tst(spark), strat(spark), _store(spark, "holdout_access", fx.HOLDOUT)
+    r = store.research_state(h, t, a, resolved_forecasts(spark, sf), x)
+    return r.select("ledger.total_hypotheses", "ledger.promoted", "ledger.total_tests", "archive.total", "archive.active", "archive.niches_occupied", F.col("forecasts.total").alias("forecasts"), "forecasts.open", F.col("holdout.uses").alias("holdout_uses"))
+
+
+@query
+def holdout_history(spark, sf):
+    return store.holdout_history(_store(spark, "holdout_access", fx.HOLDOUT))
+
+
+@query
+def monitor(spark, sf):
+    a = spark.createDataFrame([(n, at, "active", RULES[f"rule_{n}"].genome(), f'{{"overall":{{"mean_return":{m},"volatility":{v}}}}}') for n, at, m, v in fx.WATCHED], "name string, created_at string, status string, genome string, scorecard string")
+    return rounded(evolution.monitored(frame(spark, sf, NEEDS), a), 5)
 
 
 @query
@@ -467,7 +509,7 @@ def meta_training_set(spark, sf):
 
 @query
 def meta_model_cv(spark, sf):
-    return rounded(metalabel.cross_validated(_meta(spark, sf), trees=10))
+    return rounded(metalabel.cross_validated(_meta(spark, sf)))
 
 
 @query
@@ -494,12 +536,16 @@ def event_log_page(spark, sf):
     return eventlog.page(lines, 1, 5).select("index", "ts", "type")
 
 
+@query
+def event_count(spark, sf):
+    return eventlog.event_count(spark.createDataFrame(list(enumerate(fx.EVENTS)), "index bigint, value string"))
+
+
 @query
 def feature_catalogue(spark, sf):
     return spark.createDataFrame(list(signals.FEATURES.items()), "feature string, meaning string")
 
 
 @query
-def benchmark_gap(spark, sf):
-    b = tables.bars_daily(spark, sf)
-    return rounded(b.withColumn("r", change(series(["symbol"]), F.col("close"))).groupBy("symbol").agg(F.avg("r").alias("mean_return"), F.stddev_samp("r").alias("volatility"), F.count("r").alias("n")))
+def return_profile(spark, sf):
+    return rounded(market.return_profile(tables.bars_daily(spark, sf)))
