@@ -54,6 +54,26 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coales
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM y
 """
 
+OP6 = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+), li AS (SELECT doc_id, p, l[p] AS t, regexp_matches(l[p], '[^\x20\x09-\x0D]') AS solid FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d)
+), s AS (SELECT doc_id, p, t, octet_length(encode(t)) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k, sum(octet_length(encode(t))) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM li WHERE solid
+), w AS (SELECT doc_id, list(t ORDER BY k) AS w FROM s GROUP BY doc_id
+), r AS (
+  SELECT a.doc_id, a.k AS i, b.k AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.upto >= a.upto - a.size + 40 AND b.upto - b.size < a.upto - a.size + 40
+  UNION SELECT b.doc_id, a.k, b.k FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.upto - a.size <= b.upto - 40 AND a.upto > b.upto - 40
+), h AS (SELECT doc_id, i, j, md5(array_to_string(w[i : j], chr(10))) AS h FROM r JOIN w USING (doc_id)
+), f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h
+), g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS k FROM h JOIN f USING (h) WHERE doc_id > first
+), x AS (SELECT li.doc_id, li.p, li.t, CASE WHEN li.solid THEN g.k IS NOT NULL END AS gone FROM li LEFT JOIN s USING (doc_id, p) LEFT JOIN g ON g.doc_id = s.doc_id AND g.k = s.k
+), y AS (
+  SELECT doc_id, p, t, coalesce(gone, bool_or(gone) OVER (PARTITION BY doc_id) IS NOT NULL
+    AND coalesce(last_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+    AND coalesce(first_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true)) AS gone FROM x
+), z AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM y GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256 FROM documents LEFT JOIN z USING (doc_id)
+"""
+
 OP7 = """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -97,4 +117,4 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
 """
 
-ORACLES = {"op2_warc": OP2, "op3_ngram_jaccard_join": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op7_embedding_near_dedup": OP7, "op9_decontamination": OP9}
+ORACLES = {"op2_warc": OP2, "op3_ngram_jaccard_join": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op6_line_dedup": OP6, "op7_embedding_near_dedup": OP7, "op9_decontamination": OP9}
