@@ -47,10 +47,17 @@ def test_targets_and_words(spark, kind):
         assert abs(taken[s] - want[s]) < 3
     mixed = mixed_rows(df)
     assert mixed.columns == df.columns
-    words = Counter()
+    times, want_rows, words = Counter(), Counter(), Counter()
     for r in mixed.collect():
+        times[r.doc_id, r.text, r.source] += 1
         words[r.source] += len((r.text or "").split())
-    assert words == +taken
+    longest = Counter()
+    for r in got:
+        longest[r.source] = max(longest[r.source], r["size"])
+    for k, row in enumerate(rows):
+        want_rows[row[:3]] += 1
+    assert all(n <= 2 * want_rows[k] for k, n in times.items())  # whole texts, none more than twice
+    assert all(abs(words[s] - taken[s]) <= longest[s] / 2 + 1 for s in size)
 
 
 def test_empty(spark):

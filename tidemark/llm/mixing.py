@@ -105,15 +105,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself, with docs' columns: a row for each repetition of a document.
 
-    The row at a source's cut comes with its first words only, joined by one space; rows
-    without words come as often as their source repeats whole.
+    Texts are never cut: the row at its source's cut comes once more if the mix takes half of
+    its words or more there, so a source's words differ from its target by half of one row's at
+    most (of each row there, where ids repeat).  Rows without words come as often as their
+    source repeats whole.
     """
     keep = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    own = docs.select(F.col(source).alias("source"), words_in(F.col(text)).alias("size"), place(id, seed).alias("place"), F.col(text).alias("text"), *keep)
+    own = docs.select(F.col(source).alias("source"), words_in(F.col(text)).alias("size"), place(id, seed).alias("place"), *keep)
     narrow = checkpointed(own.select("source", "size", "place"))
     out = _taken(own, plan(narrow, weights, share, max_epochs))
-    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.col("whole")).cast("int")
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    begun = F.when(part > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), part), " "))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("text_", F.explode(F.concat(F.array_repeat("text", full), begun)))
-    return out.select(*[F.col("text_" if c == text else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.col("whole"))
+    out = out.select(*[f"c{i}" for i in range(len(docs.columns))], F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("n_"))
+    return out.drop("n_").toDF(*docs.columns)
