@@ -49,6 +49,7 @@ def corpus(rng, count):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "SMALL", 5)
     monkeypatch.setattr(ngram_join, "FEW", 4)
     rng = random.Random(3)
     texts = [None, "", " \t", *corpus(rng, 300)]

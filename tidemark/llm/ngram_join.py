@@ -13,12 +13,18 @@
    bitmaps below and the range of sizes.  Two trees (or one with itself) are walked
    together; a pair of nodes goes on only if sizes and the largest possible overlap
    allow the threshold.  Pairs of leaves that stay are compared exactly, unless they
-   are connected already.  A large block is dealt into tiles, which move as one row each;
-   each pair of tiles is a task of its own, so no task holds more than two tiles.
-4. The links found span each component; components() joins them.
+   are connected already.
+4. A large block is dealt into tiles.  Each is linked within itself; between tiles only
+   bitmaps travel (a sixteenth of the sets), and a walk over two of them names the sets that
+   may have links, which then are fetched for that pair.  First every tile meets one of
+   them, which joins most of a dense group; then the nodes outside a block's largest
+   component, dealt into tiles anew, meet each other and those inside.  Two nodes inside it
+   need not meet, so a group of near copies costs a multiple of its size and not its square.
+5. The links found span each component; components() joins them.
 
 A class, not a row, takes part from 2 on, and links are never listed as all pairs of a
-group.  The work within one block is at worst quadratic in its distinct sets.
+group; no task holds more than two tiles.  The work within one block is at worst quadratic in
+its distinct sets that candidate links connect and true links don't.
 """
 
 from __future__ import annotations
@@ -32,8 +38,8 @@ from pyspark.sql import types as T
 from .common import Batches, Scratch, Union, by_bucket, checkpointed, components, frugal, pack, sorted_batch, texts_of, unpack
 from .tokens import grams, mix, words
 
-#: Sets in a tile of a large block, and in a bin of small blocks.
-TILE, FANOUT = 512, 8
+#: Sets of SIZE shingles in a tile, and up to which a block is small; children of a node.
+TILE, SMALL, SIZE, FANOUT = 1024, 512, 1024, 8
 #: Sets with one signature up to which all their pairs are counted; MANY is above any count asked for.
 FEW, MANY = 32, 1 << 20
 
@@ -94,19 +100,30 @@ def signatures(s: np.ndarray, starts: np.ndarray, differ: np.ndarray) -> list[tu
     return out
 
 
+def width_of(size: float) -> int:
+    """Bits of the bitmap of a set of about so many shingles."""
+    width = 512
+    while width < min(16384, 4 * size):
+        width *= 2
+    return width
+
+
+def leaves(sets: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the leaves, their bitmaps, sizes and slack, which is shingles beyond one a bit)."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.lexsort((sizes, np.array([int(s[0]) for s in sets], np.uint64)))
+    bitmap = np.zeros((len(sets), width), bool)
+    for row, i in enumerate(order):
+        bitmap[row, (sets[i] >> np.uint64(11)) % np.uint64(width)] = True
+    bitmap = np.packbits(bitmap, axis=1).view(np.uint64)
+    return order, bitmap, sizes[order], sizes[order] - np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64)
+
+
 class _Tree:
-    """Bitmaps, size ranges and slack (shingles beyond one a bit) of each level, leaves first."""
-
-    def __init__(self, sets: list[np.ndarray], width: int):
-        sizes = np.array([len(s) for s in sets])
-        lead = np.array([int(s[0]) for s in sets], np.uint64)
-        self.order = np.lexsort((sizes, lead))
-        bitmap = np.zeros((len(sets), width), bool)
-        for row, i in enumerate(self.order):
-            bitmap[row, (sets[i] >> np.uint64(11)) % np.uint64(width)] = True
-        bitmap = np.packbits(bitmap, axis=1).view(np.uint64)
-        lo = hi = sizes[self.order]
-        slack = hi - np.bitwise_count(bitmap).sum(axis=1, dtype=np.int64)
+    """Bitmaps, size ranges and slack of each level, leaves first."""
+
+    def __init__(self, bitmap: np.ndarray, size: np.ndarray, slack: np.ndarray):
+        lo = hi = size
         self.levels = [(bitmap, lo, hi, slack)]
         while len(lo) > 1:
             at = np.arange(0, len(lo), FANOUT)
@@ -114,10 +131,6 @@ class _Tree:
             lo, hi, slack = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(slack, at)
             self.levels.append((bitmap, lo, hi, slack))
 
-    def lift(self, height: int) -> None:
-        while len(self.levels) < height:
-            self.levels.append(self.levels[-1])
-
 
 def _possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which node pairs (i of x, j of y) can hold a link."""
@@ -139,24 +152,18 @@ def _children(i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return c[ok], np.repeat(np.arange(len(i)), FANOUT)[ok]
 
 
-def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between left and right, or within left if right is None.
-
-    Indexes of right are counted on from len(left).
-    """
-    sets = left + (right or [])
-    middle = float(np.median([len(s) for s in sets]))
-    width = 512
-    while width < min(16384, 4 * middle):
-        width *= 2
-    x = _Tree(left, width)
-    y = _Tree(right, width) if right is not None else x
-    height = max(len(x.levels), len(y.levels))
+def walk(x: _Tree, y: _Tree | None, num: int, den: int, apart=None) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves (i of x, j of y; i < j of x, if y is None) that may be linked, of those that apart (of i and j) lets through."""
+    same, y = y is None, x if y is None else y
     tops = len(x.levels), len(y.levels)
     i = j = np.zeros(1, np.int64)
-    for level in range(height - 1, -1, -1):
-        a, b = x.levels[min(level, tops[0] - 1)], y.levels[min(level, tops[1] - 1)]
-        keep = _possible(a, b, i, j, num, den)
+    for level in range(max(tops) - 1, -1, -1):
+        if not level:
+            keep = i < j if same else np.ones(len(i), bool)
+            if apart is not None:
+                keep &= apart(i, j)
+            i, j = i[keep], j[keep]
+        keep = _possible(x.levels[min(level, tops[0] - 1)], y.levels[min(level, tops[1] - 1)], i, j, num, den)
         i, j = i[keep], j[keep]
         if level:
             if level < tops[0]:
@@ -165,13 +172,26 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
             if level < tops[1]:
                 c, p = _children(j, len(y.levels[level - 1][1]))
                 i, j = i[p], c
-            if right is None:
+            if same:
                 keep = i <= j
                 i, j = i[keep], j[keep]
+    return i, j
+
+
+def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between left and right, or within left if right is None.
+
+    Indexes of right are counted on from len(left).
+    """
+    sets = left + (right or [])
+    width = width_of(float(np.median([len(s) for s in sets])))
+    own, *x = leaves(left, width)
+    its, *y = (own,) if right is None else leaves(right, width)
+    i, j = walk(_Tree(*x), None if right is None else _Tree(*y), num, den)
     found, seen = [], Union(len(sets))
     first = 0 if right is None else len(left)
-    for a, b in zip(x.order[i].tolist(), (y.order[j] + first).tolist(), strict=True):
-        if a != b and seen.root(a) != seen.root(b):
+    for a, b in zip(own[i].tolist(), (its[j] + first).tolist(), strict=True):
+        if seen.root(a) != seen.root(b):
             s, t = sets[a], sets[b]
             if len(s) > len(t):
                 s, t = t, s
@@ -184,57 +204,128 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
     return found
 
 
-def _packed(node: np.ndarray, sets: list[np.ndarray]) -> bytes:
-    return np.concatenate([[len(node)], node, [len(x) for x in sets]]).astype(np.int64).tobytes() + np.concatenate(sets).tobytes()
+#: A tile: the leaves in order, with the component that each is known to be in.
+_COLUMNS = {"node": np.int64, "label": np.int64, "size": np.int64, "slack": np.int64, "lead": np.uint64, "bits": np.uint64}
+_PACKED = ", ".join(f"{c} binary" for c in _COLUMNS)
+_LINKS = f"x bigint, y bigint, root bigint, tile int, tiles int, {_PACKED}"
+
 
+def _typed(rows: list, schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    named = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(named)
+    return pa.table([pa.array(list(c), kinds[k]) for c, (_, k) in zip(cols, named, strict=True)], names=[n for n, _ in named])
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    node, size = np.frombuffer(data, np.int64, 2 * n, 8).reshape(2, n)
-    return node, np.split(np.frombuffer(data, np.uint64, offset=8 + 16 * n), np.cumsum(size)[:-1])
 
+def _tile(row: dict) -> dict[str, np.ndarray]:
+    """The arrays of a tile's row; bits with a line for each leaf."""
+    t = {c: np.frombuffer(row[c], k) for c, k in _COLUMNS.items()}
+    return {**t, "bits": t["bits"].reshape(len(t["node"]), -1)}
 
-_LINKS = "x bigint, y bigint, root bigint, tile int, tiles int, data binary"
 
+def _part(t: dict[str, np.ndarray], of: np.ndarray) -> list[bytes]:
+    return [np.ascontiguousarray(t[c][of]).tobytes() for c in _COLUMNS]
 
-def _within(num: int, den: int, classes: int):
-    """Of a bin of small blocks or a tile of a large one: links, and for a tile one row that holds it whole."""
+
+def _within(num: int, den: int, classes: int, starts: np.ndarray):
+    """Of a bin of small blocks or a tile of a large one: links, and for a tile one row of its leaves."""
 
     def run(table: pa.Table) -> pa.Table:
         frugal()
         table = table.sort_by([("root", "ascending"), ("node", "ascending")])
         root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
-        rows = []
+        none, rows = [None] * 9, []
         cut = np.concatenate([[0], np.flatnonzero(np.diff(root)) + 1, [len(root)]])
+        links = []
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if hi - lo > 1:
-                rows += [(int(node[lo + p]) // classes, int(node[lo + q]) // classes, None, None, None, None) for p, q in tree_links(sets[lo:hi], None, num, den)]
+            links = tree_links(sets[lo:hi], None, num, den) if hi - lo > 1 else []
+            rows += [(int(node[lo + p]) // classes, int(node[lo + q]) // classes, *none) for p, q in links]
         tiles = table.column("tiles")[0].as_py()
-        if tiles > 1:
-            rows.append((None, None, int(root[0]), table.column("tile")[0].as_py(), tiles, _packed(node, sets)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["x", "y", "root", "tile", "tiles", "data"])
+        if tiles > 1:  # then it is one block
+            seen = Union(len(node))
+            for p, q in links:
+                seen.join(p, q)
+            order, bitmap, size, slack = leaves(sets, width_of(starts[int(node[0]) % classes + 1]))
+            label = node[[seen.root(i) for i in range(len(node))]] // classes
+            t = {"node": node, "label": label, "lead": np.array([s[0] for s in sets], np.uint64)}
+            t = {c: v[order] for c, v in t.items()} | {"size": size, "slack": slack, "bits": bitmap}
+            rows.append((None, None, int(root[0]), table.column("tile")[0].as_py(), tiles, *_part(t, np.arange(len(node)))))
+        return _typed(rows, _LINKS)
+
+    return run
+
+
+def _asked(num: int, den: int):
+    """For a pair of tiles, or one with itself: the nodes that may have links to nodes of other labels there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        frugal()
+        rows = table.sort_by("pos").to_pylist()
+        lo, hi, out = rows[0]["lo"], rows[0]["hi"], []
+        if len(rows) == 2 or lo == hi:  # else the hash left one of them empty
+            both = [_tile(r) for r in rows]
+            x, y = both[0], both[-1]
+            if len(np.union1d(x["label"], y["label"])) > 1:
+                trees = [_Tree(t["bits"], t["size"], t["slack"]) for t in both]
+                i, j = walk(trees[0], trees[1] if lo != hi else None, num, den, lambda i, j: x["label"][i] != y["label"][j])
+                out = [(rows[0]["root"], lo, hi, n) for n in np.union1d(x["node"][i], y["node"][j]).tolist()]
+        return _typed(out, "root bigint, lo int, hi int, node bigint")
 
     return run
 
 
-def _between(num: int, den: int, classes: int):
-    """Links between two tiles of a block; a tile that the hash left empty has no row."""
+def _exact(num: int, den: int, classes: int):
+    """A spanning forest of the links between the sets fetched for a pair of tiles."""
 
     def run(table: pa.Table) -> pa.Table:
         frugal()
-        if table.num_rows < 2:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("x", "y")})
-        (a, left), (b, right) = (_unpacked(x) for x in table.sort_by("tile").column("data").to_pylist())
-        ids = np.concatenate([a, b]) // classes
-        links = np.array(tree_links(left, right, num, den), np.int64).reshape(-1, 2)
-        return pa.table([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=["x", "y"])
+        table = table.sort_by("node")
+        rid = table.column("node").to_numpy() // classes
+        links = tree_links([np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()], None, num, den)
+        return _typed([(int(rid[a]), int(rid[b])) for a, b in links], "x bigint, y bigint")
 
     return run
 
 
+_SPLIT = f"root bigint, pos int, tiles int, rest int, {_PACKED}"
+
+
+def _divided(table: pa.Table, marks: pa.Table) -> pa.Table:
+    """A tile with new labels as the leaves inside the block's largest component (if it is marked), and parts of the tiles of the rest.
+
+    Places 0 to inner - 1 are those of the tiles inside, the rest's follow.
+    """
+    frugal()
+    if not table.num_rows or not marks.num_rows:
+        return _typed([], _SPLIT)
+    row, marks = table.to_pylist()[0], marks.sort_by("node")
+    t, at = _tile(row), np.argsort(np.frombuffer(row["node"], np.int64), kind="stable")
+    inside, label, inner, rest = (marks.column(c).to_numpy(zero_copy_only=False) for c in ("inside", "label", "inner", "rest"))
+    inner, rest = int(inner[0]), int(rest[0])
+    back = np.empty(len(at), np.int64)
+    back[at] = np.arange(len(at))
+    t["label"], inside = label[back], inside[back]
+    out = []
+    if inside.any():
+        out.append((row["root"], row["tile"], inner, rest, *_part(t, np.flatnonzero(inside))))
+    if rest:
+        to = mix(t["node"].astype(np.uint64)) % np.uint64(rest) if inner else np.full(len(at), row["tile"])
+        for k in np.unique(to[~inside]).tolist():
+            out.append((row["root"], inner + int(k), inner, rest, *_part(t, np.flatnonzero(~inside & (to == k)))))
+    return _typed(out, _SPLIT)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The parts of one tile as one, its leaves in order."""
+    frugal()
+    rows = table.to_pylist()
+    parts = [_tile(r) for r in rows]
+    t = {c: np.concatenate([p[c] for p in parts]) for c in _COLUMNS}
+    order = np.lexsort((t["node"], t["size"], t["lead"]))
+    return _typed([(*[rows[0][c] for c in ("root", "pos", "tiles", "rest")], *_part(t, order))], _SPLIT)
+
+
 def _candidates(table: pa.Table) -> pa.Table:
     """For a bucket of signatures: how many each pair of sets shares, of those that few have; links to the first for others."""
     frugal()
@@ -306,26 +397,52 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
     asked = F.element_at(F.array(*[F.lit(ranges_of(int(d))[1]) for d in differ]), (F.col("x") % k + 1).cast("int"))
     near = near.groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= asked).select("x", "y")
     blocks = components(near)
-    large = scratch.keep(blocks.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > TILE).select("root", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-    nodes = blocks.join(large, "root", "left").select("root", "node", F.coalesce("tiles", F.lit(1)).alias("tiles"), F.expr(f"node div {k}L").alias("rid"))
+    rid = F.expr(f"node div {k}L").alias("rid")
+    weight = F.count("*") * F.greatest(F.lit(1.0), F.max(F.element_at(F.array(*[F.lit(int(x)) for x in starts]), (F.col("node") % k + 2).cast("int"))) / SIZE)  # sets of a block are of one size class
+    large = scratch.keep(blocks.groupBy("root").agg(weight.alias("w")).where(F.col("w") > SMALL).select("root", F.greatest(F.lit(2), F.ceil(F.col("w") / TILE)).cast("int").alias("tiles")))
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")
+    nodes = blocks.join(large, "root", "left").select("root", "node", F.coalesce("tiles", F.lit(1)).alias("tiles"), rid)
     nodes = nodes.select("root", "node", "tiles", "rid", batches.batch_of("rid"))
 
     def sent(t: pa.Table, own: pa.Table) -> pa.Table:
+        """own's rows, each with its set as s in place of the batch."""
         t = sorted_batch(t.filter(pa.array(np.isin(t.column("rid").to_numpy(), own.column("rid").to_numpy()))))
         have = dict(zip(t.column("rid").to_pylist(), (x.tobytes() for x in shingle_sets(texts_of(t), n)), strict=True))
         s = pa.array([have[r] for r in own.column("rid").to_pylist()], pa.binary())
-        return pa.table([own.column("root"), own.column("node"), own.column("tiles"), s], names=["root", "node", "tiles", "s"])
+        return own.drop_columns(["b", "rid"]).append_column("s", s)
 
     sets = rows.groupBy("b").cogroup(nodes.groupBy("b")).applyInArrow(sent, "root bigint, node bigint, tiles int, s binary")
     tiled = F.col("tiles") > 1
     bin = F.when(tiled, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(max(1, 2 * nb))))
-    sets = sets.select("root", "node", "tiles", "s", F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), bin.alias("k"), tiled.alias("large"))
-    found = scratch.keep(sets.groupBy("large", "k", "tile").applyInArrow(_within(num, den, k), _LINKS))
-    other = F.col("other")
-    pairs = found.where("data is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("other <> tile")
-    pairs = pairs.select("root", F.least("tile", other).alias("i"), F.greatest("tile", other).alias("j"), "tile", "data")
-    far = pairs.groupBy("root", "i", "j").applyInArrow(_between(num, den, k), "x bigint, y bigint")
-    joined = components(found.where("data is null").select("x", "y").unionByName(far)).toDF("rid", "root")
+    sets = sets.select("root", "node", "tiles", "s", tile, bin.alias("k"), tiled.alias("large"))
+    found = scratch.keep(sets.groupBy("large", "k", "tile").applyInArrow(_within(num, den, k, starts), _LINKS))
+    links = found.where("root is null").select("x", "y")
+
+    def between(tiles: DataFrame, others) -> DataFrame:
+        """Links between tiles (root, pos, ...) and the tiles of the same root at the places `others`."""
+        other = F.col("other")
+        pairs = tiles.withColumn("other", F.explode(others)).select("root", F.least("pos", other).alias("lo"), F.greatest("pos", other).alias("hi"), "pos", *_COLUMNS)
+        asked = scratch.keep(pairs.groupBy("root", "lo", "hi").applyInArrow(_asked(num, den), "root bigint, lo int, hi int, node bigint"))
+        asked = asked.select("root", "lo", "hi", "node", rid).select("*", batches.batch_of("rid"))
+        got = rows.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(sent, "root bigint, lo int, hi int, node bigint, s binary")
+        return scratch.keep(got.groupBy("root", "lo", "hi").applyInArrow(_exact(num, den, k), "x bigint, y bigint"))
+
+    joined = None
+    if not large.isEmpty():
+        tiles = found.where("root is not null").withColumn("pos", F.col("tile"))
+        hub = F.when(F.col("pos") == 0, F.sequence(F.lit(1), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
+        joined = components(links.unionByName(between(tiles, hub))).toDF("rid", "known")
+        marks = nodes.where(tiled).join(joined, "rid", "left").select("root", "node", "tiles", tile, F.coalesce("known", "rid").alias("label"))
+        marks = scratch.keep(marks)
+        top = marks.groupBy("root", "label").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("m"), F.sum("m").alias("all"), F.count("*").alias("labels")).where("labels > 1")
+        dense = F.col("m") >= TILE
+        top = scratch.keep(top.join(large, "root").select("root", F.when(dense, F.col("top")).alias("top"), F.when(dense, F.col("tiles")).otherwise(0).alias("inner"), F.when(dense, F.ceil((F.col("all") - F.col("m")) * F.col("tiles") / F.col("all"))).otherwise(F.col("tiles")).cast("int").alias("rest")))
+        marks = marks.join(top, "root").select("root", "tile", "node", "label", F.coalesce(F.col("label") == F.col("top"), F.lit(False)).alias("inside"), "inner", "rest")
+        parts = tiles.groupBy("root", "tile").cogroup(marks.groupBy("root", "tile")).applyInArrow(_divided, _SPLIT)
+        tiles = parts.groupBy("root", "pos").applyInArrow(_merged, _SPLIT)
+        inner, last = F.col("tiles"), F.col("tiles") + F.col("rest") - 1
+        links = joined.select(F.col("rid").alias("x"), F.col("known").alias("y")).unionByName(between(tiles, F.when(F.col("pos") < inner, F.sequence(inner, last)).otherwise(F.sequence(F.lit(0), last))))
+    joined = components(links).toDF("rid", "root")
     batches.release()
     linked = scratch.keep(joined.join(classes, "rid"))
     tops = scratch.keep(linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("r")))  # cut here, a hot root's side of the join can be split
