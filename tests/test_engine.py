@@ -81,6 +81,21 @@ def test_truncation_changes_no_feature(bars):
     assert a.where(~F.col("return_zscore").eqNullSafe(F.col("z")) & (F.abs(F.col("return_zscore") - F.col("z")) > 1e-12) | (F.abs(F.col("atr") - F.col("a2")) > 1e-12)).count() == 0
 
 
+def test_blocks_change_no_feature(spark):
+    bars = spark.createDataFrame(made_bars(2600, "AB"), BARS)
+    funding = bars.where("hour(timestamp) % 8 = 0").select("symbol", "timestamp", (F.col("volume") * 1e-5 + F.rand(3) * 1e-4).alias("funding_rate"))
+    funding = spark.createDataFrame(funding.collect(), funding.schema)
+    whole, cut = (features.feature_frame(bars, funding, "A", block=b).toPandas().sort_values(["symbol", "timestamp"]).reset_index(drop=True) for b in (None, 1024))
+    assert sorted(whole.columns) == sorted(cut.columns) and len(whole) == len(cut) == 5200
+    for c in whole.columns:
+        if whole[c].dtype == float:
+            assert np.allclose(whole[c], cut[c], rtol=1e-7, atol=1e-10, equal_nan=True), c
+        else:
+            assert (whole[c] == cut[c]).all(), c
+    with pytest.raises(ValueError):
+        features.feature_frame(bars, block=1000)
+
+
 def test_asof(spark):
     rng = random.Random(3)
     at = lambda k: T0 + timedelta(minutes=k)

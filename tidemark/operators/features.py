@@ -15,6 +15,8 @@ from ..sources.tables import BASE
 
 MOMENTUM = (6, 24, 72, 168)
 ATR_BARS = 14
+#: Bars before a block that its windows may look at: the longest has 720, and of the recursive mean 1e-33 lies further back.
+HALO = 1024
 
 
 def indexed(bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,19 +36,39 @@ def average_true_range(df: DataFrame, keys: list[str], out: str = "atr") -> Data
     return ewm(df.withColumn("tr_", true_range(w)), w, "tr_", 1 / ATR_BARS, ATR_BARS, "idx", keys, out).drop("tr_")
 
 
-def feature_frame(bars: DataFrame, funding: DataFrame | None = None, benchmark: str | None = None, keys: list[str] | None = None, min_bars: int = 100, lagged: bool = True, only: set[str] | None = None) -> DataFrame:
+def in_blocks(df: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, list[str]]:
+    """df in blocks of so many bars, each with the HALO bars before it (halo_), and the keys that tell blocks apart."""
+    if block < HALO or block % HALO:
+        raise ValueError(f"a block is a multiple of {HALO} bars")
+    at = F.floor(F.col("idx") / block)
+    last = (F.col("idx") % block >= block - HALO) & ((at + 1) * block < F.col("n"))
+    copies = F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = df.withColumn("ahead_", F.explode(copies))
+    out = out.withColumn("block_", at + F.col("ahead_")).withColumn("halo_", F.col("ahead_") == 1).drop("ahead_")
+    return out.repartition(*keys, "block_"), [*keys, "block_"]
+
+
+def feature_frame(bars: DataFrame, funding: DataFrame | None = None, benchmark: str | None = None, keys: list[str] | None = None, min_bars: int = 100, lagged: bool = True, only: set[str] | None = None, block: int | None = None) -> DataFrame:
     """bars with features, of the series of min_bars bars or more.
 
     funding(symbol, timestamp, funding_rate) is taken as of each bar.  benchmark names the
     symbol whose bars all others are compared with; it gets no such features itself.
-    only: the features to build (what they rest on comes with them).
+    only: the features to build (what they rest on comes with them).  block: for long series,
+    so many bars are a task's unit in place of a whole series (a multiple of HALO, which is
+    also what a block repeats of the one before); one shuffle more, the same results.
     """
     keys = keys or ["symbol"]
     want = lambda *names: only is None or bool(only & set(names))
-    w = series(keys)
     base = [c for c in bars.columns if c in BASE]
     df = indexed(bars, keys).where(F.col("n") >= min_bars)
-    close = F.col("close")
+    rates, compared = want("funding_rate", "funding_z", "funding_cum_7d"), benchmark is not None and want("benchmark_close", "benchmark_return", "beta_168", "residual_return")
+    if rates:
+        df = df.withColumn("funding_rate", F.lit(None).cast("double")) if funding is None else asof(df, funding, ["symbol"], ["funding_rate"])
+    if compared:
+        df = with_benchmark_close(df, bars, benchmark)
+    if block is not None:
+        df, keys = in_blocks(df, keys, block)
+    w, close = series(keys), F.col("close")
     df = df.withColumns({"return_1": change(w, close), "log_return": F.ln("close") - F.ln(F.lag("close").over(w))})
     new: dict[str, Column] = {}
     for n in MOMENTUM:
@@ -64,40 +86,38 @@ def feature_frame(bars: DataFrame, funding: DataFrame | None = None, benchmark:
     if want("range_position"):
         low, high = rolling(w, F.min, F.col("low"), 24), rolling(w, F.max, F.col("high"), 24)
         new["range_position"] = ratio(close - low, high - low)
+    if rates:
+        rate = F.col("funding_rate")
+        new |= {"funding_z": zscore(w, rate, 168), "funding_cum_7d": rolling(w, F.sum, rate, 21)}
     df = df.withColumns(new)
     if want("atr", "atr_pct"):
         df = average_true_range(df, keys).withColumn("atr_pct", ratio(F.col("atr"), close))
-    if want("funding_rate", "funding_z", "funding_cum_7d"):
-        if funding is None:
-            df = df.withColumns({c: F.lit(None).cast("double") for c in ("funding_rate", "funding_z", "funding_cum_7d")})
-        else:
-            df = asof(df, funding, ["symbol"], ["funding_rate"])
-            rate = F.col("funding_rate")
-            df = df.withColumns({"funding_z": zscore(w, rate, 168), "funding_cum_7d": rolling(w, F.sum, rate, 21)})
-    if benchmark is not None and want("benchmark_close", "benchmark_return", "beta_168", "residual_return"):
-        df = with_benchmark(df, bars, benchmark, keys)
+    if compared:
+        df = with_benchmark(df, w)
     if lagged:
         lag = lambda c: F.lag(c).over(w).alias(c)
-        df = df.select(*base, "idx", *[lag(c) for c in df.columns if c not in (*base, "idx", "n")])
-    return df
+        own = [*base, "idx", *[c for c in ("block_", "halo_") if block is not None]]
+        df = df.select(*own, *[lag(c) for c in df.columns if c not in (*own, "n")])
+    return df if block is None else df.where(~F.col("halo_")).drop("block_", "halo_")
 
 
-def with_benchmark(df: DataFrame, bars: DataFrame, benchmark: str, keys: list[str]) -> DataFrame:
-    """df with the benchmark's close as of each bar, its return, the beta to it and the return net of it."""
-    w = series(keys)
+def with_benchmark_close(df: DataFrame, bars: DataFrame, benchmark: str) -> DataFrame:
+    """df with the benchmark's close as of each bar; null for the benchmark itself."""
     bench = bars.where(F.col("symbol") == benchmark).select("timestamp", F.col("close").alias("benchmark_close"))
     own = F.col("symbol") == benchmark
     others = df.where(~own)
     spread = bench.join(others.select("symbol").distinct(), how="cross")  # one series for each symbol
-    d = asof(others, spread, ["symbol"], ["benchmark_close"])
-    d = d.withColumn("benchmark_return", change(w, F.col("benchmark_close")))
+    return asof(others, spread, ["symbol"], ["benchmark_close"]).unionByName(df.where(own), allowMissingColumns=True)
+
+
+def with_benchmark(df: DataFrame, w) -> DataFrame:
+    """df with the benchmark's return, the beta to it and the return net of it."""
+    d = df.withColumn("benchmark_return", change(w, F.col("benchmark_close")))
     both = F.when(F.col("return_1").isNotNull() & F.col("benchmark_return").isNotNull(), 1)
     frame = w.rowsBetween(-167, 0)
-    full = F.count(both).over(frame) >= 168
-    cov = F.when(full, F.covar_samp("return_1", "benchmark_return").over(frame))
+    cov = F.when(F.count(both).over(frame) >= 168, F.covar_samp("return_1", "benchmark_return").over(frame))
     d = d.withColumn("beta_168", ratio(cov, rolling(w, F.var_samp, F.col("benchmark_return"), 168)))
-    d = d.withColumn("residual_return", F.col("return_1") - F.col("beta_168") * F.col("benchmark_return"))
-    return d.unionByName(df.where(own), allowMissingColumns=True)
+    return d.withColumn("residual_return", F.col("return_1") - F.col("beta_168") * F.col("benchmark_return"))
 
 
 def regime(w) -> Column:
