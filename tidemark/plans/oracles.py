@@ -360,7 +360,7 @@ ORACLES["monitor"] = f"""WITH b AS (SELECT strategy, count(*) AS n_trades, avg(n
 ), c AS (SELECT *, (mean_return - m) / nullif(v / sqrt(n_trades), 0) AS z FROM b JOIN a USING (strategy))
 SELECT strategy, n_trades, {r('mean_return', None, 5)}, {r('m', 'expected', 5)}, {r('CASE WHEN n_trades >= 5 THEN z END', 'decay_z', 5)},
   CASE WHEN n_trades < 5 THEN 'insufficient' WHEN coalesce(z, 0) < -2 OR (mean_return <= 0 AND m > 0) THEN 'retire' ELSE 'healthy' END AS status FROM c"""
-ORACLES["open_forecasts"] = f"WITH {FC} SELECT id, symbol, CAST(horizon_hours AS INT) AS horizon_hours FROM fc WHERE id NOT IN (SELECT id FROM rf)"
+ORACLES["forecasts_open"] = f"WITH {FC} SELECT id, symbol, CAST(horizon_hours AS INT) AS horizon_hours FROM fc WHERE id NOT IN (SELECT id FROM rf)"
 ORACLES["calibration_isotonic"] = f"""WITH {FC}, h AS (SELECT agent_role, probability AS p, avg(outcome) AS y, count(*) AS w FROM fj WHERE outcome IS NOT NULL GROUP BY 1, 2
 ), c AS (SELECT *, row_number() OVER o AS k, sum(w) OVER o AS sw, sum(w * y) OVER o AS sy, sum(w) OVER (PARTITION BY agent_role) AS n FROM h WINDOW o AS (PARTITION BY agent_role ORDER BY p)
 ), m AS (SELECT a.agent_role, a.k AS a, b.k AS b, (b.sy - a.sy + a.w * a.y) / (b.sw - a.sw + a.w) AS m FROM c a JOIN c b ON a.agent_role = b.agent_role AND a.k <= b.k

@@ -393,7 +393,7 @@ def forecast_summary(spark, sf):
 
 
 @query
-def open_forecasts(spark, sf):
+def forecasts_open(spark, sf):
     f = made_forecasts(spark, sf)
     done = forecasts.resolve(f, tables.bars_daily(spark, sf), F.lit(NOW).cast("timestamp_ntz")).select(F.col("id").alias("forecast_id"))
     return store.open_forecasts(f, done).select("id", "symbol", "horizon_hours")
