@@ -64,3 +64,36 @@ def test_stages(spark, docs, tables):
         out.count()
         empty = stage(spark, docs.limit(0), tables)
         assert empty.count() == 0, name
+
+
+def rows_of(df, *names):
+    return sorted(([r[n] for n in names] for r in df.collect()), key=str)
+
+
+def test_values_of_odd_rows(spark, docs, tables):
+    labels, items = spark.read.parquet(f"{tables}/labels.parquet"), spark.read.parquet(f"{tables}/benchmark.parquet")
+    for scores in (quality_scores, toxicity_scores):
+        got = {}
+        for r in scores(docs, labels).collect():
+            assert 0 <= r.score <= 1 and r.predicted in (0, 1)
+            got.setdefault((r.text or "").strip(" \t\n"), set()).add(r.score)
+        assert all(len(v) == 1 for v in got.values())  # equal texts, and all without words, have one score
+    comp = {(r.doc_id, r.n_shingles): r.component_id for r in similarity_components(docs).collect()}
+    assert comp[1, 5] == 1 and comp[2, 977] == comp[8, 977] == 2 and comp[3, 0] == 3 and comp[4, 0] == 4 and comp[None, 0] is None and comp[5, 1] == comp[5, 1]
+    mixed = mix_sources(docs).collect()
+    assert {(r.doc_id, r["size"]) for r in mixed} >= {(1, 45), (2, 250_000), (3, 0), (4, 0), (None, 0), (7, 3000)} and all(0 <= r.taken <= 2 * r["size"] for r in mixed)
+    placed = shard_rows(docs, 7).collect()
+    assert {r["size"] for r in placed if r.doc_id in (3, 4)} == {16} and len({r.shard for r in placed if r.doc_id in (2, 8)}) == 1
+    for k in range(7):
+        slots = sorted(r.slot for r in placed if r.shard == k)
+        assert slots == list(range(len(slots)))
+    hit = {(r.doc_id, r.n_words): (r.n_hit, r["items"], r.contaminated) for r in contamination(docs, items).collect()}
+    assert hit[2, 250_000] == hit[8, 250_000] == (768, ["1"], False) and hit[5, 1] == (1, ["3"], True) and hit[4, 0] == (0, [], False)
+    lines = rows_of(remove_common_lines(docs, keep=["doc_id"]).where("doc_id in (1, 2, 3, 4, 8)"), "doc_id", "n_lines", "n_removed")
+    assert lines == sorted([[1, 1, 0], [1, 1, 1], [1, 1, 1], [1, 1, 1], [2, 1, 0], [8, 1, 1], [3, 1, 0], [4, 0, 0]], key=str)
+    pages = archive_pages(docs.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html")))
+    empty = rows_of(pages.where("payload_bytes = 0"), "page_id", "payload_digest", "record_type", "refers_to")
+    none = "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+    assert empty == sorted([[3, none, "response", None], [4, none, "revisit", 3], [None, none, "revisit", 3], [None, none, "revisit", 3]], key=str)
+    vecs = docs.where("doc_id = 1 or doc_id = 3").select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"), F.col("n_chars").cast("int").alias("label"))
+    assert rows_of(near_vectors(vecs), "vec_id", "n_links", "component_id", "kept") == [[1, 3, 1, True]] * 4 + [[3, 0, 3, True]]
