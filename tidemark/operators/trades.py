@@ -82,15 +82,20 @@ def sides(f: DataFrame, strategies: list[Strategy]) -> Column:
     return F.filter(F.array(*made), lambda t: t["side"] != 0)
 
 
+def _placed(e: Column, s: Column) -> Column:
+    """An entry with one of its strategies and its barriers."""
+    up = F.signum(s["side"])
+    return F.struct(e.alias("e"), s.alias("st"), (e["close"] + up * s["pt"] * e["atr"]).alias("target"), (e["close"] - up * s["sl"] * e["atr"]).alias("stop"), (up > 0).alias("long"))
+
+
 def _settled(first: Column):
-    """Of an entry and one of its strategies: both, with barriers, the first bar that meets one, and the last within the horizon; first: idx of path's first bar."""
+    """Of what _placed() made: it, the first bar that meets a barrier, and the last within the horizon; first: idx of path's first bar."""
 
-    def of(e: Column, s: Column) -> Column:
-        up, at = F.signum(s["side"]), (e["idx"] - first + 1).cast("int")  # the entry's own place in the path, from 1
-        target, stop = e["close"] + up * s["pt"] * e["atr"], e["close"] - up * s["sl"] * e["atr"]
-        met = lambda x: F.when(up > 0, (x["low"] <= stop) | (x["high"] >= target)).otherwise((x["high"] >= stop) | (x["low"] <= target))
-        hit = F.try_element_at(F.filter(F.slice("path", at + 1, s["horizon"]), met), F.lit(1))
-        return F.struct(e.alias("e"), s.alias("st"), target.alias("target"), stop.alias("stop"), hit.alias("hit"), F.try_element_at("path", F.least(at + s["horizon"], F.size("path"))).alias("last"))
+    def of(p: Column) -> Column:
+        at = (p["e"]["idx"] - first + 1).cast("int")  # the entry's own place in the path, from 1
+        met = lambda x: F.when(p["long"], (x["low"] <= p["stop"]) | (x["high"] >= p["target"])).otherwise((x["high"] >= p["stop"]) | (x["low"] <= p["target"]))
+        hit = F.try_element_at(F.filter(F.slice("path", at + 1, p["st"]["horizon"]), met), F.lit(1))
+        return F.struct(*[p[c].alias(c) for c in ("e", "st", "target", "stop")], hit.alias("hit"), F.try_element_at("path", F.least(at + p["st"]["horizon"], F.size("path"))).alias("last"))
 
     return of
 
@@ -117,8 +122,8 @@ def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | No
     blocks = f.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(bar)).alias("bars"), F.collect_list(F.when(enters, entry)).alias("entries"))
     ahead = F.lead("bars").over(W.partitionBy(*keys).orderBy("block"))
     t = blocks.withColumn("path", F.concat("bars", F.coalesce(ahead, F.slice("bars", 1, 0)))).where(F.size("entries") > 0)
-    settled = _settled(F.col("block") * longest)
-    t = t.select(*keys, F.explode(F.flatten(F.transform("entries", lambda e: F.transform(e["st"], lambda x: settled(e, x))))).alias("x")).select(*keys, "x.*")
+    placed = F.flatten(F.transform("entries", lambda e: F.transform(e["st"], lambda x: _placed(e, x))))
+    t = t.select(*keys, F.explode(F.transform(placed, _settled(F.col("block") * longest))).alias("x")).select(*keys, "x.*")
     side, close, held = F.col("st.side"), F.col("e.close"), F.col("out.idx") - F.col("e.idx")
     stopped = F.when(side > 0, F.col("hit.low") <= F.col("stop")).otherwise(F.col("hit.high") >= F.col("stop"))
     t = t.withColumn("out", F.coalesce("hit", "last")).withColumn("barrier", F.when(F.col("hit").isNull(), "vertical").when(stopped, "stop").otherwise("target"))
