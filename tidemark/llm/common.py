@@ -237,3 +237,34 @@ def components(edges: DataFrame) -> DataFrame:
     out = checkpointed(out)
     scratch.drop()
     return out
+
+
+#: A key of more than this part of the rows, of which there are fewer than HOT_KEYS, is looked up by broadcast.
+HOT_KEYS = 256
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with the other columns of table, which has a row for each key of `on` and n_, its rows in `rows`, `total` in all.
+
+    Keys with more than total / HOT_KEYS rows are fewer than HOT_KEYS, whatever the input,
+    so these are broadcast and their rows stay where they are; all others meet by a shuffle in which
+    no key is large.  rows and table are read twice: written tables, with rows of bounded size.
+    """
+    large = F.col("n_") * HOT_KEYS > total
+    hot, cold = F.broadcast(table.where(large).drop("n_")), table.where(~large).drop("n_")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
+
+
+def dense_names(scratch: Scratch, rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """rows, a written table, with a number in place of the key: equal keys have equal numbers, 0 to the number of keys - 1.
+
+    Keys are counted (in part before the shuffle) and numbered where they lie; the counts of
+    partitions, a row each, make the numbers dense.  Returns a written table.
+    """
+    keys = scratch.keep(rows.groupBy(*key).agg(F.count("*").alias("n_")).withColumn("at_", F.monotonically_increasing_id()))
+    sizes = keys.groupBy(F.shiftright("at_", 33).alias("part_")).agg(F.count("*").alias("m_"))
+    before = F.coalesce(F.sum("m_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("part_", before.alias("before_")))
+    named = keys.withColumn("part_", F.shiftright("at_", 33)).join(offsets, "part_")
+    named = named.select(*key, "n_", (F.col("before_") + F.col("at_").bitwiseAND((1 << 33) - 1)).alias(name))
+    return scratch.keep(looked_up(rows, named, key, rows.count()).drop(*key))

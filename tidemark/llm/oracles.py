@@ -117,4 +117,59 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM m
 """
 
-ORACLES = {"op2_warc": OP2, "op3_ngram_jaccard_join": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op6_line_dedup": OP6, "op7_embedding_near_dedup": OP7, "op9_decontamination": OP9}
+#: crc32 of the decimal digits of {c}: eight steps a byte, the byte coming in with the first.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, v: xor(xor(a, v) >> 1, (xor(a, v) & 1) * 3988292384::BIGINT)), 4294967295::BIGINT)"""
+
+OP11 = f"""
+WITH o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w, {_CRC.format(c="doc_id")} AS h FROM documents
+), a AS (SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o
+), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a
+), d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM p
+), t AS (SELECT doc_id, n, i, w[i + 1] AS t FROM (SELECT doc_id, n, w, unnest(range(0, n)) AS i FROM d)
+), e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.t = y.t AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM e) GROUP BY doc_id, q, isle
+), r AS (SELECT doc_id, start, CAST(m AS BIGINT) AS m, CAST(min(q) AS BIGINT) AS q FROM s WHERE m >= greatest(24, 3 * q) GROUP BY doc_id, start, m
+), u AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || m || ',' || q || chr(10), '' ORDER BY start, q) AS runs, list({{'start': start, 'm': m, 'q': q}} ORDER BY m::DOUBLE / q DESC, start, q)[1] AS top FROM r GROUP BY doc_id
+), g AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + m)) AS i FROM r
+), k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS kept FROM t ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.m AS length, top.q AS period, 1000 * top.m // top.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN u USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '') AS k, len(coalesce(text, '')) AS m
+  FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT c, list({{'k': md5(k), 'm': m}} ORDER BY i) AS own FROM t GROUP BY c
+), h AS (SELECT c, own, {_CRC.format(c="c")} % 6 AS h FROM l
+), b AS (SELECT h.c, list_concat(coalesce(l.own[1 : h.h], []), h.own[h.h + 1 :]) AS s FROM h LEFT JOIN l ON l.c = h.c - h.c % 100
+), p AS (SELECT c, len(s) AS n, d, CASE WHEN d = 0 THEN '' ELSE array_to_string(list_transform(s[1 : d], lambda x: x.k), ',') END AS path, CASE WHEN d = 0 THEN 0 ELSE s[d].m END AS m FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM b)
+), v AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(m) AS m, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM p GROUP BY d, path
+), w AS (SELECT *, CASE WHEN d = 1 THEN '' ELSE substr(path, 1, 33 * (d - 1) - 1) END AS up FROM v
+), f AS (SELECT a.*, (SELECT count(*) FROM w x WHERE x.d = a.d + 1 AND x.up = a.path) AS n_children FROM w a
+), z AS (
+  SELECT a.d, a.path, count(*) FILTER (WHERE x.n_children = 0) AS n_leaves, CAST(sum((x.n_convs - 1) * x.m) AS BIGINT) AS saved_tokens
+  FROM f a JOIN f x ON x.d >= a.d AND (a.d = 0 OR substr(x.path, 1, 33 * a.d - 1) = a.path) GROUP BY a.d, a.path
+)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, z.n_leaves, z.saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN z USING (d, path) LEFT JOIN f u ON u.d = f.d - 1 AND u.path = f.up AND f.d > 0
+"""
+
+#: Each string that a template of the chats escapes, and how often it stands in {t}.
+_CONTROLS = ["<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "<start_of_turn>", "<end_of_turn>"]
+_BREAKS = " + ".join(f"2 * (len({{t}}) - len(replace({{t}}, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
+_GROWN = f"len({{t}}) + len({{t}}) - len(replace({{t}}, '␛', '')) + {_BREAKS}"
+
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)
+), g AS (SELECT *, {_GROWN.format(t="role")} + {_GROWN.format(t="text")} + 32 AS m FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(m) AS BIGINT) AS formatted_chars
+FROM g GROUP BY conv_id
+"""
+
+ORACLES = {"op2_warc": OP2, "op3_ngram_jaccard_join": OP3, "op4_mixing": OP4, "op5_substring_dedup": OP5, "op6_line_dedup": OP6, "op7_embedding_near_dedup": OP7, "op9_decontamination": OP9, "op11_periodic_runs": OP11, "op12_prefix_trie": OP12, "op13_chat_formatting": OP13}

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import canonical_turns, chats, formatted, read_back
 from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .line_dedup import remove_common_lines
 from .mixing import mix_sources
 from .ngram_join import similarity_components
 from .oracles import ORACLES  # noqa: F401
+from .periodic_runs import collapse_runs, digests
+from .prefix_trie import conversation_trie
 from .quality import quality_scores
 from .sharding import shard_rows
 from .substring_dedup import remove_repeats
@@ -72,5 +75,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op6_line_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, op10_toxicity)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collapse_runs(_table(spark, sf_dir, "documents"), least=24, times=3, keep=["doc_id"], planted=True)
+    return out.select("doc_id", *digests(out))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"), every=100, parts=6)
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(said).alias("prompt"), F.lit(said).alias("completion"))
+    records = chats(_table(spark, sf_dir, "conversations")).unionByName(added, allowMissingColumns=True)
+    out = read_back(formatted(canonical_turns(records)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.col("n_chars").alias("formatted_chars")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op6_line_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, op10_toxicity, op11_periodic_runs, op12_prefix_trie, op13_chat_formatting)}
 
