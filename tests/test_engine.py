@@ -10,9 +10,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import paths
 from tidemark.functions.normal import best_of, cdf
-from tidemark.functions.windows import asof, ewm, series
-from tidemark.operators import evaluate, features, folds, market, overfitting, signals, statistics, trades
+from tidemark.functions.order import quantiles
+from tidemark.functions.spans import asof, numbered, running_sum
+from tidemark.functions.windows import ewm, series
+from tidemark.operators import evaluate, features, folds, market, metalabel, overfitting, signals, statistics, trades
 
 T0 = datetime(2024, 1, 1)
 BARS = "symbol string, timestamp timestamp_ntz, open double, high double, low double, close double, volume double, quote_volume double, trades long, taker_buy_quote double"
@@ -85,7 +88,7 @@ def test_blocks_change_no_feature(spark):
     bars = spark.createDataFrame(made_bars(2600, "AB"), BARS)
     funding = bars.where("hour(timestamp) % 8 = 0").select("symbol", "timestamp", (F.col("volume") * 1e-5 + F.rand(3) * 1e-4).alias("funding_rate"))
     funding = spark.createDataFrame(funding.collect(), funding.schema)
-    whole, cut = (features.feature_frame(bars, funding, "A", block=b).toPandas().sort_values(["symbol", "timestamp"]).reset_index(drop=True) for b in (None, 1024))
+    whole, cut = (features.feature_frame(bars, funding, "A", block=b).toPandas().sort_values(["symbol", "timestamp"]).reset_index(drop=True) for b in (4096, 1024))
     assert sorted(whole.columns) == sorted(cut.columns) and len(whole) == len(cut) == 5200
     for c in whole.columns:
         if whole[c].dtype == float:
@@ -106,6 +109,78 @@ def test_asof(spark):
     assert {(r.symbol, r.k): r.v for r in got.collect()} == want
 
 
+def test_scans_in_spans(spark):
+    rng = random.Random(9)
+    rows = sorted({(rng.choice("AB"), T0 + timedelta(hours=rng.randint(0, 9000))) for _ in range(700)})
+    df = spark.createDataFrame([(s, t, k, float(k % 7) if k % 5 else None) for k, (s, t) in enumerate(rows)], "symbol string, timestamp timestamp_ntz, k int, x double").repartition(5)
+    for days in (1, 30, 5000):
+        got = running_sum(numbered(df, ["symbol"], days=days), ["symbol"], "x", "total", days=days).toPandas().sort_values("k")
+        for s, g in got.groupby("symbol"):
+            assert list(g.idx) == list(range(len(g))) and set(g.n) == {len(g)}
+            assert np.allclose(g.total, g.x.fillna(0).cumsum())
+        late = df.where("k % 3 = 0").select("symbol", "timestamp", F.col("k").alias("v"))
+        back = asof(df.where("k % 4 = 0"), late, ["symbol"], ["v"], days=days).toPandas()
+        for r in back.itertuples():
+            want = max((k for k, (s, t) in enumerate(rows) if s == r.symbol and k % 3 == 0 and t <= r.timestamp), default=None)
+            assert (r.v == want) if want is not None else math.isnan(r.v)
+
+
+def test_kernels_against_loops():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 40, 257):
+        high, low = rng.integers(0, 9, n).astype(float), rng.integers(-9, 1, n).astype(float)
+        high[rng.random(n) < 0.1], low[rng.random(n) < 0.1] = np.nan, np.nan
+        start = rng.integers(0, n, 60) + 1
+        end = np.minimum(start - 1 + rng.integers(1, 50, 60), n - 1)
+        below, above = rng.integers(-9, 0, 60).astype(float), rng.integers(1, 9, 60).astype(float)
+        got = paths.first_touch(high, low, start, end, below, above)
+        for i in range(60):
+            touched = [j for j in range(start[i], end[i] + 1) if low[j] <= below[i] or high[j] >= above[i]]
+            assert got[i] == (touched[0] if touched else end[i] + 1)
+        v = rng.integers(0, 6, n).astype(float)
+        v[rng.random(n) < 0.2] = np.nan
+        window = pd.Series(v).rolling(20, min_periods=1)
+        want = (v > window.median().to_numpy()) & (window.count().to_numpy() >= 5)
+        assert (paths.above_median(v, 20, 5) == want).all()
+
+
+def test_quantiles_and_ranks(spark):
+    rng = random.Random(10)
+    rows = [(k, rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-9), 0.0, -0.0, 1e300, -1e-300, 7.0])) for k in "abc" for _ in range(rng.randint(1, 400))] + [("d", None), ("e", 5.0), ("f", float("inf")), ("f", -float("inf")), ("f", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    got = {r.k: r for r in quantiles(df, ["k"], "x", {"low": 0.1, "mid": 0.5, "high": 0.75}).collect()}
+    want = {r.k: r for r in df.groupBy("k").agg(*[F.percentile("x", F.lit(p)).alias(n) for n, p in (("low", 0.1), ("mid", 0.5), ("high", 0.75))]).where("mid is not null").collect()}
+    assert got.keys() == want.keys() and all(got[k][c] == pytest.approx(want[k][c], rel=1e-15) for k in got if k != "f" for c in ("low", "mid", "high")) and got["f"].mid == 1
+    scored = spark.createDataFrame([("s", rng.randint(0, 30) / 30, int(rng.random() < 0.4)) for _ in range(500)] + [("one", 0.5, 1)], "k string, p double, meta_label int")
+    auc = {r.k: r.auc for r in metalabel.auc(scored, ["k"]).collect()}
+    rows = [(r.p, r.meta_label) for r in scored.where("k = 's'").collect()]
+    up, down = [p for p, y in rows if y], [p for p, y in rows if not y]
+    assert auc["one"] is None and auc["s"] == pytest.approx(sum((a > b) + (a == b) / 2 for a in up for b in down) / len(up) / len(down), rel=1e-12)
+
+
+def test_correlations_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(market, "TILE", 3)
+    names = [f"s{k}" for k in range(10)]
+    bars = spark.createDataFrame(made_bars(90, names[:9]) + [("s9", T0 + timedelta(hours=i), 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1, 1.0) for i in range(90)], BARS)
+    got = {(r.a, r.b): r for r in market.correlations(bars).collect()}
+    wide = bars.toPandas().pivot(index="timestamp", columns="symbol", values="close").pct_change().iloc[1:]
+    want = wide.corr()
+    assert sorted(got) == [(a, b) for a in names for b in names if a < b]
+    for (a, b), r in got.items():
+        assert r.n == 89 and (r.correlation is None if b == "s9" else r.correlation == pytest.approx(want.loc[a, b], rel=1e-9))
+
+
+def test_drawdown_is_carried(spark):
+    rng = random.Random(11)
+    rows = [("s", "A", i, T0 + timedelta(days=i * 3), rng.gauss(-0.001, 0.05)) for i in range(600)]
+    t = spark.createDataFrame(rows, "strategy string, symbol string, entry_idx int, entry_time timestamp_ntz, net_return double").repartition(4)
+    eq = np.cumsum(np.log1p([r[4] for r in rows]))
+    want = np.expm1(eq - np.maximum.accumulate(eq))
+    got = statistics.drawdown(t, ["strategy"]).toPandas().sort_values("entry_idx")
+    assert np.allclose(got.log_equity, eq) and np.allclose(got.drawdown, want)
+    assert statistics.max_drawdown(t, ["strategy"]).first().max_drawdown == pytest.approx(want.min())
+
+
 def loop_trades(g, atr, side, horizon, pt, sl):
     out, n = [], len(g)
     for i in range(n):

@@ -1,4 +1,4 @@
-"""Rolling, recursive and as-of building blocks over one ordered partition.
+"""Rolling and recursive building blocks over one ordered partition.
 
 All of them share the partitioning (keys) and order given, so that a frame with
 dozens of features needs one shuffle and one sort.  Rolling values are null until the
@@ -58,16 +58,3 @@ def ewm(df: DataFrame, w, value: str, alpha: float, least: int, idx: str, keys:
     carry = [F.coalesce(F.lag("ewm_last", k * _BLOCK).over(w) if k else F.col("ewm_last"), F.lit(0.0)) * q ** (k * _BLOCK) for k in range(3)]
     full = F.col("ewm_own") + F.pow(F.lit(q), j + 1) * (carry[0] + carry[1] + carry[2])
     return d.withColumn(out, F.when(F.col(idx) >= least - 1, full)).drop("ewm_block", "ewm_own", "ewm_last")
-
-
-def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], on: str = "timestamp") -> DataFrame:
-    """left with the values of the last row of right at or before it, per key; null before the first.
-
-    One union and one window: no range join, and no side is broadcast.
-    """
-    a = left.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(f"asof_{v}") for v in values], F.lit(1).alias("asof_side"))
-    b = right.select(*[F.col(k) if k in [*keys, on] else F.lit(None).cast(left.schema[k].dataType).alias(k) for k in left.columns], *[F.col(v).alias(f"asof_{v}") for v in values], F.lit(0).alias("asof_side"))
-    w = W.partitionBy(*keys).orderBy(on, "asof_side").rowsBetween(W.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("asof_side") == 0, F.struct(*[F.col(f"asof_{v}").alias(v) for v in values])), ignorenulls=True).over(w)
-    out = a.unionByName(b).withColumn("asof_last", last).where("asof_side = 1")
-    return out.select(*left.columns, *[F.col(f"asof_last.{v}").alias(v) for v in values])

@@ -1,28 +1,37 @@
-"""The causal feature frame: one partitioning by symbol, three projections and a lag.
+"""The causal feature frame: blocks of each series, three projections and a lag.
 
-Everything derived is lagged by one bar at the end, so what a bar carries was known at
+A series is numbered in spans of days and cut into blocks of BLOCK bars, each with the bars
+before it that windows look at, so that one series is the work of many tasks.  Everything derived is lagged by one bar at the end, so what a bar carries was known at
 the close of the bar before it.  Columns are built only if asked for.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.windows import asof, change, ewm, ratio, rolling, series, zscore
+from ..functions.paths import regimes
+from ..functions.spans import asof, numbered
+from ..functions.windows import change, ewm, ratio, rolling, series, zscore
 from ..sources.tables import BASE
 
 MOMENTUM = (6, 24, 72, 168)
 ATR_BARS = 14
 #: Bars before a block that its windows may look at: the longest has 720, and of the recursive mean 1e-33 lies further back.
 HALO = 1024
+#: Bars of a block, a multiple of HALO: with 2048, half as many bars again are read for the blocks behind them.
+BLOCK = 2048
+#: Groups of symbols, each of which gets a copy of the benchmark.
+GROUPS = 32
 
 
 def indexed(bars: DataFrame, keys: list[str]) -> DataFrame:
     """bars with idx, the position in its series from 0, and n, the length of the series."""
-    w = series(keys)
-    return bars.withColumn("idx", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
+    return numbered(bars, keys)
 
 
 def true_range(w) -> Column:
@@ -36,26 +45,28 @@ def average_true_range(df: DataFrame, keys: list[str], out: str = "atr") -> Data
     return ewm(df.withColumn("tr_", true_range(w)), w, "tr_", 1 / ATR_BARS, ATR_BARS, "idx", keys, out).drop("tr_")
 
 
-def in_blocks(df: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, list[str]]:
-    """df in blocks of so many bars, each with the HALO bars before it (halo_), and the keys that tell blocks apart."""
-    if block < HALO or block % HALO:
-        raise ValueError(f"a block is a multiple of {HALO} bars")
-    at = F.floor(F.col("idx") / block)
-    last = (F.col("idx") % block >= block - HALO) & ((at + 1) * block < F.col("n"))
-    copies = F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    out = df.withColumn("ahead_", F.explode(copies))
-    out = out.withColumn("block_", at + F.col("ahead_")).withColumn("halo_", F.col("ahead_") == 1).drop("ahead_")
+def in_blocks(df: DataFrame, keys: list[str], block: int = BLOCK, ahead: int = 0) -> tuple[DataFrame, list[str]]:
+    """df in blocks of so many bars with the HALO bars before and the `ahead` bars behind them, and the keys that tell blocks apart.
+
+    part_ says what a bar is to its block: -1 before it, 0 its own, 1 behind it.
+    """
+    if block < HALO or block % HALO or ahead > block:
+        raise ValueError(f"a block is a multiple of {HALO} bars and as long as what is read ahead")
+    at, j = F.floor(F.col("idx") / block).cast("int"), F.col("idx") % block
+    last = (j >= block - HALO) & ((at + 1) * block < F.col("n") if "n" in df.columns else F.lit(True))
+    copies = F.array_compact(F.array(F.lit(0), F.when(last, -1), F.when((j < ahead) & (at > 0), 1)))
+    out = df.withColumn("part_", F.explode(copies))
+    out = out.withColumn("block_", at - F.col("part_"))
     return out.repartition(*keys, "block_"), [*keys, "block_"]
 
 
-def feature_frame(bars: DataFrame, funding: DataFrame | None = None, benchmark: str | None = None, keys: list[str] | None = None, min_bars: int = 100, lagged: bool = True, only: set[str] | None = None, block: int | None = None) -> DataFrame:
+def feature_frame(bars: DataFrame, funding: DataFrame | None = None, benchmark: str | None = None, keys: list[str] | None = None, min_bars: int = 100, lagged: bool = True, only: set[str] | None = None, block: int = BLOCK) -> DataFrame:
     """bars with features, of the series of min_bars bars or more.
 
     funding(symbol, timestamp, funding_rate) is taken as of each bar.  benchmark names the
     symbol whose bars all others are compared with; it gets no such features itself.
-    only: the features to build (what they rest on comes with them).  block: for long series,
-    so many bars are a task's unit in place of a whole series (a multiple of HALO, which is
-    also what a block repeats of the one before); one shuffle more, the same results.
+    only: the features to build (what they rest on comes with them).  block: so many bars are
+    a task's unit (a multiple of HALO, which is also what a block repeats of the one before).
     """
     keys = keys or ["symbol"]
     want = lambda *names: only is None or bool(only & set(names))
@@ -63,11 +74,10 @@ def feature_frame(bars: DataFrame, funding: DataFrame | None = None, benchmark:
     df = indexed(bars, keys).where(F.col("n") >= min_bars)
     rates, compared = want("funding_rate", "funding_z", "funding_cum_7d"), benchmark is not None and want("benchmark_close", "benchmark_return", "beta_168", "residual_return")
     if rates:
-        df = df.withColumn("funding_rate", F.lit(None).cast("double")) if funding is None else asof(df, funding, ["symbol"], ["funding_rate"])
+        df = df.withColumn("funding_rate", F.lit(None).cast("double")) if funding is None else asof(df, funding, ["symbol"], ["funding_rate"], times=bars)
     if compared:
         df = with_benchmark_close(df, bars, benchmark)
-    if block is not None:
-        df, keys = in_blocks(df, keys, block)
+    df, keys = in_blocks(df, keys, block)
     w, close = series(keys), F.col("close")
     df = df.withColumns({"return_1": change(w, close), "log_return": F.ln("close") - F.ln(F.lag("close").over(w))})
     new: dict[str, Column] = {}
@@ -96,18 +106,17 @@ def feature_frame(bars: DataFrame, funding: DataFrame | None = None, benchmark:
         df = with_benchmark(df, w)
     if lagged:
         lag = lambda c: F.lag(c).over(w).alias(c)
-        own = [*base, "idx", *[c for c in ("block_", "halo_") if block is not None]]
+        own = [*base, "idx", "block_", "part_"]
         df = df.select(*own, *[lag(c) for c in df.columns if c not in (*own, "n")])
-    return df if block is None else df.where(~F.col("halo_")).drop("block_", "halo_")
+    return df.where("part_ = 0").drop("block_", "part_")
 
 
 def with_benchmark_close(df: DataFrame, bars: DataFrame, benchmark: str) -> DataFrame:
     """df with the benchmark's close as of each bar; null for the benchmark itself."""
-    bench = bars.where(F.col("symbol") == benchmark).select("timestamp", F.col("close").alias("benchmark_close"))
+    bench = bars.where(F.col("symbol") == benchmark).select("timestamp", F.col("close").alias("benchmark_close"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("group_"))
     own = F.col("symbol") == benchmark
-    others = df.where(~own)
-    spread = bench.join(others.select("symbol").distinct(), how="cross")  # one series for each symbol
-    return asof(others, spread, ["symbol"], ["benchmark_close"]).unionByName(df.where(own), allowMissingColumns=True)
+    others = df.where(~own).withColumn("group_", F.pmod(F.hash("symbol"), F.lit(GROUPS)))
+    return asof(others, bench, ["group_"], ["benchmark_close"], times=bars).drop("group_").unionByName(df.where(own), allowMissingColumns=True)
 
 
 def with_benchmark(df: DataFrame, w) -> DataFrame:
@@ -120,12 +129,17 @@ def with_benchmark(df: DataFrame, w) -> DataFrame:
     return d.withColumn("residual_return", F.col("return_1") - F.col("beta_168") * F.col("benchmark_return"))
 
 
-def regime(w) -> Column:
-    """volatile or calm, up or down; what is unknown counts as calm and down."""
-    vol = F.col("volatility_168")
-    frame = w.rowsBetween(-719, 0)
-    held = F.sort_array(F.collect_list(vol).over(frame))  # a sorted array is some ten times as fast as percentile() here
-    n = F.size(held)
-    middle = F.when(n >= 100, (F.try_element_at(held, ((n + 1) / 2).cast("int")) + F.try_element_at(held, (n / 2 + 1).cast("int"))) / 2)
-    high, up = F.coalesce(vol > middle, F.lit(False)), F.coalesce(F.col("momentum_168") > 0, F.lit(False))
-    return F.when(high & up, "volatile_up").when(high, "volatile_down").when(up, "calm_up").otherwise("calm_down")
+def regime(df: DataFrame, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """df, a frame with idx, and regime: volatile or calm, up or down; what is unknown counts as calm and down."""
+    keys = keys or ["symbol"]
+    names = ["idx", "volatility_168", "momentum_168"]
+    cut, bk = in_blocks(df, keys, block)
+    shape = T.StructType([*df.schema.fields, T.StructField("regime", T.StringType())])
+
+    def labelled(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        _, vol, mom = (np.asarray(t.column(c).to_numpy(zero_copy_only=False), float) for c in names)
+        t = t.append_column("regime", pa.array(regimes(vol, mom), pa.string()))
+        return t.filter(pc.equal(t.column("part_"), 0)).select(shape.names)
+
+    return cut.groupBy(*bk).applyInArrow(labelled, shape)

@@ -12,26 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.kept import written
+from ..functions.spans import numbered as positions
 from .statistics import ORDER, finite, sharpe
 
 
 def numbered(trades: DataFrame, keys: list[str], splits: int) -> DataFrame:
     """trades with pos, n, block and fold (null before the first test block); groups of fewer than 2 * splits go."""
-    t = trades.withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy(*ORDER)) - 1).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
-    t = t.where(F.col("n") >= 2 * splits).withColumn("block", F.floor(F.col("n") / (splits + 1)))
+    t = positions(trades, keys, ORDER, idx="pos").where(F.col("n") >= 2 * splits).withColumn("block", F.floor(F.col("n") / (splits + 1)))
     return t.withColumn("fold", F.when(F.col("pos") >= F.col("block"), F.least(F.floor(F.col("pos") / F.col("block")), F.lit(splits))).cast("int"))
 
 
 def walk_forward(trades: DataFrame, keys: list[str], splits: int = 6, embargo: float = 0.01) -> DataFrame:
-    """A row for each fold: fold (from 0), test_start, test_end, n_train, purged, embargoed, and the test trades' statistics."""
-    t, r = numbered(trades, keys, splits), F.col("net_return")
+    """A row for each fold: fold (from 0), test_start, test_end, n_train, purged, embargoed, and the test trades' statistics.
+
+    Trades are numbered in spans, written, and counted against the few times at which test windows begin.
+    """
+    t, r = written(numbered(trades.select(*dict.fromkeys([*keys, *ORDER, "exit_time", "net_return"])), keys, splits)), F.col("net_return")
     test = t.where("fold is not null").groupBy(*keys, "fold").agg(
         F.min("entry_time").alias("test_start"), F.max("exit_time").alias("test_end"), F.max("n").alias("n_all"),
         F.count(F.when(finite(r), 1)).alias("n_trades"), F.avg(F.when(finite(r), (r > 0).cast("double"))).alias("win_rate"), F.avg(F.when(finite(r), r)).alias("mean_return"), F.stddev_samp(F.when(finite(r), r)).alias("sd"),
     )
-    # when each test window begins, beside every trade: all by the partitioning that numbers them, so nothing is shuffled again
-    whole = W.partitionBy(*keys)
-    begun = t.withColumns({f"start_{k}": F.min(F.when(F.col("fold") == k, F.col("entry_time"))).over(whole) for k in range(1, splits + 1)})
+    starts = t.where("fold is not null").groupBy(*keys).agg(*[F.min(F.when(F.col("fold") == k, F.col("entry_time"))).alias(f"start_{k}") for k in range(1, splits + 1)])
+    begun = t.join(starts, keys)
     before = lambda k, late: F.count(F.when((F.col("pos") < k * F.col("block")) & late, 1))
     counts = [F.struct(F.lit(k).alias("fold"), before(k, F.col("exit_time") >= F.col(f"start_{k}")).alias("purged"), before(k, F.col("exit_time") < F.col(f"start_{k}")).alias("left")) for k in range(1, splits + 1)]
     got = begun.groupBy(*keys).agg(F.array(*counts).alias("c")).select(*keys, F.inline("c"))

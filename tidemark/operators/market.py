@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,12 +90,39 @@ def aligned_returns(bars: DataFrame, lookback: int = 720, least: int = 50) -> Da
     return r.join(full, "timestamp", "left_semi").select("symbol", "timestamp", "r")
 
 
+#: Symbols in a tile of the correlation matrix.
+TILE = 256
+
+
 def correlations(bars: DataFrame, lookback: int = 720, least: int = 50) -> DataFrame:
-    """(a, b, correlation, n) of each pair of symbols, a before b."""
+    """(a, b, correlation, n) of each pair of symbols, a before b; null where one of them never moves.
+
+    The returns of a symbol are one vector of at most `lookback` numbers, centred and of length
+    one.  Symbols are dealt into tiles; each pair of tiles is one product of two matrices.  So what
+    travels is each vector once a tile, and not a row for each pair and time.
+    """
     x = aligned_returns(bars, lookback, least)
-    y = x.select(F.col("symbol").alias("b"), "timestamp", F.col("r").alias("rb"))
-    p = x.select(F.col("symbol").alias("a"), "timestamp", "r").join(y, "timestamp").where("a < b")
-    return p.groupBy("a", "b").agg(F.corr("r", "rb").alias("correlation"), F.count("*").alias("n"))
+    vectors = x.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "r"))), lambda t: t["r"]).alias("v"))
+    tiles = F.broadcast(x.agg(F.ceil(F.count_distinct("symbol") / TILE).cast("int").alias("tiles")))  # one row
+    dealt = vectors.crossJoin(tiles).withColumn("tile", F.pmod(F.hash("symbol"), "tiles"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    sent = dealt.select("symbol", "v", "tile", other).select("symbol", "v", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+
+    def product(t: pa.Table) -> pa.Table:
+        names, tile = np.array(t.column("symbol").to_pylist(), object), t.column("tile").to_numpy()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        m = np.array(t.column("v").to_pylist(), float)
+        m = m - m.mean(axis=1, keepdims=True)
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        m = np.divide(m, size, out=np.full_like(m, np.nan), where=size > 1e-12)
+        rows, cols = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+        c = np.clip(m[rows] @ m[cols].T, -1, 1)
+        x, y = names[rows][:, None], names[cols][None, :]
+        i, j = np.nonzero(x < y) if lo == hi else np.indices(c.shape).reshape(2, -1)
+        a, b = np.minimum(x, y)[i, j], np.maximum(x, y)[i, j]
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "correlation": pa.array(c[i, j], from_pandas=True), "n": pa.array(np.full(len(i), m.shape[1]), pa.int64())})
+
+    return sent.groupBy("lo", "hi").applyInArrow(product, "a string, b string, correlation double, n bigint")
 
 
 def correlation_report(pairs: DataFrame, benchmark: str, s: Settings = DEFAULT) -> DataFrame:

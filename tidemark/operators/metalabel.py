@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kept import written
+from ..functions.order import sums_below
 from .folds import members
 from .statistics import ORDER
 from .trades import with_features
@@ -28,12 +29,17 @@ def training_set(trades: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def auc(scored: DataFrame, keys: list[str], score: str = "p", label: str = "meta_label") -> DataFrame:
-    """Exact area under the curve by rank sums (ties share their mean rank); null with one class only."""
-    ties = F.count("*").over(W.partitionBy(*keys, score))
-    rank = F.rank().over(W.partitionBy(*keys).orderBy(score)) + (ties - 1) / 2
-    g = scored.withColumn("rank_", rank).groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, F.col("rank_"))).alias("s"), F.sum(label).alias("pos"), F.count("*").alias("n"), F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"))
-    pairs = F.col("pos") * (F.col("n") - F.col("pos"))
-    return g.select(*keys, ((F.col("s") - F.col("pos") * (F.col("pos") + 1) / 2) / F.nullif(pairs, F.lit(0))).alias("auc"), "brier", F.col("n").alias("n_test"))
+    """Exact area under the curve (ties count half); null with one class only.
+
+    Labels are counted by score, and scores below one by sums of these counts, so that a
+    group's scores are never in one order in one task.
+    """
+    brier = scored.groupBy(*keys).agg(F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"), F.count("*").alias("n_test"))
+    known = scored.select(*keys, F.col(score).alias("score_"), F.col(label).cast("bigint").alias("up_"), (1 - F.col(label)).cast("bigint").alias("down_"))
+    d = sums_below(known, keys, "score_", ["up_", "down_"])
+    won = F.sum(F.col("up_") * (F.col("below_down_") + F.col("down_") / 2))
+    g = d.groupBy(*keys).agg((won / F.nullif(F.sum("up_") * F.sum("down_"), F.lit(0))).alias("auc"))
+    return g.join(brier, keys).select(*keys, "auc", "brier", "n_test")
 
 
 def classifier(names: list[str], trees: int = 80, seed: int = 0):

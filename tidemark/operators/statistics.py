@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.kept import written
 from ..functions.normal import best_of, cdf
+from ..functions.order import quantiles
+from ..functions.spans import BEFORE, UP_TO_HERE, span
 
 ORDER = ("entry_time", "symbol", "entry_idx")
 INF = float("inf")
@@ -17,12 +20,36 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < INF)
 
 
+def _log(value: str) -> Column:
+    return F.log1p(F.greatest(F.col(value), F.lit(-0.999999)))
+
+
+def _scanned(trades: DataFrame, keys: list[str], value: str, order: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(trades with span_, equity s_ and peak m_ since their span began; a row for each span: equity e_ and peak before it, and its own sum, top, low and worst drop)."""
+    w = W.partitionBy(*keys, "span_").orderBy(*order).rowsBetween(*UP_TO_HERE)
+    t = trades.where(finite(F.col(value))).withColumn("span_", span(order[0]))
+    t = t.withColumn("s_", F.sum(_log(value)).over(w)).withColumn("m_", F.max("s_").over(w))
+    parts = t.groupBy(*keys, "span_").agg(F.sum(_log(value)).alias("sum_"), F.max("s_").alias("top_"), F.min("s_").alias("low_"), F.min(F.col("s_") - F.col("m_")).alias("worst_"))
+    before = W.partitionBy(*keys).orderBy("span_").rowsBetween(*BEFORE)
+    parts = parts.withColumn("e_", F.coalesce(F.sum("sum_").over(before), F.lit(0.0)))
+    return t, parts.withColumn("peak_", F.max(F.col("e_") + F.col("top_")).over(before))
+
+
 def drawdown(trades: DataFrame, keys: list[str], value: str = "net_return", order: tuple[str, ...] = ORDER) -> DataFrame:
-    """trades with log_equity and drawdown, compounded in log space; the first trade sets the first peak."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    t = trades.where(finite(F.col(value)))
-    t = t.withColumn("log_equity", F.sum(F.log1p(F.greatest(F.col(value), F.lit(-0.999999)))).over(w))
-    return t.withColumn("drawdown", F.expm1(F.col("log_equity") - F.max("log_equity").over(w)))
+    """trades with log_equity and drawdown, compounded in log space; the first trade sets the first peak.
+
+    Each span of days is summed on its own; equity and peak are carried into the next ones.
+    """
+    t, parts = _scanned(trades, keys, value, order)
+    d = t.join(parts.select(*keys, "span_", "e_", "peak_"), [*keys, "span_"])
+    equity, peak = F.col("e_") + F.col("s_"), F.greatest("peak_", F.col("e_") + F.col("m_"))
+    return d.select(*trades.columns, equity.alias("log_equity"), F.expm1(equity - peak).alias("drawdown"))
+
+
+def max_drawdown(trades: DataFrame, keys: list[str], value: str = "net_return", order: tuple[str, ...] = ORDER) -> DataFrame:
+    """(keys, max_drawdown): the worst of each span, against its own peaks and against the peak before it."""
+    _, parts = _scanned(trades, keys, value, order)
+    return parts.groupBy(*keys).agg(F.expm1(F.min(F.least("worst_", F.col("e_") + F.col("low_") - F.col("peak_")))).alias("max_drawdown"))
 
 
 def sharpe(mean: Column, sd: Column, n: Column) -> Column:
@@ -30,14 +57,19 @@ def sharpe(mean: Column, sd: Column, n: Column) -> Column:
 
 
 def trade_statistics(trades: DataFrame, keys: list[str], value: str = "net_return", order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Twelve statistics of each group; profit factor and payoff ratio are infinite without losses."""
+    """Twelve statistics of each group; profit factor and payoff ratio are infinite without losses.
+
+    The trades' returns are written first: drawdown and exact median read them again.
+    """
     r = F.col(value)
+    t = written(trades.where(finite(r)).select(*dict.fromkeys([*keys, *order, value])))
     win, loss = F.when(r > 0, r), F.when(r <= 0, -r)
-    g = drawdown(trades, keys, value, order).groupBy(*keys).agg(
-        F.count("*").alias("n_trades"), F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(r).alias("mean_return"), F.percentile(r, F.lit(0.5)).alias("median_return"),
-        F.sum(F.log1p(F.greatest(r, F.lit(-0.999999)))).alias("log_total"), F.stddev_samp(r).alias("sd"), F.coalesce(F.sum(win), F.lit(0.0)).alias("gross_win"), F.coalesce(F.sum(loss), F.lit(0.0)).alias("gross_loss"),
-        F.min("drawdown").alias("max_drawdown"), F.coalesce(F.avg(win), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("avg_loss"),
+    g = t.groupBy(*keys).agg(
+        F.count("*").alias("n_trades"), F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(r).alias("mean_return"),
+        F.sum(_log(value)).alias("log_total"), F.stddev_samp(r).alias("sd"), F.coalesce(F.sum(win), F.lit(0.0)).alias("gross_win"), F.coalesce(F.sum(loss), F.lit(0.0)).alias("gross_loss"),
+        F.coalesce(F.avg(win), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("avg_loss"),
     )
+    g = g.join(quantiles(t, keys, value, {"median_return": 0.5}), keys).join(max_drawdown(t, keys, value, order), keys)
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.nullif(F.col(b), F.lit(0.0))).otherwise(INF)
     return g.select(
         *keys, "n_trades", "win_rate", "mean_return", "median_return", F.expm1("log_total").alias("total_return"), F.coalesce("sd", F.lit(0.0)).alias("volatility"),

@@ -1,21 +1,28 @@
 """Trades of many strategies in one plan: segment, signal, barriers, costs, regime.
 
-Sides come first, as a column of structs.  A series is then cut into blocks of as many bars
-as the longest horizon; each block holds its bars, those of the next one and its entries, so
-that the path of any entry lies within one row, a bar is held twice whatever the horizon,
-and blocks of one symbol are settled side by side.  Only entries become rows again.
+A series is cut into blocks of bars, each with the bars before it that windows look at and
+those behind it that the longest horizon reaches, so that blocks of one symbol are settled side
+by side after one exchange.  Within a block all entries of all strategies find their first
+touch together, by bisection in tables of minima and maxima: an entry costs the logarithm
+of its horizon.  Only entries become rows again.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, Settings
-from ..functions.windows import asof, series
+from ..functions.kept import written
+from ..functions.order import quantiles
+from ..functions.paths import first_touch, regimes
+from ..functions.spans import asof, running_sum
 from ..sources.tables import BASE
-from .features import average_true_range, indexed, regime
+from .features import BLOCK, HALO, average_true_range, in_blocks, indexed
 from .signals import Strategy
 
 
@@ -33,8 +40,8 @@ def segment(frame: DataFrame, kind: str = "all", boundary=None, since=None, unti
 
 def adv(frame: DataFrame, s: Settings = DEFAULT, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(keys, adv): mean quote volume of the last adv_bars bars, times the bars of a day."""
-    last = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("timestamp")))
-    return frame.select(*keys, "quote_volume", last.alias("r")).where(F.col("r") <= s.adv_bars).groupBy(*keys).agg((F.avg("quote_volume") * s.bars_per_day).alias("adv"))
+    last = indexed(frame.select(*keys, "timestamp", "quote_volume"), list(keys)).where(F.col("idx") >= F.col("n") - s.adv_bars)
+    return last.groupBy(*keys).agg((F.avg("quote_volume") * s.bars_per_day).alias("adv"))
 
 
 def impact_bps(notional: Column, adv_usd: Column, s: Settings = DEFAULT) -> Column:
@@ -45,10 +52,9 @@ def impact_bps(notional: Column, adv_usd: Column, s: Settings = DEFAULT) -> Colu
 
 def spreads(book: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(symbol, spread_bps, source): the third quartile, or the fallback where the median is not above 0."""
-    q = F.percentile("spread_bps", F.array(F.lit(0.5), F.lit(0.75)))
-    out = book.groupBy("symbol").agg(q.alias("q"), F.count("*").alias("n"))
-    good = (F.col("q")[0] > 0) & (F.col("q")[0] < float("inf"))
-    return out.select("symbol", F.when(good, F.greatest(F.col("q")[0], F.col("q")[1])).otherwise(s.fallback_spread_bps).alias("spread_bps"), F.when(good, F.concat(F.lit("observed:"), F.col("n").cast("string"))).otherwise("fallback").alias("source"))
+    out = book.groupBy("symbol").agg(F.count("*").alias("n")).join(quantiles(book, ["symbol"], "spread_bps", {"q2": 0.5, "q3": 0.75}), "symbol", "left")
+    good = F.coalesce((F.col("q2") > 0) & (F.col("q2") < float("inf")), F.lit(False))
+    return out.select("symbol", F.when(good, F.greatest("q2", "q3")).otherwise(s.fallback_spread_bps).alias("spread_bps"), F.when(good, F.concat(F.lit("observed:"), F.col("n").cast("string"))).otherwise("fallback").alias("source"))
 
 
 def round_trip_cost(spread: Column, impact: Column, funding: Column, s: Settings = DEFAULT) -> Column:
@@ -57,15 +63,15 @@ def round_trip_cost(spread: Column, impact: Column, funding: Column, s: Settings
 
 
 def cumulative_funding(funding: DataFrame) -> DataFrame:
-    w = series(["symbol"]).rowsBetween(W.unboundedPreceding, 0)
-    return funding.select("symbol", "timestamp", F.sum("funding_rate").over(w).alias("funding_sum"))
+    return running_sum(funding, ["symbol"], "funding_rate", "funding_sum").select("symbol", "timestamp", "funding_sum")
 
 
 def funding_paid(spans: DataFrame, funding: DataFrame, entry: str, exit: str, id: list[str]) -> DataFrame:
     """id and paid, the sum of funding in (entry, exit] of each span: two as-of lookups in running sums."""
     sums = cumulative_funding(funding)
     ends = spans.select(*id, "symbol", F.col(entry).alias("timestamp"), F.lit(-1.0).alias("sign")).unionByName(spans.select(*id, "symbol", F.col(exit).alias("timestamp"), F.lit(1.0).alias("sign")))
-    return asof(ends, sums, ["symbol"], ["funding_sum"]).groupBy(*id).agg(F.sum(F.col("sign") * F.coalesce("funding_sum", F.lit(0.0))).alias("paid"))
+    times = spans.select(F.col(exit).alias("timestamp"))
+    return asof(ends, sums, ["symbol"], ["funding_sum"], times=times.unionByName(spans.select(F.col(entry).alias("timestamp")))).groupBy(*id).agg(F.sum(F.col("sign") * F.coalesce("funding_sum", F.lit(0.0))).alias("paid"))
 
 
 def signals(frame: DataFrame, strategies: list[Strategy], s: Settings = DEFAULT) -> DataFrame:
@@ -76,68 +82,76 @@ def signals(frame: DataFrame, strategies: list[Strategy], s: Settings = DEFAULT)
 
 
 def sides(f: DataFrame, strategies: list[Strategy]) -> Column:
-    """Structs of the strategies that have a side on a bar."""
+    """Structs (k, name, side) of the strategies that have a side on a bar."""
     clip = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    made = [F.struct(F.lit(x.name).alias("name"), clip(F.coalesce(x.side(f).cast("double"), F.lit(0.0))).alias("side"), F.lit(x.horizon).alias("horizon"), F.lit(float(x.pt_atr)).alias("pt"), F.lit(float(x.sl_atr)).alias("sl")) for x in strategies]
+    made = [F.struct(F.lit(k).alias("k"), F.lit(x.name).alias("name"), clip(F.coalesce(x.side(f).cast("double"), F.lit(0.0))).alias("side")) for k, x in enumerate(strategies)]
     return F.filter(F.array(*made), lambda t: t["side"] != 0)
 
 
-def _placed(e: Column, s: Column) -> Column:
-    """An entry with one of its strategies and its barriers."""
-    up = F.signum(s["side"])
-    return F.struct(e.alias("e"), s.alias("st"), (e["close"] + up * s["pt"] * e["atr"]).alias("target"), (e["close"] - up * s["sl"] * e["atr"]).alias("stop"), (up > 0).alias("long"))
-
-
-def _settled(first: Column):
-    """Of what _placed() made: it, the first bar that meets a barrier, and the last within the horizon; first: idx of path's first bar."""
-
-    def of(p: Column) -> Column:
-        at = (p["e"]["idx"] - first + 1).cast("int")  # the entry's own place in the path, from 1
-        met = lambda x: F.when(p["long"], (x["low"] <= p["stop"]) | (x["high"] >= p["target"])).otherwise((x["high"] >= p["stop"]) | (x["low"] <= p["target"]))
-        hit = F.try_element_at(F.filter(F.slice("path", at + 1, p["st"]["horizon"]), met), F.lit(1))
-        return F.struct(*[p[c].alias(c) for c in ("e", "st", "target", "stop")], hit.alias("hit"), F.try_element_at("path", F.least(at + p["st"]["horizon"], F.size("path"))).alias("last"))
+_BAR = ["idx", "timestamp", "high", "low", "close", "atr", "funding_sum"]
+_MADE = "k int, entry_idx int, exit_idx int, side double, entry_price double, exit_price double, atr double, barrier string, regime string, paid_before double, paid_after double"
+
+
+def _settled(keys: list[str], strategies: list[Strategy], known: bool):
+    """Of a block's bars: a row for each entry of each strategy; known: whether regimes are."""
+    horizon = np.array([x.horizon for x in strategies])
+    pt, sl = (np.array([float(getattr(x, c)) for x in strategies]) for c in ("pt_atr", "sl_atr"))
+
+    def of(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        idx, high, low, close, atr, paid, *context = (np.asarray(t.column(c).to_numpy(zero_copy_only=False), float) for c in ("idx", "high", "low", "close", "atr", "funding_sum", *(("volatility_168", "momentum_168") if known else ())))
+        st = t.column("st").combine_chunks()
+        at, flat = pc.list_parent_indices(st).to_numpy(), pc.list_flatten(st)
+        k, side = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("k", "side"))
+        good = (atr[at] > 0) & (close[at] > 0)
+        at, k, side = at[good], k[good], side[good]
+        up, price, unit = np.sign(side), close[at], atr[at]
+        target, stop = price + up * pt[k] * unit, price - up * sl[k] * unit
+        long, end = up > 0, np.minimum(at + horizon[k], len(idx) - 1)
+        hit = first_touch(high, low, at + 1, end, np.where(long, stop, target), np.where(long, target, stop))
+        touched, out = hit <= end, np.minimum(hit, end)
+        stopped = touched & np.where(long, low[out] <= stop, high[out] >= stop)
+        barrier = np.where(stopped, "stop", np.where(touched, "target", "vertical"))
+        regime = regimes(*context)[at] if known else np.full(len(at), "unknown", object)
+        made = [k, idx[at], idx[out], side, price, np.where(stopped, stop, np.where(touched, target, close[out])), unit, barrier, regime, paid[at], paid[out]]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.string(), pa.float64(), pa.float64()]
+        columns = [pa.array(x.astype(int) if kind == pa.int32() else x, kind) for x, kind in zip(made, kinds, strict=True)]
+        time = t.column("timestamp")
+        return pa.table([*[t.column(c).take(at) for c in keys], time.take(at), time.take(out), *columns], names=[*keys, "entry_time", "exit_time", *[x.split()[0] for x in _MADE.split(", ")]])
 
     return of
 
 
-def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | None = None, book: DataFrame | None = None, s: Settings = DEFAULT, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | None = None, book: DataFrame | None = None, s: Settings = DEFAULT, keys: tuple[str, ...] = ("symbol",), block: int = BLOCK) -> DataFrame:
     """One row for each bar and strategy with a side: barriers, costs, regime.
 
     frame is a (lagged) feature frame, already cut to its segment; ATR, regime and volume
     are taken within it.  Entry is the close; within a bar the stop is met before the target;
     fills are at the barrier; without either by the horizon, at that bar's close.
-    keys tell series apart, if a symbol has several.
+    keys tell series apart, if a symbol has several.  The frame is read several times (length of the
+    series, volume, bars), so it is written first.
     """
-    keys, w = list(keys), series(list(keys))
+    keys, frame = list(keys), written(frame)
+    known = {"volatility_168", "momentum_168"} <= set(frame.columns)
     f = indexed(frame.drop("idx", "n"), keys).where(F.col("n") >= s.min_segment_bars)
-    f = average_true_range(f.drop("atr"), keys)
-    f = f.withColumn("regime", regime(w)) if {"volatility_168", "momentum_168"} <= set(f.columns) else f.withColumn("regime", F.lit("unknown"))
-    f = f.withColumn("st", sides(f, strategies))
-    f = asof(f, cumulative_funding(funding), ["symbol"], ["funding_sum"]) if funding is not None else f.withColumn("funding_sum", F.lit(0.0))
+    f = asof(f, cumulative_funding(funding), ["symbol"], ["funding_sum"], times=frame) if funding is not None else f.withColumn("funding_sum", F.lit(0.0))
     longest = max(x.horizon for x in strategies)
-    bar = F.struct("idx", "high", "low", "close", "timestamp", F.coalesce("funding_sum", F.lit(0.0)).alias("funding_sum"))
-    entry = F.struct("idx", "timestamp", "close", "atr", "regime", F.coalesce("funding_sum", F.lit(0.0)).alias("funding_sum"), "st")
-    f = f.withColumn("block", F.floor(F.col("idx") / longest).cast("int")).repartition(*keys, "block")
-    enters = (F.size("st") > 0) & (F.col("atr") > 0) & (F.col("close") > 0)
-    blocks = f.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(bar)).alias("bars"), F.collect_list(F.when(enters, entry)).alias("entries"))
-    ahead = F.lead("bars").over(W.partitionBy(*keys).orderBy("block"))
-    t = blocks.withColumn("path", F.concat("bars", F.coalesce(ahead, F.slice("bars", 1, 0)))).where(F.size("entries") > 0)
-    placed = F.flatten(F.transform("entries", lambda e: F.transform(e["st"], lambda x: _placed(e, x))))
-    t = t.select(*keys, F.explode(F.transform(placed, _settled(F.col("block") * longest))).alias("x")).select(*keys, "x.*")
-    side, close, held = F.col("st.side"), F.col("e.close"), F.col("out.idx") - F.col("e.idx")
-    stopped = F.when(side > 0, F.col("hit.low") <= F.col("stop")).otherwise(F.col("hit.high") >= F.col("stop"))
-    t = t.withColumn("out", F.coalesce("hit", "last")).withColumn("barrier", F.when(F.col("hit").isNull(), "vertical").when(stopped, "stop").otherwise("target"))
-    price = F.when(F.col("barrier") == "stop", F.col("stop")).when(F.col("barrier") == "target", F.col("target")).otherwise(F.col("out.close"))
-    t = t.withColumn("exit_price", price).withColumn("gross_return", side * (F.col("exit_price") - close) / close)
-    t = t.withColumn("funding_bps", F.when(held > 0, (F.col("out.funding_sum") - F.col("e.funding_sum")) * side.cast("int") * 10_000).otherwise(0.0))
+    f, bk = in_blocks(f, keys, max(block, -(-longest // HALO) * HALO), longest)
+    f = average_true_range(f.drop("atr"), bk)
+    f = f.withColumn("st", F.when(F.col("part_") == 0, F.transform(sides(f, strategies), lambda x: F.struct(x["k"].alias("k"), x["side"].alias("side")))))
+    f = f.withColumn("funding_sum", F.coalesce("funding_sum", F.lit(0.0)))
+    shape = T.StructType([*[f.schema[c] for c in keys], *[T.StructField(c, f.schema["timestamp"].dataType) for c in ("entry_time", "exit_time")], *T._parse_datatype_string(_MADE).fields])
+    t = f.select(*bk, *_BAR, "st", *(("volatility_168", "momentum_168") if known else ())).groupBy(*bk).applyInArrow(_settled(keys, strategies, known), shape)
+    side, close, held = F.col("side"), F.col("entry_price"), F.col("exit_idx") - F.col("entry_idx")
+    t = t.withColumn("gross_return", side * (F.col("exit_price") - close) / close)
+    t = t.withColumn("funding_bps", F.when(held > 0, (F.col("paid_after") - F.col("paid_before")) * side.cast("int") * 10_000).otherwise(0.0))
     t = t.join(adv(frame, s, tuple(keys)), keys, "left")
     t = t.join(spreads(book, s).select("symbol", "spread_bps"), "symbol", "left") if book is not None else t.withColumn("spread_bps", F.lit(s.fallback_spread_bps))
     cost = round_trip_cost(F.coalesce("spread_bps", F.lit(s.fallback_spread_bps)), impact_bps(F.lit(s.notional), F.coalesce("adv", F.lit(0.0)), s), F.col("funding_bps"), s)
     t = t.withColumn("cost_bps", cost)
     return t.select(
-        F.col("st.name").alias("strategy"), *keys, F.col("e.idx").alias("entry_idx"), F.col("out.idx").alias("exit_idx"), F.col("e.timestamp").alias("entry_time"), F.col("out.timestamp").alias("exit_time"),
-        side.cast("int").alias("side"), close.alias("entry_price"), "exit_price", F.col("e.atr").alias("atr"), "barrier", held.alias("bars_held"), "gross_return",
-        (F.col("gross_return") > 0).cast("int").alias("label"), "funding_bps", "cost_bps", (F.col("gross_return") - F.col("cost_bps") / 10_000).alias("net_return"), F.col("e.regime").alias("regime"),
+        F.array(*[F.lit(x.name) for x in strategies])[F.col("k")].alias("strategy"), *keys, "entry_idx", "exit_idx", "entry_time", "exit_time", side.cast("int").alias("side"), "entry_price", "exit_price", "atr", "barrier", held.alias("bars_held"), "gross_return",
+        (F.col("gross_return") > 0).cast("int").alias("label"), "funding_bps", "cost_bps", (F.col("gross_return") - F.col("cost_bps") / 10_000).alias("net_return"), "regime",
     )
 
 

@@ -8,7 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import asof, change, series
+from ..functions.spans import asof
+from ..functions.windows import change, series
 from ..operators import evaluate, evolution, features, folds, forecasts, market, metalabel, overfitting, signals, statistics, store, trades
 from ..sources import eventlog, tables
 from . import fixtures as fx
@@ -107,7 +108,7 @@ def feature_frame_15m(spark, sf):
 @query
 def regime_label(spark, sf):
     f = frame(spark, sf, {"volatility_168", "momentum_168"})
-    return f.select("symbol", "timestamp", features.regime(series(["symbol"])).alias("regime"))
+    return features.regime(f.select("symbol", "timestamp", "idx", "volatility_168", "momentum_168")).select("symbol", "timestamp", "regime")
 
 
 def _signal(strategies: list[signals.Strategy]):
