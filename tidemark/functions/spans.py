@@ -42,24 +42,25 @@ def running_sum(df: DataFrame, keys: list[str], value: str, out: str, on: str =
     return d.join(sums, [*keys, "span_"]).select(*df.columns, (F.col("own_") + F.col("before_")).alias(out))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], on: str = "timestamp", days: int = DAYS, times: DataFrame | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], on: str = "timestamp", days: int = DAYS, times=None) -> DataFrame:
     """left with the values of the last row of right at or before it, per key; null before the first.
 
     One union and one window a (key, span), and no range join.  The last row of each span of
     right is repeated at the beginning of the spans up to right's next one, so that every span
-    of left knows what came before.  times: a frame cheaper than left with the same last time, which
-    says how far right's last row is carried.
+    of left knows what came before.  times: left's last time, or a frame cheaper than left with the same
+    one; it says how far right's last row is carried.
     """
     held = F.struct(*[F.col(v) for v in values])
-    r = right.select(*keys, F.col(on).alias("on_"), held.alias("held_")).withColumn("span_", span("on_", days))
-    until = F.broadcast((left if times is None else times).agg(F.max(span(on, days)).alias("until_")))
-    last = r.groupBy(*keys, "span_").agg(F.max_by("held_", "on_").alias("held_")).crossJoin(until)  # one row
-    after = F.coalesce(F.lead("span_").over(W.partitionBy(*keys).orderBy("span_")), F.greatest("until_", "span_"))
+    last_time = times if not isinstance(times, DataFrame) else times.agg(F.max(on)).first()[0]
+    if last_time is None:
+        last_time = left.agg(F.max(on)).first()[0]
+    r = right.select(*keys, F.col(on), held.alias("held_")).withColumn("span_", span(on, days))
+    last = r.groupBy(*keys, "span_").agg(F.max_by("held_", on).alias("held_"))
+    until = F.floor(F.unix_date(F.lit(last_time).cast("date")) / days).cast("int")
+    after = F.coalesce(F.lead("span_").over(W.partitionBy(*keys).orderBy("span_")), F.greatest(until, F.col("span_")))
     carried = last.withColumn("to_", after).where(F.col("to_") > F.col("span_")).select(*keys, F.explode(F.sequence(F.col("span_") + 1, F.col("to_"))).alias("span_"), "held_")
-    none = F.lit(None)
-    a = left.select(F.struct(*left.columns).alias("row_"), *keys, F.col(on).alias("on_"), span(on, days).alias("span_"), none.cast(r.schema["held_"].dataType).alias("held_"), F.lit(2).alias("side_"))
-    b = r.select(none.cast(a.schema["row_"].dataType).alias("row_"), *keys, "on_", "span_", "held_", F.lit(1).alias("side_"))
-    c = carried.select(none.cast(a.schema["row_"].dataType).alias("row_"), *keys, none.cast(r.schema["on_"].dataType).alias("on_"), "span_", "held_", F.lit(0).alias("side_"))
-    w = W.partitionBy(*keys, "span_").orderBy("on_", "side_").rowsBetween(*UP_TO_HERE)  # without a time: first
-    both = a.unionByName(b).unionByName(c).withColumn("last_", F.last(F.when(F.col("side_") < 2, F.col("held_")), ignorenulls=True).over(w)).where("side_ = 2")
-    return both.select("row_.*", *[F.col(f"last_.{v}").alias(v) for v in values])
+    a = left.select("*", span(on, days).alias("span_"), F.lit(2).alias("side_"))
+    more = r.select("*", F.lit(1).alias("side_")).unionByName(carried.select("*", F.lit(0).alias("side_")), allowMissingColumns=True)
+    w = W.partitionBy(*keys, "span_").orderBy(on, "side_").rowsBetween(*UP_TO_HERE)  # what is carried has no time and comes first
+    both = a.unionByName(more, allowMissingColumns=True).withColumn("last_", F.last("held_", ignorenulls=True).over(w)).where("side_ = 2")
+    return both.select(*left.columns, *[F.col(f"last_.{v}").alias(v) for v in values])

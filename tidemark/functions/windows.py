@@ -1,14 +1,10 @@
-"""Rolling and recursive building blocks over one ordered partition.
+"""Recursive building blocks over one ordered partition.
 
-All of them share the partitioning (keys) and order given, so that a frame with
-dozens of features needs one shuffle and one sort.  Rolling values are null until the
-window holds as many values as it asks for; nulls, never NaN, mean missing.
+All of them share the partitioning (keys) and order given.  Nulls, never NaN, mean missing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,21 +14,11 @@ def series(keys: list[str], order: str = "timestamp"):
     return W.partitionBy(*keys).orderBy(order)
 
 
-def rolling(w, agg: Callable[[Column], Column], value: Column, n: int, least: int | None = None) -> Column:
-    """agg over the last n rows, where at least `least` (n, if None) of them have a value."""
-    frame = w.rowsBetween(1 - n, 0)
-    return F.when(F.count(value).over(frame) >= (n if least is None else least), agg(value).over(frame))
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0."""
     return a / F.nullif(b, F.lit(0.0))
 
 
-def zscore(w, value: Column, n: int) -> Column:
-    return ratio(value - rolling(w, F.avg, value, n), rolling(w, F.stddev_samp, value, n))
-
-
 def change(w, value: Column, n: int = 1) -> Column:
     return ratio(value, F.lag(value, n).over(w)) - 1
 

@@ -22,7 +22,7 @@ from ..functions.order import quantiles
 from ..functions.paths import first_touch, regimes
 from ..functions.spans import asof, running_sum
 from ..sources.tables import BASE
-from .features import BLOCK, HALO, average_true_range, in_blocks, indexed
+from .features import BLOCK, HALO, in_blocks, indexed, true_average
 from .signals import Strategy
 
 
@@ -40,7 +40,8 @@ def segment(frame: DataFrame, kind: str = "all", boundary=None, since=None, unti
 
 def adv(frame: DataFrame, s: Settings = DEFAULT, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(keys, adv): mean quote volume of the last adv_bars bars, times the bars of a day."""
-    last = indexed(frame.select(*keys, "timestamp", "quote_volume"), list(keys)).where(F.col("idx") >= F.col("n") - s.adv_bars)
+    last = frame if {"idx", "n"} <= set(frame.columns) else indexed(frame.select(*keys, "timestamp", "quote_volume"), list(keys))
+    last = last.where(F.col("idx") >= F.col("n") - s.adv_bars)
     return last.groupBy(*keys).agg((F.avg("quote_volume") * s.bars_per_day).alias("adv"))
 
 
@@ -88,7 +89,16 @@ def sides(f: DataFrame, strategies: list[Strategy]) -> Column:
     return F.filter(F.array(*made), lambda t: t["side"] != 0)
 
 
-_BAR = ["idx", "timestamp", "high", "low", "close", "atr", "funding_sum"]
+def _positions(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """frame, a written table, with idx from 0 and n: by the positions that it has, if these are without gaps, else numbered anew."""
+    if "idx" in frame.columns:
+        ends = frame.groupBy(*keys).agg(F.min("idx").alias("lo_"), F.max("idx").alias("hi_"), F.count("*").alias("n"))
+        if ends.where("hi_ - lo_ + 1 <> n").isEmpty():
+            return frame.drop("n").join(ends.drop("hi_"), keys).withColumn("idx", F.col("idx") - F.col("lo_")).drop("lo_")
+    return indexed(frame.drop("idx", "n"), keys)
+
+
+_BAR = ["idx", "timestamp", "high", "low", "close", "funding_sum"]
 _MADE = "k int, entry_idx int, exit_idx int, side double, entry_price double, exit_price double, atr double, barrier string, regime string, paid_before double, paid_after double"
 
 
@@ -99,10 +109,11 @@ def _settled(keys: list[str], strategies: list[Strategy], known: bool):
 
     def of(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
-        idx, high, low, close, atr, paid, *context = (np.asarray(t.column(c).to_numpy(zero_copy_only=False), float) for c in ("idx", "high", "low", "close", "atr", "funding_sum", *(("volatility_168", "momentum_168") if known else ())))
+        idx, high, low, close, paid, *context = (np.asarray(t.column(c).to_numpy(zero_copy_only=False), float) for c in ("idx", "high", "low", "close", "funding_sum", *(("volatility_168", "momentum_168") if known else ())))
         st = t.column("st").combine_chunks()
         at, flat = pc.list_parent_indices(st).to_numpy(), pc.list_flatten(st)
         k, side = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("k", "side"))
+        atr = true_average(high, low, close, idx)
         good = (atr[at] > 0) & (close[at] > 0)
         at, k, side = at[good], k[good], side[good]
         up, price, unit = np.sign(side), close[at], atr[at]
@@ -131,15 +142,15 @@ def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | No
     keys tell series apart, if a symbol has several.  The frame is read several times (length of the
     series, volume, bars), so it is written first.
     """
-    keys, frame = list(keys), written(frame)
+    keys = list(keys)
+    frame = _positions(written(frame), keys)
     known = {"volatility_168", "momentum_168"} <= set(frame.columns)
-    f = indexed(frame.drop("idx", "n"), keys).where(F.col("n") >= s.min_segment_bars)
+    f = frame.where(F.col("n") >= s.min_segment_bars)
     f = asof(f, cumulative_funding(funding), ["symbol"], ["funding_sum"], times=frame) if funding is not None else f.withColumn("funding_sum", F.lit(0.0))
     longest = max(x.horizon for x in strategies)
     f, bk = in_blocks(f, keys, max(block, -(-longest // HALO) * HALO), longest)
-    f = average_true_range(f.drop("atr"), bk)
-    f = f.withColumn("st", F.when(F.col("part_") == 0, F.transform(sides(f, strategies), lambda x: F.struct(x["k"].alias("k"), x["side"].alias("side")))))
-    f = f.withColumn("funding_sum", F.coalesce("funding_sum", F.lit(0.0)))
+    own = F.when(F.col("part_") == 0, F.transform(sides(f, strategies), lambda x: F.struct(x["k"].alias("k"), x["side"].alias("side"))))
+    f = f.withColumns({"st": own, "funding_sum": F.coalesce("funding_sum", F.lit(0.0))})
     shape = T.StructType([*[f.schema[c] for c in keys], *[T.StructField(c, f.schema["timestamp"].dataType) for c in ("entry_time", "exit_time")], *T._parse_datatype_string(_MADE).fields])
     t = f.select(*bk, *_BAR, "st", *(("volatility_168", "momentum_168") if known else ())).groupBy(*bk).applyInArrow(_settled(keys, strategies, known), shape)
     side, close, held = F.col("side"), F.col("entry_price"), F.col("exit_idx") - F.col("entry_idx")

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kept import written
 from ..functions.spans import asof
 from ..functions.windows import change, series
 from ..operators import evaluate, evolution, features, folds, forecasts, market, metalabel, overfitting, signals, statistics, store, trades
@@ -34,8 +35,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+def stored(bars: DataFrame) -> DataFrame:
+    """Bars that are made of ticks here, written as they would be at hand: a frame of features reads them several times."""
+    return written(bars)
+
+
 def frame(spark: SparkSession, sf: str, only: set[str] | None = None) -> DataFrame:
-    return features.feature_frame(tables.bars_daily(spark, sf), tables.funding_weekly(spark, sf), BENCHMARK, only=only)
+    return features.feature_frame(stored(tables.bars_daily(spark, sf)), tables.funding_weekly(spark, sf), BENCHMARK, only=only)
 
 
 def _features(names: list[str]):
@@ -101,7 +107,7 @@ def asof_funding(spark, sf):
 
 @query
 def feature_frame_15m(spark, sf):
-    f = features.feature_frame(tables.bars_15m(spark, sf), only={"momentum_24", "volatility_24", "range_position", "atr_pct"})
+    f = features.feature_frame(stored(tables.bars_15m(spark, sf)), only={"momentum_24", "volatility_24", "range_position", "atr_pct"})
     return rounded(f.select("symbol", "timestamp", "momentum_24", "volatility_24", "range_position", "atr_pct"))
 
 
