@@ -172,3 +172,75 @@ def test_streamed_bars(spark, tmp_path):
     q = tailed_log(spark, str(logs)).writeStream.format("memory").queryName("live_log").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.awaitTermination(120)
     assert sorted(r.type for r in spark.table("live_log").collect()) == ["x", "y"]
+
+
+def test_appended_frames_are_numbered_on(spark, tmp_path):
+    led = store.Ledger(spark, str(tmp_path / "l"))
+    rows = spark.range(1000).select(F.col("id").alias("forecast_id"), F.lit(1).alias("outcome"), F.lit("x").alias("resolution"), F.lit(None).cast("string").alias("resolved_at")).repartition(7)
+    assert led.append_frame("resolutions", rows) == 1000 and led.append_frame("resolutions", rows.limit(0)) == 0 and led.append_frame("resolutions", rows.limit(3)) == 3
+    assert sorted(r.id for r in led.log("resolutions").collect()) == list(range(1, 1004))
+
+
+def test_written_tables_have_an_owner(spark, tmp_path):
+    import os
+
+    from tidemark.functions import kept
+
+    root = kept.shared_root(spark).removeprefix("file:")
+    with kept.scope():
+        before = set(os.listdir(root)) if os.path.isdir(root) else set()
+        a = kept.written(spark.range(5))
+        with kept.scope():
+            b = kept.written(a)
+            assert b.count() == 5 and len(set(os.listdir(root)) - before) == 2
+        assert len(set(os.listdir(root)) - before) == 1 and a.count() == 5
+    assert set(os.listdir(root)) == before
+
+
+def test_a_broken_strategy_is_named(spark):
+    from test_engine import BARS, made_bars
+
+    frame = features.feature_frame(spark.createDataFrame(made_bars(300, "A"), BARS), only={"momentum_6"})
+    good = signals.Strategy("good", lambda df: F.lit(1))
+    for bad in (signals.Strategy("bad", lambda df: F.col("no_such_column")), signals.Strategy("bad", lambda df: 1 / 0)):
+        with pytest.raises(signals.StrategyError, match="^bad: "):
+            trades.trades(frame, [good, bad])
+
+
+def test_permutation_losses_against_a_loop(spark):
+    import numpy as np
+
+    from tidemark.operators import metalabel
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.3 * x[:, 1] + 0.5 * rng.normal(size=300) > 0).astype(int)
+    rows = [(T0(i), "A", i, *map(float, v), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))]
+    t = spark.createDataFrame(rows, "entry_time timestamp_ntz, symbol string, entry_idx int, momentum_24 double, momentum_168 double, atr_pct double, meta_label int").repartition(3)
+    model = metalabel.trained(t, trees=8)
+    names = model.stages[0].getInputCols()
+    assert [r.feature for r in metalabel.importances(model).collect()][0] == "momentum_24" and metalabel.importances(model).agg(F.sum("gain")).first()[0] == pytest.approx(1)
+    got = {r.feature: r for r in metalabel.permuted(model, t).collect()}
+    pdf = t.withColumn("h", F.xxhash64(F.struct("entry_time", "symbol", "entry_idx"), F.lit(0))).toPandas().sort_values("entry_idx")
+    other = pdf.sort_values("h")
+
+    def auc(p):
+        up, down = p[pdf.meta_label == 1], p[pdf.meta_label == 0]
+        return ((up[:, None] > down).mean() + (up[:, None] == down).mean() / 2).item()
+
+    def scored(df):
+        return np.array([r.probability[1] for r in sorted(model.transform(spark.createDataFrame(df)).select("entry_idx", "probability").collect(), key=lambda r: r.entry_idx)])
+
+    base = auc(scored(pdf))
+    for n in names:
+        changed = pdf.copy()
+        changed[n] = other[n].to_numpy()
+        want = auc(scored(changed))
+        assert got[n].auc == pytest.approx(want, abs=1e-12) and got[n].loss == pytest.approx(base - want, abs=1e-12)
+    assert max(got.values(), key=lambda r: r.loss).feature == "momentum_24"
+
+
+def T0(i):
+    from datetime import timedelta
+
+    return datetime(2024, 1, 1) + timedelta(hours=i)

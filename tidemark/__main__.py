@@ -10,11 +10,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import DEFAULT
+from .functions.kept import scope
 from .operators.evaluate import null_suite
 from .operators.evolution import evolve, monitored, retire_decayed
 from .operators.features import feature_frame
 from .operators.signals import SEEDS
-from .operators.store import Ledger, archive_latest, forecasts_now, research_state
+from .operators.forecasts import agent_scores
+from .operators.store import Ledger, archive_latest, forecasts_now, niche_attribution, research_state
 from .sources.tables import inventory, load_bars, load_funding
 
 
@@ -29,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--generations", type=int, default=2)
     out.add_argument("--population", type=int, default=DEFAULT.population)
     out.add_argument("--seed", type=int, default=7)
-    out.add_argument("--seeded", action="store_true", help="start from the seed hypotheses")
+    out.add_argument("--seeded", action="store_true", help="let the first generation be the fixed rules, not random ones")
     out.add_argument("--auto-retire", action="store_true")
     out.add_argument("--now", help="time up to which forecasts are due; by default the last bar's")
     return out
@@ -37,6 +39,11 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, argv: list[str]) -> int:
     """Print the command's result as lines of JSON; 0, or 1 if the evaluation can't be trusted."""
+    with scope():
+        return _run(spark, argv)
+
+
+def _run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
     say = lambda rows: [print(json.dumps(r.asDict(True) if hasattr(r, "asDict") else r, default=str)) for r in rows]
     ledger = Ledger(spark, f"{a.root}/ledger")
@@ -49,6 +56,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     if a.command == "resolve":
         until = F.lit(a.now).cast("timestamp_ntz") if a.now else F.lit(bars.agg(F.max("timestamp")).first()[0])
         say([{"resolved": ledger.resolve_forecasts(bars, until)}])
+        say(agent_scores(forecasts_now(ledger.log("forecasts"), ledger.log("resolutions"))).orderBy(F.desc("skill_score")).collect())  # a row for each agent
         return 0
     funding = load_funding(spark, a.root, a.symbols)
     frame = feature_frame(bars, funding, a.benchmark)
@@ -62,6 +70,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         return 0
     say(monitored(frame, archive_latest(ledger.log("strategies")), funding).collect())
     say([{"retired": retire_decayed(ledger, frame, funding)}] if a.auto_retire else [])
+    say(niche_attribution(archive_latest(ledger.log("strategies"))).orderBy("niche").collect())  # a row for each niche
     return 0
 
 

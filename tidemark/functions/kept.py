@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +47,28 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_owner: ContextVar[list | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Own the tables that written() makes within: they are deleted at the end, when what was computed from them must be done.
+
+    Scopes nest; without one, tables stay in the shared folder until that is cleaned.
+    """
+    own: list[Scratch] = []
+    token = _owner.set(own)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for x in own:
+            x.drop()
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder, where it stays until that is cleaned; for frames that are read several times."""
-    return Scratch(df.sparkSession, "table").keep(df)
+    """df from a table in the shared folder, for frames that are read several times; scope() says how long it stays."""
+    scratch = Scratch(df.sparkSession, "table")
+    if (own := _owner.get()) is not None:
+        own.append(scratch)
+    return scratch.keep(df)

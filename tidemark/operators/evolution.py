@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -91,22 +92,13 @@ def evolve(frame: DataFrame, ledger: Ledger, generations: int = 2, population: i
 def monitored(frame: DataFrame, archive: DataFrame, funding=None, book=None, s: Settings = DEFAULT) -> DataFrame:
     """Active archived strategies on the bars since their discovery, against their backtests (see decay()).
 
-    One plan for all: every time of discovery is a series of its own, on which only the
-    strategies found then have a side.  Rules are read to the driver, as many as are active.
+    One plan for all, and no bar is copied: a strategy counts bars from its discovery on.  Rules
+    are read to the driver, as many as are active.
     """
-    from .signals import Strategy
-
     rows = archive.where("status = 'active'").select("name", "created_at", "genome").collect()
     if not rows:
         return frame.sparkSession.createDataFrame([], "strategy string, n_trades bigint, mean_return double, expected double, decay_z double, status string")
-    since = frame.sparkSession.createDataFrame([(x,) for x in sorted({r.created_at for r in rows})], "since string")
-    begun = F.col("since").cast("timestamp_ntz")
-    copies = frame.join(F.broadcast(since), F.col("timestamp") >= begun)  # a row for each generation that is still active
-
-    def only(r, x: Strategy) -> Strategy:
-        return Strategy(r.name, lambda df: F.when(F.col("since") == r.created_at, x.side(df)).otherwise(0), x.horizon, x.pt_atr, x.sl_atr)
-
-    t = trades(copies, [only(r, compiled(Rule.parse(r.genome))) for r in rows], funding, book, s, keys=("since", "symbol"))
+    t = trades(frame, [replace(compiled(Rule.parse(r.genome)), name=r.name, since=r.created_at) for r in rows], funding, book, s)
     get = lambda k: F.get_json_object("scorecard", f"$.overall.{k}").cast("double").alias(k)
     return decay(trade_statistics(t, ["strategy"]), archive.select(F.col("name").alias("strategy"), get("mean_return"), get("volatility")), s)
 

@@ -55,6 +55,13 @@ def positioning(values: DataFrame, column: str, rows: int = 168) -> DataFrame:
     return g.select("symbol", "n", "current", "mean", ((F.col("current") / F.nullif("before", F.lit(0.0)) - 1) * 100).alias("change_24_pct"), ((F.col("current") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("zscore"))
 
 
+def positioning_report(values: DataFrame, columns: list[str], rows: int = 168) -> DataFrame:
+    """(symbol, measure, n, current, mean, change_24_pct, zscore): positioning() of several measures side by side; one without any value has no row."""
+    long = values.select("symbol", "timestamp", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("symbol", "timestamp", "x.*")
+    long = long.where("value is not null").withColumn("symbol", F.struct("symbol", "measure"))
+    return positioning(long, "value", rows).select("symbol.symbol", "symbol.measure", "n", "current", "mean", "change_24_pct", "zscore")
+
+
 def order_book(books: DataFrame, notional: float = 1000.0) -> DataFrame:
     """books (symbol, bids, asks: arrays of price and qty, best first): spread, depth, and the fill of a buy of that size.
 

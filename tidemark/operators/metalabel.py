@@ -93,6 +93,45 @@ def trained(data: DataFrame, path: str | None = None, trees: int = 80):
     return model
 
 
+def importances(model) -> DataFrame:
+    """(feature, gain) of a model: the share of all splits' gain that a feature's splits have, the largest first."""
+    names, gain = model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray()
+    spark = SparkSession.active()
+    return spark.createDataFrame([(n, float(g)) for n, g in zip(names, gain, strict=True)], "feature string, gain double").orderBy(F.desc("gain"), "feature")
+
+
+def permuted(model, test: DataFrame, label: str = "meta_label", order: tuple[str, ...] = ORDER, seed: int = 0) -> DataFrame:
+    """(feature, auc, loss): the area under the curve with one feature's values dealt to other rows, and what that loses.
+
+    All features are dealt by one permutation, the order of a hash, so that rows meet their
+    partners in one join and every variant is scored in one pass; the largest loss first.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    names = model.stages[0].getInputCols()
+    t = test.select(*[F.col(c).alias(c) for c in names], label, F.struct(*order).alias("own_"), F.lit(1).alias("one_"))
+    rows = written(running(t.withColumn("hash_", F.xxhash64("own_", F.lit(seed)))))
+    partner = rows.select(F.col("by_hash_").alias("by_own_"), F.struct(*names).alias("other_"))
+    both = rows.join(partner, "by_own_")
+    variants = both.withColumn("feature", F.explode(F.array(F.lit(""), *[F.lit(n) for n in names])))
+    dealt = variants.select("feature", label, *[F.when(F.col("feature") == n, F.col("other_")[n]).otherwise(F.col(n)).alias(n) for n in names])
+    scored = model.transform(dealt).select("feature", F.col(label).alias("meta_label"), vector_to_array("probability")[1].alias("p"))
+    got = auc(scored, ["feature"])
+    base = F.broadcast(got.where("feature = ''").select(F.col("auc").alias("base_")))  # one row
+    return got.where("feature <> ''").crossJoin(base).select("feature", "auc", (F.col("base_") - F.col("auc")).alias("loss")).orderBy(F.desc("loss"), "feature")
+
+
+def running(t: DataFrame) -> DataFrame:
+    """t with by_own_ and by_hash_, the rows' places in the order of own_ and of hash_ (ties: own_)."""
+    for name, order in (("by_own_", ["own_"]), ("by_hash_", ["hash_", "own_"])):
+        parts = written(t.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
+        sizes = parts.groupBy("part_").agg(F.count("*").alias("n_"))
+        before = sizes.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+        own = F.row_number().over(W.partitionBy("part_").orderBy(*order)) - 1
+        t = parts.withColumn(name, own).join(F.broadcast(before), "part_").withColumn(name, F.col(name) + F.col("before_")).drop("part_", "before_")
+    return t
+
+
 def loaded(spark: SparkSession, path: str):
     """The model saved at path, or None if there is none."""
     from pyspark.ml import PipelineModel

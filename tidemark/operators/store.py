@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from ..functions.kept import Scratch
 
 HYPOTHESES = "id bigint, created_at string, author string, title string, statement string, economic_rationale string, predicted_direction string, feature_definition string, horizon_bars int, symbols string, code_hash string"
 TESTS = "id bigint, hypothesis_id bigint, created_at string, harness_version string, segment string, n_trials int, passed int, scorecard string"
@@ -105,8 +106,28 @@ class Ledger:
         """Resolve the open forecasts that are due and have bars; how many."""
         from .forecasts import resolve
 
-        got = resolve(open_forecasts(self.log("forecasts"), self.log("resolutions")), bars, now).select("id", "outcome", "resolution").collect()  # a row for each forecast that is due
-        return len(self.append_all("resolutions", [{"forecast_id": r.id, "resolved_at": resolved_at, "outcome": r.outcome, "resolution": r.resolution} for r in got]))
+        got = resolve(open_forecasts(self.log("forecasts"), self.log("resolutions")), bars, now)
+        new = got.select(F.col("id").alias("forecast_id"), F.lit(resolved_at).cast("string").alias("resolved_at"), "outcome", "resolution")
+        return self.append_frame("resolutions", new)
+
+    def append_frame(self, table: str, rows: DataFrame) -> int:
+        """Append rows, however many, and how many they are; ids go on from the log's last one without gaps.
+
+        The rows are written once, counted by partition, and numbered by these few counts.
+        """
+        last = self.log(table).agg(F.max("id")).first()[0] or 0
+        scratch = Scratch(self.spark, "append")
+        kept = scratch.keep(rows.withColumn("at_", F.monotonically_increasing_id()))
+        sizes = kept.groupBy(F.shiftright("at_", 33).alias("part_")).agg(F.count("*").alias("n_"))
+        before = sizes.select("part_", F.coalesce(F.sum("n_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+        made = kept.withColumn("part_", F.shiftright("at_", 33)).join(F.broadcast(before), "part_")
+        made = made.withColumn("id", F.lit(last + 1) + F.col("before_") + F.col("at_").bitwiseAND((1 << 33) - 1))
+        shape = self.spark.createDataFrame([], SCHEMAS[table]).schema
+        n = kept.count()
+        if n:
+            made.select(*[F.col(f.name).cast(f.dataType) for f in shape]).write.mode("append").parquet(f"{self.root}/{table}")
+        scratch.drop()
+        return n
 
     def retire(self, name: str, reason: str) -> None:
         last = archive_latest(self.log("strategies")).where(F.col("name") == name).first()

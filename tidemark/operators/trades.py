@@ -10,8 +10,10 @@ of its horizon.  Only entries become rows again.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ from ..functions.paths import first_touch, regimes
 from ..functions.spans import asof, running_sum
 from ..sources.tables import BASE
 from .features import BLOCK, HALO, in_blocks, indexed, true_average
-from .signals import Strategy
+from .signals import Strategy, StrategyError
 
 
 def segment(frame: DataFrame, kind: str = "all", boundary=None, since=None, until=None) -> DataFrame:
@@ -38,6 +40,18 @@ def segment(frame: DataFrame, kind: str = "all", boundary=None, since=None, unti
     return out if until is None else out.where(t < F.lit(until))
 
 
+def _starts(strategies: list[Strategy]) -> list[str | None]:
+    """The times from which on strategies count bars, each once; None first."""
+    return sorted({x.since for x in strategies}, key=lambda t: (t is not None, t or ""))
+
+
+def _since(frame: DataFrame, starts: list[str | None], keys: list[str], s: Settings) -> DataFrame:
+    """(keys, bars_, adv_): for each start the bars of a series from there on, and the daily volume of its last ones."""
+    last = F.col("idx") >= F.col("n") - s.adv_bars
+    on = [F.lit(True) if t is None else F.col("timestamp") >= F.lit(t).cast("timestamp_ntz") for t in starts]
+    return frame.groupBy(*keys).agg(F.array(*[F.count(F.when(c, 1)) for c in on]).alias("bars_"), F.array(*[F.avg(F.when(c & last, F.col("quote_volume"))) * s.bars_per_day for c in on]).alias("adv_"))
+
+
 def adv(frame: DataFrame, s: Settings = DEFAULT, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(keys, adv): mean quote volume of the last adv_bars bars, times the bars of a day."""
     last = frame if {"idx", "n"} <= set(frame.columns) else indexed(frame.select(*keys, "timestamp", "quote_volume"), list(keys))
@@ -85,8 +99,25 @@ def signals(frame: DataFrame, strategies: list[Strategy], s: Settings = DEFAULT)
 def sides(f: DataFrame, strategies: list[Strategy]) -> Column:
     """Structs (k, name, side) of the strategies that have a side on a bar."""
     clip = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    made = [F.struct(F.lit(k).alias("k"), F.lit(x.name).alias("name"), clip(F.coalesce(x.side(f).cast("double"), F.lit(0.0))).alias("side")) for k, x in enumerate(strategies)]
-    return F.filter(F.array(*made), lambda t: t["side"] != 0)
+
+    def side(x: Strategy) -> Column:
+        try:
+            out = F.coalesce(x.side(f).cast("double"), F.lit(0.0))
+        except Exception as e:  # whatever a user's function raises
+            raise StrategyError(f"{x.name}: {e}") from e
+        return out if x.since is None else F.when(F.col("timestamp") >= F.lit(x.since).cast("timestamp_ntz"), out).otherwise(0.0)
+
+    made = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x.name).alias("name"), clip(side(x)).alias("side")) for k, x in enumerate(strategies)]), lambda t: t["side"] != 0)
+    try:
+        f.select(made)
+    except AnalysisException as e:
+        for x in strategies:
+            try:
+                f.select(side(x))
+            except AnalysisException as own:
+                raise StrategyError(f"{x.name}: {own}") from own
+        raise StrategyError(f"{', '.join(x.name for x in strategies)}: {e}") from e
+    return made
 
 
 def _positions(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,7 +134,14 @@ _MADE = "k int, entry_idx int, exit_idx int, side double, entry_price double, ex
 
 
 def _settled(keys: list[str], strategies: list[Strategy], known: bool):
-    """Of a block's bars: a row for each entry of each strategy; known: whether regimes are."""
+    """Of a block's bars: a row for each entry of each strategy; known: whether regimes are.
+
+    For strategies that count bars from a time in the block on, average range and regime begin there; both
+    forget what lies a halo behind them, so blocks further on need nothing of it.
+    """
+    starts = _starts(strategies)
+    group = np.array([starts.index(x.since) for x in strategies])
+    begin = [None if t is None else pd.Timestamp(t).tz_localize(None).to_datetime64() for t in starts]
     horizon = np.array([x.horizon for x in strategies])
     pt, sl = (np.array([float(getattr(x, c)) for x in strategies]) for c in ("pt_atr", "sl_atr"))
 
@@ -113,17 +151,23 @@ def _settled(keys: list[str], strategies: list[Strategy], known: bool):
         st = t.column("st").combine_chunks()
         at, flat = pc.list_parent_indices(st).to_numpy(), pc.list_flatten(st)
         k, side = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("k", "side"))
-        atr = true_average(high, low, close, idx)
-        good = (atr[at] > 0) & (close[at] > 0)
-        at, k, side = at[good], k[good], side[good]
-        up, price, unit = np.sign(side), close[at], atr[at]
+        times = t.column("timestamp").to_numpy()
+        atr, label = np.full((len(starts), len(idx)), np.nan), np.full((len(starts), len(idx)), "unknown", object)
+        for g, since in enumerate(begin):
+            i = 0 if since is None else int(np.searchsorted(times, since))
+            atr[g, i:] = true_average(high[i:], low[i:], close[i:], idx[i:] - (idx[i] if 0 < i < len(idx) else 0))
+            if known:
+                label[g, i:] = regimes(*(c[i:] for c in context))
+        atr, label = atr[group[k], at], label[group[k], at]
+        good = (atr > 0) & (close[at] > 0)
+        at, k, side, unit, regime = at[good], k[good], side[good], atr[good], label[good]
+        up, price = np.sign(side), close[at]
         target, stop = price + up * pt[k] * unit, price - up * sl[k] * unit
         long, end = up > 0, np.minimum(at + horizon[k], len(idx) - 1)
         hit = first_touch(high, low, at + 1, end, np.where(long, stop, target), np.where(long, target, stop))
         touched, out = hit <= end, np.minimum(hit, end)
         stopped = touched & np.where(long, low[out] <= stop, high[out] >= stop)
         barrier = np.where(stopped, "stop", np.where(touched, "target", "vertical"))
-        regime = regimes(*context)[at] if known else np.full(len(at), "unknown", object)
         made = [k, idx[at], idx[out], side, price, np.where(stopped, stop, np.where(touched, target, close[out])), unit, barrier, regime, paid[at], paid[out]]
         kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.string(), pa.float64(), pa.float64()]
         columns = [pa.array(x.astype(int) if kind == pa.int32() else x, kind) for x, kind in zip(made, kinds, strict=True)]
@@ -138,7 +182,8 @@ def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | No
 
     frame is a (lagged) feature frame, already cut to its segment; ATR, regime and volume
     are taken within it.  Entry is the close; within a bar the stop is met before the target;
-    fills are at the barrier; without either by the horizon, at that bar's close.
+    fills are at the barrier; without either by the horizon, at that bar's close.  For a strategy
+    with a time of its own (since), all of this holds for the bars from then on.
     keys tell series apart, if a symbol has several.  The frame is read several times (length of the
     series, volume, bars), so it is written first.
     """
@@ -156,7 +201,8 @@ def trades(frame: DataFrame, strategies: list[Strategy], funding: DataFrame | No
     side, close, held = F.col("side"), F.col("entry_price"), F.col("exit_idx") - F.col("entry_idx")
     t = t.withColumn("gross_return", side * (F.col("exit_price") - close) / close)
     t = t.withColumn("funding_bps", F.when(held > 0, (F.col("paid_after") - F.col("paid_before")) * side.cast("int") * 10_000).otherwise(0.0))
-    t = t.join(adv(frame, s, tuple(keys)), keys, "left")
+    at = F.array(*[F.lit(_starts(strategies).index(x.since)) for x in strategies])[F.col("k")]
+    t = t.join(_since(frame, _starts(strategies), keys, s), keys).withColumn("adv", F.get("adv_", at)).where(F.get("bars_", at) >= s.min_segment_bars)
     t = t.join(spreads(book, s).select("symbol", "spread_bps"), "symbol", "left") if book is not None else t.withColumn("spread_bps", F.lit(s.fallback_spread_bps))
     cost = round_trip_cost(F.coalesce("spread_bps", F.lit(s.fallback_spread_bps)), impact_bps(F.lit(s.notional), F.coalesce("adv", F.lit(0.0)), s), F.col("funding_bps"), s)
     t = t.withColumn("cost_bps", cost)

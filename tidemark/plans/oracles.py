@@ -326,6 +326,7 @@ ORACLES = {
     "calibration_shrink": f"WITH {FC} SELECT id, {r('0.5 + (probability - 0.5) * 0.5', 'calibrated')} FROM fc",
     "price_stats": f"WITH {BARS}, q AS (SELECT *, close / lag(close) {O} - 1 AS ret FROM ({RECENT} FROM bars) WHERE back <= 720), g AS (SELECT symbol, max(close) FILTER (WHERE back = 1) AS last_price, {', '.join(f'max(close) FILTER (WHERE back = {k + 1}) AS c{k}' for k in (6, 24, 72, 168))}, stddev_samp(ret) AS volatility, max(high) AS high, min(low) AS low, avg(quote_volume) AS mean_quote_volume, max(quote_volume) FILTER (WHERE back = 1) AS v FROM q GROUP BY 1) SELECT symbol, (SELECT count(*) FROM bars b WHERE b.symbol = g.symbol) AS bars_available, (SELECT strftime(min(timestamp), '%Y-%m-%d') FROM bars b WHERE b.symbol = g.symbol) AS history_since, {r('last_price', None, 5)}, {', '.join(r(f'last_price / c{k} - 1', f'return_{k}b', 5) for k in (6, 24, 72, 168))}, {rs(['volatility', 'high', 'low'], 5)}, {r('(last_price - low) / nullif(high - low, 0)', 'position_in_range', 5)}, {r('mean_quote_volume', None, 5)}, {r('v / mean_quote_volume', 'volume_vs_mean', 5)} FROM g",
     "funding_profile": f"WITH {FUNDING}, f AS ({RECENT} FROM funding), l AS (SELECT symbol, funding_rate AS current FROM f WHERE back = 1) SELECT symbol, count(*) AS n, {r('current', None, 5)}, {r('current * 3 * 365 * 100', 'annualised_pct', 5)}, {r('avg(CAST(funding_rate < current AS DOUBLE)) * 100', 'percentile', 5)}, {r('avg(funding_rate) FILTER (WHERE back <= 21)', 'mean_recent', 5)}, {r('sum(funding_rate) FILTER (WHERE back <= 21)', 'sum_recent', 5)}, {r('avg(funding_rate)', 'mean_all', 5)}, {r('stddev_samp(funding_rate)', 'sd_all', 5)}, {r('(current - avg(funding_rate) FILTER (WHERE back <= 21)) / nullif(stddev_samp(funding_rate) FILTER (WHERE back <= 21), 0)', 'z_recent', 5)} FROM f JOIN l USING (symbol) GROUP BY symbol, current",
+    "positioning_measures": f"WITH {BARS15}, v AS (SELECT symbol, timestamp, 'quote_volume' AS measure, quote_volume AS x FROM bars15 UNION ALL SELECT symbol, timestamp, 'volume', volume FROM bars15 UNION ALL SELECT symbol, timestamp, 'taker_buy_quote', taker_buy_quote FROM bars15), q AS (SELECT *, row_number() OVER (PARTITION BY symbol, measure ORDER BY timestamp DESC) AS k FROM v), g AS (SELECT symbol, measure, count(*) AS n, max(x) FILTER (WHERE k = 1) AS current, avg(x) AS mean, max(x) FILTER (WHERE k = 25) AS b, stddev_samp(x) AS sd FROM q WHERE k <= 168 GROUP BY 1, 2) SELECT symbol, measure, n, {rs(['current', 'mean'], 5)}, {r('(current / nullif(b, 0) - 1) * 100', 'change_24_pct', 5)}, {r('(current - mean) / nullif(sd, 0)', 'zscore', 5)} FROM g",
     "positioning_summary": f"WITH {BARS15}, q AS (SELECT * FROM ({RECENT} FROM bars15) WHERE back <= 168), g AS (SELECT symbol, count(*) AS n, max(quote_volume) FILTER (WHERE back = 1) AS current, avg(quote_volume) AS mean, max(quote_volume) FILTER (WHERE back = 25) AS b, stddev_samp(quote_volume) AS sd FROM q GROUP BY 1) SELECT symbol, n, {rs(['current', 'mean'], 5)}, {r('(current / nullif(b, 0) - 1) * 100', 'change_24_pct', 5)}, {r('(current - mean) / nullif(sd, 0)', 'zscore', 5)} FROM g",
     "order_book_walk": f"WITH b AS (SELECT * FROM {VALS(fx.BOOKS, 'symbol, bids, asks')}), a AS (SELECT symbol, i, asks[i].price AS p, asks[i].price * asks[i].qty AS usd FROM (SELECT symbol, asks, unnest(range(1, len(asks) + 1)) AS i FROM b)), c AS (SELECT *, greatest(0.0::DOUBLE, least(usd, 1000.0::DOUBLE - coalesce(sum(usd) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM a), f AS (SELECT symbol, sum(take) AS filled, sum(take * p) / nullif(sum(take), 0) AS fill, sum(usd) AS ask_usd FROM c GROUP BY 1), g AS (SELECT b.symbol, bids[1].price AS bid, asks[1].price AS ask, list_sum(list_transform(bids, lambda x: x.price * x.qty)) AS bid_usd, f.* EXCLUDE (symbol) FROM b JOIN f USING (symbol)) SELECT symbol, {r('(bid + ask) / 2', 'mid')}, {r('(ask - bid) / ((bid + ask) / 2) * 10000', 'spread_bps')}, {rs(['bid_usd', 'ask_usd'])}, {r('(bid_usd - ask_usd) / (bid_usd + ask_usd)', 'imbalance')}, filled >= 990 AS fillable, {r('(fill - ask) / ((bid + ask) / 2) * 10000', 'slippage_bps')} FROM g",
     "symbol_profile": f"{BASE}, {COSTS}, {corr('bars')}, la AS (SELECT * FROM ({RECENT} FROM feats) WHERE back = 1), d0 AS (SELECT symbol, timestamp, close / max(close) {O} - 1 AS d FROM bars), d1 AS (SELECT symbol, min(d) AS max_drawdown, arg_max(d, timestamp) AS drawdown FROM d0 GROUP BY 1) SELECT la.symbol, la.timestamp, {', '.join(r('la.' + c, c, 5) for c in ['close', 'momentum_24', 'momentum_168', 'volatility_168', 'return_zscore', 'atr_pct', 'range_position'])}, {rs(['max_drawdown', 'drawdown', 'adv', 'round_trip_bps'], 5)}, {r('(SELECT correlation FROM cp WHERE (a = la.symbol AND b = ' + chr(39) + BENCHMARK + chr(39) + ') OR (b = la.symbol AND a = ' + chr(39) + BENCHMARK + chr(39) + '))', 'benchmark_correlation', 5)} FROM la JOIN d1 USING (symbol) JOIN co USING (symbol)",

@@ -519,6 +519,16 @@ def meta_model_cv(spark, sf):
     return rounded(metalabel.cross_validated(_meta(spark, sf)))
 
 
+@query
+def meta_importances(spark, sf):
+    return rounded(metalabel.importances(metalabel.trained(_meta(spark, sf))), 4)
+
+
+@query
+def positioning_measures(spark, sf):
+    return rounded(market.positioning_report(tables.bars_15m(spark, sf), ["quote_volume", "volume", "taker_buy_quote"]), 5)
+
+
 @query
 def exact_auc(spark, sf):
     t = _meta(spark, sf).select("symbol", F.round("return_zscore", 1).alias("p"), "meta_label")
