@@ -83,10 +83,29 @@ def test_against_all_pairs(spark):
         pairs = aligned(rows, least)
         lost = {str(r): len(pairs[i]) for i, r in enumerate(rows)}
         got = {str((r.doc_id, r.text)): r.n_removed for r in remove_common_lines(df, least, ["doc_id", "text"]).collect()}
-        assert all(got[k] >= n for k, n in lost.items())  # what any alignment of two rows deletes is gone
+        assert all(got[k] >= n for k, n in lost.items())  # recall against patience diff of all pairs is 1
     assert remove_common_lines(df.limit(0)).count() == 0
 
 
+def test_alignment_decides(spark, monkeypatch):
+    """Without alignment nothing goes, whatever runs are shared; with one pass only, moved blocks stay."""
+    import tidemark.llm.line_dedup as module
+
+    a, b, c = (f"{x} line of more than twenty-five bytes" for x in "abc")
+    rows = [(1, "\n".join([a, b, c, "1", b, "2", a])), (2, "\n".join([c, a, b])), (3, "\n".join([b, a, "x", a, b]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    removed = lambda: {r.doc_id: r.n_removed for r in remove_common_lines(df, 30).collect()}
+    assert removed() == {1: 0, 2: 3, 3: 4}
+    once = lambda a, b, size, gone, least: [gone.__setitem__(slice(p, q), True) for p, q in common_blocks(a, b, size, least)]
+    with monkeypatch.context() as m:
+        m.setattr(module, "deleted", once)
+        m.setattr(module, "deleted_run", lambda *a: None)
+        assert removed()[2] < 3
+    with monkeypatch.context() as m:
+        m.setattr(module, "common_blocks", lambda *a: [])
+        assert removed() == {1: 0, 2: 0, 3: 0}
+
+
 def test_blocks_whose_lines_have_other_first_holders(spark):
     a, b = "a line of twenty-five by.", "b line of twenty-five by."
     rows = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}"), (5, f"{b}\n{a}"), (6, f"x\n{a}\n\n{b}\ny")]

@@ -10,9 +10,12 @@ not n * n, and no frequency is cut off.
 A document takes its shared runs from the rarest on; unless a run is gone already, the
 document is aligned with the run's first holder by patience diff (lines that are unique in
 both, their longest increasing sequence, and again between them), and common blocks of
-enough bytes are deleted from it, as the later one.  A run that the alignment leaves out,
-because it stands in another order or its lines repeat, is a block that is aligned alone.
-So what goes is what stands in any earlier document, as if all pairs had been aligned.
+enough bytes are deleted from it, as the later one.  What is left is aligned with the holder
+again, until nothing more is found: a block that stands in another order is found so.  A run whose
+lines repeat in the holder gives patience diff no unique line; it is aligned with the holder's
+places that begin like it, one after the other.  Only aligned blocks go; runs say which
+documents to align, and where.  So what goes is what stands in any earlier document, as if
+all pairs had been aligned.
 
 Blank lines (no bytes but white space) take no part; one goes if its neighbours do.
 
@@ -101,6 +104,28 @@ def common_blocks(a: list, b: list, size: list[int], least: int) -> list[tuple[i
     return out
 
 
+def deleted(a: list, b: list, size: list[int], gone: np.ndarray, least: int) -> None:
+    """Mark in gone the lines of b in common blocks with a, aligning what is left until nothing more is found."""
+    found = True
+    while found:
+        left = [-1 - k if g else x for k, (x, g) in enumerate(zip(b, gone.tolist(), strict=True))]  # what is gone matches nothing
+        found = common_blocks(a, left, size, least)
+        for p, q in found:
+            gone[p:q] = True
+
+
+def deleted_run(a: list, b: list, size: list[int], gone: np.ndarray, p: int, q: int, least: int) -> None:
+    """Mark in gone the lines p to q - 1 of b where they align, as one run, with a place of a that begins like them."""
+    at = -1
+    while not gone[p:q].all():
+        try:
+            at = a.index(b[p], at + 1)
+        except ValueError:
+            return
+        for i, j in common_blocks(a[at : at + q - p], b[p:q], size[p:q], least):
+            gone[p + i : p + j] = True
+
+
 def _ints(values) -> bytes:
     return np.asarray(values, np.int64).tobytes()
 
@@ -273,9 +298,8 @@ def remove_common_lines(docs: DataFrame, block_bytes: int = BLOCK_BYTES, keep: l
                 if not gone[p:q].all():
                     if r not in met:
                         met.add(r)
-                        for i, j in common_blocks(have[r], h, size, block_bytes):
-                            gone[i:j] = True
-                    gone[p:q] = True
+                        deleted(have[r], h, size, gone, block_bytes)
+                    deleted_run(have[r], h, size, gone, p, q, block_bytes)
             out.append((b, int(own.rid[d]), len(met), bits(with_blanks(gone, own.at[d], total[d]))))
         return _rows(out, schema)
 
