@@ -61,6 +61,45 @@ def test_against_brute_force(spark, monkeypatch):
         assert clean.columns == d.columns and sorted(str(r.doc_id) for r in clean.collect()) == sorted(x[0] for x in want if not x[4])
 
 
+def test_proximity_against_brute_force(spark, monkeypatch):
+    """Of a window's terms the rarest (first by frequency, then place) is looked up; four fifths of the item's words around it count."""
+    rng = random.Random(5)
+    docs, items = case(rng)
+    docs, items = docs[:60], [x for x in items if words(x[1])]
+    window, near = 5, 0.8
+    rows = sorted({(d, t) for d, t in docs}, key=str)
+    freq = {}
+    for _, t in docs:
+        for w in words(t):
+            freq[w] = freq.get(w, 0) + 1
+    want = set()
+    for i, t in items:
+        w = words(t)
+        m = min(window, len(w))
+        starts = [k for k in range(len(w) - m + 1) if all(freq.get(x, 0) for x in w[k : k + m])]
+        for q in {min(range(k, k + m), key=lambda j: (freq[w[j]], j)) for k in starts}:
+            around = {w[o] for o in range(max(0, q - window + 1), min(len(w), q + window)) if o != q}
+            for d, u in rows:
+                v = words(u)
+                for p in [k for k, x in enumerate(v) if x == w[q]]:
+                    at = [k for k in range(max(0, p - window + 1), min(len(v), p + window)) if k != p and v[k] in around]
+                    if around and len({v[k] for k in at}) >= near * len(around):
+                        want.add((str(d), i, min([*at, p]), max([*at, p]) + 1))
+    for broadcast in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
+        got = matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window, near)
+        assert {(str(r.id), r.item, r.first, r.last) for r in got.where("not phrase").collect()} == want and len(want) > 20
+
+
+def test_frequent_words_only(spark):
+    """A window of the corpus's most frequent words: its lists are long, their intersection is what occurs."""
+    common = "the of and to in a is that it was for on with".split()
+    rng = random.Random(3)
+    docs = [(d, " ".join(rng.choice(common) for _ in range(400))) for d in range(60)] + [(100, "x " + " ".join(common) + " y"), (101, " ".join(common[1:]))]
+    got = {r.doc_id: (r.n_hit, *r["items"]) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(common))], "item_id long, text string")).collect()}
+    assert got.pop(100) == (13, "1") and set(got.values()) == {(0,)}
+
+
 def test_proximity_and_empty(spark):
     b = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta")], "item_id long, text string")
     d = spark.createDataFrame([(1, "so alpha gamma beta delta zeta epsilon eta it is"), (2, "alpha beta gamma delta epsilon"), (3, "alpha and much else")], "doc_id long, text string")

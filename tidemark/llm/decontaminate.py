@@ -1,23 +1,23 @@
-"""Benchmark decontamination by anchors on rare words, in DataFrame operations only.
+"""Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z as a-z.  A window is `window`
 consecutive words of an item; an item of fewer, but not none, is one window.
 
-1. The corpus frequency of every word of the benchmark is counted.
-2. Each window is probed by its rarest word: neighbouring windows mostly share it, so an
-   item has a few anchors.  A window with a word that the corpus lacks occurs nowhere.
-3. Postings of the anchors' words are made in the same plan: row, position, and the words
-   around.  They are not stored, and no posting lists of several words are intersected.
-4. Postings meet anchors on the word, and the context that both carry (window - 1 words on
-   either side) is compared from the anchor outwards: the run of equal words that holds the
-   anchor is an exact phrase if it is as long as a window.  Matches in any order are
-   proximity matches.
-
-Every window holds its anchor, so no occurrence is lost; a row's hit words are the
-union of its phrases.  While the anchors are few bytes, which is counted, they are broadcast
-and no text is shuffled.  Beyond that postings go to the anchors' words as (row, position)
-only; the places found go back to their texts, which are shuffled once, and what meets the
-anchors then is the words around a place.
+1. Postings (term, row, position) of every corpus word that the benchmark has are made in one
+   pass over the texts and stored; their counts are the terms' frequencies.
+2. Each window is probed by its LISTS rarest terms; neighbouring windows mostly share them.  A
+   window with a term that the corpus lacks occurs nowhere.
+3. The posting lists of a probe's terms, each moved back by its term's offset in the item, are
+   intersected: what all of them hold is an alignment (row, item, shift).
+4. The postings of rows that have one are intersected with all words of the item at that shift;
+   a run of as many consecutive words as a window has is an exact phrase.
+5. Proximity matches, if asked for, are places of a probe's rarest term with most of the words
+   around it in the item around it in the row too, in any order.
+
+No occurrence is lost, as it holds all terms of its window; a row's hit words are the union of
+its phrases.  Texts are never shuffled, and read once more only to count their words.  The
+benchmark's words and probes, and the rows that have an alignment, are broadcast if their bytes,
+which are counted, allow it, and are shuffled beyond.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import Scratch, checkpointed
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A-Z belong to words, as they count as a-z; letters are folded where words meet.  Written
 #: out one by one, letters and digits become one bit table, which is some thirty times as fast as ranges.
 WORD = "[0123456789" + _UPPER + _LOWER + r"\x80-\x{10FFFF}]+"
-#: Bytes of benchmark words, and of anchors with the words around them, up to which they are broadcast.
+#: Bytes of benchmark words, of probes and of rows' keys up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Posting lists that are intersected for a window, the rarest.
+LISTS = 3
 
 
 def words_of(text) -> Column:
@@ -44,66 +46,30 @@ def folded(word: Column) -> Column:
     return F.translate(word, _UPPER, _LOWER)
 
 
-def _equal_run(x: Column, y: Column) -> Column:
-    """How many of the first elements of two arrays are equal."""
-    same = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    first = F.array_position(same, False)
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+def _bounded(df: DataFrame, size) -> DataFrame:
+    """df, marked for broadcast if the sum of its rows' sizes allows it."""
+    held = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
-def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), words_of(F.col(text)).alias("words"))
+def _postings(scratch: Scratch, docs: DataFrame, tokens: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings (term, row, pos) of the words of docs that tokens have, terms (word, term)), both stored; row is (id, mark)."""
+    terms = scratch.keep(tokens.select("word").distinct().withColumn("term", F.monotonically_increasing_id()).withColumn("key", F.lower("word")))
+    rows = docs.select(F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("mark")).alias("row"), words_of(F.col(text)).alias("words"))
+    placed = rows.select("row", F.posexplode_outer("words").alias("pos", "own"))  # outer: no filter is inferred that would make the words twice
+    met = placed.withColumn("key", F.lower("own")).join(_bounded(terms, F.octet_length("word") + 60), "key").where(folded(F.col("own")) == F.col("word"))
+    return scratch.keep(met.select("term", "row", "pos")), terms.select("word", "term")
 
 
-def _small(df: DataFrame, text: Column, words: Column) -> bool:
-    """Whether rows that hold so many words, `text` in all, may be broadcast."""
-    return (df.agg(F.sum(F.octet_length(text) + 24 * words + 100)).first()[0] or 0) <= BROADCAST_BYTES
-
-
-def anchors(docs: DataFrame, benchmark: DataFrame, window: int, item: str, item_text: str, text: str) -> DataFrame:
-    """(key, a): for each anchor its word in lower case, and item, width, word and the words before (nearest first) and behind."""
-    items = benchmark.select(F.col(item).alias("item"), F.monotonically_increasing_id().alias("at"), folded(F.col(item_text)).alias("t")).select("item", "at", words_of(F.col("t")).alias("words"))
-    items = checkpointed(items)
-    places = items.select("item", "at", F.size("words").alias("length"), F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word"))
-    keys = checkpointed(places.select("key").distinct())
-    terms = docs.select(F.explode_outer(words_of(F.col(text))).alias("w")).select(F.lower("w").alias("key"))
-    if _small(keys, F.col("key"), F.lit(1)):
-        terms = terms.join(F.broadcast(keys), "key")
-    counts = terms.groupBy("key").agg(F.count("*").alias("n"))  # beyond that, words are counted in each partition first
-    counts = checkpointed(counts.join(keys, "key", "left_semi"))
-    places = places.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+def _probes(scratch: Scratch, tokens: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(probe, at, size, k, q, term): for each window its rarest terms, the k-th rarest at place q of item at; windows with the same ones are one probe."""
+    ranked = tokens.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     width = F.least("length", F.lit(window))
-    begun = W.partitionBy("at").orderBy("pos").rowsBetween(0, window - 1)
-    rare = places.withColumn("best", F.min(F.struct("n", "pos")).over(begun)).where(F.col("pos") + width <= F.col("length"))
-    rare = rare.where("best.n > 0").select("at", F.col("best.pos").alias("pos")).distinct()
-    words = F.col("words")
-    before, behind = _around(words, F.col("pos"), window)
-    found = rare.join(items, "at").select(words[F.col("pos")].alias("word"), F.struct("item", F.least(F.size(words), F.lit(window)).alias("width"), words[F.col("pos")].alias("word"), before.alias("before"), behind.alias("behind")).alias("a"))
-    return checkpointed(found.select(F.lower("word").alias("key"), "a"))
-
-
-def _around(words: Column, pos: Column, window: int) -> tuple[Column, Column]:
-    """The words before a place, nearest first, and behind it."""
-    return F.reverse(F.slice(words, F.greatest(pos - window + 2, F.lit(1)), F.least(pos, F.lit(window - 1)))), F.slice(words, pos + 2, F.lit(window - 1))
-
-
-def _met(docs: DataFrame, found: DataFrame, window: int, id: str, text: str) -> DataFrame:
-    """(id, mark, pos, word, before, behind, a) for every place of docs that holds an anchor's word."""
-    w, pos = F.col("words"), F.col("pos")
-    before, behind = (F.transform(c, folded) for c in _around(w, pos, window))
-    own = [F.col("id"), F.col("mark"), pos, folded(F.col("word")).alias("word"), before.alias("before"), behind.alias("behind")]
-    its = F.col("a")
-    if _small(found, F.concat_ws("", its["before"], its["behind"], its["word"]), F.size(its["before"]) + F.size(its["behind"]) + 1):
-        side = F.broadcast(found.groupBy("key").agg(F.collect_list("a").alias("around")))
-        posted = _rows(docs, id, text).select("id", "mark", "words", F.posexplode_outer("words").alias("pos", "word"))  # outer: no filter is inferred that would make the words twice
-        posted = posted.withColumn("key", F.lower("word")).join(side, "key").select(*own, "around")
-        return posted.withColumn("a", F.explode("around")).drop("around")
-    posted = _rows(docs, id, text).select("id", "mark", F.posexplode("words").alias("pos", "word")).select("id", "mark", "pos", F.lower("word").alias("key"))
-    places = posted.join(found.select("key").distinct(), "key", "left_semi").groupBy("id", "mark").agg(F.collect_set("pos").alias("at"))
-    texts = docs.select(F.col(id).alias("i"), F.xxhash64(text).alias("m"), F.col(text).alias("t")).dropDuplicates(["i", "m"])
-    both = places.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("id", "mark", "at", words_of(F.col("t")).alias("words"))
-    both = both.select("id", "mark", "words", F.explode("at").alias("pos")).withColumn("word", w[pos])
-    return both.select(*own, F.lower("word").alias("key")).join(found, "key").drop("key")
+    here = F.collect_list(F.struct("n", "q", "term")).over(W.partitionBy("at").orderBy("q").rowsBetween(0, window - 1))
+    rare = ranked.select("at", "q", "length", F.slice(F.sort_array(here), 1, LISTS).alias("rare")).where(F.col("q") + width <= F.col("length"))
+    rare = rare.where(F.col("rare")[0]["n"] > 0).select("at", F.transform("rare", lambda x: F.struct(x["q"].alias("q"), x["term"].alias("term"))).alias("rare")).distinct()
+    named = scratch.keep(rare.withColumn("probe", F.monotonically_increasing_id()))
+    return named.select("probe", "at", F.size("rare").alias("size"), F.posexplode("rare").alias("k", "x")).select("probe", "at", "size", "k", "x.q", "x.term")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, near: float | None = None, item: str = "item_id", item_text: str = "text", id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,22 +77,48 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, near: float
 
     mark tells texts of equal ids apart.  phrase: the words first to last (counted from 0,
     last not included) are a run of the item of a window's length or more.  With near, a
-    share, proximity matches come too (phrase false): the words around a rare word hold
-    at least that share of the distinct words of the item's neighbourhood, in any order.
+    share, proximity matches come too (phrase false): first to last span the words within
+    window - 1 of a probe's rarest term that are, in any order, at least that share of the
+    distinct other words that the item has so near to it.
     """
-    pos = F.col("pos")
-    found = _met(docs, anchors(docs, benchmark, window, item, item_text, text), window, id, text).where("word = a.word")
-    left, right = _equal_run(F.col("before"), F.col("a.before")), _equal_run(F.col("behind"), F.col("a.behind"))
-    found = found.withColumn("l", left).withColumn("r", right)
-    phrase = F.col("l") + 1 + F.col("r") >= F.col("a.width")
-    share = F.lit(False)
+    scratch = Scratch(docs.sparkSession, "index")
+    items = benchmark.select(F.col(item).alias("item"), F.monotonically_increasing_id().alias("at"), folded(F.col(item_text)).alias("t")).select("item", "at", words_of(F.col("t")).alias("words"))
+    items = scratch.keep(items)
+    plain = items.select("at", F.size("words").alias("length"), F.posexplode("words").alias("q", "word"))
+    postings, terms = _postings(scratch, docs, plain, id, text)
+    tokens = scratch.keep(plain.join(terms, "word").select("at", "length", "q", "term"))
+    counts = scratch.keep(postings.groupBy("term").agg(F.count("*").alias("n")))
+    probes = _probes(scratch, tokens, counts, window)
+    moved = postings.join(_bounded(probes, F.lit(60)), "term").select("row", "probe", "at", "size", "k", (F.col("pos") - F.col("q")).alias("shift"))
+    met = moved.groupBy("row", "probe", "at", "size", "shift").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("lists"))
+    aligned = scratch.keep(met.where("lists = shiftleft(1, size) - 1").select("row", "at", "shift").distinct())
+    key = F.octet_length(F.coalesce(F.col("row.id").cast("string"), F.lit(""))) + 80
+    own = scratch.keep(postings.join(_bounded(aligned.select("row").distinct(), key), "row", "left_semi"))
+    wanted = aligned.join(_bounded(tokens, F.lit(60)), "at").select("row", "at", "shift", "length", "q", (F.col("shift") + F.col("q")).alias("pos"), "term")
+    held = wanted.join(own, ["row", "pos", "term"]).select("row", "at", "shift", "length", "q").distinct()
+    held = held.withColumn("isle", F.col("q") - F.row_number().over(W.partitionBy("row", "at", "shift").orderBy("q")))
+    runs = held.groupBy("row", "at", "shift", "length", "isle").agg(F.min("q").alias("q"), F.count("*").alias("m")).where(F.col("m") >= F.least("length", F.lit(window)))
+    first = F.col("shift") + F.col("q")
+    out = runs.select("row", "at", first.alias("first"), (first + F.col("m").cast("int")).alias("last"), F.lit(True).alias("phrase"))
     if near is not None:
-        own, its = F.concat("before", "behind"), F.array_distinct(F.concat("a.before", "a.behind"))
-        share = F.size(F.array_intersect(own, its)) >= F.lit(near) * F.size(its)
-    found = found.where(phrase | share)
-    first = F.when(phrase, pos - F.col("l")).otherwise(pos - F.size("before"))
-    last = F.when(phrase, pos + 1 + F.col("r")).otherwise(pos + 1 + F.size("behind"))
-    return found.select("id", "mark", F.col("a.item").alias("item"), first.alias("first"), last.alias("last"), phrase.alias("phrase"))
+        out = out.unionByName(_proximity(postings, probes, tokens, window, near))
+    return out.join(items.select("at", "item"), "at").select("row.id", "row.mark", "item", "first", "last", "phrase")
+
+
+def _proximity(postings: DataFrame, probes: DataFrame, tokens: DataFrame, window: int, near: float) -> DataFrame:
+    """(row, at, first, last, phrase) of the places whose neighbourhood has the share `near` of a probe's neighbourhood."""
+    rarest = probes.where("k = 0").select("at", "q", "term").distinct()
+    around = rarest.select("at", "q").join(tokens.select("at", F.col("q").alias("o"), F.col("term").alias("other")), "at").where((F.abs(F.col("o") - F.col("q")) < window) & (F.col("o") != F.col("q")))
+    around = around.select("at", "q", "other").distinct()
+    size = around.groupBy("at", "q").agg(F.count("*").alias("size"))
+    places = postings.join(_bounded(rarest, F.lit(60)), "term").select("row", "pos", "at", "q")
+    cell = F.floor(F.col("pos") / window).cast("int")
+    asked = places.join(_bounded(around, F.lit(60)), ["at", "q"]).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    there = postings.select("row", F.col("pos").alias("p"), F.col("term").alias("other"), F.floor(F.col("pos") / window).cast("int").alias("cell"))
+    found = asked.join(there, ["row", "other", "cell"]).where((F.abs(F.col("p") - F.col("pos")) < window) & (F.col("p") != F.col("pos")))
+    got = found.groupBy("row", "at", "q", "pos").agg(F.count_distinct("other").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).join(size, ["at", "q"])
+    got = got.where(F.col("n") >= F.lit(near) * F.col("size"))
+    return got.select("row", "at", F.least("lo", "pos").alias("first"), (F.greatest("hi", "pos") + 1).alias("last"), F.lit(False).alias("phrase"))
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, item: str, item_text: str, id: str, text: str) -> DataFrame:

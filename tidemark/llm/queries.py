@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import canonical_turns, chats, formatted, read_back
-from .decontaminate import contamination
+from .decontaminate import contamination, matches
 from .embedding_dedup import near_vectors
 from .line_dedup import remove_common_lines
 from .mixing import mix_sources
@@ -70,6 +70,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size(its).cast("bigint").alias("n_items"), F.sha2(F.array_join(its, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def near_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents hold four fifths or more of the words around a rare word of an item, in any order, or a whole window."""
+    out = matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, near=0.8)
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"), "phrase").distinct()
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -95,5 +101,5 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op6_line_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, op10_toxicity, op11_periodic_runs, op12_prefix_trie, op13_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_ngram_jaccard_join, op4_mixing, op5_substring_dedup, op6_line_dedup, op7_embedding_near_dedup, op8_sharding, op9_decontamination, near_benchmark_passages, op10_toxicity, op11_periodic_runs, op12_prefix_trie, op13_chat_formatting)}
 
