@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tidemark.llm import embedding_dedup
-from tidemark.llm.embedding_dedup import near_vectors, tile_links
+from tidemark.llm.embedding_dedup import Forest, near_vectors, tile_links
 
 
 def found(x, y, threshold):
@@ -60,6 +60,33 @@ def test_against_brute_force(spark, monkeypatch):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_a_dense_label_of_many_tiles(spark, monkeypatch):
+    """One label of close vectors: every tile asks all others, in strips, and every pair links."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 20)
+    monkeypatch.setattr(embedding_dedup, "STRIP", 2)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32)
+    rows = [(k, [float(t) for t in base + rng.normal(size=32) * 0.01], 0) for k in range(110)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(k, 109, 0) for k in range(110)]
+
+
+def test_forest():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 300):
+        f, up = Forest(n), list(range(n))
+        edges = []
+        for _ in range(4):
+            i, j = rng.integers(0, n, 3000), rng.integers(0, n, 3000)
+            keep = (i % 7 == j % 7) & (i != j)
+            edges += f.join(i[keep], j[keep])
+            for a, b in zip(i[keep].tolist(), j[keep].tolist()):
+                ra, rb = up[a], up[b]
+                up = [min(ra, rb) if x in (ra, rb) else x for x in up] if ra != rb else up
+            assert f.root.tolist() == up
+        assert len(edges) == n - len(set(up))
+
+
 def test_vectors_whose_squares_leave_the_range(spark):
     rows = [(1, [1e200, 0.0], 0), (2, [1e200, 0.0], 0), (3, [1e-200, 1e-204], 0), (4, [5e-324, 0.0], 0), (5, [0.0, 1.7e308], 0), (6, [0.0, 1.0], 0), (7, [1.0, 1e-3], 0)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}

@@ -8,7 +8,8 @@ Each pair of tiles of a label is one task that multiplies the codes and names th
 of either tile that take part in any pair whose product plus bound reaches the threshold.
 Only those are fetched in full precision, and a second task per pair of tiles recomputes
 such pairs exactly.  It returns link counts and a spanning forest of its links, never the
-pairs themselves; no task holds more than two tiles.
+pairs themselves.  A task that multiplies holds two tiles; one that answers for a tile holds that
+tile and what STRIP partners asked of it, whatever the label's size.
 
 Every pair of tiles of a label is multiplied: the work is quadratic in the distinct
 vectors of a label, as exact comparison of unclustered vectors is.
@@ -22,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Union, checkpointed, components
+from .common import checkpointed, components
 
 #: Classes in a tile, and those of either side that are multiplied at a time.
 TILE, STEP = 4096, 1024
+#: Partner tiles that one task answers.
+STRIP = 8
 
 
 def quantise(x: np.ndarray):
@@ -87,6 +90,39 @@ def _answered(t: pa.Table, x: pa.Table) -> pa.Table:
     return pa.table([*[x.column(c) for c in ("grp", "dim", "tile", "i", "j", "rids")], pa.array([mult[k].tobytes() for k in at], pa.binary()), pa.array([v[k].tobytes() for k in at], pa.binary())], names=["grp", "dim", "tile", "i", "j", "rids", "mult", "v"])
 
 
+class Forest:
+    """Components of 0..n-1 under links that come in blocks, most of which join nothing new."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """Take in the links (i, j); the pairs of former roots that they join, without cycles.
+
+        Links within a component are dropped as arrays, in parts of growing size, so that of a
+        dense block only about one link a node is looked at on its own.
+        """
+        out, k, size = [], 0, 1024
+        while k < len(i):
+            a, b = self.root[i[k : k + size]], self.root[j[k : k + size]]
+            new = np.flatnonzero(a != b)
+            if len(new):
+                up = self.root
+                for x, y in np.unique(np.stack([a[new], b[new]], axis=1), axis=0).tolist():
+                    while up[x] != x:
+                        x = int(up[x])
+                    while up[y] != y:
+                        y = int(up[y])
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        out.append((x, y))
+                while not np.array_equal(up, up[up]):
+                    up = up[up]
+                self.root = up
+            k, size = k + size, min(2 * size, 1 << 20)
+        return out
+
+
 def _pair(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         out = {"x": [], "y": [], "n": []}
@@ -95,14 +131,12 @@ def _pair(threshold: float):
         one, two = both[0], both[-1]
         ids = np.concatenate([one[0], two[0]]) if len(both) > 1 else one[0]
         mult = np.concatenate([one[1], two[1]]) if len(both) > 1 else one[1]
-        n, seen = np.zeros(len(ids), np.int64), Union(len(ids))
+        n, seen = np.zeros(len(ids), np.int64), Forest(len(ids))
         for i, j in tile_links(one[2], two[2] if len(both) > 1 else None, threshold):
             j = j + len(one[0]) if len(both) > 1 else j
-            np.add.at(n, i, mult[j])
-            np.add.at(n, j, mult[i])
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if seen.join(a, b):
-                    out["x"].append(ids[a]), out["y"].append(ids[b]), out["n"].append(0)
+            n += np.bincount(i, mult[j], len(ids)).astype(np.int64) + np.bincount(j, mult[i], len(ids)).astype(np.int64)
+            for a, b in seen.join(i, j):
+                out["x"].append(ids[a]), out["y"].append(ids[b]), out["n"].append(0)
         some = np.flatnonzero(n)
         out["x"] += ids[some].tolist()
         out["y"] += ids[some].tolist()
@@ -151,7 +185,10 @@ def near_vectors(vecs: DataFrame, threshold: float = 0.98, id: str = "vec_id", v
     other = F.col("other")
     pairs = codes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("grp", "dim", "tile", "rids", "q", "scale", "error", F.least("tile", other).alias("i"), F.greatest("tile", other).alias("j"))
     asked = checkpointed(pairs.groupBy("grp", "dim", "i", "j").applyInArrow(_asked(threshold), shape("dim int, tile int, i int, j int, rids binary")))
-    told = dealt.groupBy("grp", "dim", "tile").cogroup(asked.groupBy("grp", "dim", "tile")).applyInArrow(_answered, shape("dim int, tile int, i int, j int, rids binary, mult binary, v binary"))
+    strip = lambda: F.floor((F.col("i") + F.col("j") - F.col("tile")) / STRIP).cast("int").alias("strip")  # noqa: E731  # i + j - tile: the partner
+    spread = dealt.join(asked.select("grp", "dim", "tile", strip()).distinct(), ["grp", "dim", "tile"])
+    asked = asked.select("*", strip())
+    told = spread.groupBy("grp", "dim", "tile", "strip").cogroup(asked.groupBy("grp", "dim", "tile", "strip")).applyInArrow(_answered, shape("dim int, tile int, i int, j int, rids binary, mult binary, v binary"))
     found = checkpointed(told.groupBy("grp", "dim", "i", "j").applyInArrow(_pair(threshold), "x bigint, y bigint, n bigint"))
     counts = found.where("x = y").groupBy(F.col("x").alias("rid")).agg(F.sum("n").alias("n"))
     roots = components(found.where("x <> y").select("x", "y")).toDF("rid", "root")
