@@ -405,7 +405,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
     nodes = nodes.select("root", "node", "tiles", "rid", batches.batch_of("rid"))
 
     def sent(t: pa.Table, own: pa.Table) -> pa.Table:
-        """own's rows, each with its set as s in place of the batch."""
+        """own's rows, at most one for each node of the batch, each with its set as s in place of the batch."""
         t = sorted_batch(t.filter(pa.array(np.isin(t.column("rid").to_numpy(), own.column("rid").to_numpy()))))
         have = dict(zip(t.column("rid").to_pylist(), (x.tobytes() for x in shingle_sets(texts_of(t), n)), strict=True))
         s = pa.array([have[r] for r in own.column("rid").to_pylist()], pa.binary())
@@ -423,8 +423,9 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
         other = F.col("other")
         pairs = tiles.withColumn("other", F.explode(others)).select("root", F.least("pos", other).alias("lo"), F.greatest("pos", other).alias("hi"), "pos", *_COLUMNS)
         asked = scratch.keep(pairs.groupBy("root", "lo", "hi").applyInArrow(_asked(num, den), "root bigint, lo int, hi int, node bigint"))
-        asked = asked.select("root", "lo", "hi", "node", rid).select("*", batches.batch_of("rid"))
-        got = rows.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(sent, "root bigint, lo int, hi int, node bigint, s binary")
+        wanted = asked.select("node").distinct().select("node", rid).select("*", batches.batch_of("rid"))
+        own = rows.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(sent, "node bigint, s binary")
+        got = asked.join(own, "node")  # a set is made once and meets all pairs of tiles that asked for it here, where nothing is held
         return scratch.keep(got.groupBy("root", "lo", "hi").applyInArrow(_exact(num, den, k), "x bigint, y bigint"))
 
     joined = None
