@@ -90,8 +90,10 @@ class QualityModel:
     def score(self, texts: list) -> np.ndarray:
         if not len(self.layers):
             return np.full(len(texts), self.prior)
-        x = (np.array([features(t) for t in texts]) - self.mean) / self.scale
-        return _sigmoid(_forward(np.clip(x, -8, 8), self.layers)[1])
+        x = np.clip((np.array([features(t) for t in texts]) - self.mean) / self.scale, -8, 8)
+        a, b, c, d = self.layers
+        h = np.tanh((x[:, :, None] * a).sum(axis=1) + b)  # summed row by row: a matrix product's last digits depend on how many rows it has
+        return _sigmoid((h * c).sum(axis=1) + d)
 
 
 def _forward(x, layers):
