@@ -19,9 +19,13 @@ def test_commands(spark, tmp_path, capsys):
     assert code == (0 if out[-1]["trustworthy"] else 1) and out[-1]["control_passed"] and len(out) >= 6
     assert run(spark, ["evolve", *common, "--generations", "1", "--population", "2"]) == 0
     assert said()[0]["evaluated"] == 2
-    assert run(spark, ["monitor", *common, "--auto-retire"]) == 0 and "retired" in said()[-1]
+    assert run(spark, ["monitor", *common, "--auto-retire"]) == 0
+    out = said()
+    assert isinstance([x for x in out if "retired" in x and "niche" not in x][0]["retired"], list) and sum(x["explored"] for x in out if "niche" in x) == 2
     Ledger(spark, f"{root}/ledger").record_forecast(created_at=spark.sql("SELECT timestamp_ntz'2024-01-02'").first()[0], agent_role="a", symbol="B", direction="long", probability=0.5, horizon_hours=5, entry_price=100.0, target_price=1e9, invalidation=0.0)
-    assert run(spark, ["resolve", *common]) == 0 and said() == [{"resolved": 1}]
+    assert run(spark, ["resolve", *common]) == 0
+    out = said()
+    assert out[0] == {"resolved": 1} and out[1]["agent_role"] == "a" and out[1]["n"] == 1
     assert run(spark, ["status", *common]) == 0
     state = said()
     assert [x["symbol"] for x in state[:2]] == ["A", "B"] and state[-1]["ledger"]["total_hypotheses"] == 2 and state[-1]["forecasts"]["open"] == 0
