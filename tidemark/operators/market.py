@@ -190,3 +190,13 @@ def return_profile(bars: DataFrame) -> DataFrame:
     """(symbol, mean_return, volatility, n) of each symbol's returns from bar to bar."""
     r = bars.withColumn("r", change(series(["symbol"]), F.col("close")))
     return r.groupBy("symbol").agg(F.avg("r").alias("mean_return"), F.stddev_samp("r").alias("volatility"), F.count("r").alias("n"))
+
+
+def win_profile(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """keys with p, the share of a symbol's returns from bar to bar that are gains, and payoff, the mean gain over the mean loss.
+
+    keys are the symbol and columns of the bar; payoff is null without a gain or without a loss.
+    """
+    r = bars.withColumn("r", change(series(["symbol"]), F.col("close"))).where("r is not null")
+    gain, loss = F.avg(F.when(F.col("r") > 0, F.col("r"))), F.avg(F.when(F.col("r") < 0, -F.col("r")))
+    return r.groupBy(*keys).agg(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("p"), (gain / loss).alias("payoff"))

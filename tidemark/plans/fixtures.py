@@ -1,31 +1,9 @@
-"""Literal rows of the research store that queries and their SQL share."""
+"""Parameters of queries that their SQL shares: tickers, ideas, thresholds and watched strategies."""
 
-HYPOTHESES = [(i, f"2024-01-{i:02d}T00:00:00+00:00", ("evolution", "analyst")[i % 2], t, f"{d.upper()} when {t}", why, d, "{}", 12 * i, "A,N,R", f"{i:016x}")
-              for i, (t, d, why) in enumerate([("funding carry", "short", "crowded longs pay"), ("Weekly Momentum", "long", "trends persist"), ("volume breakout", "long", "abnormal VOLUME ignites"), ("beta laggard", "long", "laggards catch up to funding"),
-                                               ("reversal", "both", "liquidations overshoot"), ("compression", "long", "calm precedes moves"), ("100% sure_thing", "short", "none stated")], 1)]
-_CARD = '{{"verdict":"{}","passed":{},"overall":{{"n_trades":{},"sharpe":{}}},"rejection_reasons":["{}"]}}'
-TESTS = [(i, h, f"2024-02-{i:02d}T00:00:00+00:00", "1.0.0", "research", 5 + i, p, _CARD.format("promote" if p else "reject", "true" if p else "false", 10 * i, s, r))
-         for i, (h, p, s, r) in enumerate([(1, 0, -0.25, "only 10 trades, need 30"), (2, 0, 0.5, "costs"), (2, 1, 0.75, ""), (3, 1, 1.25, ""), (4, 0, 0.125, "net mean return is not positive after costs"), (3, 0, -1.5, "folds"), (6, 1, 2.0, "")], 1)]
-HOLDOUT = [(1, "alpha", "2024-03-01", 1, "{}"), (2, "beta", "2024-03-02", 0, "{}"), (3, "alpha", "2024-03-03", 0, "{}")]
-_GENOME = '{{"name":"{}","direction":"{}","horizon":{},"conditions":[{}]}}'
-_S = [("alpha", "long", 6, ["funding_z"], 0.5, 1, "active"), ("beta", "short", 24, ["quote_volume_z", "momentum_6"], 0.25, 0, "active"), ("gamma", "long", 72, ["beta_168"], 0.75, 1, "active"), ("delta", "long", 24, ["atr_pct"], 0.0, 0, "active"), ("beta", "short", 48, ["taker_buy_share"], 0.375, 1, "active"),
-      ("eps", "short", 168, ["momentum_24", "range_position"], 0.125, 0, "active"), ("gamma", "long", 72, ["beta_168"], 0.75, 1, "retired:decayed"), ("zeta", "long", 12, ["funding_rate", "beta_168"], 0.625, 1, "active"), ("eta", "long", 6, ["funding_rate"], 0.5625, 0, "active"), ("theta", "long", 8, ["funding_z"], 0.03125, 0, "active")]
-
-
-def _niche(d, h, fs):
-    k = {f.split("_")[0] for f in fs}
-    drive = "funding" if "funding" in k else "flow" if k & {"taker", "quote"} else "relative" if k & {"beta", "residual"} else "volatility" if k & {"volatility", "atr"} else "price"
-    return f"{'intraday' if h <= 12 else 'swing' if h <= 48 else 'position'}|{drive}|{d}"
-
-
-STRATEGIES = [(i, f"2024-04-{i:02d}T00:00:00+00:00", n, i % 3, None, _GENOME.format(n, d, h, ",".join(f'{{"feature":"{f}","op":">","value":1.0}}' for f in fs)), _niche(d, h, fs), fit, p, st, f'{{"overall":{{"sharpe":{fit * 2},"mean_return":0.01,"volatility":0.05}}}}', i)
-              for i, (n, d, h, fs, fit, p, st) in enumerate(_S, 1)]
-BOOKS = [("AAA", [(99.5, 10.0), (99.0, 20.0)], [(100.5, 2.0), (101.0, 5.0), (102.0, 10.0)]), ("BBB", [(10.0, 1.0)], [(10.5, 10.0)]), ("CCC", [(50.0, 4.0), (49.0, 4.0)], [(50.25, 100.0)])]
+#: Words to search hypotheses for; two hold characters that mean more in a pattern.
+KEYWORDS = ("RING", "brand#2", "d_w", "17%", "no such thing")
 IDEAS = [("A", "long", 100.0, 95.0, 115.0, 0.4), ("N", "short", 100.0, 104.0, 88.0, 0.375), ("R", "long", 100.0, 90.0, 120.0, 0.25), ("A", "long", 100.0, 105.0, 115.0, 0.5), ("N", "short", 100.0, 104.0, 101.0, 0.5), ("R", "up", 100.0, 90.0, 120.0, 0.5), ("R", "long", 100.0, 90.0, 120.0, 1.0)]
 TICKER = [("A", "101.5", "2.5", "5000000", 1200), ("N", "99.25", "-1.5", "800000", 300), ("R", "105", "0", "2000000", 700), ("X", "1.25", "12", "9000000", 50)]
-SIZES = [(0.3, 1.0), (0.4, 2.0), (0.55, 2.5), (0.6, 0.5), (0.5, 1.0), (0.9, 3.0), (0.2, -1.0), (0.7, 0.0)]
-EVENTS = [f'{{"ts":"2024-01-01T00:00:{i:02d}","type":"{t}","n":{i}}}' if t else "not json" for i, t in enumerate(["start", "task", "", "task", "tool", "tool", "", "done", "task", "end"])]
-
 
 #: Thresholds at which rules that this data never meets fire, in the order of their conditions.
 SCALED = {"timeseries_momentum_weekly": (0.05, 0.1), "volume_breakout_confirmed": (0.5, 0.1, 0.5), "exhaustion_after_parabolic": (1.0, 0.5, 0.25), "low_vol_compression_long": (0.08, 0.5), "btc_beta_laggard": (-0.02, 0.0625)}
@@ -43,8 +21,6 @@ def values(rows, columns: str) -> str:
             return str(v).lower()
         if isinstance(v, float):
             return f"CAST({v!r} AS DOUBLE)"
-        if isinstance(v, list):
-            return "[" + ", ".join(f"{{'price': {one(p)}, 'qty': {one(q)}}}" for p, q in v) + "]"
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS t({columns})"

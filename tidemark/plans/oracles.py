@@ -219,10 +219,27 @@ def pbo(inner: str, s: int = 8) -> str:
 
 
 VALS = fx.values
-HYP = f"hyp AS (SELECT * FROM {VALS(fx.HYPOTHESES, 'id, created_at, author, title, statement, economic_rationale, predicted_direction, feature_definition, horizon_bars, symbols, code_hash')})"
-TST = f"tst AS (SELECT * FROM {VALS(fx.TESTS, 'id, hypothesis_id, created_at, harness_version, segment, n_trials, passed, scorecard')})"
+HYP = "hyp AS (SELECT p_partkey + 1 AS id, p_name || ' ' || p_size AS title, replace(p_name, ' ', '_') || ' pays ' || p_size || '%' AS statement, p_type || ' of ' || p_brand AS economic_rationale, CASE p_partkey % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'both' END AS predicted_direction FROM part)"
+TST = "tst AS (SELECT event_id + 1 AS id, user_id + 1 AS hypothesis_id, event_id % 20 + 1 AS n_trials, CAST(event_type = 'purchase' AS INT) AS passed, event_id % 90 AS n_trades, CAST(event_id % 41 AS DOUBLE) / 8 - 2 AS sharpe, 'saw ' || event_type AS first_reason FROM events)"
 STS = "now AS (SELECT h.id, h.title, CASE WHEN l.p IS NULL THEN 'registered' WHEN l.p = 1 THEN 'promoted' ELSE 'rejected' END AS status FROM hyp h LEFT JOIN (SELECT hypothesis_id, arg_max(passed, id) AS p FROM tst GROUP BY 1) l ON l.hypothesis_id = h.id)"
-STRAT = f"strat AS (SELECT * FROM {VALS(fx.STRATEGIES, 'id, created_at, name, generation, parent, genome, niche, fitness, passed, status, scorecard, hypothesis_id')}), arch AS (SELECT * FROM strat QUALIFY row_number() OVER (PARTITION BY name ORDER BY id DESC) = 1)"
+STRAT = """strat AS (
+  SELECT o_orderkey + 1 AS id, 'strategy_' || o_custkey AS name, o_orderkey % 7 AS generation, o_totalprice / 1000000 AS fitness, CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INT) AS passed, CASE o_orderstatus WHEN 'P' THEN 'retired:decayed' ELSE 'active' END AS status, CAST(o_orderkey % 41 AS DOUBLE) / 8 - 2 AS sharpe,
+    CASE WHEN o_orderkey % 6 < 2 THEN 'intraday' WHEN o_orderkey % 6 < 4 THEN 'swing' ELSE 'position' END || '|' || CASE o_orderkey % 5 WHEN 0 THEN 'funding' WHEN 1 THEN 'flow' WHEN 2 THEN 'relative' WHEN 3 THEN 'volatility' ELSE 'price' END || '|' || CASE o_custkey % 2 WHEN 0 THEN 'long' ELSE 'short' END AS niche
+  FROM orders
+), arch AS (SELECT * FROM strat QUALIFY row_number() OVER (PARTITION BY name ORDER BY id DESC) = 1)"""
+HOLD = "hold AS (SELECT c_custkey + 1 AS id, lower(c_mktsegment) || '_' || c_nationkey AS strategy_name, CAST(NULL AS VARCHAR) AS accessed_at, CAST(c_acctbal > 9000 AS INT) AS passed FROM customer)"
+LOG = "ev AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS index, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type AS type FROM events)"
+BOOKS = """lv AS (
+  SELECT l_orderkey AS symbol, round(100 * l_discount) AS level, true AS ask, sum(l_quantity) / 8 AS qty FROM lineitem GROUP BY 1, 2 UNION ALL SELECT l_orderkey, round(100 * l_tax), false, sum(l_quantity) / 8 FROM lineitem GROUP BY 1, 2
+), b AS (SELECT symbol, list({'price': 100 - (level + 1) / 2, 'qty': qty} ORDER BY level) FILTER (WHERE NOT ask) AS bids, list({'price': 100 + (level + 1) / 2, 'qty': qty} ORDER BY level) FILTER (WHERE ask) AS asks FROM lv GROUP BY 1)"""
+
+
+def wins(source: str, keys: str) -> str:
+    """CTEs wp and sz: the record of each group and the size it allows."""
+    return f"""wp AS (SELECT {keys}, avg(CAST(r > 0 AS INT)) AS p, avg(r) FILTER (WHERE r > 0) / avg(-r) FILTER (WHERE r < 0) AS payoff FROM (SELECT *, close / lag(close) {O} - 1 AS r FROM {source}) WHERE r IS NOT NULL GROUP BY ALL
+), sz AS (SELECT *, 1 / (1 + payoff) AS breakeven, CASE WHEN payoff IS NULL THEN 0 ELSE greatest(0, p - (1 - p) / payoff) END AS kelly FROM wp)"""
+
+
 
 FC = f"""{BARS}, fc AS (
   SELECT CASE symbol WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END * 100000 + idx AS id, timestamp AS created_at, 'agent_' || (idx % 5) AS agent_role, symbol, CASE WHEN idx % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
@@ -259,7 +276,6 @@ def corr(source: str) -> str:
 CTX = list(metalabel.CONTEXT)
 META = f"{BASE}, {trades(['null_alternating'])}, me AS (SELECT t.*, {', '.join(f'coalesce(f.{c}, 0) AS {c}' for c in CTX)}, CAST(net_return > 0 AS INT) AS meta_label FROM t JOIN (SELECT * EXCLUDE (atr) FROM feats) f ON f.symbol = t.symbol AND f.timestamp = t.entry_time)"
 GUARD = ["momentum_6", "momentum_24", "return_zscore", "quote_volume_z", "range_position"]
-LOG = [(i, e) for i, e in enumerate(fx.EVENTS)]
 _since, _until = "feats WHERE timestamp >= TIMESTAMP '1996-01-01'", "feats WHERE timestamp < TIMESTAMP '1996-01-01'"
 
 
@@ -310,13 +326,13 @@ ORACLES = {
     "pbo_cscv": f"{pbo(f'{BASE}, {trades(["every_long", "every_short", "long_6", "short_48"])}')} SELECT {rs(['pbo', 'median_logit'])}, (SELECT count(DISTINCT strategy) FROM fu) AS n_strategies, (SELECT count(DISTINCT day) FROM fu) AS n_periods, n_combinations FROM pb",
     "ledger_summary": f"WITH {HYP}, {TST}, {STS} SELECT count(*) AS total_hypotheses, count(*) FILTER (WHERE status = 'promoted') AS promoted, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE status = 'registered') AS untested, (SELECT count(*) FROM tst) AS total_tests FROM now",
     "hypothesis_status": f"WITH {HYP}, {TST}, {STS} SELECT CAST(id AS BIGINT) AS id, title, status FROM now",
-    "hypothesis_search": f"WITH {HYP} SELECT CAST(id AS BIGINT) AS id, title, keyword FROM hyp, (VALUES ('VOLUME'), ('funding'), ('sure_thing'), ('100%')) k(keyword) WHERE contains(lower(title), lower(keyword)) OR contains(lower(statement), lower(keyword)) OR contains(lower(economic_rationale), lower(keyword)) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY id DESC) <= 3",
-    "failure_log": f"WITH {HYP}, {TST} SELECT CAST(t.hypothesis_id AS BIGINT) AS hypothesis_id, CAST(t.id AS BIGINT) AS test_id, CAST(n_trials AS INT) AS n_trials, json_extract_string(scorecard, '$.verdict') AS verdict, CAST(json_extract_string(scorecard, '$.overall.n_trades') AS BIGINT) AS n_trades, CAST(json_extract_string(scorecard, '$.overall.sharpe') AS DOUBLE) AS sharpe, json_extract_string(scorecard, '$.rejection_reasons[0]') AS first_reason, title, predicted_direction FROM (SELECT * FROM tst WHERE passed = 0 ORDER BY id DESC LIMIT 3) t JOIN hyp h ON h.id = t.hypothesis_id",
-    "holdout_budget": f"SELECT strategy_name, count(*) AS uses, CAST(max(passed) AS INT) AS ever_passed, count(*) < 1 AS can_access FROM {VALS(fx.HOLDOUT, 'id, strategy_name, accessed_at, passed, scorecard')} GROUP BY 1",
+    "hypothesis_search": f"WITH {HYP} SELECT id, title, keyword FROM hyp, {VALS([(k,) for k in fx.KEYWORDS], 'keyword')} WHERE contains(lower(title), lower(keyword)) OR contains(lower(statement), lower(keyword)) OR contains(lower(economic_rationale), lower(keyword)) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY id DESC) <= 20",
+    "failure_log": f"WITH {HYP}, {TST} SELECT hypothesis_id, t.id AS test_id, CAST(n_trials AS INT) AS n_trials, 'reject' AS verdict, n_trades, sharpe, first_reason, title, predicted_direction FROM (SELECT * FROM tst WHERE passed = 0 ORDER BY id DESC LIMIT 40) t JOIN hyp h ON h.id = t.hypothesis_id",
+    "holdout_budget": f"WITH {HOLD} SELECT strategy_name, count(*) AS uses, max(passed) AS ever_passed, count(*) < 1 AS can_access FROM hold GROUP BY 1",
     "archive_latest": f"WITH {STRAT} SELECT CAST(id AS BIGINT) AS id, name, CAST(generation AS INT) AS generation, niche, fitness, CAST(passed AS INT) AS passed, status FROM arch",
     "elites_per_niche": f"WITH {STRAT} SELECT niche, name, fitness, rank FROM (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY fitness DESC, id DESC) AS rank FROM arch WHERE status = 'active') WHERE rank <= 2",
     "archive_summary": f"WITH {STRAT} SELECT niche, count(*) AS n, max(fitness) AS best, (SELECT count(*) FROM arch) AS total, (SELECT count(*) FROM arch WHERE status = 'active') AS active, (SELECT count(*) FROM arch WHERE passed = 1) AS promoted, (SELECT count(DISTINCT niche) FROM arch) AS niches_occupied FROM arch GROUP BY niche",
-    "niche_attribution": f"WITH {STRAT} SELECT niche, count(*) AS explored, CAST(sum(passed) AS BIGINT) AS promoted, {r('max(fitness)', 'best_fitness')}, {r('avg(CAST(json_extract_string(scorecard, ' + chr(39) + '$.overall.sharpe' + chr(39) + ') AS DOUBLE))', 'mean_sharpe')}, count(*) FILTER (WHERE status LIKE 'retired%') AS retired, {r('sum(passed) / count(*)', 'promotion_rate')}, (SELECT count(*) FROM arch) AS total_explored, (SELECT CAST(sum(passed) AS BIGINT) FROM arch) AS total_promoted, {r('(SELECT sum(passed) / count(*) FROM arch)', 'total_rate')} FROM arch GROUP BY niche",
+    "niche_attribution": f"WITH {STRAT} SELECT niche, count(*) AS explored, CAST(sum(passed) AS BIGINT) AS promoted, {r('max(fitness)', 'best_fitness')}, {r('avg(sharpe)', 'mean_sharpe')}, count(*) FILTER (WHERE status LIKE 'retired%') AS retired, {r('sum(passed) / count(*)', 'promotion_rate')}, (SELECT count(*) FROM arch) AS total_explored, (SELECT CAST(sum(passed) AS BIGINT) FROM arch) AS total_promoted, {r('(SELECT sum(passed) / count(*) FROM arch)', 'total_rate')} FROM arch GROUP BY niche",
     "niche_of": f"WITH {STRAT} SELECT CAST(id AS BIGINT) AS id, niche FROM strat",
     "forecast_resolution": f"WITH {FC} SELECT id, outcome, resolution, {r('last')}, covered FROM rf",
     "agent_scores": f"WITH {FC}, {scores('agent_role, regime')}",
@@ -328,20 +344,20 @@ ORACLES = {
     "funding_profile": f"WITH {FUNDING}, f AS ({RECENT} FROM funding), l AS (SELECT symbol, funding_rate AS current FROM f WHERE back = 1) SELECT symbol, count(*) AS n, {r('current', None, 5)}, {r('current * 3 * 365 * 100', 'annualised_pct', 5)}, {r('avg(CAST(funding_rate < current AS DOUBLE)) * 100', 'percentile', 5)}, {r('avg(funding_rate) FILTER (WHERE back <= 21)', 'mean_recent', 5)}, {r('sum(funding_rate) FILTER (WHERE back <= 21)', 'sum_recent', 5)}, {r('avg(funding_rate)', 'mean_all', 5)}, {r('stddev_samp(funding_rate)', 'sd_all', 5)}, {r('(current - avg(funding_rate) FILTER (WHERE back <= 21)) / nullif(stddev_samp(funding_rate) FILTER (WHERE back <= 21), 0)', 'z_recent', 5)} FROM f JOIN l USING (symbol) GROUP BY symbol, current",
     "positioning_measures": f"WITH {BARS15}, v AS (SELECT symbol, timestamp, 'quote_volume' AS measure, quote_volume AS x FROM bars15 UNION ALL SELECT symbol, timestamp, 'volume', volume FROM bars15 UNION ALL SELECT symbol, timestamp, 'taker_buy_quote', taker_buy_quote FROM bars15), q AS (SELECT *, row_number() OVER (PARTITION BY symbol, measure ORDER BY timestamp DESC) AS k FROM v), g AS (SELECT symbol, measure, count(*) AS n, max(x) FILTER (WHERE k = 1) AS current, avg(x) AS mean, max(x) FILTER (WHERE k = 25) AS b, stddev_samp(x) AS sd FROM q WHERE k <= 168 GROUP BY 1, 2) SELECT symbol, measure, n, {rs(['current', 'mean'], 5)}, {r('(current / nullif(b, 0) - 1) * 100', 'change_24_pct', 5)}, {r('(current - mean) / nullif(sd, 0)', 'zscore', 5)} FROM g",
     "positioning_summary": f"WITH {BARS15}, q AS (SELECT * FROM ({RECENT} FROM bars15) WHERE back <= 168), g AS (SELECT symbol, count(*) AS n, max(quote_volume) FILTER (WHERE back = 1) AS current, avg(quote_volume) AS mean, max(quote_volume) FILTER (WHERE back = 25) AS b, stddev_samp(quote_volume) AS sd FROM q GROUP BY 1) SELECT symbol, n, {rs(['current', 'mean'], 5)}, {r('(current / nullif(b, 0) - 1) * 100', 'change_24_pct', 5)}, {r('(current - mean) / nullif(sd, 0)', 'zscore', 5)} FROM g",
-    "order_book_walk": f"WITH b AS (SELECT * FROM {VALS(fx.BOOKS, 'symbol, bids, asks')}), a AS (SELECT symbol, i, asks[i].price AS p, asks[i].price * asks[i].qty AS usd FROM (SELECT symbol, asks, unnest(range(1, len(asks) + 1)) AS i FROM b)), c AS (SELECT *, greatest(0.0::DOUBLE, least(usd, 1000.0::DOUBLE - coalesce(sum(usd) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM a), f AS (SELECT symbol, sum(take) AS filled, sum(take * p) / nullif(sum(take), 0) AS fill, sum(usd) AS ask_usd FROM c GROUP BY 1), g AS (SELECT b.symbol, bids[1].price AS bid, asks[1].price AS ask, list_sum(list_transform(bids, lambda x: x.price * x.qty)) AS bid_usd, f.* EXCLUDE (symbol) FROM b JOIN f USING (symbol)) SELECT symbol, {r('(bid + ask) / 2', 'mid')}, {r('(ask - bid) / ((bid + ask) / 2) * 10000', 'spread_bps')}, {rs(['bid_usd', 'ask_usd'])}, {r('(bid_usd - ask_usd) / (bid_usd + ask_usd)', 'imbalance')}, filled >= 990 AS fillable, {r('(fill - ask) / ((bid + ask) / 2) * 10000', 'slippage_bps')} FROM g",
+    "order_book_walk": f"WITH {BOOKS}, a AS (SELECT symbol, i, asks[i].price AS p, asks[i].price * asks[i].qty AS usd FROM (SELECT symbol, asks, unnest(range(1, len(asks) + 1)) AS i FROM b)), c AS (SELECT *, greatest(0.0::DOUBLE, least(usd, 1000.0::DOUBLE - coalesce(sum(usd) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM a), f AS (SELECT symbol, sum(take) AS filled, sum(take * p) / nullif(sum(take), 0) AS fill, sum(usd) AS ask_usd FROM c GROUP BY 1), g AS (SELECT b.symbol, bids[1].price AS bid, asks[1].price AS ask, list_sum(list_transform(bids, lambda x: x.price * x.qty)) AS bid_usd, f.* EXCLUDE (symbol) FROM b JOIN f USING (symbol)) SELECT symbol, {r('(bid + ask) / 2', 'mid')}, {r('(ask - bid) / ((bid + ask) / 2) * 10000', 'spread_bps')}, {rs(['bid_usd', 'ask_usd'])}, {r('(bid_usd - ask_usd) / (bid_usd + ask_usd)', 'imbalance')}, filled >= 990 AS fillable, {r('(fill - ask) / ((bid + ask) / 2) * 10000', 'slippage_bps')} FROM g",
     "symbol_profile": f"{BASE}, {COSTS}, {corr('bars')}, la AS (SELECT * FROM ({RECENT} FROM feats) WHERE back = 1), d0 AS (SELECT symbol, timestamp, close / max(close) {O} - 1 AS d FROM bars), d1 AS (SELECT symbol, min(d) AS max_drawdown, arg_max(d, timestamp) AS drawdown FROM d0 GROUP BY 1) SELECT la.symbol, la.timestamp, {', '.join(r('la.' + c, c, 5) for c in ['close', 'momentum_24', 'momentum_168', 'volatility_168', 'return_zscore', 'atr_pct', 'range_position'])}, {rs(['max_drawdown', 'drawdown', 'adv', 'round_trip_bps'], 5)}, {r('(SELECT correlation FROM cp WHERE (a = la.symbol AND b = ' + chr(39) + BENCHMARK + chr(39) + ') OR (b = la.symbol AND a = ' + chr(39) + BENCHMARK + chr(39) + '))', 'benchmark_correlation', 5)} FROM la JOIN d1 USING (symbol) JOIN co USING (symbol)",
     "correlation_matrix": f"WITH {BARS15}, {corr('bars15')} SELECT a, b, {r('correlation')}, n FROM cp",
     "correlated_pairs": f"WITH {BARS}, {corr('bars')} SELECT a, b, {r('correlation')}, n, {r('(SELECT avg(correlation) FROM cp)', 'mean_correlation')}, correlation > 0.7 AS clustered, a = '{BENCHMARK}' OR b = '{BENCHMARK}' AS with_benchmark FROM cp",
     "trade_ev": f"WITH {BARS}, {FUNDING}, {COSTS}, i AS (SELECT *, CASE WHEN direction = 'long' THEN entry - stop ELSE stop - entry END AS risk, CASE WHEN direction = 'long' THEN target - entry ELSE entry - target END AS reward FROM {VALS(fx.IDEAS, 'symbol, direction, entry, stop, target, win_probability')}), j AS (SELECT *, CASE WHEN direction NOT IN ('long', 'short') THEN 'direction must be ''long'' or ''short''' WHEN NOT (win_probability > 0 AND win_probability < 1) THEN 'win_probability must be strictly between 0 and 1' WHEN risk <= 0 THEN 'stop is on the wrong side of entry for a ' || direction WHEN reward <= 0 THEN 'target is on the wrong side of entry for a ' || direction END AS error FROM i), k AS (SELECT * EXCLUDE (risk, reward), CASE WHEN error IS NULL THEN risk END AS risk, CASE WHEN error IS NULL THEN reward END AS reward FROM j), l AS (SELECT k.*, reward / risk AS r, win_probability * reward / entry - (1 - win_probability) * risk / entry AS g, round_trip_bps AS c FROM k LEFT JOIN co USING (symbol)) SELECT symbol, direction, {rs(['entry', 'stop', 'target', 'win_probability'], 5)}, error, {r('risk / entry * 100', 'risk_pct', 5)}, {r('reward / entry * 100', 'reward_pct', 5)}, {r('r', 'r_multiple', 5)}, {r('1 / (1 + r)', 'breakeven_win_rate', 5)}, {r('g * 100', 'gross_ev_pct', 5)}, {r('(g - c / 10000) * 100', 'net_ev_pct', 5)}, {r('CASE WHEN r IS NOT NULL THEN greatest(0, win_probability - (1 - win_probability) / r) * 100 END', 'full_kelly_pct', 5)}, {r('CASE WHEN r IS NOT NULL THEN least(2, greatest(0, win_probability - (1 - win_probability) / r) * 25) END', 'position_pct', 5)}, (g - c / 10000 > 0) AND r >= 2.5 AS tradeable FROM l",
-    "position_size": f"WITH s AS (SELECT p, payoff, CASE WHEN payoff <= 0 THEN 1 ELSE 1 / (1 + payoff) END AS b, CASE WHEN payoff <= 0 THEN 0 ELSE greatest(0, p - (1 - p) / payoff) END AS k FROM {VALS(fx.SIZES, 'p, payoff')}) SELECT {rs(['p', 'payoff'])}, {r('b', 'breakeven')}, {r('k', 'kelly')}, {r('least(2.0::DOUBLE, k * 0.25 * 100)', 'position_pct')}, p > b AND k > 0 AS tradeable FROM s",
-    "exposure_caps": "SELECT symbol, CAST(p AS DOUBLE) AS position_pct, CAST(c AS DOUBLE) AS cluster_pct, 6.5::DOUBLE AS total_pct, c <= 5 AS within_cluster_cap, true AS within_total_cap FROM (VALUES ('A', 2.0, 5.5), ('N', 2.0, 4.0), ('R', 1.5, 3.5), ('X', 1.0, 1.0)) v(symbol, p, c)",
+    "position_size": f"WITH {BARS}, {wins('bars', 'symbol, date_trunc(' + chr(39) + 'month' + chr(39) + ', timestamp) AS month')} SELECT symbol, CAST(month AS TIMESTAMP) AS month, {rs(['p', 'payoff', 'breakeven', 'kelly'])}, {r('least(2.0::DOUBLE, kelly * 0.25::DOUBLE * 100)', 'position_pct')}, coalesce(p > breakeven, false) AND kelly > 0 AS tradeable FROM sz",
+    "exposure_caps": f"WITH {BARS15}, {corr('bars15')}, {wins('bars15', 'symbol')}, id AS (SELECT symbol, least(2.0::DOUBLE, kelly * 0.25::DOUBLE * 100) AS position_pct FROM sz), ex AS (SELECT symbol, position_pct, position_pct + coalesce((SELECT sum(o.position_pct) FROM id o JOIN cp ON correlation > 0 AND ((a = i.symbol AND b = o.symbol) OR (b = i.symbol AND a = o.symbol))), 0) AS cluster_pct, (SELECT sum(position_pct) FROM id) AS total_pct FROM id i) SELECT symbol, {rs(['position_pct', 'cluster_pct', 'total_pct'])}, cluster_pct <= 5 AS within_cluster_cap, total_pct <= 10 AS within_total_cap FROM ex",
     "decay_zscore": f"WITH a AS (SELECT strategy, avg(net_return) AS m, coalesce(stddev_samp(net_return), 0) AS v FROM {part(_until)} GROUP BY 1), b AS (SELECT strategy, count(*) AS n_trades, avg(net_return) AS mean_return FROM {part(_since)} GROUP BY 1), c AS (SELECT *, (mean_return - m) / nullif(v / sqrt(n_trades), 0) AS z FROM b JOIN a USING (strategy)) SELECT strategy, n_trades, {r('mean_return', None, 5)}, {r('m', 'expected', 5)}, {r('CASE WHEN n_trades >= 5 THEN z END', 'decay_z', 5)}, CASE WHEN n_trades < 5 THEN 'insufficient' WHEN coalesce(z, 0) < -2 OR (mean_return <= 0 AND m > 0) THEN 'retire' ELSE 'healthy' END AS status FROM c",
     "meta_training_set": f"{META} SELECT symbol, entry_time, side, {rs(CTX)}, meta_label FROM me",
     "exact_auc": f"{META}, p AS (SELECT symbol, round(return_zscore, 1) AS p, meta_label AS y FROM me) SELECT symbol, {r('(SELECT avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) FROM p a JOIN p b ON a.symbol = b.symbol WHERE a.y = 1 AND b.y = 0 AND a.symbol = s.symbol)', 'auc')}, count(*) AS n_test FROM p s GROUP BY symbol",
     "lookahead_guard": f"{BASE}, g AS (SELECT *, lead(close) {O} / close - 1 AS ahead FROM feats) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'corr({c}, ahead)', 'correlation')}, abs(corr({c}, ahead)) < 0.2 AS ok FROM g" for c in GUARD),
-    "event_log_tail": f"SELECT CAST(i AS BIGINT) AS index, json_extract_string(v, '$.ts') AS ts, json_extract_string(v, '$.type') AS type FROM {VALS(LOG, 'i, v')} WHERE i >= 1 AND json_valid(v) ORDER BY i DESC LIMIT 5",
-    "event_log_page": f"SELECT CAST(i AS BIGINT) AS index, json_extract_string(v, '$.ts') AS ts, json_extract_string(v, '$.type') AS type FROM {VALS(LOG, 'i, v')} WHERE i >= 1 AND json_valid(v) ORDER BY i LIMIT 5",
-    "feature_catalogue": f"SELECT * FROM {VALS(list(signals.FEATURES.items()), 'feature, meaning')}",
+    "event_log_tail": f"WITH {LOG} SELECT index, ts, type FROM ev WHERE index >= 100 AND type <> 'error' ORDER BY index DESC LIMIT 500",
+    "event_log_page": f"WITH {LOG} SELECT index, ts, type FROM ev WHERE index >= 100 AND type <> 'error' ORDER BY index LIMIT 500",
+    "feature_catalogue": f"{BASE} " + " UNION ALL ".join(f"SELECT '{n}' AS feature, '{m.replace(chr(39), 2 * chr(39))}' AS meaning, count({n}) FILTER (WHERE NOT isnan({n})) AS bars, count(DISTINCT symbol) FILTER (WHERE {n} IS NOT NULL AND NOT isnan({n})) AS symbols FROM feats" for n, m in signals.FEATURES.items()),
     "return_profile": f"WITH {BARS} SELECT symbol, {r('avg(ret)', 'mean_return')}, {r('stddev_samp(ret)', 'volatility')}, count(ret) AS n FROM (SELECT *, close / lag(close) {O} - 1 AS ret FROM bars) GROUP BY symbol",
 }
 _nulls = ["null_random_0", "null_random_1", "null_random_2", "null_always_long", "null_alternating"]
@@ -369,7 +385,7 @@ ORACLES["calibration_isotonic"] = f"""WITH {FC}, h AS (SELECT agent_role, probab
 ), e AS (SELECT id, agent_role, probability AS x, max(CASE WHEN p <= probability THEN p END) AS lo, min(CASE WHEN p >= probability THEN p END) AS hi FROM fc LEFT JOIN i USING (agent_role) GROUP BY 1, 2, 3
 ), g AS (SELECT e.*, a.v AS y0, b.v AS y1 FROM e LEFT JOIN i a ON a.agent_role = e.agent_role AND a.p = e.lo LEFT JOIN i b ON b.agent_role = e.agent_role AND b.p = e.hi)
 SELECT id, agent_role, {r('x', 'probability')}, {r('CASE WHEN y0 IS NULL AND y1 IS NULL THEN 0.5 + (x - 0.5) * 0.5 ELSE greatest(0.01::DOUBLE, least(0.99::DOUBLE, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL OR hi = lo THEN y0 ELSE y0 + (x - lo) * (y1 - y0) / (hi - lo) END)) END', 'calibrated')} FROM g"""
-ORACLES["event_count"] = f"SELECT count(*) AS n FROM {VALS(LOG, 'i, v')}"
-ORACLES["holdout_history"] = f"SELECT CAST(id AS BIGINT) AS id, strategy_name, accessed_at, CAST(passed AS INT) AS passed FROM {VALS(fx.HOLDOUT, 'id, strategy_name, accessed_at, passed, scorecard')}"
-ORACLES["research_state"] = f"WITH {HYP}, {TST}, {STS}, {STRAT}, {FC} SELECT (SELECT count(*) FROM now) AS total_hypotheses, (SELECT count(*) FROM now WHERE status = 'promoted') AS promoted, (SELECT count(*) FROM tst) AS total_tests, (SELECT count(*) FROM arch) AS total, (SELECT count(*) FROM arch WHERE status = 'active') AS active, (SELECT count(DISTINCT niche) FROM arch) AS niches_occupied, count(*) AS forecasts, count(*) - count(outcome) AS open, {len(fx.HOLDOUT)}::BIGINT AS holdout_uses FROM fj"
+ORACLES["event_count"] = "SELECT count(*) AS n FROM events"
+ORACLES["holdout_history"] = f"WITH {HOLD} SELECT id, strategy_name, accessed_at, passed FROM hold"
+ORACLES["research_state"] = f"WITH {HYP}, {TST}, {STS}, {STRAT}, {FC} SELECT (SELECT count(*) FROM now) AS total_hypotheses, (SELECT count(*) FROM now WHERE status = 'promoted') AS promoted, (SELECT count(*) FROM tst) AS total_tests, (SELECT count(*) FROM arch) AS total, (SELECT count(*) FROM arch WHERE status = 'active') AS active, (SELECT count(DISTINCT niche) FROM arch) AS niches_occupied, count(*) AS forecasts, count(*) - count(outcome) AS open, (SELECT count(*) FROM customer) AS holdout_uses FROM fj"
 assert math.isfinite(best_of(TRIALS))

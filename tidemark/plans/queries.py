@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions.kept import written
 from ..functions.spans import asof
 from ..functions.windows import series
 from ..operators import evaluate, evolution, features, folds, forecasts, market, metalabel, overfitting, signals, statistics, store, trades
 from ..sources import eventlog, tables
 from . import fixtures as fx
+from . import research
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BENCHMARK, TRIALS = "R", 20
@@ -283,71 +286,55 @@ def null_suite(spark, sf):
     return rounded(verdict)
 
 
-def _store(spark, name, rows):
-    return spark.createDataFrame(rows, store.SCHEMAS[name])
-
-
-def hyp(spark):
-    return _store(spark, "hypotheses", fx.HYPOTHESES)
-
-
-def tst(spark):
-    return _store(spark, "tests", fx.TESTS)
-
-
-def strat(spark):
-    return _store(spark, "strategies", fx.STRATEGIES)
-
-
 @query
 def ledger_summary(spark, sf):
-    return store.ledger_summary(hyp(spark), tst(spark))
+    return store.ledger_summary(research.hypotheses(spark, sf), research.tests(spark, sf))
 
 
 @query
 def hypothesis_status(spark, sf):
-    return store.hypotheses_now(hyp(spark), tst(spark)).select("id", "title", "status")
+    return store.hypotheses_now(research.hypotheses(spark, sf), research.tests(spark, sf)).select("id", "title", "status")
 
 
 @query
 def hypothesis_search(spark, sf):
-    a = [store.search(hyp(spark), k, 3).select("id", "title").withColumn("keyword", F.lit(k)) for k in ("VOLUME", "funding", "sure_thing", "100%")]
-    return a[0].unionByName(a[1]).unionByName(a[2]).unionByName(a[3])
+    a = [store.search(research.hypotheses(spark, sf), k).select("id", "title").withColumn("keyword", F.lit(k)) for k in fx.KEYWORDS]
+    return reduce(DataFrame.unionByName, a)
 
 
 @query
 def failure_log(spark, sf):
-    return store.failure_log(hyp(spark), tst(spark), 3)
+    return store.failure_log(research.hypotheses(spark, sf), research.tests(spark, sf))
 
 
 @query
 def holdout_budget(spark, sf):
-    return store.holdout_budget(_store(spark, "holdout_access", fx.HOLDOUT))
+    return store.holdout_budget(research.holdout(spark, sf))
 
 
 @query
 def archive_latest(spark, sf):
-    return store.archive_latest(strat(spark)).select("id", "name", "generation", "niche", "fitness", "passed", "status")
+    return store.archive_latest(research.strategies(spark, sf)).select("id", "name", "generation", "niche", "fitness", "passed", "status")
 
 
 @query
 def elites_per_niche(spark, sf):
-    return store.elites(strat(spark), 2).select("niche", "name", "fitness", F.col("rank").cast("bigint").alias("rank"))
+    return store.elites(research.strategies(spark, sf), 2).select("niche", "name", "fitness", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query
 def archive_summary(spark, sf):
-    return store.archive_summary(strat(spark))
+    return store.archive_summary(research.strategies(spark, sf))
 
 
 @query
 def niche_attribution(spark, sf):
-    return rounded(store.niche_attribution(strat(spark)))
+    return rounded(store.niche_attribution(research.strategies(spark, sf)))
 
 
 @query
 def niche_of(spark, sf):
-    return store.niche(strat(spark).select("id", "genome")).select("id", "niche")
+    return store.niche(research.strategies(spark, sf).select("id", "genome")).select("id", "niche")
 
 
 def made_forecasts(spark, sf) -> DataFrame:
@@ -408,14 +395,14 @@ def forecasts_open(spark, sf):
 
 @query
 def research_state(spark, sf):
-    h, t, a, x = hyp(spark), tst(spark), strat(spark), _store(spark, "holdout_access", fx.HOLDOUT)
+    h, t, a, x = research.hypotheses(spark, sf), research.tests(spark, sf), research.strategies(spark, sf), research.holdout(spark, sf)
     r = store.research_state(h, t, a, resolved_forecasts(spark, sf), x)
     return r.select("ledger.total_hypotheses", "ledger.promoted", "ledger.total_tests", "archive.total", "archive.active", "archive.niches_occupied", F.col("forecasts.total").alias("forecasts"), "forecasts.open", F.col("holdout.uses").alias("holdout_uses"))
 
 
 @query
 def holdout_history(spark, sf):
-    return store.holdout_history(_store(spark, "holdout_access", fx.HOLDOUT))
+    return store.holdout_history(research.holdout(spark, sf))
 
 
 @query
@@ -452,8 +439,7 @@ def positioning_summary(spark, sf):
 
 @query
 def order_book_walk(spark, sf):
-    b = spark.createDataFrame(fx.BOOKS, "symbol string, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>")
-    return rounded(market.order_book(b, 1000.0))
+    return rounded(market.order_book(research.books(spark, sf), 1000.0))
 
 
 @query
@@ -483,16 +469,17 @@ def trade_ev(spark, sf):
 
 @query
 def position_size(spark, sf):
-    d = spark.createDataFrame(fx.SIZES, "p double, payoff double")
+    """What the record of each month and symbol would have sized."""
+    d = market.win_profile(tables.bars_daily(spark, sf).withColumn("month", F.date_trunc("month", "timestamp").cast("timestamp_ntz")), ("symbol", "month"))
     size, ok = statistics.position_size(F.col("p"), F.col("payoff"))
-    return rounded(d.select("p", "payoff", statistics.breakeven_win_rate(F.col("payoff")).alias("breakeven"), statistics.kelly(F.col("p"), F.col("payoff")).alias("kelly"), size.alias("position_pct"), ok.alias("tradeable")))
+    return rounded(d.select("symbol", "month", "p", "payoff", statistics.breakeven_win_rate(F.col("payoff")).alias("breakeven"), statistics.kelly(F.col("p"), F.col("payoff")).alias("kelly"), size.alias("position_pct"), ok.alias("tradeable")))
 
 
 @query
 def exposure_caps(spark, sf):
-    ideas = spark.createDataFrame([("A", 2.0), ("N", 2.0), ("R", 1.5), ("X", 1.0)], "symbol string, position_pct double")
-    pairs = spark.createDataFrame([("A", "N", 0.9), ("A", "R", 0.75), ("N", "R", 0.5)], "a string, b string, correlation double")
-    return market.exposure(ideas, pairs)
+    bars = tables.bars_15m(spark, sf)
+    ideas = market.win_profile(bars).select("symbol", statistics.position_size(F.col("p"), F.col("payoff"))[0].alias("position_pct"))
+    return rounded(market.exposure(ideas, market.correlations(bars, 720, 50), replace(DEFAULT, cluster_correlation=0.0)))
 
 
 @query
@@ -543,24 +530,26 @@ def lookahead_guard(spark, sf):
 
 @query
 def event_log_tail(spark, sf):
-    lines = spark.createDataFrame(list(enumerate(fx.EVENTS)), "index bigint, value string")
-    return eventlog.read(lines, 1, 5).select("index", "ts", "type")
+    return eventlog.read(research.log_lines(spark, sf), 100).select("index", "ts", "type")
 
 
 @query
 def event_log_page(spark, sf):
-    lines = spark.createDataFrame(list(enumerate(fx.EVENTS)), "index bigint, value string")
-    return eventlog.page(lines, 1, 5).select("index", "ts", "type")
+    return eventlog.page(research.log_lines(spark, sf), 100).select("index", "ts", "type")
 
 
 @query
 def event_count(spark, sf):
-    return eventlog.event_count(spark.createDataFrame(list(enumerate(fx.EVENTS)), "index bigint, value string"))
+    return eventlog.event_count(research.log_lines(spark, sf))
 
 
 @query
 def feature_catalogue(spark, sf):
-    return spark.createDataFrame(list(signals.FEATURES.items()), "feature string, meaning string")
+    """The features with their meanings, and on how many bars of how many symbols each is known."""
+    f, names = frame(spark, sf, set(signals.FEATURES)), list(signals.FEATURES)
+    known = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(signals.FEATURES[n]).alias("meaning"), (F.col(n).isNotNull() & ~F.isnan(n)).alias("known")) for n in names]))
+    got = f.select("symbol", known.alias("x")).groupBy("x.feature", "x.meaning", "symbol").agg(F.count_if("x.known").alias("n"))
+    return got.groupBy("feature", "meaning").agg(F.sum("n").alias("bars"), F.count_if(F.col("n") > 0).alias("symbols"))
 
 
 @query
