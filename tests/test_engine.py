@@ -240,6 +240,22 @@ def test_statistics_and_deflation(spark):
     assert d.z == pytest.approx(z, rel=1e-9) and d.dsr == pytest.approx(NormalDist().cdf(z), abs=1e-12)
 
 
+def compounding(spark):
+    """Trades whose returns compound to almost nothing, or beyond any double, and the sums of their logarithms by strategy and regime."""
+    made = [("loss", "calm", 300, -0.2), ("loss", "volatile", 170, -0.2), ("gain", "calm", 900, 2.0), ("gain", "volatile", 20, 0.1), ("ruin", "calm", 3, -5.0)]
+    rows = [(name, "A", i, T0 + timedelta(hours=i), regime, r) for name, regime, n, r in made for i in range(n)]
+    want = {(name, regime): n * math.log1p(max(r, -0.999999)) for name, regime, n, r in made}
+    return spark.createDataFrame(rows, "strategy string, symbol string, entry_idx int, entry_time timestamp_ntz, regime string, net_return double").repartition(3), want
+
+
+def test_log_total_return_of_any_size(spark):
+    from tidemark.plans.queries import _stats
+
+    t, parts = compounding(spark)
+    want = {name: sum(v for k, v in parts.items() if k[0] == name) for name in ("loss", "gain", "ruin")}
+    assert {r.strategy: r.log_total_return for r in _stats(t, ["strategy"]).collect()} == {k: pytest.approx(v, abs=1.1e-5) for k, v in want.items()}
+
+
 def test_constant_returns_never_pass(spark):
     rows = [("s", "A", i, T0 + timedelta(hours=i), T0 + timedelta(hours=i + 1), 0.01, 0.02, 15.0) for i in range(60)]
     t = spark.createDataFrame(rows, "strategy string, symbol string, entry_idx int, entry_time timestamp_ntz, exit_time timestamp_ntz, net_return double, gross_return double, cost_bps double")

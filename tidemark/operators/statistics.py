@@ -57,8 +57,9 @@ def sharpe(mean: Column, sd: Column, n: Column) -> Column:
 
 
 def trade_statistics(trades: DataFrame, keys: list[str], value: str = "net_return", order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Twelve statistics of each group; profit factor and payoff ratio are infinite without losses.
+    """Thirteen statistics of each group; profit factor and payoff ratio are infinite without losses.
 
+    log_total_return is the sum that total_return comes from; beyond -37 or 709 only the sum still tells groups apart.
     The trades' returns are written first: drawdown and exact median read them again.
     """
     r = F.col(value)
@@ -72,7 +73,7 @@ def trade_statistics(trades: DataFrame, keys: list[str], value: str = "net_retur
     g = g.join(quantiles(t, keys, value, {"median_return": 0.5}), keys).join(max_drawdown(t, keys, value, order), keys)
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.nullif(F.col(b), F.lit(0.0))).otherwise(INF)
     return g.select(
-        *keys, "n_trades", "win_rate", "mean_return", "median_return", F.expm1("log_total").alias("total_return"), F.coalesce("sd", F.lit(0.0)).alias("volatility"),
+        *keys, "n_trades", "win_rate", "mean_return", "median_return", F.expm1("log_total").alias("total_return"), F.col("log_total").alias("log_total_return"), F.coalesce("sd", F.lit(0.0)).alias("volatility"),
         sharpe(F.col("mean_return"), F.col("sd"), F.col("n_trades")).alias("sharpe"), over("gross_win", "gross_loss").alias("profit_factor"), "max_drawdown", "avg_win", "avg_loss", over("avg_win", "avg_loss").alias("payoff_ratio"),
     )
 

@@ -201,8 +201,7 @@ def cost_breakdown(spark, sf):
 
 def _stats(t: DataFrame, keys: list[str]) -> DataFrame:
     """The statistics with the total return as a logarithm: it compounds beyond any fixed number of decimals."""
-    s = statistics.trade_statistics(t, keys)
-    return rounded(s.withColumn("log_total_return", F.log1p("total_return")).drop("total_return"), 5)
+    return rounded(statistics.trade_statistics(t, keys).drop("total_return"), 5)
 
 
 @query
