@@ -256,6 +256,14 @@ def test_log_total_return_of_any_size(spark):
     assert {r.strategy: r.log_total_return for r in _stats(t, ["strategy"]).collect()} == {k: pytest.approx(v, abs=1.1e-5) for k, v in want.items()}
 
 
+def test_log_total_return_of_regimes(spark):
+    from tidemark.plans.queries import _stats
+
+    t, want = compounding(spark)
+    got = {(r.strategy, r.regime): r.log_total_return for r in _stats(t, ["strategy", "regime"]).collect()}
+    assert got == {k: pytest.approx(v, abs=1.1e-5) for k, v in want.items()}
+
+
 def test_constant_returns_never_pass(spark):
     rows = [("s", "A", i, T0 + timedelta(hours=i), T0 + timedelta(hours=i + 1), 0.01, 0.02, 15.0) for i in range(60)]
     t = spark.createDataFrame(rows, "strategy string, symbol string, entry_idx int, entry_time timestamp_ntz, exit_time timestamp_ntz, net_return double, gross_return double, cost_bps double")
