@@ -264,6 +264,25 @@ def test_log_total_return_of_regimes(spark):
     assert got == {k: pytest.approx(v, abs=1.1e-5) for k, v in want.items()}
 
 
+def test_statistics_by_regime_equal_their_sql(spark):
+    import duckdb
+
+    from tidemark.plans.oracles import STAT, rs
+    from tidemark.plans.oracles import stats as sql
+    from tidemark.plans.queries import _stats
+
+    made = [("loss", "calm", 300, -0.3), ("loss", "volatile", 70, -0.9), ("gain", "calm", 900, 2.0), ("mixed", "calm", 50, -0.03), ("mixed", "volatile", 20, -0.05), ("one", "calm", 1, 0.05)]
+    rows = [(name, "A", i, T0 + timedelta(hours=i), regime, r + 0.01 * (i % 7)) for name, regime, n, r in made for i in range(n)]
+    t = spark.createDataFrame(rows, "strategy string, symbol string, entry_idx int, entry_time timestamp_ntz, regime string, net_return double").repartition(3)
+    frame = pd.DataFrame(rows, columns=t.columns)
+    con = duckdb.connect()
+    con.register("t", frame)
+    want = con.execute(f"WITH {sql('strategy, regime')} SELECT strategy, regime, n_trades, {rs(STAT, 5)} FROM ts")
+    got = _stats(t, ["strategy", "regime"])
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_constant_returns_never_pass(spark):
     rows = [("s", "A", i, T0 + timedelta(hours=i), T0 + timedelta(hours=i + 1), 0.01, 0.02, 15.0) for i in range(60)]
     t = spark.createDataFrame(rows, "strategy string, symbol string, entry_idx int, entry_time timestamp_ntz, exit_time timestamp_ntz, net_return double, gross_return double, cost_bps double")
