@@ -1,7 +1,9 @@
+import os
 import random
 
 import numpy as np
 
+from tidemark.functions.kept import shared_root
 from tidemark.llm import ngram_join
 from tidemark.llm.ngram_join import one_of_each, similarity_components, tree_links
 
@@ -125,3 +127,27 @@ def test_one_of_each(spark):
     assert got.columns == df.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([rows[1], rows[3], rows[4]], df.schema).collect()))
     assert one_of_each(df.limit(0)).count() == 0
+
+
+def test_rows_lie_on_disk_once(spark, monkeypatch):
+    """Dealt out once, into one table: nothing is persisted beside it, and no pass or cogroup moves texts again."""
+
+    def persist(*_):
+        raise AssertionError("rows are kept a second time")
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(200)), "u") for i in range(200)] + [(900, None, "n"), (901, "", "e"), (902, "a b", "s"), (903, "A  b", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, b string").repartition(3)
+    monkeypatch.setattr(type(df), "persist", persist)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = one_of_each(df)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # of the ids that stand
+        assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(rows[:-1], df.schema).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    root = shared_root(spark).removeprefix("file://")
+    assert not [x for x in os.listdir(root) if x.startswith("numbered-")]

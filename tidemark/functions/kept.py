@@ -41,12 +41,26 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, n: int, by: str) -> DataFrame:
+        """As keep(), in n buckets by a column: grouping by it moves no row.  The catalogue has the table's name only until it is resolved."""
+        self.held += 1
+        name = f"spark_catalog.default.bucketed_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("path", f"{self.folder}/{self.held}").bucketBy(n, by).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # of an outside path: the files stay
+        return out
+
     def drop(self) -> None:
         """Delete the tables; nothing that is still to be computed may need them."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """After a step that moved much: Spark deletes the shuffle files of frames that are gone when the driver collects its garbage, which else may take long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 _owner: ContextVar[list | None] = ContextVar("owner", default=None)
 
 

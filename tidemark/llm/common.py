@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.kept import Scratch, shared_folder
+from ..functions.kept import Scratch, shared_folder, swept
 from ..functions.kept import written as checkpointed
 
 #: Text bytes in a row batch, on average.
@@ -65,9 +65,13 @@ class Batches:
     stays null).  The numbered rows are a written table, so that a lost task finds the same
     rid again whatever docs came from; `rows` is that table dealt out by b and persisted
     until release(); `again` deals it out anew, for results that are computed later.
+
+    stored: rows are dealt out once into a table bucketed by b, which takes the place of the
+    numbered one and of what is persisted.  So they lie on disk once, whatever memory there is, and
+    no pass or cogroup by b moves them again.
     """
 
-    def __init__(self, docs: DataFrame, keep: list[str], text: str = "text"):
+    def __init__(self, docs: DataFrame, keep: list[str], text: str = "text", stored: bool = False):
         spark = docs.sparkSession
         bounded_batches(spark)
         self.scratch = Scratch(spark, "rows")
@@ -83,11 +87,17 @@ class Batches:
                 z = pa.array([None if t is None else c.compress(t) for t in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([*x.columns[:-1], size, z], names=schema.names)
 
-        numbered = self.scratch.keep(kept.mapInArrow(squeeze, schema))
+        first = Scratch(spark, "numbered") if stored else self.scratch
+        numbered = first.keep(kept.mapInArrow(squeeze, schema))
         total = numbered.agg(F.sum("size")).first()[0] or 0
         self.nb = max(shuffle_partitions(spark), math.ceil(total / BATCH_BYTES))
         self.table = numbered.select(self.batch_of("rid"), *[c for c in schema.names if c != "size"])
-        self.rows = self.again().persist(StorageLevel.MEMORY_AND_DISK)
+        if stored:
+            self.table = self.rows = self.scratch.bucketed(self.again(), self.nb, "b")
+            first.drop()
+            swept(spark)
+        else:
+            self.rows = self.again().persist(StorageLevel.MEMORY_AND_DISK)
 
     def batch_of(self, rid: str):
         """The batch of a row, wherever its rid is at hand."""

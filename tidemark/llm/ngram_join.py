@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, Scratch, Union, by_bucket, checkpointed, components, frugal, pack, sorted_batch, texts_of, unpack
+from .common import Batches, Scratch, Union, by_bucket, checkpointed, components, frugal, pack, sorted_batch, swept, texts_of, unpack
 from .tokens import grams, mix, words
 
 #: Sets of SIZE shingles in a tile, and up to which a block is small; children of a node.
@@ -357,7 +357,7 @@ def _candidates(table: pa.Table) -> pa.Table:
 def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: str, text: str) -> tuple[Batches, DataFrame]:
     """The row batches, and of each row: rid, id, n (shingles), component_id and whether it stands for its component."""
     spark = docs.sparkSession
-    batches, scratch = Batches(docs, [*keep, id], text), Scratch(spark, "sets")
+    batches, scratch = Batches(docs, [*keep, id], text, stored=True), Scratch(spark, "sets")
     rows, nb, own = batches.rows, batches.nb, f"c{len(keep)}"
 
     def sizes(t: pa.Table) -> pa.Table:
@@ -397,6 +397,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
     asked = F.element_at(F.array(*[F.lit(ranges_of(int(d))[1]) for d in differ]), (F.col("x") % k + 1).cast("int"))
     near = near.groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= asked).select("x", "y")
     blocks = components(near)
+    swept(spark)
     rid = F.expr(f"node div {k}L").alias("rid")
     weight = F.count("*") * F.greatest(F.lit(1.0), F.max(F.element_at(F.array(*[F.lit(int(x)) for x in starts]), (F.col("node") % k + 2).cast("int"))) / SIZE)  # sets of a block are of one size class
     large = scratch.keep(blocks.groupBy("root").agg(weight.alias("w")).where(F.col("w") > SMALL).select("root", F.greatest(F.lit(2), F.ceil(F.col("w") / TILE)).cast("int").alias("tiles")))
@@ -430,6 +431,7 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
 
     joined = None
     if not large.isEmpty():
+        swept(spark)
         tiles = found.where("root is not null").withColumn("pos", F.col("tile"))
         hub = F.when(F.col("pos") == 0, F.sequence(F.lit(1), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
         joined = components(links.unionByName(between(tiles, hub))).toDF("rid", "known")
@@ -444,7 +446,6 @@ def _joined(docs: DataFrame, n: int, num: int, den: int, keep: list[str], id: st
         inner, last = F.col("tiles"), F.col("tiles") + F.col("rest") - 1
         links = joined.select(F.col("rid").alias("x"), F.col("known").alias("y")).unionByName(between(tiles, F.when(F.col("pos") < inner, F.sequence(inner, last)).otherwise(F.sequence(F.lit(0), last))))
     joined = components(links).toDF("rid", "root")
-    batches.release()
     linked = scratch.keep(joined.join(classes, "rid"))
     tops = scratch.keep(linked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rid")).alias("r")))  # cut here, a hot root's side of the join can be split
     linked = linked.join(tops, "root").select("fp", "n", F.col("r.id").alias("top"), F.col("r.rid").alias("stand"))
@@ -477,13 +478,13 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id:
     """The rows of docs that stand for their component, with docs' columns as they were."""
     keep = [c for c in docs.columns if c != text]
     batches, out = _joined(docs, n, num, den, keep, id, text)
-    rest = batches.table.join(out.where("stands").select("rid"), "rid", "left_semi").select(*[f"c{i}" for i in range(len(keep))], "z")
-    schema = T.StructType([*rest.schema.fields[:-1], T.StructField("z", T.StringType())])
+    schema = T.StructType([*[batches.rows.schema[f"c{i}"] for i in range(len(keep))], T.StructField("z", T.StringType())])
 
-    def read(batches):
-        for x in batches:
-            z = x.column(x.num_columns - 1)
-            t = [s.decode() if ok else None for s, ok in zip(texts_of(pa.table([z], names=["z"])), z.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*x.columns[:-1], pa.array(t, pa.string())], names=x.schema.names)
+    def read(t: pa.Table, stands: pa.Table) -> pa.Table:
+        t = t.filter(pa.array(np.isin(t.column("rid").to_numpy(), stands.column("rid").to_numpy())))
+        z = [s.decode() if ok else None for s, ok in zip(texts_of(t), t.column("z").is_valid().to_pylist(), strict=True)]
+        return pa.table([*[t.column(c) for c in schema.names[:-1]], pa.array(z, pa.string())], names=schema.names)
 
-    return rest.mapInArrow(read, schema).select(*[F.col("z" if c == text else f"c{keep.index(c)}").alias(c) for c in docs.columns])
+    stands = out.where("stands").select(batches.batch_of("rid"), "rid")
+    rest = batches.rows.groupBy("b").cogroup(stands.groupBy("b")).applyInArrow(read, schema)
+    return rest.select(*[F.col("z" if c == text else f"c{keep.index(c)}").alias(c) for c in docs.columns])
